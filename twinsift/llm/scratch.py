@@ -73,7 +73,7 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-BLOCK_SCHEMA = "block long, n_docs long, ids binary, lens binary, text binary"
+BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, ids binary, lens binary, text binary"
 
 
 def block_rows(batches, block_bytes: int, partition: int):
@@ -88,6 +88,7 @@ def block_rows(batches, block_bytes: int, partition: int):
             {
                 "block": pa.array([(partition << 32) + seq], pa.int64()),
                 "n_docs": pa.array([len(ids)], pa.int64()),
+                "n_bytes": pa.array([held], pa.int64()),
                 "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
                 "lens": pa.array([np.array([len(t) for t in texts], np.int64).tobytes()], pa.binary()),
                 "text": pa.array([b"".join(texts)], pa.binary()),
@@ -125,3 +126,23 @@ def document_blocks(scratch: Scratch, documents: DataFrame, block_bytes: int, bu
         return scratch.write(blocks)
     buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return scratch.write_bucketed(blocks, "block", buckets)
+
+
+def numbered(scratch: Scratch, df: DataFrame, *order) -> tuple[DataFrame, int]:
+    """``df`` with ``row``, its place from 0 in the given order, and the count of rows.
+
+    Rows are dealt by range; only each partition's count goes to the driver, and comes back as that partition's
+    offset. ``df`` is written once on the way, so that a second reading can't deal it otherwise.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    held = scratch.write(dealt)
+    counts = {r[0]: r[1] for r in held.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}
+    offsets, total = [], 0
+    for p in sorted(counts):
+        offsets.append((p, total))
+        total += counts[p]
+    table = spark.createDataFrame(offsets, "_p long, _offset long")
+    out = held.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(table), "_p")  # a row per partition
+    return out.withColumn("row", F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_at", "_offset"), total
