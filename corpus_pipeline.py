@@ -1,18 +1,65 @@
-"""Corpus preparation: STAGES applied to documents, each stage written as Parquet and read again by the next."""
+"""Corpus preparation: STAGES applied to documents, each stage written as Parquet and read again by the next.
+
+Quality rules drop documents, lines that ten documents share go, one document of each group of near copies stays,
+sources are mixed to their targets (a document comes once per copy that the mix takes), and what is left is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinsift.llm import bpe, lines, minhash, mixing, rules
+from twinsift.llm.queries import tokenizer_spec, with_quality
+from twinsift.llm.scratch import Scratch
+
+#: Up to so many ids are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return rules.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = lines.drop_common_lines(docs, min_docs=10, min_chars=1)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows that share an id one stays."""
+    kept = Scratch(spark).write(minhash.near_duplicates(docs, percent=80).where("kept").groupBy(F.col("doc_id").alias("_id")).count())
 
-STAGES: list = []
+    def of(ids: DataFrame) -> DataFrame:
+        held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+    out = of(kept.where("count = 1"))
+    repeated = kept.where("count > 1")
+    return out if repeated.isEmpty() else out.unionByName(of(repeated).dropDuplicates(["doc_id"]))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    weighed = with_quality(docs.select("doc_id", "source", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.take(docs, mixing.mix(weighed, F.col("_weight"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.token_documents(docs, tokenizer_spec())
+
+
+STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("mixing", mix), ("bpe", encode)]
+#: Components and tokens are beyond SQL; tests hold run() against a plain version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from twinsift.llm.scratch import Scratch
-
+    """The last stage's rows for the documents under ``sf_dir``."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop(before)
     return docs

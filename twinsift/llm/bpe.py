@@ -377,6 +377,11 @@ def encode_documents(documents: DataFrame, spec: str) -> DataFrame:
     return _apply(documents, spec, "doc_id long, token_ids array<int>, decoded string", lambda i, ids, decoded: (i, ids, decoded))
 
 
+def token_documents(documents: DataFrame, spec: str) -> DataFrame:
+    """As ``encode_documents``, without the decoded text: doc_id, n_tokens, token_ids."""
+    return _apply(documents, spec, "doc_id long, n_tokens long, token_ids array<int>", lambda i, ids, decoded: (i, len(ids), ids))
+
+
 def digest_documents(documents: DataFrame, spec: str) -> DataFrame:
     """As ``encode_documents``, with counts and digests in place of tokens and text."""
 

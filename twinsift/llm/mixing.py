@@ -116,6 +116,6 @@ def take(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     cut = (F.col("_taken") % F.col("_size")).cast("int")
     copies = joined.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))))
-    head = F.regexp_extract("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit("{"), F.col("_cut").cast("string"), F.lit("}")), 0)
-    text = F.when(F.col("_cut") == 0, F.col("text")).otherwise(F.rtrim(head))
+    parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a word with the white space before it
+    text = F.when(F.col("_cut") == 0, F.col("text")).otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.col("_cut"), F.lit(1))), ""))
     return copies.withColumn("text", text).select(*documents.columns)

@@ -3,21 +3,72 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinsift.llm import bpe
+from twinsift.llm import bpe, lines, lm, minhash, mixing, rules, search, sharding, substrings
+from twinsift.llm.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer_spec() -> str:
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        spec = f.read()
-    return bpe.digest_documents(_table(spark, sf_dir, "documents"), spec)
+        return f.read()
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(_table(spark, sf_dir, "documents"), tokenizer_spec())
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def with_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``documents`` with _weight: 2 where labelled good, 0.5 where labelled bad, else 1."""
+    of = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
+    weight = F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)
+    return documents.join(of, F.col("doc_id") == F.col("_id"), "left").withColumn("_weight", weight).select(*[documents[c] for c in documents.columns], "_weight")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = with_quality(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), _table(spark, sf_dir, "labels"))
+    return mixing.mix(documents, F.col("_weight"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    out = substrings.remove_repeats(_table(spark, sf_dir, "documents"), 50, scratch)
+    return scratch.finish(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    return scratch.finish(lm.score_documents(_table(spark, sf_dir, "documents"), scratch))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 16)
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_common_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+
+
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents"))
+
 
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_top_k, op4_mixing, op5_substrings, op6_lm, op7_near_duplicates, op8_sharding, op9_lines, op10_rules)}
 
-QUERIES = {"op1_bpe": op1_bpe}
 ORACLE_SQL: dict[str, str] = {}
