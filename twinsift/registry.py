@@ -1,6 +1,327 @@
-"""Registered queries of the engine and the SQL that gives the same rows."""
+"""Registered queries of the engine over the driver's tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinsift.functions import fingerprints, paths
+from twinsift.operators import cleanup, exact, folders, review, scope, similar, tolerance
+from twinsift.plans.criteria import Criteria
+from twinsift.sources.inventory import documents_as_files
+from twinsift.streaming.incremental import incremental_groups
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_FILES = "files AS (SELECT doc_id, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, strlen(text)::BIGINT AS size, text FROM documents)"
+_GROUPS = _FILES + ", grouped AS (SELECT *, min(path) OVER (PARTITION BY text) AS group_id, count(*) OVER (PARTITION BY text) AS n FROM files), members AS (SELECT group_id, doc_id, path, size, text FROM grouped WHERE n > 1)"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_as_files(table(spark, sf_dir, "documents"))
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^[a-z]+://", ""))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.octet_length("html").cast("long").alias("size"), F.lit("/").alias("root"))
+
+
+_PAGES = "pagefiles AS (SELECT page_id, '/' || regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', '') AS path, strlen(html)::BIGINT AS size FROM pages), named AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name, CASE WHEN regexp_replace(path, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END AS folder FROM pagefiles), keyed AS (SELECT *, regexp_extract(name, '^.*[^/](\\.[^./]+)$', 1) AS suffix FROM named)"
+
+
+@query(f"WITH {_GROUPS}, g AS (SELECT group_id, count(*) AS n_files, sum(size)::BIGINT AS total_bytes, (sum(size) - max(size))::BIGINT AS extra_bytes, sha256(any_value(text)) AS digest FROM members GROUP BY group_id) SELECT *, 'Exact match' AS status, row_number() OVER (ORDER BY extra_bytes DESC, group_id) AS group_no FROM g")
+def exact_groups(spark, sf_dir):
+    groups = review.numbered_groups(exact.summarize(exact.duplicate_groups(files(spark, sf_dir))))
+    return groups.select("group_id", "n_files", "total_bytes", "extra_bytes", "digest", "status", F.col("group_no").cast("long").alias("group_no"))
+
+
+@query(f"WITH {_GROUPS} SELECT group_id, path, size FROM members")
+def exact_members(spark, sf_dir):
+    return exact.duplicate_groups(files(spark, sf_dir)).select("group_id", "path", "size")
+
+
+@query(f"WITH {_FILES}, g AS (SELECT *, min(path) OVER (PARTITION BY size) AS group_id, count(*) OVER (PARTITION BY size) AS n FROM files) SELECT group_id, path, size, NULL::VARCHAR AS digest, FALSE AS byte_verified FROM g WHERE n > 1")
+def size_groups(spark, sf_dir):
+    return exact.duplicate_groups(files(spark, sf_dir), Criteria(contents=False, hashes=False)).select("group_id", "path", "size", "digest", "byte_verified")
+
+
+@query(f"WITH {_GROUPS}, g AS (SELECT group_id FROM members GROUP BY group_id HAVING count(DISTINCT regexp_replace(path, '/[^/]*$', '')) > 1) SELECT group_id, path FROM members WHERE group_id IN (SELECT group_id FROM g)")
+def cross_folder_groups(spark, sf_dir):
+    return exact.duplicate_groups(files(spark, sf_dir), Criteria(ignore_same_folder=True)).select("group_id", "path")
+
+
+@query(f"WITH {_PAGES}, k AS (SELECT *, lower(regexp_replace(regexp_replace(left(name, length(name) - length(suffix)), '^Copy(\\s+of)?[\\s_-]+', '', 'i'), '[\\s_-]+Copy(\\s*\\(\\d+\\))?$', '', 'i') || suffix) AS key FROM keyed), g AS (SELECT *, min(path) OVER (PARTITION BY key) AS group_id, count(*) OVER (PARTITION BY key) AS n FROM k) SELECT group_id, page_id, key AS name_key FROM g WHERE n > 1")
+def name_groups(spark, sf_dir):
+    criteria = Criteria(contents=False, hashes=False, size=False, filename=True, ignore_copy=True)
+    key = paths.filename_key(F.col("path"), ignore_copy=True)
+    return exact.duplicate_groups(page_files(spark, sf_dir), criteria).select("group_id", "page_id", key.alias("name_key"))
+
+
+@query(f"WITH {_PAGES}, p AS (SELECT *, list_filter(string_split(folder, '/'), lambda x: x <> '') AS parts FROM keyed) SELECT page_id, name, suffix, left(name, length(name) - length(suffix)) AS stem, folder, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INTEGER AS depth, lower(folder) AS folder_full, lower(regexp_extract(folder, '([^/]*)$', 1)) AS folder_name, (CASE WHEN len(parts) >= 2 THEN 'full' ELSE 'short' END) || '|' || lower(array_to_string(parts[1:2], '/')) AS folder_depth2, CASE WHEN lower(suffix) IN ('.pdf', '.txt', '.md', '.csv') THEN 'Documents' ELSE 'Other' END AS file_type FROM p")
+def path_keys(spark, sf_dir):
+    p = F.col("path")
+    return page_files(spark, sf_dir).select(
+        "page_id",
+        paths.name(p).alias("name"),
+        paths.suffix(p).alias("suffix"),
+        paths.stem(p).alias("stem"),
+        paths.parent(p).alias("folder"),
+        paths.depth(p).alias("depth"),
+        paths.folder_key(p, F.lit("/"), full=True).alias("folder_full"),
+        paths.folder_key(p, F.lit("/")).alias("folder_name"),
+        paths.folder_key(p, F.lit("/"), depth_limit=2).alias("folder_depth2"),
+        paths.file_type(p).alias("file_type"),
+    )
+
+
+@query("WITH o AS (SELECT '/' || o_orderstatus || '/' || o_orderkey AS path, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders), g AS (SELECT *, min(path) OVER (PARTITION BY day) AS group_id, count(*) OVER (PARTITION BY day) AS n FROM o) SELECT group_id, path, day FROM g WHERE n > 1")
+def date_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.concat_ws("/", F.lit(""), "o_orderstatus", F.col("o_orderkey").cast("string")).alias("path"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("modified_ns"))
+    criteria = Criteria(contents=False, hashes=False, size=False, modified=True, modified_date_only=True)
+    return exact.duplicate_groups(rows, criteria).select("group_id", "path", paths.date_key(F.col("modified_ns"), True).alias("day"))
+
+
+@query(f"WITH {_FILES} SELECT regexp_extract(path, '^/([^/]*)', 1) AS top, count(*) AS n_files, sum(size)::BIGINT AS total_bytes FROM files GROUP BY 1")
+def scan_totals(spark, sf_dir):
+    top = F.regexp_extract("path", "^/([^/]*)", 1).alias("top")
+    return files(spark, sf_dir).groupBy(top).agg(F.count("*").alias("n_files"), F.sum("size").cast("long").alias("total_bytes"))
+
+
+@query("WITH RECURSIVE d AS (SELECT lang, n_chars AS s FROM documents GROUP BY ALL), nxt AS (SELECT a.lang, a.s, min(b.s) AS t FROM d a LEFT JOIN d b ON a.lang = b.lang AND b.s > a.s + 5 GROUP BY ALL), anchors AS (SELECT lang, min(s) AS anchor FROM d GROUP BY lang UNION ALL SELECT a.lang, n.t FROM anchors a JOIN nxt n ON n.lang = a.lang AND n.s = a.anchor WHERE n.t IS NOT NULL), m AS (SELECT t.doc_id, t.lang, max(a.anchor) AS anchor FROM documents t JOIN anchors a ON a.lang = t.lang AND a.anchor <= t.n_chars GROUP BY ALL) SELECT lang, anchor, count(*) AS n_files, min(doc_id) AS first_id FROM m GROUP BY ALL HAVING count(*) > 1")
+def size_tolerance_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    swept = tolerance.size_anchors(rows, ["lang"], "n_chars", 5)
+    return swept.groupBy("lang", "anchor").agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_id")).where("n_files > 1")
+
+
+@query("WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name AND levenshtein(a.name, b.name) <= 3")
+def near_names(spark, sf_dir):
+    return tolerance.near_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct(), 3)
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), F.lower("p_name").alias("name_key"), F.col("p_size").cast("long").alias("size"), F.col("p_brand").alias("brand"))
+
+
+@query()
+def similar_name_groups(spark, sf_dir):
+    return tolerance.similar_name_groups(part_files(spark, sf_dir), ["brand"], 3, 10)
+
+
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, signature: 60-bit SimHash of each document's distinct words."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w")).where("w <> ''")
+    h = words.select("doc_id", F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 15), 16, 10).cast("long").alias("h"))
+    votes = h.groupBy("doc_id").agg(*[F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(60)])
+    bits = [F.when(F.col(f"b{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(60)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out + b
+    return votes.select("doc_id", out.alias("signature"))
+
+
+_SIGNATURES = "w AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 15))::BIGINT AS h FROM w WHERE w <> ''), v AS (SELECT doc_id, i, sum(((h >> i) & 1) * 2 - 1) AS s FROM h, range(60) t(i) GROUP BY ALL), sig AS (SELECT doc_id, sum(CASE WHEN s > 0 THEN 1::BIGINT << i::INTEGER ELSE 0 END)::BIGINT AS signature FROM v GROUP BY doc_id)"
+
+
+@query(f"WITH {_SIGNATURES}, d AS (SELECT DISTINCT signature FROM sig) SELECT x.signature AS a, y.signature AS b, bit_count(xor(x.signature, y.signature))::INTEGER AS distance FROM d x JOIN d y ON bit_count(xor(x.signature, y.signature)) <= 4")
+def hamming_pairs(spark, sf_dir):
+    s = signatures(spark, sf_dir).select("signature")
+    return similar.hamming_pairs(s, s, 4)
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 3 + 1
+    tall = F.col("doc_id") % 10 == 0
+    return signatures(spark, sf_dir).select(F.concat(F.lit("/i/"), F.col("doc_id").cast("string")).alias("path"), "signature", F.when(tall, 240 * k).otherwise(320 * k).alias("width"), F.when(tall, 320 * k).otherwise(240 * k).alias("height"))
+
+
+@query(
+    f"WITH RECURSIVE {_SIGNATURES}, img AS (SELECT '/i/' || doc_id AS path, signature AS s, CASE WHEN doc_id % 10 = 0 THEN 240 ELSE 320 END * (doc_id % 3 + 1) AS w, CASE WHEN doc_id % 10 = 0 THEN 320 ELSE 240 END * (doc_id % 3 + 1) AS h FROM sig), o AS (SELECT row_number() OVER (ORDER BY -w * h, path) AS i, path, s, w, h FROM img), "
+    "r AS (SELECT 0::BIGINT AS i, []::STRUCT(i BIGINT, p VARCHAR, s BIGINT, w BIGINT, h BIGINT)[] AS refs UNION ALL SELECT o.i, CASE WHEN len(list_filter(r.refs, lambda x: bit_count(xor(x.s, o.s)) <= 4 AND abs(ln(o.w * x.h / (o.h * x.w))) <= 0.08)) > 0 THEN r.refs ELSE list_append(r.refs, {'i': o.i, 'p': o.path, 's': o.s, 'w': o.w, 'h': o.h}) END FROM r JOIN o ON o.i = r.i + 1), "
+    "refs AS (SELECT unnest(refs) AS x FROM r WHERE i = (SELECT max(i) FROM r)), c AS (SELECT o.path, x.p, x.i, bit_count(xor(x.s, o.s))::INTEGER AS d FROM o JOIN refs ON x.i < o.i AND bit_count(xor(x.s, o.s)) <= 4 AND abs(ln(o.w * x.h / (o.h * x.w))) <= 0.08 WHERE o.i NOT IN (SELECT x.i FROM refs)) "
+    "SELECT arg_min(p, (d, i)) AS reference, path, min(d) AS distance FROM c GROUP BY path"
+)
+def image_groups(spark, sf_dir):
+    return similar.image_groups(images(spark, sf_dir), 4)
+
+
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as frame sequences: a frame's signature is that of the 24th part of the text it stands for."""
+    n = F.floor(F.length("text") / 24).cast("int")
+    part = lambda k: F.substring("text", k * n + 1, n)
+    sig = lambda k: F.when(n > 0, F.shiftrightunsigned(F.xxhash64(part(k)), 1))
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/v/"), F.col("doc_id").cast("string")).alias("path"), F.lit(320).alias("width"), F.lit(180).alias("height"), (F.length("text") / 10.0).alias("duration"), F.transform(F.sequence(F.lit(0), F.lit(23)), sig).alias("signatures")
+    )
+
+
+@query("WITH f AS (SELECT '/v/' || doc_id AS path, text FROM documents WHERE length(text) >= 24), g AS (SELECT *, min(path) OVER (PARTITION BY text) AS reference FROM f) SELECT reference, path, 12 AS matched, 12 AS valid FROM g WHERE path <> reference")
+def video_copies(spark, sf_dir):
+    """Whole copies only: all twelve slots at distance 0."""
+    return similar.video_groups(videos(spark, sf_dir), "Strict").where("total = 0 AND matched = 12").select("reference", "path", "matched", "valid")
+
+
+@query()
+def video_groups(spark, sf_dir):
+    return similar.video_groups(videos(spark, sf_dir), "Balanced")
+
+
+@query("WITH m AS (SELECT l_orderkey, list_sort(list(l_quantity::BIGINT)) AS q FROM lineitem GROUP BY l_orderkey), g AS (SELECT *, min(l_orderkey) OVER (PARTITION BY q) AS group_id, count(*) OVER (PARTITION BY q) AS n FROM m) SELECT l_orderkey, len(q) AS n_items, group_id FROM g WHERE n > 1")
+def folder_multisets(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("item"))
+    return folders.equal_multisets(rows, "l_orderkey", "item")
+
+
+@query("WITH f AS (SELECT '/o/' || l_orderkey AS path, l_quantity::BIGINT AS c, l_linenumber AS s FROM lineitem), m AS (SELECT path, list_sort(list(c)) AS q, count(*) AS n_files, sum(s)::BIGINT AS total_size FROM f GROUP BY path), g AS (SELECT *, min(path) OVER (PARTITION BY q) AS group_id, count(*) OVER (PARTITION BY q) AS n FROM m) SELECT group_id, path, n_files, total_size FROM g WHERE n > 1")
+def duplicate_folders(spark, sf_dir):
+    path = F.concat_ws("/", F.lit("/o"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select(path.alias("path"), F.col("l_linenumber").cast("long").alias("size"), F.col("l_quantity").cast("long").alias("content_id"))
+    return folders.duplicate_folders(rows)
+
+
+@query(f"WITH {_FILES}, t AS (SELECT '/' || split_part(path, '/', 2) AS a, '/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3) AS b, size FROM files) SELECT '/' AS path, count(*) AS n_files, sum(size)::BIGINT AS total_size, 1 + count(DISTINCT a) + count(DISTINCT b) AS n_dirs FROM t UNION ALL SELECT a, count(*), sum(size)::BIGINT, 1 + count(DISTINCT b) FROM t GROUP BY a UNION ALL SELECT b, count(*), sum(size)::BIGINT, 1 FROM t GROUP BY b")
+def folder_rollup(spark, sf_dir):
+    return folders.rollup(files(spark, sf_dir).select("path", "size"))
+
+
+@query("SELECT '/c/' || c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def empty_folders(spark, sf_dir):
+    dirs = table(spark, sf_dir, "customer").select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"))
+    entries = table(spark, sf_dir, "orders").select(F.concat_ws("/", F.lit("/c"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("path"))
+    return folders.empty_folders(dirs, entries, ["/c"])
+
+
+@query(f"WITH {_FILES}, bad AS (SELECT doc_id, path FROM files WHERE doc_id % 97 = 0) SELECT DISTINCT unnest(['/', '/' || split_part(path, '/', 2), '/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3), path]) AS path FROM bad")
+def poisoned_folders(spark, sf_dir):
+    return folders.poisoned(files(spark, sf_dir).where("doc_id % 97 = 0").select("path"))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicate_groups(files(spark, sf_dir))
+
+
+def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of documents labelled as of low quality."""
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
+    return files(spark, sf_dir).join(bad, "doc_id", "left_semi").select("path")
+
+
+_SELECTED = "chosen AS (SELECT path FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))"
+
+
+@query(f"WITH {_GROUPS}, hit AS (SELECT DISTINCT group_id FROM members WHERE regexp_replace(path, '/[^/]*$', '') LIKE '%src1%' AND regexp_replace(path, '/[^/]*$', '') NOT LIKE '%src10%' AND size >= 1024 AND size <= 8192) SELECT group_id, path, size FROM members WHERE group_id IN (SELECT group_id FROM hit)")
+def review_filter(spark, sf_dir):
+    condition = review.matches(folder="SRC1, -src10", bounds=review.size_bounds("1", 1, "8", 1))
+    return review.visible_groups(members(spark, sf_dir), condition).select("group_id", "path", "size")
+
+
+@query(f"WITH {_GROUPS}, g AS (SELECT group_id, sum(size) - max(size) AS e FROM members GROUP BY group_id) SELECT count(*) AS n_groups, coalesce(sum(e), 0)::BIGINT AS extra_bytes, FALSE AS any_unverified FROM g")
+def review_summary(spark, sf_dir):
+    return review.summary(exact.summarize(members(spark, sf_dir)))
+
+
+@query(f"WITH {_GROUPS}, {_SELECTED} SELECT group_id, count(*) AS n_files, count(c.path) AS n_selected, count(*) - count(c.path) AS n_remaining, count(*) = count(c.path) AS all_selected FROM members m LEFT JOIN chosen c USING (path) GROUP BY group_id")
+def selection_state(spark, sf_dir):
+    return review.selection_state(members(spark, sf_dir), selection(spark, sf_dir))
+
+
+@query(f"WITH {_GROUPS}, {_SELECTED} SELECT group_id, path FROM members WHERE group_id IN (SELECT group_id FROM members WHERE path IN (SELECT path FROM chosen))")
+def selected_groups(spark, sf_dir):
+    return review.selected_groups(members(spark, sf_dir), selection(spark, sf_dir)).select("group_id", "path")
+
+
+@query(f"WITH {_GROUPS}, {_SELECTED}, s AS (SELECT * FROM members WHERE path IN (SELECT path FROM chosen)) SELECT count(*) AS n_selected, coalesce(sum(size), 0)::BIGINT AS bytes, count(DISTINCT group_id) AS n_groups, count(*) FILTER (size < 1024) AS n_hidden FROM s")
+def selection_summary(spark, sf_dir):
+    m = members(spark, sf_dir)
+    return review.selection_summary(m, selection(spark, sf_dir), m.where("size >= 1024"))
+
+
+@query(f"WITH {_GROUPS}, {_SELECTED}, n AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY path IN (SELECT path FROM chosen), path) AS k FROM members) SELECT group_id, path FROM n WHERE k > 1")
+def keep_one(spark, sf_dir):
+    m = members(spark, sf_dir).join(selection(spark, sf_dir).withColumn("selected", F.lit(True)), "path", "left")
+    return cleanup.keep_one(m).select("group_id", "path")
+
+
+@query("WITH m AS (SELECT conv_id, conv_id // 2 AS group_id FROM conversations GROUP BY ALL), n AS (SELECT group_id, count(*) AS n FROM m GROUP BY ALL), s AS (SELECT conv_id // 2 AS group_id, ':' || role || turn || ':$DATA' AS name, strlen(text) AS size, sha256(text) AS h FROM conversations) SELECT group_id, name FROM s JOIN n USING (group_id) GROUP BY group_id, name, n HAVING count(DISTINCT (size, h)) > 1 OR count(*) < n")
+def differing_streams(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    name = F.concat(F.lit(":"), "role", F.col("turn").cast("string"), F.lit(":$DATA"))
+    rows = c.select("conv_id", F.struct(name.alias("name"), F.octet_length("text").cast("long").alias("size")).alias("s"), F.struct(name.alias("name"), F.sha2("text", 256).alias("sha256")).alias("h"))
+    held = rows.groupBy("conv_id").agg(F.collect_list("s").alias("streams"), F.collect_list("h").alias("stream_hashes"))
+    m = held.select(F.floor(F.col("conv_id") / 2).cast("long").alias("group_id"), F.col("conv_id").cast("string").alias("path"), "streams", "stream_hashes")
+    return exact.differing_streams(m)
+
+
+@query(f"WITH {_GROUPS} SELECT group_id, path, size, sha256(text) AS digest FROM members")
+def incremental_scan(spark, sf_dir):
+    f = files(spark, sf_dir)
+    return incremental_groups(f.where("doc_id % 2 = 0"), f.where("doc_id % 2 = 1"), Criteria())
+
+
+@query(f"WITH {_GROUPS}, l AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS n FROM members WHERE path NOT LIKE '/src3/%') SELECT group_id, path FROM l WHERE n > 1")
+def removed_folder(spark, sf_dir):
+    gone = spark.createDataFrame([("/src3",)], "path string")
+    return cleanup.prune_groups(members(spark, sf_dir), gone).select("group_id", "path")
+
+
+@query(
+    f"WITH {_GROUPS}, {_SELECTED}, m AS (SELECT *, path IN (SELECT path FROM chosen) AS sel, doc_id % 7 <> 0 AS cur FROM members), r AS (SELECT group_id, coalesce(min(path) FILTER (NOT sel), max(path) FILTER (sel)) AS ref, bool_and(sel) AS every_one FROM m GROUP BY group_id), "
+    "j AS (SELECT m.path, m.group_id, m.cur, r.ref, r.every_one, p.cur AS ref_cur FROM m JOIN r USING (group_id) JOIN m p ON p.path = r.ref WHERE m.sel), "
+    "k AS (SELECT *, CASE WHEN path = ref THEN NULL WHEN NOT ref_cur AND every_one THEN 'comparison copy can''t be verified' WHEN NOT ref_cur THEN 'remaining copy can''t be verified' WHEN NOT cur THEN 'changed since the scan' END AS why FROM j), v AS (SELECT group_id, bool_or(path <> ref AND why IS NULL) AS ok FROM k GROUP BY group_id), "
+    "f AS (SELECT path, group_id, CASE WHEN path = ref THEN 'reference' ELSE 'copy' END AS role, CASE WHEN path = ref AND NOT ref_cur THEN 'comparison copy can''t be verified' WHEN path = ref AND NOT ok THEN 'no matching copy could be verified' ELSE why END AS reason FROM k JOIN v USING (group_id)) SELECT path, group_id, role, CASE WHEN reason IS NULL THEN 'remove' ELSE 'keep' END AS verdict, reason FROM f"
+)
+def cleanup_plan(spark, sf_dir):
+    m = members(spark, sf_dir).withColumn("is_current", F.col("doc_id") % 7 != 0).withColumn("contents_verified", F.lit(True)).withColumn("stream_map", F.create_map().cast("map<string,string>"))
+    return cleanup.duplicate_plan(m, selection(spark, sf_dir))
+
+
+@query(f"WITH {_FILES} SELECT path, CASE WHEN path LIKE '/src1/en/%' THEN '/src1/en' WHEN path LIKE '/src1/%' THEN '/src1' ELSE '/src2' END AS root FROM files WHERE (path LIKE '/src1/%' OR path LIKE '/src2/%') AND path NOT LIKE '/src2/fr/%'")
+def scoped_files(spark, sf_dir):
+    rows = scope.without_excluded(files(spark, sf_dir).select("path"), ["/src2/fr"])
+    return scope.with_root(rows, ["/src1", "/src1/en", "/src2"])
+
+
+@query("WITH p AS (SELECT p_partkey, (p_partkey * 1031) % 8388608 AS a, CASE p_partkey % 3 WHEN 0 THEN 2684354572 WHEN 1 THEN 2415923226 ELSE 7 END::BIGINT AS t FROM part) SELECT p_partkey, CASE WHEN (a & 1024) <> 0 AND (t & 536870912) <> 0 THEN 'link' WHEN (a & 1024) <> 0 AND (t & 4294905855) <> 2415919130 THEN 'unsupported reparse point' WHEN (a & 1024) <> 0 THEN 'cloud entry' WHEN (a & 4460544) <> 0 THEN 'not available locally' END AS reason FROM p")
+def rejected_entries(spark, sf_dir):
+    k = F.col("p_partkey")
+    tag = F.when(k % 3 == 0, F.lit(0xA000000C)).when(k % 3 == 1, F.lit(0x9000101A)).otherwise(F.lit(7)).cast("long")
+    return table(spark, sf_dir, "part").select("p_partkey", paths.rejection((k * 1031) % 8388608, tag).alias("reason"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars * 37 < 1024 THEN format('{:,}', n_chars * 37) || ' B' WHEN n_chars * 37 < 1048576 THEN format('{:,.2f}', n_chars * 37 / 1024.0::DOUBLE) || ' KiB' ELSE format('{:,.2f}', n_chars * 37 / 1048576.0::DOUBLE) || ' MiB' END AS shown, format('{:02d}:{:02d}:{:02d}.{:03d}', (n_chars * 137) // 3600000, ((n_chars * 137) // 60000) % 60, ((n_chars * 137) // 1000) % 60, (n_chars * 137) % 1000) AS clock FROM documents")
+def labels_of_sizes(spark, sf_dir):
+    n = F.col("n_chars")
+    return table(spark, sf_dir, "documents").select("doc_id", paths.format_bytes(n * 37).alias("shown"), paths.clock(n * 137 / 1000.0).alias("clock"))
+
+
+@query()
+def sample_digests(spark, sf_dir):
+    return files(spark, sf_dir).select("path", fingerprints.sample_digest(F.col("content"), 64).alias("sample"), fingerprints.digest(F.col("content")).alias("digest"))
+
+
+@query()
+def perceptual_hashes(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    grey = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.pmod(F.floor(F.get("embedding", i % 64) * (i + 1) * 37), F.lit(256)).cast("int"))
+    return e.select("vec_id", fingerprints.perceptual_hash(grey).alias("signature"))
+
+
+@query("SELECT vec_id, list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i::INTEGER ELSE 0 END))::BIGINT AS signature FROM embeddings")
+def sign_signatures(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", fingerprints.sign_bits(F.col("embedding")).alias("signature"))
