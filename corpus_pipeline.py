@@ -34,7 +34,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def of(ids: DataFrame) -> DataFrame:
         held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        rows = docs.select(F.struct("*").alias("_d"), F.col("doc_id").cast("long").alias("_own"))
+        return rows.join(held, F.col("_own").eqNullSafe(F.col("_id")), "left_semi").select("_d.*")
 
     out = of(kept.where("count = 1"))
     repeated = kept.where("count > 1")
@@ -42,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    weighed = with_quality(docs.select("doc_id", "source", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    weighed = with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return mixing.take(docs, mixing.mix(weighed, F.col("_weight"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0))
 
 

@@ -137,9 +137,10 @@ def drop_common_lines(documents: DataFrame, min_docs: int = 10, min_chars: int =
         .agg(F.collect_set("hash").alias("_dropped"))
         .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_dropped")
     )
-    keyed = documents.withColumn("_text", F.col("text").cast("string"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_digest"))
+    # the documents' columns travel in a struct, where their names can't meet these
+    keyed = documents.select(F.struct("*").alias("_d"), F.col("doc_id").cast("long").alias("_own"), F.col("text").cast("string").alias("_text"))
+    on = F.col("_own").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_digest"))
     joined = keyed.join(dropped.hint("shuffle_hash"), on, "left")
-    out = joined.withColumn("_out", _without(F.col("_text").cast("binary"), F.col("_dropped")))
-    columns = [F.col("_out.text").alias("text") if c == "text" else F.col(c) for c in documents.columns]
+    out = joined.select("_d", _without(F.col("_text").cast("binary"), F.col("_dropped")).alias("_out"))
+    columns = [F.col("_out.text").alias("text") if c == "text" else F.col(f"_d.`{c}`") for c in documents.columns if c not in ("_n_lines", "_n_dropped")]
     return out.select(*columns, F.col("_out.n_lines").alias("_n_lines"), F.col("_out.n_dropped").alias("_n_dropped"))

@@ -112,10 +112,12 @@ def take(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     Documents are matched by id; rows that share an id share the number of copies of the first of them.
     """
     taken = mixed.groupBy("doc_id").agg(F.max(F.struct("taken", "size")).alias("t")).select(F.col("doc_id").alias("_id"), F.col("t.taken").alias("_taken"), F.col("t.size").alias("_size"))
-    joined = documents.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_taken > 0")
+    # the documents' columns travel in a struct, where their names can't meet these
+    held = documents.select(F.struct("*").alias("_d"), F.col("doc_id").cast("long").alias("_own"))
+    joined = held.join(taken, F.col("_own").eqNullSafe(F.col("_id"))).where("_taken > 0")
     whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     cut = (F.col("_taken") % F.col("_size")).cast("int")
-    copies = joined.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))))
-    parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a word with the white space before it
-    text = F.when(F.col("_cut") == 0, F.col("text")).otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.col("_cut"), F.lit(1))), ""))
-    return copies.withColumn("text", text).select(*documents.columns)
+    copies = joined.select("_d", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))).alias("_cut"))
+    parts = F.split("_d.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a word with the white space before it
+    text = F.when(F.col("_cut") == 0, F.col("_d.text")).otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.col("_cut"), F.lit(1))), ""))
+    return copies.select(*[text.alias("text") if c == "text" else F.col(f"_d.`{c}`") for c in documents.columns])

@@ -29,14 +29,14 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` with _weight: 2 where labelled good, 0.5 where labelled bad, else 1."""
+    """doc_id, source, text and _weight: 2 where labelled good, 0.5 where labelled bad, else 1."""
     of = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
     weight = F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)
-    return documents.join(of, F.col("doc_id") == F.col("_id"), "left").withColumn("_weight", weight).select(*[documents[c] for c in documents.columns], "_weight")
+    return documents.select("doc_id", "source", "text").join(of, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "source", "text", weight.alias("_weight"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = with_quality(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), _table(spark, sf_dir, "labels"))
+    documents = with_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return mixing.mix(documents, F.col("_weight"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
 
 
