@@ -55,3 +55,18 @@ def references(edges: DataFrame) -> DataFrame:
         left = still
         if new.isEmpty() and left.isEmpty():
             return refs
+
+
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``row``, its place from 1 in the given order; only a count per partition goes to the driver."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    counts = {r[0]: r[1] for r in held.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}
+    offsets, total = [], 1
+    for p in sorted(counts):
+        offsets.append((p, total))
+        total += counts[p]
+    table = spark.createDataFrame(offsets, "_p long, _offset long")
+    out = held.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(table), "_p")  # a row per partition
+    return out.withColumn("row", F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_at", "_offset")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions import paths
+from twinsift.operators.graph import numbered
 
 
 def parse_terms(value: str, *, path: bool = False) -> list[tuple[str, bool]]:
@@ -94,7 +95,7 @@ def selected_groups(members: DataFrame, selection: DataFrame) -> DataFrame:
 
 def numbered_groups(groups: DataFrame) -> DataFrame:
     """``groups`` with group_no from 1, by recoverable bytes, then id."""
-    return groups.withColumn("group_no", F.row_number().over(Window.orderBy(F.desc("extra_bytes"), "group_id")))
+    return numbered(groups, F.desc("extra_bytes"), F.col("group_id")).withColumnRenamed("row", "group_no")
 
 
 def summary(groups: DataFrame) -> DataFrame:

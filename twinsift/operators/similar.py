@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinsift.functions.fingerprints import hamming
 from twinsift.functions.paths import casefold
-from twinsift.operators.graph import references
+from twinsift.operators.graph import cut, references
 
 # Radii of images; radius, slots required and duration tolerance of videos; the aspect limit.
 IMAGE_RADII = {"Strict": 4, "Balanced": 8, "Broad": 12}
@@ -50,11 +50,11 @@ def image_groups(images: DataFrame, radius: int) -> DataFrame:
     rows = images.where(F.col("signature").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0))
     place = F.struct((-F.col("width").cast("long") * F.col("height")).alias("area"), casefold(F.col("path")).alias("key"), F.col("path").alias("path"))
     rows = rows.select("path", "signature", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), place.alias("place"))
-    nodes = rows.groupBy("signature", "width", "height").agg(F.min("place").alias("first"))
+    nodes = cut(rows.groupBy("signature", "width", "height").agg(F.min("place").alias("first")))
     near = hamming_pairs(nodes, nodes, radius)
     left = nodes.select(F.col("signature").alias("a"), F.col("first").alias("later"), F.col("width").alias("w1"), F.col("height").alias("h1"))
     right = nodes.select(F.col("signature").alias("b"), F.col("first").alias("earlier"), F.col("width").alias("w2"), F.col("height").alias("h2"))
-    links = near.join(left, "a").join(right, "b").where(same_aspect(F.col("w1"), F.col("h1"), F.col("w2"), F.col("h2")))
+    links = cut(near.join(left, "a").join(right, "b").where(same_aspect(F.col("w1"), F.col("h1"), F.col("w2"), F.col("h2"))))
     edges = links.where("earlier < later").select("later", "earlier")
     chosen = references(edges)
     alone = nodes.select(F.col("first").alias("id")).join(edges.select(F.explode(F.array("later", "earlier")).alias("id")), "id", "left_anti")
@@ -95,24 +95,32 @@ def video_groups(videos: DataFrame, preset: str) -> DataFrame:
     """
     radius, required, tolerance = VIDEO_PRESETS[preset]
     place = F.struct((-F.col("width").cast("long") * F.col("height")).alias("area"), F.col("path").alias("path"))
-    rows = videos.select(place.alias("place"), "path", "width", "height", "duration", "signatures")
-    frames = rows.select("path", F.posexplode("signatures").alias("k", "signature")).where("signature is not null")
-    frames = frames.select("path", "signature", F.shiftright("k", 1).alias("slot")).distinct()
+    rows = videos.select(place.alias("place"), "width", "height", "duration", "signatures")
+    # equal videos are one node; only the first of them can be a reference
+    what = ["width", "height", "duration", "signatures"]
+    nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("node")))
+    frames = nodes.select("node", F.posexplode("signatures").alias("k", "signature")).where("signature is not null")
+    frames = frames.select("node", "signature", F.shiftright("k", 1).alias("slot")).distinct()
     near = hamming_pairs(frames, frames, radius, within=("slot",)).select("a", "b", "slot")
-    holds = lambda s, p: frames.select("slot", F.col("signature").alias(s), F.col("path").alias(p))
-    pairs = near.join(holds("a", "p"), ["slot", "a"]).join(holds("b", "q"), ["slot", "b"]).where("p <> q")
+    holds = lambda s, n: frames.select("slot", F.col("signature").alias(s), F.col("node").alias(n))
+    pairs = near.join(holds("a", "later"), ["slot", "a"]).join(holds("b", "earlier"), ["slot", "b"]).where("earlier <= later")
     # a match has the required number of slots, so fewer near slots than that rule a pair out
-    pairs = pairs.groupBy("p", "q").agg(F.count_distinct("slot").alias("slots")).where(F.col("slots") >= required).select("p", "q")
-    side = lambda n, p: rows.select(*[F.col(c).alias(f"{c}{n}") for c in rows.columns if c != "path"], F.col("path").alias(p))
-    both = pairs.join(side(1, "p"), "p").join(side(2, "q"), "q").where("place2 < place1")
+    pairs = pairs.groupBy("later", "earlier").agg(F.count_distinct("slot").alias("slots")).where(F.col("slots") >= required).drop("slots")
+    side = lambda n, k: nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}{k}") for c in what])
+    both = pairs.join(side("later", 1), "later").join(side("earlier", 2), "earlier")
     limit = F.greatest(F.lit(0.25), F.least(F.lit(5.0), F.least("duration1", "duration2") * tolerance))
     both = both.where((F.abs(F.col("duration1") - F.col("duration2")) <= limit) & same_aspect(F.col("width2"), F.col("height2"), F.col("width1"), F.col("height1")))
     both = both.withColumn("e", slot_evidence(F.col("signatures2"), F.col("signatures1"), radius)).where((F.col("e.matched") >= required) & (F.col("e.thirds") >= 2))
-    edges = both.select(F.col("place1").alias("later"), F.col("place2").alias("earlier"), "e")
-    refs = references(edges.select("later", "earlier"))
-    best = edges.join(refs.withColumnRenamed("id", "earlier"), "earlier", "left_semi").groupBy("later").agg(F.min(F.struct(-F.col("e.matched"), F.col("e.total"), F.col("earlier"), F.col("e"))).alias("m"))
-    best = best.join(refs.withColumnRenamed("id", "later"), "later", "left_anti")
-    return best.select(F.col("m.earlier.path").alias("reference"), F.col("later.path").alias("path"), F.col("m.e.matched").alias("matched"), F.col("m.e.valid").alias("valid"), F.col("m.e.total").alias("total"))
+    links = cut(both.select("later", "earlier", "e"))
+    edges = links.where("earlier < later")
+    chosen = references(edges.select("later", "earlier"))
+    alone = nodes.select(F.col("node").alias("id")).join(edges.select(F.explode(F.array("later", "earlier")).alias("id")), "id", "left_anti")
+    refs = chosen.unionByName(alone)
+    to = links.join(refs.withColumnRenamed("id", "earlier"), "earlier", "left_semi").withColumnRenamed("later", "node")
+    found = rows.join(nodes, what).join(to, "node").where("earlier < place")
+    best = found.groupBy("place").agg(F.min(F.struct((-F.col("e.matched")).alias("m"), F.col("e.total"), F.col("earlier"), F.col("e"))).alias("m"))
+    best = best.join(refs.withColumnRenamed("id", "place"), "place", "left_anti")
+    return best.select(F.col("m.earlier.path").alias("reference"), F.col("place.path").alias("path"), F.col("m.e.matched").alias("matched"), F.col("m.e.valid").alias("valid"), F.col("m.e.total").alias("total"))
 
 
 def acceptable_video(width: Column, height: Column, duration: Column) -> Column:
