@@ -71,4 +71,36 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op3_top_k, op4_mixing, op5_substrings, op6_lm, op7_near_duplicates, op8_sharding, op9_lines, op10_rules)}
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_ROWS = "d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents)"
+_LINES = f"{_ROWS}, s AS (SELECT rid, doc_id, string_split(t, chr(10)) AS s FROM d), l AS (SELECT rid, doc_id, i, s[i + 1] AS line FROM s, unnest(range(len(s))) x(i))"
+
+#: SQL for the operators whose rows it can give.
+ORACLE_SQL: dict[str, str] = {
+    "op3_top_k": (
+        "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+        "p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20"
+    ),
+    "op7_near_duplicates": (
+        f"WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents), "
+        "g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w), "
+        "n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL), "
+        "e AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), "
+        "r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, x.b FROM r JOIN both_ways x ON x.a = r.b), m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a) "
+        "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"
+    ),
+    "op9_lines": (
+        f"WITH {_LINES}, k AS (SELECT *, {_LOWER.format(f'trim(line, {_SPACES})')} AS key FROM l), f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10), j AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON k.key = f.key) "
+        "SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY rid, doc_id"
+    ),
+    "op10_rules": (
+        f"WITH {_LINES}, u AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid), "
+        f"w AS (SELECT rid, doc_id, t, {_WORDS.format('t')} AS w FROM d), p AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) x(i) WHERE len(w) >= 6), "
+        "c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM p), h AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM c, range(5) y(o) WHERE n > 1 GROUP BY rid), "
+        "b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM w LEFT JOIN u USING (rid) LEFT JOIN h USING (rid)), "
+        "v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b) SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * n_symbols <= 30 * n_words AND word_chars BETWEEN 2 * n_words AND 24 * n_words AND 100 * n_dup_lines <= 50 * n_lines AS kept FROM v"
+    ),
+}
