@@ -19,8 +19,13 @@ COPY_SUFFIX = r"[\s_-]+Copy(?:\s*\(\d+\))?$"
 
 
 def casefold(text: Column) -> Column:
-    """Caseless form, JVM-side: through upper case, so that ß meets SS; final sigma and dotless i are kept apart."""
-    return F.translate(F.lower(F.upper(F.translate(text, "ı", ""))), "ς", "σı")
+    """Caseless form, JVM-side: through upper case, so that ß meets SS; final sigma and dotless i are kept apart.
+
+    A private character stands in for dotless i, and sits between the conversions lest they be taken for one.
+    """
+    held = "\ue000"
+    upper = F.translate(F.upper(F.translate(text, "ı", held)), held, held)
+    return F.translate(F.lower(upper), f"ς{held}", "σı")
 
 
 def text_key(text: Column, case_sensitive: bool = False) -> Column:
