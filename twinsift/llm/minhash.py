@@ -4,7 +4,7 @@ A text's set holds 64-bit hashes of its five-word shingles. One pass over the se
 hash of each; an empty bin borrows from a bin that a hash of its number and the attempt names, until that one is
 filled (optimal densification). Equal runs of four bins meet in a bucket. A bucket of m sets gives m - 1 candidate
 pairs, all with its first member; links are confirmed on the full sets. Members that the confirmed links leave in
-different components meet again in later rounds under other centres, drawn by hash, until a round links nothing.
+different components meet again in later rounds under a few other centres, drawn by hash, until a round links nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ SHINGLE = 5
 MARGIN = 0.25
 #: Up to so many ids are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Centres that a bucket has in a later round at most, each from another component.
+CENTRES = 16
 #: Rounds run at least, even if one of them links nothing.
 ROUNDS = 3
 MEMO_WORDS = 1_000_000
@@ -136,12 +138,12 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = scratch.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = scratch.write(small.where("u <> v").distinct())
-        scratch.drop(edges, least, large, low)
+        scratch.drop(edges)
         edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -183,25 +185,32 @@ def near_duplicates(documents: DataFrame, percent: int = 80, scratch: Scratch |
         union = F.size("set_a") + F.size("set_b") - common
         return near.join(full("b"), "b").join(full("a"), "a").where(100 * common >= percent * union).select("a", "b").distinct()
 
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """``labels`` (id, label) after further links: only the labels that these tie together are looked at."""
+        at = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
+        tied = links.join(at("a"), "a").join(at("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct()
+        to = components(scratch, tied).select(F.col("id").alias("label"), F.col("label").alias("_to"))
+        return scratch.write(labels.join(to, "label", "left").select("id", F.coalesce("_to", "label").alias("label")))
+
     tested = scratch.write(members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    links = scratch.write(linked(tested))
-    found = components(scratch, links)
+    found = joined(ids.select("id", F.col("id").alias("label")), scratch.write(linked(tested)))
     turn = 1
     while True:
         turn += 1
-        named = members.join(found, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        named = scratch.write(named)
-        mixed_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "label")).alias("c"))
-        mixed_keys = scratch.write(mixed_keys.where("x <> y").select("key", F.col("c.id").alias("c"), F.col("c.label").alias("c_label")))
-        pairs = named.join(mixed_keys, "key").where("label <> c_label").select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
+        named = scratch.write(members.join(found, "id").select("key", "id", "label"))
+        split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        drawn = named.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id")).alias("c"))
+        order = F.row_number().over(Window.partitionBy("key").orderBy("c"))
+        centres = drawn.join(split, "key", "left_semi").withColumn("_k", order).where(F.col("_k") <= min(2**turn, CENTRES))
+        centres = scratch.write(centres.select("key", F.col("c.id").alias("c"), F.col("label").alias("c_label")))
+        pairs = named.join(centres, "key").where("label <> c_label").select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
         pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"))
         n_pairs = pairs.count()
         new = scratch.write(linked(pairs)) if n_pairs else None
         n_new = new.count() if new is not None else 0
-        scratch.drop(named, mixed_keys)
+        scratch.drop(named, centres)
         if n_new:
-            links = scratch.write(links.unionByName(new))
-            found = components(scratch, links)
+            found = joined(found, new)
         if not n_pairs or turn >= ROUNDS and not n_new:
             break
         tested = scratch.write(tested.unionByName(pairs))
