@@ -262,3 +262,16 @@ def test_modes_fail_alone(spark):
     assert list(got.results) == ["folders"] and list(got.errors) == ["duplicates"]
     with pytest.raises(ValueError):
         run_modes(spark, ["nonsense"], {})
+
+
+def test_details_and_media(spark):
+    stream = [(":x:$DATA", 3)]
+    rows = [("g", "/a", 1, "d", None, stream, [(":x:$DATA", "1")]), ("g", "/b", 1, "d", None, [], [])]
+    m = spark.createDataFrame(rows, "group_id string, path string, size long, digest string, byte_verified boolean, streams array<struct<name:string,size:long>>, stream_hashes array<struct<name:string,sha256:string>>")
+    groups_ = exact.summarize(m)
+    assert groups_.first().status == "Metadata differs" and groups_.first().extra_bytes == 1
+    report = exact.details(groups_, m).first().report.split("\n")
+    assert report[0] == "Metadata differs" and report[2:] == ["/a", "  :x:$DATA: 3 bytes, differs or is missing in other copies", "/b", "  :x:$DATA: missing"]
+    f = spark.createDataFrame([("/a.JPG",), ("/b.mp4",), ("/c.txt",)], "path string")
+    assert similar.of_media(f).count() == 2 and similar.of_media(f, "Images").count() == 1
+    assert tuple(similar.media_counts(f, f.limit(1)).first()) == (1, 1, 1, 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.fingerprints import hamming
-from twinsift.functions.paths import casefold
+from twinsift.functions.paths import casefold, suffix
 from twinsift.operators.graph import cut, references
 
 # Radii of images; radius, slots required and duration tolerance of videos; the aspect limit.
@@ -139,3 +139,18 @@ def frame_times(duration: Column) -> Column:
     """24 sample times: twelve around 5 % to 95 % of the duration, an eighth of a second before and after each."""
     at = lambda k: F.greatest(F.lit(0.0), duration * (0.05 + 0.9 * k / 11) - 0.125)
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.array(at(k), F.least(duration, at(k) + 0.25))))
+
+
+def of_media(files: DataFrame, kind: str = "All") -> DataFrame:
+    """Files whose suffix is that of an image, a video, or either."""
+    suffixes = {"Images": IMAGE_SUFFIXES, "Videos": VIDEO_SUFFIXES, "All": IMAGE_SUFFIXES + VIDEO_SUFFIXES}
+    if kind not in suffixes:
+        raise ValueError("choose All, Images or Videos")
+    return files.where(casefold(suffix(F.col("path"))).isin(suffixes[kind]))
+
+
+def media_counts(files: DataFrame, compared: DataFrame) -> DataFrame:
+    """One row: images and videos found, how many were compared, and files of other kinds."""
+    ending = casefold(suffix(F.col("path")))
+    found = files.agg(F.count_if(ending.isin(IMAGE_SUFFIXES)).alias("n_images"), F.count_if(ending.isin(VIDEO_SUFFIXES)).alias("n_videos"), F.count_if(~ending.isin(IMAGE_SUFFIXES + VIDEO_SUFFIXES)).alias("n_ignored"))
+    return found.crossJoin(compared.agg(F.count("*").alias("n_compared")))  # one row each
