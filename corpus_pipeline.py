@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm import bpe, lines, minhash, mixing, rules
-from twinsift.llm.queries import tokenizer_spec, with_quality
+from twinsift.llm.queries import quality_weights, tokenizer_spec
 from twinsift.llm.scratch import Scratch
 
 #: Up to so many ids are broadcast to the documents; more are joined by a shuffle.
@@ -43,8 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    weighed = with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.take(docs, mixing.mix(weighed, F.col("_weight"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0))
+    weights = quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.take(docs, mixing.mix(docs, weights, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,10 +20,10 @@ BIN_ROWS = 256
 BROADCAST_SOURCES = 50_000
 
 
-def exponential_key(weight: Column, seed: int) -> Column:
-    """-ln(u) / weight; u depends on the row's id, text and the seed alone, so reruns agree."""
+def exponential(seed: int) -> Column:
+    """-ln(u); u depends on the row's id, text and the seed alone, so reruns agree."""
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.log(u) / weight
+    return -F.log(u)
 
 
 def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, int]:
@@ -50,26 +50,24 @@ def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[float, ...], shar
     return ranked.withColumn("target", F.least("limit", F.lit(level) * F.col("weight"))).drop("weight", "limit"), n
 
 
-def mix(documents: DataFrame, weight: Column | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
+def mix(documents: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, key.
 
-    ``taken`` counts the words that the mix takes of it, repeats included. ``weight`` is a positive column of
-    document quality (default: all equal); key bins are even where weights stay within a few powers of two. Null
-    texts have size 0 and nothing is taken of them; null sources are one source, the last; null weights count as 1.
-    Repeated rows are documents of their own. An empty table gives no rows.
+    ``taken`` counts the words that the mix takes of it, repeats included. ``quality`` (doc_id, weight; each id once)
+    gives positive weights; ids that it lacks, and all without it, weigh 1. Key bins are even where weights stay within
+    a few powers of two. Texts are reduced to their sizes before weights are joined, so no text is moved. Null texts
+    have size 0 and nothing is taken of them; null sources are one source, the last. Repeated rows are documents of
+    their own. An empty table gives no rows.
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark)
-    weight = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1.0))
-    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), weight.alias("quality"))
-    rows = scratch.write(
-        narrow.select(
-            "doc_id",
-            "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            exponential_key(F.col("quality"), seed).alias("key"),
-        )
-    )
+    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    rows = narrow.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), exponential(seed).alias("drawn"))
+    weight = F.lit(1.0)
+    if quality is not None:
+        rows = rows.join(quality.select(F.col("doc_id").alias("_id"), F.col("weight").cast("double").alias("_weight")), F.col("doc_id") == F.col("_id"), "left")
+        weight = F.coalesce("_weight", F.lit(1.0))
+    rows = scratch.write(rows.select("doc_id", "source", "size", (F.col("drawn") / weight).alias("key")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     aims, n_sources = targets(scratch, sizes, weights, share, most)
     budget = F.round("target").cast("long")

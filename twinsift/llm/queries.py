@@ -28,16 +28,15 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
 
-def with_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, source, text and _weight: 2 where labelled good, 0.5 where labelled bad, else 1."""
-    of = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
-    weight = F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)
-    return documents.select("doc_id", "source", "text").join(of, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "source", "text", weight.alias("_weight"))
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """doc_id, weight: 2 where labelled good, 0.5 where labelled bad."""
+    of = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return of.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = with_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return mixing.mix(documents, F.col("_weight"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
+    weights = quality_weights(_table(spark, sf_dir, "labels"))
+    return mixing.mix(_table(spark, sf_dir, "documents"), weights, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
