@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import bpe, lines, lm, minhash, mixing, rules, search, sharding, substrings
+from twinsift.llm import bpe, chat, lines, lm, minhash, mixing, rules, search, sharding, substrings
 from twinsift.llm.scratch import Scratch
 
 
@@ -24,6 +24,32 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_table(spark, sf_dir, "documents"), tokenizer_spec())
 
 
+#: Tools of op2: their arguments with type and whether they are required.
+TOOLS = {"ask": {"query": ("string", True), "words": ("integer", True)}, "note": {"query": ("string", True), "words": ("integer", False), "brief": ("boolean", False)}}
+
+
+def chat_messages(turns: DataFrame) -> DataFrame:
+    """Turns of users as calls and those of assistants as results of the turn before; the rest are messages.
+
+    The table holds prose only, so identifiers, tools and arguments are derived from columns: a text of several
+    lines gives its number of words as text, a fault wherever the tool asks for an integer, and every other pair of
+    turns needs the call two turns on.
+    """
+    user, several = F.col("role") == "user", F.instr("text", "\n") > 0
+    words = F.size(F.split("text", " "))
+    head = F.concat(F.lit('{ "words" : '), F.when(several, F.concat(F.lit('"'), words, F.lit('"'))).otherwise(words.cast("string")))
+    arguments = F.concat(head, F.lit(","), F.substr(F.to_json(F.struct(F.col("text").alias("query"))), F.lit(2)))
+    kind = F.when(user, "call").when(F.col("role") == "assistant", "result").otherwise("message")
+    name = F.when(F.length("text") < 200, "note").otherwise("ask")
+    at = F.when(user, F.col("turn")).when(kind == "result", F.col("turn") - 1)
+    needs = F.when(user & (F.col("turn").bitwiseAND(2) == 0), F.array((F.col("turn") + 2).cast("string")))
+    return turns.select("conv_id", "turn", "role", "text", kind.alias("kind"), at.cast("string").alias("call_id"), F.when(user, name).alias("name"), F.when(user, arguments).alias("arguments"), needs.alias("after"))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(chat_messages(_table(spark, sf_dir, "conversations")), TOOLS)
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
@@ -68,7 +94,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_top_k, op4_mixing, op5_substrings, op6_lm, op7_near_duplicates, op8_sharding, op9_lines, op10_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_top_k, op4_mixing, op5_substrings, op6_lm, op7_near_duplicates, op8_sharding, op9_lines, op10_rules)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
