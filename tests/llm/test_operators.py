@@ -233,6 +233,16 @@ def test_chains_are_one_component(spark):
     assert rows(minhash.near_duplicates(df, percent=85)) == Counter(brute.near(texts, 85))
 
 
+def test_pairs_hidden_among_texts_with_one_template(spark):
+    """2,200 texts share a passage and stay below the threshold; 350 pairs among them are linked."""
+    template = " ".join(f"t{k}" for k in range(160))
+    tail = lambda k: [f"u{k}-{j}" for j in range(20)]
+    texts = [(k, " ".join([template, *tail(k)])) for k in range(1850)]
+    texts += [(10_000 + k, " ".join([template, *tail(k)[:6], *(f"v{k}-{j}" for j in range(14))])) for k in range(350)]
+    got = rows(minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), percent=85))
+    assert got == Counter((i, 176, i % 10_000, i < 10_000) for i, _ in texts)
+
+
 def test_densified_signatures_agree_as_often_as_sets():
     rng = np.random.default_rng(5)
     agree = []

@@ -5,6 +5,8 @@ hash of each; an empty bin borrows from a bin that a hash of its number and the
 filled (optimal densification). Equal runs of four bins meet in a bucket. A bucket of m sets gives m - 1 candidate
 pairs, all with its first member; links are confirmed on the full sets. Members that the confirmed links leave in
 different components meet again in later rounds under a few other centres, drawn by hash, until a round links nothing.
+What buckets then still hold apart is joined exactly, over the rarest shingles of the full sets: two sets that are
+similar enough share one of them (prefix filter), whereas a passage that many texts share brings no two together.
 """
 
 from __future__ import annotations
@@ -171,7 +173,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, scratch: Scratch |
     members = scratch.write(banded.join(shared, "key"))
     ids = scratch.write(members.select("id").distinct())
     held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = scratch.write(texts.withColumnRenamed("doc_id", "id").join(held, "id", "left_semi").mapInArrow(_set_rows, "id long, shingles array<long>").dropDuplicates(["id", "shingles"]))
+    sets = scratch.write(texts.withColumnRenamed("doc_id", "id").join(held, "id", "left_semi").mapInArrow(_set_rows, "id long, shingles array<long>").dropDuplicates(["id", "shingles"]).withColumn("h", F.xxhash64("shingles")))
     facts = firsts.select("id", "n", "sig")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -192,6 +194,26 @@ def near_duplicates(documents: DataFrame, percent: int = 80, scratch: Scratch |
         to = components(scratch, tied).select(F.col("id").alias("label"), F.col("label").alias("_to"))
         return scratch.write(labels.join(to, "label", "left").select("id", F.coalesce("_to", "label").alias("label")))
 
+    def rare_pairs(apart: DataFrame) -> DataFrame:
+        """All pairs (a, b) of different labels in ``apart`` (id, label) whose sets may be similar enough.
+
+        Shingles are ordered by the number of these sets that hold them. Similar sets share one among the first
+        n - ceil(n * percent / 100) + 1 of each; the first that they share leaves room for the overlap needed.
+        """
+        each = sets.join(apart, "id").select("id", "label", "h", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+        often = scratch.write(each.groupBy("g").agg(F.count("*").alias("often")))
+        ranked = each.join(often, "g").groupBy("id", "label", "h", "n").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("all"))
+        least = F.floor((percent * F.col("n") + 99) / 100).cast("int")
+        firsts_of = ranked.select("id", "label", "n", F.posexplode(F.slice("all", 1, F.col("n") - least + 1)).alias("at", "t")).where("t.often > 1")
+        rare = scratch.write(firsts_of.select("id", "label", "n", "at", F.col("t.g").alias("g")))
+        mixed_up = rare.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
+        rare = scratch.write(rare.join(mixed_up, "g", "left_semi"))
+        side = lambda x: rare.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "n", "at")])
+        room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+        may = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        may = may & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
+        return side("a").join(side("b"), "g").where(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
     tested = scratch.write(members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
     found = joined(ids.select("id", F.col("id").alias("label")), scratch.write(linked(tested)))
     turn = 1
@@ -214,6 +236,12 @@ def near_duplicates(documents: DataFrame, percent: int = 80, scratch: Scratch |
         if not n_pairs or turn >= ROUNDS and not n_new:
             break
         tested = scratch.write(tested.unionByName(pairs))
+    named = members.join(found, "id").select("key", "id", "label")
+    split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    apart = scratch.write(named.join(split, "key", "left_semi").select("id", "label").distinct())
+    if not apart.isEmpty():
+        pairs = scratch.write(rare_pairs(apart).join(tested.unionByName(pairs), ["a", "b"], "left_anti"))
+        found = joined(found, scratch.write(linked(pairs)))
     label = F.coalesce("label", "rep", "doc_id")
     out = rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     null_again = lambda c: F.when(c != NULL_ID, c)
