@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from twinsift.llm import bpe, lines, minhash, mixing, rules
 from twinsift.llm.queries import quality_weights, tokenizer_spec
-from twinsift.llm.scratch import Scratch
+from twinsift.llm.scratch import NULL_ID, Scratch
 
 #: Up to so many ids are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -29,17 +29,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that share an id one stays."""
-    kept = Scratch(spark).write(minhash.near_duplicates(docs, percent=80).where("kept").groupBy(F.col("doc_id").alias("_id")).count())
-
-    def of(ids: DataFrame) -> DataFrame:
-        held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        rows = docs.select(F.struct("*").alias("_d"), F.col("doc_id").cast("long").alias("_own"))
-        return rows.join(held, F.col("_own").eqNullSafe(F.col("_id")), "left_semi").select("_d.*")
-
-    out = of(kept.where("count = 1"))
-    repeated = kept.where("count > 1")
-    return out if repeated.isEmpty() else out.unionByName(of(repeated).dropDuplicates(["doc_id"]))
+    """Rows are told apart by a key of their own; of each group of near copies the row with the least id stays."""
+    scratch = Scratch(spark)
+    keyed = scratch.write(docs.select(F.struct("*").alias("_d"), F.monotonically_increasing_id().alias("_own")))
+    groups = minhash.near_duplicates(keyed.select(F.col("_own").alias("doc_id"), "_d.text"), percent=80)
+    ids = keyed.select("_own", F.coalesce(F.col("_d.doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"))
+    of = groups.join(ids, F.col("doc_id") == F.col("_own")).groupBy("component_id")
+    kept = scratch.write(of.agg(F.min(F.struct("_id", "_own")).alias("k")).select("k._own"))
+    held = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
+    return keyed.join(held, "_own", "left_semi").select("_d.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

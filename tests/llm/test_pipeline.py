@@ -42,3 +42,11 @@ def test_run_on_an_odd_table(spark, sf_dir, odd, tmp_path):
     spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"file://{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert got.count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_dedup_keeps_rows_that_share_an_id(spark):
+    """Only a row whose own text is a near copy of a kept row's goes, whatever its id."""
+    text = lambda k: " ".join(f"w{k}-{j}" for j in range(30))
+    rows = [(None, text(0)), (None, text(1)), (5, text(2)), (5, text(3)), (6, text(3)), (None, text(2)), (7, ""), (7, None), (None, text(1))]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert Counter(tuple(r) for r in got.collect()) == Counter([*rows[:4], rows[6], rows[7]])
