@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from tests.llm import brute
 from twinsift.llm import bpe, lines, lm, minhash, mixing, queries, rules, search, sharding, substrings
+from twinsift.llm.scratch import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -243,6 +244,30 @@ def test_pairs_hidden_among_texts_with_one_template(spark):
     assert got == Counter((i, 176, i % 10_000, i < 10_000) for i, _ in texts)
 
 
+def test_prefix_pairs_are_whole_and_few(spark):
+    """Every pair of different labels that is similar enough is found; near copies that are not stay few."""
+    rng, base, sets = random.Random(3), list(range(1, 151)), []
+    for k in range(500):
+        s = set(base)
+        for e in range(rng.choice([1, 2, 3, 5, 8])):
+            at = rng.randrange(145)
+            s = s - set(base[at : at + 5]) | {1000 * (k + 1) + 10 * e + j for j in range(5)}
+        sets.append((k, sorted(s)))
+    apart = [(k, k if k % 5 else 0) for k, _ in sets]
+    label = dict(apart)
+    want = set()
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            common = len(set(x) & set(y))
+            if label[a] != label[b] and 100 * common >= 85 * (len(x) + len(y) - common):
+                want.add((b, a))
+    frames = spark.createDataFrame(sets, "id long, shingles array<long>").withColumn("h", F.xxhash64("shingles")), spark.createDataFrame(apart, "id long, label long")
+    got = {tuple(r) for r in minhash.prefix_pairs(Scratch(spark), *frames, 85).collect()}
+    assert want and want <= got and len(got) < 500 * 499 / 2 / 2
+    alone = frames[1].withColumn("label", F.lit(7).cast("long"))
+    assert minhash.prefix_pairs(Scratch(spark), frames[0], alone, 85).count() == 0
+
+
 def test_densified_signatures_agree_as_often_as_sets():
     rng = np.random.default_rng(5)
     agree = []

@@ -3,10 +3,13 @@
 A text's set holds 64-bit hashes of its five-word shingles. One pass over the set fills 128 bins with the least
 hash of each; an empty bin borrows from a bin that a hash of its number and the attempt names, until that one is
 filled (optimal densification). Equal runs of four bins meet in a bucket. A bucket of m sets gives m - 1 candidate
-pairs, all with its first member; links are confirmed on the full sets. Members that the confirmed links leave in
-different components meet again in later rounds under a few other centres, drawn by hash, until a round links nothing.
+pairs, all with its centre: the member that meets most others over all of its buckets, so that the many buckets of one
+group agree on a centre and its pairs grow with the group and not with its square. Links are confirmed on the full
+sets. Members that no centre reached give their bucket a further star as long as stars join much.
+
 What buckets then still hold apart is joined exactly, over the rarest shingles of the full sets: two sets that are
-similar enough share one of them (prefix filter), whereas a passage that many texts share brings no two together.
+similar enough share one of them early on (prefix and position filter), whereas a passage that many texts share
+brings no two together. No pair is left out by a cap, a count of rounds or an estimate.
 """
 
 from __future__ import annotations
@@ -14,23 +17,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinsift.llm.scratch import NULL_ID, Scratch
 
 BINS, BANDS = 128, 32
 SHINGLE = 5
-#: A pair whose bins agree this much less than the similarity asked for is no candidate: eight standard deviations.
-MARGIN = 0.25
 #: Up to so many ids are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Centres that a bucket has in a later round at most, each from another component.
-CENTRES = 16
-#: Rounds run at least, even if one of them links nothing.
-ROUNDS = 3
-MEMO_WORDS = 1_000_000
+#: Another star follows while the last one joined at least one in so many of the labels that were apart.
+WORTH = 50
+#: Words whose hashes a task keeps at hand.
+MEMO_WORDS = 100_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S = np.uint64(32)
@@ -97,23 +96,14 @@ def _signed_rows(batches):
     for b in batches:
         for at in range(0, b.num_rows, 2000):
             part = b.slice(at, 2000)
-            n, fps, bands, sigs = [], [], [], []
+            n, fps, bands = [], [], []
             for t in part.column(1):
                 s = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", memo)
                 n.append(len(s))
-                if len(s):
-                    sig = signature(s)
-                    fps.append(xxhash.xxh128_digest(s.tobytes()))
-                    bands.append(band_keys(sig))
-                    sigs.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
-                else:
-                    fps.append(None)
-                    bands.append(None)
-                    sigs.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "set_id", "bands", "sig"],
-            )
+                fps.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
+                bands.append(band_keys(signature(s)) if len(s) else None)
+            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "bands"])
 
 
 def _set_rows(batches):
@@ -125,12 +115,6 @@ def _set_rows(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
-@F.arrow_udf(T.DoubleType())
-def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-    flat = lambda x: np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, BINS)
-    return pa.array((flat(a) == flat(b)).mean(axis=1)) if len(a) else pa.array([], pa.float64())
-
-
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(id, label): the least id reachable over links (a, b), by alternating large-star and small-star rounds.
 
@@ -153,96 +137,106 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         mark = now
 
 
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b), those whose full sets are similar enough."""
+    full = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    union = F.size("set_a") + F.size("set_b") - common
+    return pairs.join(full("b"), "b").join(full("a"), "a").where(100 * common >= percent * union).select("a", "b").distinct()
+
+
+def prefix_pairs(scratch: Scratch, sets: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different labels in ``apart`` (id, label) whose ``sets`` (id, shingles, h: a hash of these)
+    may be similar enough.
+
+    Shingles are ordered by the number of these sets that hold them, the rarest first. Sets of n and m shingles must
+    share percent * (n + m) / (100 + percent); the first shingle that they share leaves room for as many after it in
+    both. A shingle's place counts the set's own shingles, which come first and meet nobody, without listing them.
+    Labels are held against each other before their members are, so members of one label never meet.
+    """
+    p, q = percent, 100 + percent
+    each = sets.join(apart, "id").select("id", "label", "h", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
+    each = scratch.write(each)
+    often = each.groupBy("g").agg(F.count("*").alias("often"), F.min("label").alias("x"), F.max("label").alias("y")).where("often > 1")
+    shared = each.join(scratch.write(often), "g").select("id", "label", "h", "n", F.struct("often", "g", (F.col("x") != F.col("y")).alias("mixed")).alias("t"))
+    ranked = shared.groupBy("id", "label", "h", "n").agg(F.sort_array(F.collect_list("t")).alias("all"))
+    own = F.col("n") - F.size("all")
+    last = F.floor((100 - p) * F.col("n") / 100)  # no place beyond it leaves room for a partner of any size
+    early = ranked.select("id", "label", "n", own.alias("own"), F.slice("all", 1, F.greatest(F.lit(0), last - own + 1).cast("int")).alias("all"))
+    entries = early.select("id", "label", "n", "own", F.posexplode("all").alias("k", "t")).where("t.mixed")
+    room = q * (F.col("n") - F.col("own") - F.col("k")) - p * F.col("n")  # at least p times a partner's size
+    entries = scratch.write(entries.select("id", "label", "n", F.col("t.g").alias("g"), room.alias("room")))
+    of_label = entries.groupBy("g", "label").agg(F.max("room").alias("room"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("room") - p * F.col("n")).alias("short"))
+    of_label = scratch.write(of_label)
+    side = lambda df, x: df.select("g", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "g"])
+    # the smaller set of a pair holds the shingle early enough for a partner of its own size at least
+    may = (F.col("label_a") != F.col("label_b")) & (F.col("room_a") >= p * F.col("low_b")) & (F.col("room_b") >= p * F.col("low_a")) & (100 * F.col("high_a") >= p * F.col("low_b"))
+    labels = side(of_label.where("short >= 0"), "a").join(side(of_label, "b"), "g").where(may).select("g", "label_a", "label_b", F.col("room_b").alias("most"), "low_b", "high_b")
+    smaller = side(entries.where(F.col("room") >= p * F.col("n")), "a").join(labels, ["g", "label_a"])
+    smaller = smaller.where((F.col("room_a") >= p * F.col("low_b")) & (F.col("most") >= p * F.col("n_a")) & (F.col("n_a") <= F.col("high_b")) & (100 * F.col("n_a") >= p * F.col("low_b")))
+    fits = (F.col("n_a") <= F.col("n_b")) & (100 * F.col("n_a") >= p * F.col("n_b")) & (F.col("room_a") >= p * F.col("n_b")) & (F.col("room_b") >= p * F.col("n_a"))
+    both = smaller.drop("low_b", "high_b", "most").join(side(entries, "b"), ["g", "label_b"]).where(fits)
+    return both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept (whether it is its component's least id).
 
     Documents are linked if their sets' intersection is at least ``percent`` % of the union. Texts without words,
     null or empty, have an empty set and no link. Rows that share an id are one document, linked if any of its
-    texts is; null ids are one document with the largest id, shown as null and kept only if alone. An empty table
-    gives no rows.
+    texts is; null ids are one document with the largest id, shown as null and kept only if alone. Columns other than
+    doc_id and text aren't read, whatever their names. An empty table gives no rows.
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark)
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = scratch.write(texts.mapInArrow(_signed_rows, "doc_id long, n_shingles long, set_id binary, bands array<long>, sig binary"))
+    rows = scratch.write(texts.mapInArrow(_signed_rows, "doc_id long, n_shingles long, set_id binary, bands array<long>"))
     classes = scratch.write(rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")))
-    firsts = rows.join(classes.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig")
-    firsts = scratch.write(firsts.dropDuplicates(["id", "sig", "n"]))
-    banded = firsts.select("id", F.explode("bands").alias("key"))
-    shared = scratch.write(banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key", "low"))
-    members = scratch.write(banded.join(shared, "key"))
-    ids = scratch.write(members.select("id").distinct())
-    held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    firsts = rows.join(classes.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "set_id")
+    banded = scratch.write(firsts.dropDuplicates(["id", "set_id"]).select("id", "n", F.explode("bands").alias("key")))
+    crowded = banded.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
+    members = scratch.write(banded.join(scratch.write(crowded), "key"))
+    ids = scratch.write(members.groupBy("id").agg(F.sum("size").alias("met")))
+    n_ids = ids.count()
+    held = F.broadcast(ids.select("id")) if n_ids <= BROADCAST_IDS else ids.select("id")
     sets = scratch.write(texts.withColumnRenamed("doc_id", "id").join(held, "id", "left_semi").mapInArrow(_set_rows, "id long, shingles array<long>").dropDuplicates(["id", "shingles"]).withColumn("h", F.xxhash64("shingles")))
-    facts = firsts.select("id", "n", "sig")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b), those whose full sets are similar enough."""
-        side = lambda x: facts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        full = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
-        near = pairs.join(side("b"), "b").join(side("a"), "a")
-        near = near.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_agreement("sig_a", "sig_b") >= percent / 100 - MARGIN))
-        near = scratch.write(near.select("a", "b").distinct())
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        union = F.size("set_a") + F.size("set_b") - common
-        return near.join(full("b"), "b").join(full("a"), "a").where(100 * common >= percent * union).select("a", "b").distinct()
-
-    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-        """``labels`` (id, label) after further links: only the labels that these tie together are looked at."""
+
+    def joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+        """``labels`` (id, met, label) after further links, and how many labels these did away with."""
         at = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
         tied = links.join(at("a"), "a").join(at("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct()
         to = components(scratch, tied).select(F.col("id").alias("label"), F.col("label").alias("_to"))
-        return scratch.write(labels.join(to, "label", "left").select("id", F.coalesce("_to", "label").alias("label")))
-
-    def rare_pairs(apart: DataFrame) -> DataFrame:
-        """All pairs (a, b) of different labels in ``apart`` (id, label) whose sets may be similar enough.
-
-        Shingles are ordered by the number of these sets that hold them. Similar sets share one among the first
-        n - ceil(n * percent / 100) + 1 of each; the first that they share leaves room for the overlap needed.
-        """
-        each = sets.join(apart, "id").select("id", "label", "h", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
-        often = scratch.write(each.groupBy("g").agg(F.count("*").alias("often")))
-        ranked = each.join(often, "g").groupBy("id", "label", "h", "n").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("all"))
-        least = F.floor((percent * F.col("n") + 99) / 100).cast("int")
-        firsts_of = ranked.select("id", "label", "n", F.posexplode(F.slice("all", 1, F.col("n") - least + 1)).alias("at", "t")).where("t.often > 1")
-        rare = scratch.write(firsts_of.select("id", "label", "n", "at", F.col("t.g").alias("g")))
-        mixed_up = rare.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
-        rare = scratch.write(rare.join(mixed_up, "g", "left_semi"))
-        side = lambda x: rare.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "n", "at")])
-        room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-        may = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        may = may & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
-        return side("a").join(side("b"), "g").where(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-
-    tested = scratch.write(members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    found = joined(ids.select("id", F.col("id").alias("label")), scratch.write(linked(tested)))
-    turn = 1
-    while True:
-        turn += 1
-        named = scratch.write(members.join(found, "id").select("key", "id", "label"))
-        split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        drawn = named.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id")).alias("c"))
-        order = F.row_number().over(Window.partitionBy("key").orderBy("c"))
-        centres = drawn.join(split, "key", "left_semi").withColumn("_k", order).where(F.col("_k") <= min(2**turn, CENTRES))
-        centres = scratch.write(centres.select("key", F.col("c.id").alias("c"), F.col("label").alias("c_label")))
-        pairs = named.join(centres, "key").where("label <> c_label").select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
-        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"))
-        n_pairs = pairs.count()
-        new = scratch.write(linked(pairs)) if n_pairs else None
-        n_new = new.count() if new is not None else 0
-        scratch.drop(named, centres)
-        if n_new:
-            found = joined(found, new)
-        if not n_pairs or turn >= ROUNDS and not n_new:
-            break
-        tested = scratch.write(tested.unionByName(pairs))
-    named = members.join(found, "id").select("key", "id", "label")
-    split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    apart = scratch.write(named.join(split, "key", "left_semi").select("id", "label").distinct())
-    if not apart.isEmpty():
-        pairs = scratch.write(rare_pairs(apart).join(tested.unionByName(pairs), ["a", "b"], "left_anti"))
-        found = joined(found, scratch.write(linked(pairs)))
+        return scratch.write(labels.join(to, "label", "left").select("id", "met", F.coalesce("_to", "label").alias("label"))), to.count()
+
+    def held_apart(named: DataFrame) -> DataFrame:
+        return named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+
+    labels = ids.withColumn("label", F.col("id"))
+    n_apart, gone, centres = n_ids, n_ids, None
+    while n_apart and gone * WORTH >= n_apart:
+        named = scratch.write(members.join(labels, "id").select("key", "id", "n", "label", "met"))
+        if centres is not None:
+            named = scratch.write(named.join(held_apart(named), "key", "left_semi"))
+        new = named
+        if centres is not None:
+            reached = centres.join(labels, "id").select("key", "label").distinct()
+            new = named.join(reached, ["key", "label"], "left_anti")
+        star = new.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("less"), "label", "n")).alias("c"))
+        star = scratch.write(star.select("key", (-F.col("c.less")).alias("c"), F.col("c.label").alias("c_label"), F.col("c.n").alias("c_n")))
+        sized = (F.col("label") != F.col("c_label")) & (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n"))
+        pairs = named.join(star, "key").where(sized).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
+        labels, gone = joined(labels, scratch.write(linked(scratch.write(pairs), sets, percent)))
+        star = star.select("key", F.col("c").alias("id"))
+        centres = star if centres is None else centres.unionByName(star)
+        n_apart = named.select("label").distinct().count()
+    if centres is not None:
+        # pairs with a centre are settled; what is left of a bucket may hold others
+        named = members.join(centres, ["key", "id"], "left_anti").join(labels, "id").select("key", "id", "label")
+        named = scratch.write(named)
+        apart = scratch.write(named.join(held_apart(named), "key", "left_semi").select("id", "label").distinct())
+        pairs = scratch.write(prefix_pairs(scratch, sets, apart, percent))
+        labels, _ = joined(labels, scratch.write(linked(pairs, sets, percent)))
     label = F.coalesce("label", "rep", "doc_id")
-    out = rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    out = rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     null_again = lambda c: F.when(c != NULL_ID, c)
     return scratch.finish(out.select(null_again(F.col("doc_id")).alias("doc_id"), "n_shingles", null_again(label).alias("component_id"), (F.col("doc_id") == label).alias("kept")))
