@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from twinsift.functions import paths
 from twinsift.operators import cleanup, exact, folders, review, scope, similar, tolerance
 from twinsift.operators.tolerance import within
-from twinsift.plans.criteria import Criteria
-from twinsift.plans.workflow import run_modes
+from twinsift.plans import scan
+from twinsift.plans.matching import matching
 
 RECORD = "path string, content binary, size long, modified_ns long, created_ns long, device long, inode long, root string"
 
@@ -30,30 +30,51 @@ def groups(df):
 
 
 @pytest.mark.parametrize(
-    "contents, criteria, want",
+    "contents, same, options, want",
     [
-        ({"/one/a.txt": b"hello", "/two/renamed.bin": b"hello", "/two/a.txt": b"world", "/one/unique.txt": b"different length"}, {}, [["/one/a.txt", "/two/renamed.bin"]]),
-        ({"/a": b"", "/b": b""}, {}, [["/a", "/b"]]),
-        ({"/a.txt": b"aaa", "/b.bin": b"bbb", "/other": b"longer"}, {"contents": False, "hashes": False}, [["/a.txt", "/b.bin"]]),
-        ({"/one/Photo.JPG": b"a", "/two/photo.jpg": b"longer", "/three/other.jpg": b"a"}, {"contents": False, "hashes": False, "size": False, "filename": True}, [["/one/Photo.JPG", "/two/photo.jpg"]]),
-        ({"/one/a.txt": b"aaa", "/two/A.TXT": b"aaa", "/three/a.txt": b"bbb", "/four/renamed.txt": b"aaa"}, {"filename": True}, [["/one/a.txt", "/two/A.TXT"]]),
-        ({"/a.JPG": (b"aaa", 0), "/b.jpg": (b"aaa", 0), "/c.bin": (b"aaa", 0), "/d.jpg": (b"aaa", 10**9)}, {"extension": True, "modified": True}, [["/a.JPG", "/b.jpg"]]),
-        ({"/one/a": b"x", "/one/b": b"x"}, {"ignore_same_folder": True}, []),
-        ({"/one/a": b"x", "/one/b": b"x", "/two/c": b"x"}, {"ignore_same_folder": True}, [["/one/a", "/one/b", "/two/c"]]),
-        ({"/one/Photo.jpg": b"a", "/two/Copy of photo.jpg": b"b", "/three/photo - Copy (2).jpg": b"c", "/four/copyright.jpg": b"d"}, {"contents": False, "hashes": False, "size": False, "filename": True, "ignore_copy": True}, [["/one/Photo.jpg", "/three/photo - Copy (2).jpg", "/two/Copy of photo.jpg"]]),
+        ({"/in/note": b"alpha", "/out/moved": b"alpha", "/out/note": b"gamma", "/in/long": b"something else"}, [], {}, [["/in/note", "/out/moved"]]),
+        ({"/p": b"", "/q": b""}, [], {}, [["/p", "/q"]]),
+        ({"/p.x": b"123", "/q.y": b"456", "/r": b"78910"}, ["size"], {"evidence": ""}, [["/p.x", "/q.y"]]),
+        ({"/in/Sun.PNG": b"1", "/out/sun.png": b"123", "/far/moon.png": b"1"}, ["name"], {"evidence": ""}, [["/in/Sun.PNG", "/out/sun.png"]]),
+        ({"/in/Sun.PNG": b"1", "/out/sun.png": b"123"}, ["name cased"], {"evidence": ""}, []),
+        ({"/in/n.doc": b"123", "/out/N.DOC": b"123", "/far/n.doc": b"456", "/more/m.doc": b"123"}, ["name"], {}, [["/in/n.doc", "/out/N.DOC"]]),
+        ({"/p.PNG": (b"123", 0), "/q.png": (b"123", 0), "/r.y": (b"123", 0), "/s.png": (b"123", 10**9)}, ["ending", "changed"], {}, [["/p.PNG", "/q.png"]]),
+        ({"/in/p": b"x", "/in/q": b"x"}, [], {"several_folders": True}, []),
+        ({"/in/p": b"x", "/in/q": b"x", "/out/r": b"x"}, [], {"several_folders": True}, [["/in/p", "/in/q", "/out/r"]]),
+        ({"/1/Sun.png": b"1", "/2/Copy of sun.png": b"2", "/3/sun - Copy (3).png": b"3", "/4/copyist.png": b"4"}, ["name unmarked"], {"evidence": ""}, [["/1/Sun.png", "/2/Copy of sun.png", "/3/sun - Copy (3).png"]]),
+        ({"/p": b"1" * 5, "/q": b"2" * 10, "/r": b"3" * 900}, ["size~5"], {"evidence": ""}, [["/p", "/q"]]),
+        ({"/p": b"1" * 5, "/q": b"2" * 10, "/r": b"3" * 14}, ["size~5"], {"evidence": ""}, [["/p", "/q"]]),
+        ({"/p": b"1" * 5, "/q": b"1" * 10}, ["size~5"], {"evidence": "digest"}, []),
+        ({"/1/xx.t": b"1", "/1/xy.t": b"22", "/1/yy.t": b"333"}, ["name~1"], {"evidence": ""}, [["/1/xx.t", "/1/xy.t"]]),
+        ({"/1/xx.t": b"1" * 9, "/1/xy.t": b"2" * 20, "/1/yx.t": b"3" * 10}, ["name~2", "size~3"], {"evidence": ""}, [["/1/xx.t", "/1/yx.t"]]),
+        ({"/1/left.t": b"1", "/1/lift.t": b"1", "/1/other": b"1"}, ["name~1"], {"evidence": "bytes"}, [["/1/left.t", "/1/lift.t"]]),
+        ({"/1/left.t": b"1", "/2/lift.t": b"1", "/1/lefts.t": b"1"}, ["name~1", "folder whole"], {"evidence": ""}, [["/1/left.t", "/1/lefts.t"]]),
     ],
 )
-def test_groups(spark, contents, criteria, want):
-    assert groups(exact.duplicate_groups(files(spark, **contents), Criteria(**criteria))) == want
+def test_groups(spark, contents, same, options, want):
+    assert groups(exact.duplicate_groups(files(spark, **contents), matching(*same, **options))) == want
+
+
+def test_equal_digests_of_other_bytes_part(spark):
+    f = files(spark, **{"/a": b"first!", "/b": b"first!", "/c": b"second", "/d": b"second", "/e": b"third!"})
+    members = f.select("path", F.lit("/a").alias("group_id"))
+    got = exact.verified(members, f)
+    assert {(r.path, r.group_id) for r in got.collect()} == {("/a", "/a"), ("/b", "/a"), ("/c", "/c"), ("/d", "/c"), ("/e", "/e")}
+
+
+def test_files_without_a_time_of_creation_are_told(spark):
+    f = files(spark, **{"/a": b"x", "/b": b"x"}).withColumn("created_ns", F.when(F.col("path") == "/a", F.col("created_ns")))
+    want = matching("born")
+    assert exact.duplicate_groups(f, want).count() == 0 and [tuple(r) for r in want.unusable(f).collect()] == [("/b", "no time of creation")]
 
 
 def test_verification_is_told(spark):
     f = files(spark, **{"/a": b"aaa", "/b": b"aaa", "/c": b"bbb"})
-    told = lambda **c: [(r.status, r.digest is not None) for r in exact.summarize(exact.duplicate_groups(f, Criteria(**c))).collect()]
-    assert told() == [("Exact match", True)]
-    assert told(contents=False) == [("Hash match — bytes not verified", True)]
-    assert told(hashes=False) == [("Exact match", False)]
-    assert told(contents=False, hashes=False) == [("Possible match — contents not verified", False)]
+    told = lambda evidence: [(r.status, r.digest is not None) for r in exact.summarize(exact.duplicate_groups(f, matching("size", evidence=evidence))).collect()]
+    assert told("digest bytes") == [("Exact match", True)]
+    assert told("digest") == [("Hash match — bytes not verified", True)]
+    assert told("bytes") == [("Exact match", False)]
+    assert told("") == [("Possible match — contents not verified", False)]
 
 
 def test_sample_and_digest_stages_part_what_differs_between_windows(spark):
@@ -64,10 +85,12 @@ def test_sample_and_digest_stages_part_what_differs_between_windows(spark):
 
 
 def test_criteria_are_checked():
+    assert str(matching("name~2 unmarked cased", "folder 3 below", evidence="bytes")) == "folder below 3; name~2 cased unmarked; bytes"
+    for bad in ([], ["size~-1"], ["name~x"], ["colour"], ["size cased"], ["ending~2"], ["folder 0"], ["name 2"], ["size", "size~3"]):
+        with pytest.raises(ValueError):
+            matching(*bad, evidence="")
     with pytest.raises(ValueError):
-        Criteria(contents=False, hashes=False, size=False)
-    with pytest.raises(ValueError):
-        Criteria(size_tolerance=-1)
+        matching(evidence="hearsay")
     with pytest.raises(ValueError):
         paths.check_file_types(["Nonsense"])
 
@@ -254,14 +277,25 @@ def test_scope(spark):
         scope.check_scope(["/a"], ["/b"])
 
 
-def test_modes_fail_alone(spark):
-    def broken():
-        raise OSError("no")
-
-    got = run_modes(spark, ["duplicates", "folders", "duplicates"], {"duplicates": broken, "folders": lambda: spark.range(1)})
-    assert list(got.results) == ["folders"] and list(got.errors) == ["duplicates"]
-    with pytest.raises(ValueError):
-        run_modes(spark, ["nonsense"], {})
+def test_scans_of_several_kinds(spark, tmp_path):
+    f = files(spark, **{"/r/a/x.txt": b"1", "/r/b/y.txt": b"1", "/r/b/z.png": b"22"})
+    broken = spark.createDataFrame([("/i/a", 1, 1)], "path string, width int, height int")
+    held = scan.Inventory(f, images=broken)
+    ask = scan.Request(("images", "files", "folders", "files"), file_types=("Images",))
+    ledger = {r.kind: r for r in scan.run(spark, held, ask, f"file://{tmp_path}/one").collect()}
+    assert {k: r.state for k, r in ledger.items()} == {"images": "failed", "files": "done", "folders": "done"} and "signature" in ledger["images"].reason
+    assert ledger["files"].n_rows == 0 and ledger["folders"].n_rows == 0
+    whole = files(spark, **{"/r/a/x.txt": b"1", "/r/b/y.txt": b"1"})
+    ledger = scan.run(spark, scan.Inventory(whole), scan.Request(("files", "folders"), file_types=("Images",)), f"file://{tmp_path}/two")
+    assert {(r.kind, r.n_rows) for r in ledger.collect()} == {("files", 0), ("folders", 2)}  # types don't thin out trees
+    ask = scan.Request(("files", "images", "folders"))
+    ledger = scan.run(spark, held, ask, f"file://{tmp_path}/three", together=True)
+    assert {(r.kind, r.state) for r in ledger.collect()} == {("files", "taken back"), ("images", "failed"), ("folders", "skipped")} and not (tmp_path / "three/files").exists()
+    stopped = scan.run(spark, held, ask, f"file://{tmp_path}/four", go_on=lambda: False)
+    assert {r.state for r in stopped.collect()} == {"skipped"}
+    for bad in (scan.Request(()), scan.Request(("nonsense",)), scan.Request(("videos",)), scan.Request(("files",), images="Lax")):
+        with pytest.raises(ValueError):
+            scan.run(spark, held, bad, f"file://{tmp_path}/five")
 
 
 def test_details_and_media(spark):

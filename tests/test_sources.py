@@ -6,7 +6,7 @@ import pytest
 
 from tests.test_operators import files, groups
 from twinsift.operators import exact
-from twinsift.plans.criteria import Criteria
+from twinsift.plans.matching import matching
 from twinsift.sources import snapshot
 from twinsift.sources.inventory import read_inventory
 from twinsift.streaming import incremental
@@ -50,15 +50,46 @@ NEW = {"/n/renamed.txt": b"match", "/n/third.bin": b"olddup", "/n/new-a": b"newd
 
 
 def test_growing_equals_scanning_anew(spark):
-    whole = groups(incremental.full_groups(files(spark, **OLD, **NEW), Criteria()))
-    assert groups(incremental.incremental_groups(files(spark, **OLD), files(spark, **NEW), Criteria())) == whole and len(whole) == 3
+    whole = groups(incremental.full_groups(files(spark, **OLD, **NEW), matching()))
+    assert groups(incremental.incremental_groups(files(spark, **OLD), files(spark, **NEW), matching())) == whole and len(whole) == 3
     with pytest.raises(ValueError):
-        incremental.check_settings(Criteria(), Criteria(filename=True))
-    state = incremental.retained(files(spark, **OLD), Criteria())
+        incremental.check_settings(matching(), matching("name"))
+    state = incremental.retained(files(spark, **OLD), matching())
+    lone = incremental.retained(files(spark, **OLD, **{"/o/lone": b"of its own size"}), matching())
+    assert [r.path for r in lone.where("digest IS NULL").collect()] == ["/o/lone"]  # its content is never read
+    late = files(spark, **{"/n/second": b"of its own size"})
+    assert groups(incremental.members_of(incremental.extend(lone, late, matching(), files(spark, **{"/o/lone": b"of its own size"}))[1], matching())) == [["/n/second", "/o/lone"]]
+    after, found = incremental.extend(state, files(spark, **NEW), matching(), files(spark, **OLD))
+    assert after.count() == 8 and "/o/unique.txt" in {r.path for r in found.collect()}
+    later, found = incremental.extend(after, files(spark, **{"/t/later.txt": b"alone"}), matching(), files(spark, **OLD))
+    assert groups(incremental.members_of(found, matching())) [-2:] == [["/n/renamed.txt", "/o/unique.txt"], ["/o/alone.txt", "/t/later.txt"]] and later.count() == 9
+    assert tuple(incremental.tally(files(spark, **NEW), incremental.tally(files(spark, **OLD))).first()) == (8, 45)
+    with pytest.raises(ValueError):
+        incremental.retained(files(spark, **OLD), matching("name~2"))
     left, issues = incremental.drop_stale(state, files(spark, **(OLD | {"/o/copy-a.bin": b"changed"})))
     assert left.count() == 3 and [r.path for r in issues.collect()] == ["/o/copy-a.bin"]
 
 
+def test_media_and_folders_grow(spark):
+    images = lambda *rows: spark.createDataFrame(list(rows), "path string, width int, height int, signature long")
+    old, new = images(("m", 30, 20, 3), ("z", 30, 20, 0)), images(("a", 30, 20, 1))
+    got = {tuple(r) for r in incremental.extend_images(old, new, "Strict").collect()}
+    assert got == {("a", "m", 1), ("a", "z", 1)}  # the new image is the reference now
+    first = {"/a/x": b"1", "/a/y": b"22"}
+    state, alone = incremental.extend_folders(files(spark).selectExpr("path", "size", "cast(null as string) digest"), files(spark, **first))
+    state, both = incremental.extend_folders(state, files(spark, **{"/b/p": b"22", "/b/q": b"1"}))
+    assert alone.count() == 0 and groups(both) == [["/a", "/b"]] and state.count() == 4
+
+
+def test_groups_go_with_their_reference(spark):
+    rec = lambda p: (p, 1, 1, 1)
+    schema = "group_id string, digest string, byte_verified boolean, ref string, files array<struct<path:string,size:bigint,modified_ns:bigint,inode:bigint>>"
+    saved = spark.createDataFrame([("g", None, None, "/a", [rec("/a"), rec("/b"), rec("/c")]), ("h", None, None, "/d", [rec("/d"), rec("/e"), rec("/f")])], schema)
+    now = spark.createDataFrame([rec(p) for p in ("/b", "/c", "/d", "/e")], "path string, size long, modified_ns long, inode long")
+    kept = lambda **k: {r.path for r in snapshot.restore(saved, now, **k)[0].collect()}
+    assert kept() == {"/b", "/c", "/d", "/e"} and kept(reference="ref") == {"/d", "/e"}
+
+
 def test_stream_of_additions(spark, tmp_path):
     source, held = f"file://{tmp_path}/in", f"file://{tmp_path}/held"
     files(spark, **OLD).coalesce(1).write.parquet(source)
@@ -68,9 +99,9 @@ def test_stream_of_additions(spark, tmp_path):
     assert groups(grown.groups()) == [["/o/copy-a.bin", "/o/copy-b.bin"]]
     files(spark, **NEW).coalesce(1).write.mode("append").parquet(source)
     grown.start(stream(), f"file://{tmp_path}/ck").awaitTermination()
-    assert groups(grown.groups()) == groups(incremental.full_groups(files(spark, **OLD, **NEW), Criteria()))
+    assert groups(grown.groups()) == groups(incremental.full_groups(files(spark, **OLD, **NEW), matching()))
     before = grown.state().count()
     grown.add(files(spark, **NEW), 0)
     assert grown.state().count() == before
     with pytest.raises(ValueError):
-        incremental.GroupStream(spark, held, Criteria(filename=True))
+        incremental.GroupStream(spark, held, matching("name"))

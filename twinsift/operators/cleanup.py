@@ -109,8 +109,8 @@ def folder_plan(folders: DataFrame, files: DataFrame, selection: DataFrame) -> D
     refs = _references(rows.withColumn("_touched", touched), "group_id", F.col("_touched"))
     inside = files.select(F.explode(paths.ancestors(F.col("path"))).alias("folder"), "size", "digest").join(folders.select(F.col("path").alias("folder")), "folder", "left_semi")
     counts = inside.groupBy("folder", "size", "digest").agg(F.count("*").alias("n"))
-    part = F.sum(F.xxhash64("size", "digest", "n").cast("decimal(38,0)")).cast("string")
-    now = counts.groupBy("folder").agg(F.sum("n").alias("n"), part.alias("multiset"))
+    part = lambda seed: F.sum(F.xxhash64("size", "digest", "n", F.lit(seed)).cast("decimal(38,0)")).cast("string")
+    now = counts.groupBy("folder").agg(F.sum("n").alias("n"), F.concat_ws(":", F.count("*"), part(1), part(2)).alias("multiset"))
     held = rows.where(chosen).join(refs, F.col("group_id") == F.col("_group"))
     told = lambda p: now.select(F.col("folder").alias(p), F.col("n").alias(f"n_{p}"), F.col("multiset").alias(f"multiset_{p}"))
     about = folders.select(F.col("path").alias("_reference"), F.col("is_current").alias("_ref_current"))

@@ -1,7 +1,8 @@
-"""Groups of equal files: candidate keys first, then digests, then contents.
+"""Groups of equal files: keys first, then digests, then contents, then what may differ a little.
 
-Keys and digests are aggregated before rows meet: a group's members are found by joining its key back, so no group
-is gathered in one task. Content is read only for candidates.
+Keys are counted before rows meet: a group's members are found by joining its key back, so no group is gathered in one
+task. Contents are read for candidates only, once for their digests and once to hold the members of a group against
+its first; they are never a key. What is left between the stages is narrow and written once.
 """
 
 from __future__ import annotations
@@ -10,56 +11,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions import fingerprints, paths
-from twinsift.plans.criteria import Criteria
-
-
-def candidates(files: DataFrame, criteria: Criteria) -> tuple[DataFrame, list[str]]:
-    """Files whose key at least one other file shares, with the key's columns."""
-    keys = criteria.keys()
-    keyed = files.withColumns(keys) if keys else files.withColumn("key_all", F.lit(1))
-    names = list(keys) or ["key_all"]
-    if criteria.created:
-        keyed = keyed.where(F.col("created_ns").isNotNull())
-    return sharing(keyed, names), names
-
-
-def sharing(rows: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
-    """Rows whose keys occur more than once; ``extra`` conditions on the group's aggregates."""
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *extra).where("_n > 1")
-    on = [rows[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
-    groups = groups.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    return rows.join(groups, on, "left_semi")
-
-
-def cascade(files: DataFrame, criteria: Criteria) -> tuple[DataFrame, list[str]]:
-    """Candidates that also share the digests that ``criteria`` asks for: a sample's first, then the whole content's."""
-    found, names = candidates(files, criteria)
-    if criteria.hashes or criteria.contents:
-        found = sharing(found.withColumn("key_sample", fingerprints.sample_digest(F.col("content"))), [*names, "key_sample"])
-        found = sharing(found.withColumn("digest", fingerprints.digest(F.col("content"))), [*names, "digest"])
-        names = [*names, "digest"]
-        if criteria.contents:  # equal digests of different contents part here
-            names = [*names, "content"]
-    else:
-        found = found.withColumn("digest", F.lit(None).cast("string"))
-    return found, names
+from twinsift.operators import tolerance
+from twinsift.operators.graph import cut
+from twinsift.plans.matching import Matching, matching
+
+
+def on_keys(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups`` on equal keys, nulls equal to nulls."""
+    named = groups.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    return rows.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], how).drop(*[f"_{k}" for k in keys])
+
+
+def sharing(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys occur more than once."""
+    return on_keys(rows, rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), keys, "left_semi") if keys else rows
+
+
+def candidates(files: DataFrame, want: Matching) -> tuple[DataFrame, list[str]]:
+    """Files whose exact keys at least one other file shares, with these keys as columns."""
+    keys = want.exact()
+    lacking = [s.column().isNotNull() for s in want.same if s.what == "born"]
+    keyed = (files.where(lacking[0]) if lacking else files).withColumns(keys)
+    return sharing(keyed, list(keys)), list(keys)
 
 
-def duplicate_groups(files: DataFrame, criteria: Criteria | None = None) -> DataFrame:
-    """Members of exact groups: group_id (their least path), digest, byte_verified and the file's columns but content.
+def digested(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates without their contents, that share the digests of the ends and the middle and of the whole."""
+    parts = found.withColumn("key_sample", fingerprints.sample_digest(F.col("content"))).withColumn("digest", fingerprints.digest(F.col("content")))
+    return sharing(cut(parts.drop("content")), [*keys, "key_sample", "digest"])
 
-    With ``contents``, the bytes of candidates that share a digest are themselves a key, which is what verifies them.
-    Needs path, size and what the criteria name. Tolerances are the business of ``operators.tolerance``.
+
+def verified(members: DataFrame, files: DataFrame) -> DataFrame:
+    """``members`` (path, group_id) with the group in which all bytes are equal; the rest of a group parts from it.
+
+    Contents are held against the first member's. Members that differ from it though their digests are equal are
+    grouped anew by the contents themselves.
+    """
+    bytes_of = members.select("path", "group_id").join(files.select("path", "content"), "path")
+    first = bytes_of.where("path = group_id").select("group_id", F.col("content").alias("_first"))
+    told = cut(bytes_of.join(first, "group_id").select("path", "group_id", (F.col("content") == F.col("_first")).alias("_equal")))
+    equal, other = told.where("_equal").select("path", "group_id"), told.where("NOT _equal").select("path")
+    if not other.isEmpty():
+        apart = other.join(files.select("path", "content"), "path")
+        named = apart.groupBy("content").agg(F.min("path").alias("group_id"))
+        equal = equal.unionByName(apart.join(named, "content").select("path", "group_id"))
+    return members.drop("group_id").join(equal, "path")
+
+
+def duplicate_groups(files: DataFrame, want: Matching | None = None) -> DataFrame:
+    """Members of groups: group_id (their least path), digest, byte_verified and the file's columns but content.
+
+    Needs path (once per file), size and what ``want`` names; content where evidence is asked for. Files whose size or
+    name may differ a little are grouped by the rules of ``operators.tolerance`` within what they share exactly.
     """
-    criteria = criteria or Criteria()
-    found, names = cascade(files, criteria)
-    folders = F.count_distinct(paths.parent(F.col("path"))) if criteria.ignore_same_folder else F.lit(2)
-    groups = found.groupBy(*names).agg(F.count("*").alias("_n"), F.min("path").alias("group_id"), folders.alias("_folders")).where("_n > 1 AND _folders > 1")
-    groups = groups.select("group_id", *[F.col(n).alias(f"_{n}") for n in names])
-    out = found.join(groups, [found[n].eqNullSafe(F.col(f"_{n}")) for n in names])
+    want = want or matching()
+    found, keys = candidates(files, want)
+    by = keys
+    if want.evidence:
+        found, by = digested(found, keys), [*keys, "digest"]
+    else:
+        found = found.withColumn("digest", F.lit(None).cast("string")).drop("content")
+    if "bytes" in want.evidence:
+        first = found.groupBy(*by).agg(F.min("path").alias("group_id"))
+        found = verified(on_keys(found, first, by), files).withColumnRenamed("group_id", "key_bytes")
+        by = [*by, "key_bytes"]
+    names, sizes = want.tolerance("name"), want.tolerance("size")
+    if names:
+        fitted = found.withColumn("name_key", names.column())
+        fitted = tolerance.similar_name_groups(fitted, by, names.within, sizes.within if sizes else None).select("path", F.col("group_id").alias("key_fit"))
+        found, by = found.join(fitted, "path"), ["key_fit"]
+    elif sizes:
+        found = tolerance.size_anchors(found, by, "size", sizes.within).withColumnRenamed("anchor", "key_anchor")
+        by = [*by, "key_anchor"]
+    found = cut(found)
+    folders = F.count_distinct(paths.parent(F.col("path"))) if want.several_folders else F.lit(2)
+    groups = found.groupBy(*by).agg(F.count("*").alias("_n"), F.min("path").alias("group_id"), folders.alias("_folders")).where("_n > 1 AND _folders > 1")
+    out = on_keys(found, groups.drop("_n", "_folders"), by)
     kept = [c for c in files.columns if c not in ("content", "digest")]
-    digest = F.col("digest") if criteria.hashes else F.lit(None).cast("string")
-    return out.select("group_id", digest.alias("digest"), F.lit(criteria.byte_verified).cast("boolean").alias("byte_verified"), *kept)
+    digest = F.col("digest") if "digest" in want.evidence else F.lit(None).cast("string")
+    return cut(out.select("group_id", digest.alias("digest"), F.lit(want.byte_verified).cast("boolean").alias("byte_verified"), *kept))
+
+
+def in_order(members: DataFrame) -> DataFrame:
+    """Members by group and, within a group, by caseless path."""
+    return members.orderBy("group_id", paths.casefold(F.col("path")), "path")
 
 
 def total_size(size: Column, streams: Column | None = None) -> Column:

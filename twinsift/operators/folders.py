@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions import paths
+from twinsift.operators.graph import cut
 
 
 def content_ids(files: DataFrame, content_key: str) -> DataFrame:
@@ -32,12 +32,6 @@ def poisoned(issues: DataFrame) -> DataFrame:
     return issues.select(F.explode(paths.ancestors(F.col("path"), itself=True)).alias("path")).distinct()
 
 
-def contents_by_folder(files: DataFrame) -> DataFrame:
-    """path, contents: the sorted multiset of content ids in each folder's subtree, as counts per id."""
-    counts = files.select(F.explode(paths.ancestors(F.col("path"))).alias("path"), "content_id").groupBy("path", "content_id").agg(F.count("*").alias("n"))
-    return counts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("content_id", "n"))).alias("contents"))
-
-
 def multiset_signature(members: DataFrame, owner: str, item: str) -> DataFrame:
     """owner, n_items, signature: a digest that owners share iff their multisets of items are equal (but for chance).
 
@@ -55,34 +49,13 @@ def equal_multisets(members: DataFrame, owner: str, item: str) -> DataFrame:
     return signed.join(groups, ["n_items", "signature"]).select(owner, "n_items", "group_id")
 
 
-def _partitions(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First fit by depth and path; two folders of which one lies in the other never share a partition."""
-    pdf = pdf.sort_values(["depth", "path"])
-    taken: list[set[str]] = []
-    out = []
-    for path in pdf["path"]:
-        above = {path, "/"}
-        at = path.rfind("/")
-        while at > 0:
-            above.add(path[:at])
-            at = path.rfind("/", 0, at)
-        for k, part in enumerate(taken):  # folders come from the top down, so only ancestors can be there
-            if not above & part:
-                break
-        else:
-            k = len(taken)
-            taken.append(set())
-        taken[k].add(path)
-        out.append(k)
-    return pdf.assign(part=out)
-
-
 def duplicate_folders(files: DataFrame, directories: DataFrame | None = None, issues: DataFrame | None = None, roots: list[str] | None = None) -> DataFrame:
     """group_id, path, n_files, total_size of folders with equal contents, and of empty folders by themselves.
 
     ``files``: path, size, content_id. A folder with an unreadable entry below it takes no part, nor does the root
     of the file system. With ``roots`` only these are offered, compared by their whole trees. Folders of a group do
-    not lie within each other: equal ones that do are dealt to further groups, from the top down.
+    not lie within each other: equal ones that do are dealt to further groups, from the top down, so that a folder's
+    group is told by how many of those above it are equal to it.
     """
     facts = rollup(files, directories)
     signed = multiset_signature(files.select(F.explode(paths.ancestors(F.col("path"))).alias("path"), "content_id"), "path", "content_id")
@@ -91,16 +64,17 @@ def duplicate_folders(files: DataFrame, directories: DataFrame | None = None, is
         rows = rows.join(poisoned(issues), "path", "left_anti")
     if roots is not None:
         rows = rows.where(F.col("path").isin(roots))
-    shared = rows.groupBy("signature", "n_files").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    several = rows.join(shared, ["signature", "n_files"], "left_semi").withColumn("depth", paths.depth(F.col("path")))
-    columns = ["path", "n_files", "total_size", "n_dirs", "signature", "depth"]
-    # contents that repeat within one tree share a task; the folders there are distinct paths, a few bytes each
-    dealt = several.select(*columns).groupBy("signature", "n_files").applyInPandas(_partitions, "path string, n_files long, total_size long, n_dirs long, signature string, depth int, part int")
-    groups = dealt.groupBy("signature", "n_files", "part").agg(F.min("path").alias("group_id"), F.count("*").alias("_n"), F.max(F.struct("n_files", (-F.col("n_dirs")).alias("col2"))).alias("_top"))
-    lone_empty = (F.col("_n") > 1) | ((F.col("_top.n_files") == 0) & (F.col("_top.col2") == -1))
-    groups = groups.where(lone_empty).select("signature", "n_files", "part", "group_id")
-    out = dealt.join(groups, ["signature", "n_files", "part"]).select("group_id", "path", "n_files", "total_size")
-    alone = rows.join(shared, ["signature", "n_files"], "left_anti").where("n_files = 0 AND n_dirs = 1").select(F.col("path").alias("group_id"), "path", "n_files", "total_size")
+    rows = cut(rows.select("path", "n_files", "total_size", "n_dirs", "signature"))
+    same = ["signature", "n_files"]
+    shared = rows.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    several = cut(rows.join(shared, same, "left_semi"))
+    up = several.select(*same, "path", F.explode(paths.ancestors(F.col("path"))).alias("_up"))
+    nested = up.join(several.select(*same, F.col("path").alias("_up")), [*same, "_up"]).groupBy("path").agg(F.count("*").alias("part"))
+    dealt = several.join(nested, "path", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    groups = dealt.groupBy(*same, "part").agg(F.min("path").alias("group_id"), F.count("*").alias("_n"), F.min("n_dirs").alias("_dirs"))
+    groups = groups.where((F.col("_n") > 1) | ((F.col("n_files") == 0) & (F.col("_dirs") == 1))).select(*same, "part", "group_id")
+    out = dealt.join(groups, [*same, "part"]).select("group_id", "path", "n_files", "total_size")
+    alone = rows.join(shared, same, "left_anti").where("n_files = 0 AND n_dirs = 1").select(F.col("path").alias("group_id"), "path", "n_files", "total_size")
     return out.unionByName(alone)
 
 

@@ -1,32 +1,38 @@
-"""Graph steps shared by the clustering operators: components, and first-come references on edges."""
+"""Graph steps shared by the clustering operators: components, first-come references on edges, global numbers."""
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.scratch import Scratch
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinsift-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """``df`` written to the shared folder and read again."""
+    return Scratch(df.sparkSession).write(df)
+
 
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(id, label): the least id reachable over edges (a, b); ids without an edge don't appear.
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label): the least id reachable over edges (a, b); ids without an edge don't appear."""
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    Large-star and small-star rounds alternate; each is a minimum per node and a join, and no node's neighbours are
+    gathered.
+    """
+    scratch = scratch or Scratch(edges.sparkSession)
+    now = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = cut(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        after = scratch.write(small.where("u <> v").distinct())
+        scratch.drop(now)
+        now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == mark:
             return now.select(F.col("u").alias("id"), F.col("v").alias("label"))
@@ -36,34 +42,38 @@ def components(edges: DataFrame) -> DataFrame:
 def references(edges: DataFrame) -> DataFrame:
     """Ids among the ends of ``edges`` (later, earlier) that become references.
 
-    An id is a reference iff no earlier neighbour is one. Each round settles ids whose earlier neighbours are all
-    settled; work left shrinks to the edges between ids that are still open. In each round the first open id at
-    least is settled, and few rounds are needed on real data.
+    An id is a reference iff no earlier neighbour is one. A round drops what the last round's references reach and
+    names those that have lost all earlier neighbours; it reads and writes the edges that are still open only.
     """
-    state = edges.select(F.col("later").alias("id")).unionByName(edges.select(F.col("earlier").alias("id"))).distinct()
-    first = state.join(edges.select(F.col("later").alias("id")).distinct(), "id", "left_anti")
-    refs = cut(first)
-    left = cut(edges)
-    new = refs
-    while True:
-        # ids next to a new reference are members; references among the rest have lost all earlier neighbours
-        members = cut(left.join(new.withColumnRenamed("id", "earlier"), "earlier", "left_semi").select(F.col("later").alias("id")).distinct())
-        open_edges = cut(left.join(members.withColumnRenamed("id", "later"), "later", "left_anti"))
-        still = cut(open_edges.join(members.withColumnRenamed("id", "earlier"), "earlier", "left_anti"))
-        new = cut(open_edges.select(F.col("later").alias("id")).distinct().join(still.select(F.col("later").alias("id")).distinct(), "id", "left_anti"))
-        refs = cut(refs.unionByName(new))
-        left = still
-        if new.isEmpty() and left.isEmpty():
-            return refs
+    scratch = Scratch(edges.sparkSession)
+    left = scratch.write(edges)
+    ends = left.select(F.col("later").alias("id")).distinct()
+    new = scratch.write(left.select(F.col("earlier").alias("id")).distinct().join(ends, "id", "left_anti"))
+    found = [new]
+    while not new.isEmpty():
+        members = left.join(new.withColumnRenamed("id", "earlier"), "earlier", "left_semi").select("later").distinct()
+        gone = members.select(F.col("later").alias("earlier"), F.lit(True).alias("lost"))
+        held = left.join(members, "later", "left_anti").join(gone, "earlier", "left").select("later", "earlier", F.coalesce("lost", F.lit(False)).alias("lost"))
+        held = scratch.write(held)
+        new = scratch.write(held.groupBy("later").agg(F.min("lost").alias("free")).where("free").select(F.col("later").alias("id")))
+        found.append(new)
+        scratch.drop(left)
+        left = scratch.write(held.where("NOT lost").select("later", "earlier"))
+        scratch.drop(held)
+    return reduce(DataFrame.unionByName, found)
+
 
+def numbered(df: DataFrame, *order, first: int = 1) -> DataFrame:
+    """``df`` with ``row``, its place from ``first`` in the given order.
 
-def numbered(df: DataFrame, *order) -> DataFrame:
-    """``df`` with ``row``, its place from 1 in the given order; only a count per partition goes to the driver."""
+    Rows are dealt by range; only each partition's count goes to the driver, and comes back as that partition's
+    offset. ``df`` is written once on the way, so that a second reading can't deal it otherwise.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     counts = {r[0]: r[1] for r in held.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}
-    offsets, total = [], 1
+    offsets, total = [], first
     for p in sorted(counts):
         offsets.append((p, total))
         total += counts[p]

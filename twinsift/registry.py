@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinsift.functions import fingerprints, paths
 from twinsift.operators import cleanup, exact, folders, review, scope, similar, tolerance
-from twinsift.plans.criteria import Criteria
+from twinsift.plans.matching import matching
 from twinsift.sources.inventory import documents_as_files
 from twinsift.streaming.incremental import incremental_groups
 
@@ -57,19 +57,19 @@ def exact_members(spark, sf_dir):
 
 @query(f"WITH {_FILES}, g AS (SELECT *, min(path) OVER (PARTITION BY size) AS group_id, count(*) OVER (PARTITION BY size) AS n FROM files) SELECT group_id, path, size, NULL::VARCHAR AS digest, FALSE AS byte_verified FROM g WHERE n > 1")
 def size_groups(spark, sf_dir):
-    return exact.duplicate_groups(files(spark, sf_dir), Criteria(contents=False, hashes=False)).select("group_id", "path", "size", "digest", "byte_verified")
+    return exact.duplicate_groups(files(spark, sf_dir), matching("size", evidence="")).select("group_id", "path", "size", "digest", "byte_verified")
 
 
 @query(f"WITH {_GROUPS}, g AS (SELECT group_id FROM members GROUP BY group_id HAVING count(DISTINCT regexp_replace(path, '/[^/]*$', '')) > 1) SELECT group_id, path FROM members WHERE group_id IN (SELECT group_id FROM g)")
 def cross_folder_groups(spark, sf_dir):
-    return exact.duplicate_groups(files(spark, sf_dir), Criteria(ignore_same_folder=True)).select("group_id", "path")
+    return exact.duplicate_groups(files(spark, sf_dir), matching(several_folders=True)).select("group_id", "path")
 
 
 @query(f"WITH {_PAGES}, k AS (SELECT *, lower(regexp_replace(regexp_replace(left(name, length(name) - length(suffix)), '^Copy(\\s+of)?[\\s_-]+', '', 'i'), '[\\s_-]+Copy(\\s*\\(\\d+\\))?$', '', 'i') || suffix) AS key FROM keyed), g AS (SELECT *, min(path) OVER (PARTITION BY key) AS group_id, count(*) OVER (PARTITION BY key) AS n FROM k) SELECT group_id, page_id, key AS name_key FROM g WHERE n > 1")
 def name_groups(spark, sf_dir):
-    criteria = Criteria(contents=False, hashes=False, size=False, filename=True, ignore_copy=True)
+    want = matching("name unmarked", evidence="")
     key = paths.filename_key(F.col("path"), ignore_copy=True)
-    return exact.duplicate_groups(page_files(spark, sf_dir), criteria).select("group_id", "page_id", key.alias("name_key"))
+    return exact.duplicate_groups(page_files(spark, sf_dir), want).select("group_id", "page_id", key.alias("name_key"))
 
 
 @query(f"WITH {_PAGES}, p AS (SELECT *, list_filter(string_split(folder, '/'), lambda x: x <> '') AS parts FROM keyed) SELECT page_id, name, suffix, left(name, length(name) - length(suffix)) AS stem, folder, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INTEGER AS depth, lower(folder) AS folder_full, lower(regexp_extract(folder, '([^/]*)$', 1)) AS folder_name, (CASE WHEN len(parts) >= 2 THEN 'full' ELSE 'short' END) || '|' || lower(array_to_string(parts[1:2], '/')) AS folder_depth2, CASE WHEN lower(suffix) IN ('.pdf', '.txt', '.md', '.csv') THEN 'Documents' ELSE 'Other' END AS file_type FROM p")
@@ -92,8 +92,7 @@ def path_keys(spark, sf_dir):
 @query("WITH o AS (SELECT '/' || o_orderstatus || '/' || o_orderkey AS path, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders), g AS (SELECT *, min(path) OVER (PARTITION BY day) AS group_id, count(*) OVER (PARTITION BY day) AS n FROM o) SELECT group_id, path, day FROM g WHERE n > 1")
 def date_groups(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.concat_ws("/", F.lit(""), "o_orderstatus", F.col("o_orderkey").cast("string")).alias("path"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("modified_ns"))
-    criteria = Criteria(contents=False, hashes=False, size=False, modified=True, modified_date_only=True)
-    return exact.duplicate_groups(rows, criteria).select("group_id", "path", paths.date_key(F.col("modified_ns"), True).alias("day"))
+    return exact.duplicate_groups(rows, matching("changed day", evidence="")).select("group_id", "path", paths.date_key(F.col("modified_ns"), True).alias("day"))
 
 
 @query(f"WITH {_FILES} SELECT regexp_extract(path, '^/([^/]*)', 1) AS top, count(*) AS n_files, sum(size)::BIGINT AS total_bytes FROM files GROUP BY 1")
@@ -271,7 +270,7 @@ def differing_streams(spark, sf_dir):
 @query(f"WITH {_GROUPS} SELECT group_id, path, size, sha256(text) AS digest FROM members")
 def incremental_scan(spark, sf_dir):
     f = files(spark, sf_dir)
-    return incremental_groups(f.where("doc_id % 2 = 0"), f.where("doc_id % 2 = 1"), Criteria())
+    return incremental_groups(f.where("doc_id % 2 = 0"), f.where("doc_id % 2 = 1"), matching())
 
 
 @query(f"WITH {_GROUPS}, l AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS n FROM members WHERE path NOT LIKE '/src3/%') SELECT group_id, path FROM l WHERE n > 1")

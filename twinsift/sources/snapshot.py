@@ -10,7 +10,6 @@ SCHEMA = f"group_id string, digest string, byte_verified boolean, files array<st
 # How digests and stream names look.
 DIGEST = r"^[0-9a-f]{64}$"
 STREAM = r"^:[^:\\/\x00]+:\$DATA$"
-VERSIONS = (1, 2, 3)
 
 
 def save(members: DataFrame, folder: str) -> None:
@@ -54,7 +53,10 @@ def violations(groups: DataFrame) -> DataFrame:
 
 
 def restore(groups: DataFrame, now: DataFrame, *, reference: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, issues): records that are unchanged now, in groups that keep two (and their reference, if named)."""
+    """(members, issues): records that are unchanged now, in groups that keep two.
+
+    ``reference`` names the column of ``groups`` that holds a group's reference; a group without it goes whole.
+    """
     flat = groups.select("group_id", "digest", "byte_verified", "files").withColumn("f", F.explode("files")).drop("files").select("group_id", "digest", "byte_verified", "f.*")
     seen = now.select(F.col("path").alias("_path"), *[F.col(c).alias(f"_{c}") for c in ("size", "modified_ns", "inode")])
     same = F.col("_path").isNotNull()
@@ -62,6 +64,9 @@ def restore(groups: DataFrame, now: DataFrame, *, reference: str | None = None)
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}").cast("long"))
     told = flat.join(seen, F.col("path") == F.col("_path"), "left").withColumn("_same", same).select(*flat.columns, "_same")
     alive = told.groupBy("group_id").agg(F.count_if("_same").alias("_n")).where("_n > 1")
+    if reference:
+        there = told.where("_same").select("group_id", F.col("path").alias("_reference"))
+        alive = alive.join(groups.select("group_id", F.col(reference).alias("_reference")).join(there, ["group_id", "_reference"], "left_semi"), "group_id")
     members = told.where("_same").join(alive.select("group_id"), "group_id", "left_semi").drop("_same")
     return members, told.where("NOT _same").select("path", F.lit("changed or gone since it was saved").alias("reason"))
 

@@ -1,48 +1,109 @@
-"""Exact groups that grow with further files: retained keys, and a stream of additions."""
+"""Results that grow with further files: retained keys and digests, deltas, and a stream of additions."""
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.operators.exact import duplicate_groups, sharing
+from twinsift.operators import folders, similar
+from twinsift.operators.exact import duplicate_groups, on_keys, sharing
 from twinsift.operators.graph import cut
-from twinsift.plans.criteria import Criteria
+from twinsift.plans.matching import Matching, matching
+from twinsift.scratch import file_system
+
+
+def _plain(want: Matching) -> None:
+    if want.tolerance("name") or want.tolerance("size"):
+        raise ValueError("groups under a tolerance depend on all files; scan anew")
+
+
+def keyed(files: DataFrame, want: Matching) -> DataFrame:
+    """``files`` with their exact keys; without content, whose place a digest not yet known takes."""
+    _plain(want)
+    return files.withColumns(want.exact()).withColumn("digest", F.lit(None).cast("string")).drop("content")
+
+
+def with_digests(rows: DataFrame, contents: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the digests that are missing where another row has the same keys; no other content is read."""
+    needed = sharing(rows, keys).where("digest IS NULL").select("path")
+    told = contents.select("path", "content").join(needed, "path", "left_semi").select("path", F.sha2("content", 256).alias("_new"))
+    return rows.join(told, "path", "left").withColumn("digest", F.coalesce("digest", "_new")).select(*rows.columns)
 
 
-def retained(files: DataFrame, criteria: Criteria) -> DataFrame:
-    """What an exact scan keeps of each file: its columns, its keys, and a digest of its content."""
-    keyed = files.withColumns(criteria.keys())
-    return keyed.withColumn("digest", F.sha2("content", 256)).drop("content") if criteria.contents or criteria.hashes else keyed.withColumn("digest", F.lit(None).cast("string"))
+def retained(files: DataFrame, want: Matching) -> DataFrame:
+    """What a scan keeps of each file: its columns, its keys, and its digest where its keys aren't its alone."""
+    rows = keyed(files, want)
+    return with_digests(rows, files, list(want.exact())) if want.evidence else rows
 
 
-def extend(state: DataFrame, new: DataFrame, criteria: Criteria) -> tuple[DataFrame, DataFrame]:
-    """(state with the new files, members of the groups that the new files touch).
+def extend(state: DataFrame, new: DataFrame, want: Matching, contents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(state with the new files, members of the groups whose keys the new files touch).
 
-    Only keys that new files bring are looked at; digests of old files are reused, never read again.
+    Old files under other keys are not looked at. ``contents`` (path, content) gives old files whose digest is asked
+    for the first time; known digests are never read again.
     """
-    keys = list(criteria.keys())
-    added = retained(new, criteria)
-    on = [*keys, "digest"] if criteria.contents or criteria.hashes else keys
-    touched = added.select(*on).distinct()
-    old = state.join(touched.select(*[F.col(k).alias(f"_{k}") for k in on]), [state[k].eqNullSafe(F.col(f"_{k}")) for k in on], "left_semi")
-    found = sharing(old.unionByName(added), on)
-    return state.unionByName(added), found
+    keys = list(want.exact())
+    added = cut(keyed(new, want))
+    touched = on_keys(state, added.select(*keys).distinct(), keys, "left_semi")
+    both = touched.unionByName(added)
+    if want.evidence:
+        source = new.select("path", "content")
+        both = with_digests(both, source if contents is None else source.unionByName(contents.select("path", "content")), keys)
+    both = cut(both)
+    left = state.join(both.select("path"), "path", "left_anti")
+    return left.unionByName(both), sharing(both.where("digest IS NOT NULL") if want.evidence else both, [*keys, "digest"])
+
+
+def members_of(rows: DataFrame, want: Matching) -> DataFrame:
+    """Groups among rows of a state: group_id, path, size, digest."""
+    by = [*want.exact(), *(["digest"] if want.evidence else [])]
+    known = rows.where("digest IS NOT NULL") if want.evidence else rows
+    groups = known.groupBy(*by).agg(F.min("path").alias("group_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return on_keys(known, groups, by).select("group_id", "path", "size", "digest")
+
+
+def grown(before: DataFrame, found: DataFrame, want: Matching) -> DataFrame:
+    """The members ``before``, with those of the groups that a delta ``found`` in place of what it touched."""
+    delta = members_of(found, want)
+    return before.join(delta.select("path"), "path", "left_anti").unionByName(delta)
+
+
+def incremental_groups(old: DataFrame, new: DataFrame, want: Matching) -> DataFrame:
+    """Members of all groups after ``new`` joins ``old``: the earlier result, changed where new files touch it."""
+    state = cut(retained(old, want))
+    before = members_of(state, want)
+    _, found = extend(state, new, want, old)
+    return grown(before, found, want)
+
 
+def full_groups(files: DataFrame, want: Matching) -> DataFrame:
+    return duplicate_groups(files, want).select("group_id", "path", "size", "digest")
 
-def members_of(state: DataFrame, criteria: Criteria) -> DataFrame:
-    """All groups of a state: group_id, path, size, digest."""
-    on = [*criteria.keys(), "digest"] if criteria.contents or criteria.hashes else [*criteria.keys()]
-    groups = state.groupBy(*on).agg(F.min("path").alias("group_id"), F.count("*").alias("_n")).where("_n > 1")
-    groups = groups.select("group_id", *[F.col(k).alias(f"_{k}") for k in on])
-    return state.join(groups, [state[k].eqNullSafe(F.col(f"_{k}")) for k in on]).select("group_id", "path", "size", "digest")
 
+def extend_images(signatures: DataFrame, new: DataFrame, strictness: str) -> DataFrame:
+    """Image groups over earlier and new signatures; nothing is decoded again, and references may change."""
+    return similar.image_groups(signatures.unionByName(new), similar.IMAGE_RADII[strictness])
 
-def check_settings(before: Criteria, after: Criteria) -> None:
-    if before != after:
+
+def extend_videos(signatures: DataFrame, new: DataFrame, strictness: str) -> DataFrame:
+    return similar.video_groups(signatures.unionByName(new), strictness)
+
+
+def extend_folders(state: DataFrame, new: DataFrame, issues: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(state, groups): folders over an earlier state (path, size, digest) and new files, of which alone contents are read."""
+    both = cut(state.select("path", "size", "digest").unionByName(new.select("path", "size", F.sha2("content", 256).alias("digest"))))
+    return both, folders.duplicate_folders(folders.content_ids(both, "digest"), None, issues)
+
+
+def tally(files: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """One row: n_files and total_bytes read so far. Files that are later gone stay counted."""
+    own = files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_bytes"))
+    every = own if before is None else own.unionByName(before)
+    return every.agg(F.sum("n_files").cast("long").alias("n_files"), F.sum("total_bytes").cast("long").alias("total_bytes"))
+
+
+def check_settings(before: Matching, after: Matching) -> None:
+    if str(before) != str(after):
         raise ValueError("settings changed; scan anew before adding folders")
 
 
@@ -62,62 +123,47 @@ def remove(state: DataFrame, tombstones: DataFrame) -> DataFrame:
 class GroupStream:
     """Keeps the state of exact groups in a folder while a stream adds files.
 
-    Each micro-batch writes the state's next version whole and then names it in a small marker, so a batch that is
-    lost half-way leaves the version before it in force and is simply repeated. A batch number is taken once.
+    A micro-batch writes its own files' keys and digests and nothing else, then names itself in a small marker; a
+    batch that is lost half-way is not named, and simply repeated. A batch number is taken once, and of a path that
+    comes again the last batch counts.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, criteria: Criteria | None = None):
-        self.spark, self.folder, self.criteria = spark, folder.rstrip("/"), criteria or Criteria()
-        settings = json.dumps(asdict(self.criteria), sort_keys=True)
+    def __init__(self, spark: SparkSession, folder: str, want: Matching | None = None):
+        self.spark, self.folder, self.want = spark, folder.rstrip("/"), want or matching()
+        _plain(self.want)
         held = self._marker()
-        if held and held["settings"] != settings:
+        if held and held["settings"] != str(self.want):
             raise ValueError("settings changed; scan anew before adding folders")
-        self.settings = settings
 
     def _marker(self) -> dict | None:
-        fs, path = self._fs("marker")
-        if not fs.exists(path):
+        store, path = file_system(self.spark, f"{self.folder}/marker")
+        if not store.exists(path):
             return None
         last = self.spark.read.json(f"{self.folder}/marker").orderBy(F.desc("batch")).first()
         return last.asDict() if last else None
 
-    def _fs(self, name: str):
-        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
-
     def state(self) -> DataFrame | None:
         held = self._marker()
-        return self.spark.read.parquet(f"{self.folder}/state-{held['batch']}") if held else None
+        if not held:
+            return None
+        rows = self.spark.read.parquet(f"{self.folder}/state").where(F.col("batch") <= held["batch"])
+        last = rows.groupBy("path").agg(F.max("batch").alias("batch"))
+        return rows.join(last, ["path", "batch"]).drop("batch")
 
     def groups(self) -> DataFrame | None:
         state = self.state()
-        return None if state is None else members_of(state, self.criteria)
+        return None if state is None else members_of(state, self.want)
 
     def add(self, files: DataFrame, batch: int) -> None:
         held = self._marker()
         if held and held["batch"] >= batch:
             return
-        added = retained(files, self.criteria)
-        state = self.state()
-        whole = added if state is None else state.join(added.select("path"), "path", "left_anti").unionByName(added)
-        whole.write.mode("overwrite").parquet(f"{self.folder}/state-{batch}")
-        marker = self.spark.createDataFrame([(batch, self.settings)], "batch long, settings string")
+        digest = F.sha2("content", 256) if self.want.evidence else F.lit(None).cast("string")
+        rows = files.withColumns(self.want.exact()).withColumn("digest", digest).drop("content")
+        rows.write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch}")
+        marker = self.spark.createDataFrame([(batch, str(self.want))], "batch long, settings string")
         marker.coalesce(1).write.mode("append").json(f"{self.folder}/marker")
-        if held:
-            fs, path = self._fs(f"state-{held['batch']}")
-            fs.delete(path, True)
 
     def start(self, additions: DataFrame, checkpoint: str, **trigger):
         """A streaming query that adds each micro-batch of ``additions``."""
         return additions.writeStream.foreachBatch(lambda df, n: self.add(df, n)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def incremental_groups(old: DataFrame, new: DataFrame, criteria: Criteria) -> DataFrame:
-    """Members of all groups after ``new`` joins ``old``; equal to a scan of both at once."""
-    state, _ = extend(cut(retained(old, criteria)), new, criteria)
-    return members_of(state, criteria)
-
-
-def full_groups(files: DataFrame, criteria: Criteria) -> DataFrame:
-    return duplicate_groups(files, criteria).select("group_id", "path", "size", "digest")
