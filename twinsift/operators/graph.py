@@ -63,7 +63,7 @@ def references(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def numbered(df: DataFrame, *order, first: int = 1) -> DataFrame:
+def numbered(df: DataFrame, *order, first: int = 1, scratch: Scratch | None = None) -> DataFrame:
     """``df`` with ``row``, its place from ``first`` in the given order.
 
     Rows are dealt by range; only each partition's count goes to the driver, and comes back as that partition's
@@ -71,7 +71,8 @@ def numbered(df: DataFrame, *order, first: int = 1) -> DataFrame:
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    held = (scratch or Scratch(spark)).write(dealt)
     counts = {r[0]: r[1] for r in held.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}
     offsets, total = [], first
     for p in sorted(counts):
