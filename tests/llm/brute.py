@@ -21,11 +21,12 @@ def sha(b: bytes) -> str:
 
 
 def top_k(rows, k=20, every=20, scale=64):
-    vectors = {i: [math.floor(scale * float(x)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    vectors = [(i, [math.floor(scale * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted(x for x in vectors if x % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
+    for at, (q, of) in enumerate(vectors):
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(of, v)), i) for n, (i, v) in enumerate(vectors) if n != at)
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return out
 
 

@@ -106,8 +106,26 @@ def test_bounds_hold():
     rng = np.random.default_rng(1)
     q, x = rng.normal(0, 50, (20, 64)), rng.normal(0, 50, (300, 64))
     exact = q @ x.T
-    coarse, fine = (search.bounds(q, x, n) for n in search.LEVELS)
-    assert (coarse >= exact).all() and (fine >= exact).all() and (coarse + 1e-3 >= fine).all()
+    levels = [search.bounds(q, x, n) for n in search.LEVELS]
+    assert all((b >= exact).all() for b in levels) and all((a + 1e-3 >= b).all() for a, b in zip(levels, levels[1:]))
+
+
+def test_bounds_leave_few_products():
+    """Over several tiles of vectors whose energy lies in a few directions, most pairs are never multiplied."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 60, (40, 64)) * np.exp(-np.arange(64) / 6)
+    x = np.floor((centres[rng.integers(0, 40, 6000)] + rng.normal(0, 3, (6000, 64))) @ np.linalg.qr(rng.normal(size=(64, 64)))[0])
+    ids, q = np.arange(6000), np.arange(0, 6000, 20)
+    _, basis = np.linalg.eigh(x.T @ x)
+    counts: dict = {}
+    seeds = rng.choice(6000, 300, replace=False)
+    found = search.search_block(q, x[q], ids, ids, x, 20, np.ascontiguousarray(basis[:, ::-1]), (seeds, x[seeds]), counts=counts)
+    got = {(int(a), int(i), int(s)) for own, i, _, s in found for a, i, s in zip(own, i, s)}
+    scores = x[q] @ x.T
+    scores[np.arange(len(q)), q] = -np.inf
+    want = {(int(q[k]), int(i), int(scores[k, i])) for k in range(len(q)) for i in np.lexsort((ids, -scores[k]))[:20]}
+    assert got == want
+    assert counts["met"] == 300 * 6000 and counts["computed"] < 0.2 * counts["met"]
 
 
 def test_search_on_odd_tables(spark):
@@ -118,6 +136,7 @@ def test_search_on_odd_tables(spark):
     df = spark.createDataFrame([(*v, "x") for v in vectors], "vec_id long, embedding array<float>, score string")
     single = [(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in vectors]
     assert rows(search.top_k(df)) == Counter(brute.top_k(single))
+    assert rows(search.top_k(df, seeds=0)) == Counter(brute.top_k(single))
     few = spark.createDataFrame([(20, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert rows(search.top_k(few)) == Counter([(20, 1, 1, 64 * 128)])
     assert search.top_k(few.where("vec_id > 100")).count() == 0

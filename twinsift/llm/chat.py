@@ -118,6 +118,6 @@ def format_chats(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool
     placed_at = F.when((call & first) | result, F.greatest("turn", "eff")).otherwise(F.col("turn"))
     depth = F.when(call & first, 2 * F.coalesce("level", F.lit(0))).when(result, 2 * F.coalesce("level", F.lit(0)) + 1).otherwise(0)
     shaped = all_rows.select("conv_id", "turn", "kind", "call_id", status.alias("status"), F.concat(head, F.substr(other, F.lit(2))).alias("json"), placed_at.alias("_at"), depth.alias("_depth"), "key")
-    out, _ = numbered(scratch, shaped, "conv_id", "_at", "_depth", "turn", "key")
+    out = numbered(scratch, shaped, "conv_id", "_at", "_depth", "turn", "key")
     turn = F.when(F.col("turn") != -(1 << 62), F.col("turn"))
     return scratch.finish(out.select("row", "conv_id", turn.alias("turn"), "kind", "call_id", "status", "json"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.scratch import NULL_ID, Scratch
+from twinsift.operators.graph import components
 
 BINS, BANDS = 128, 32
 SHINGLE = 5
@@ -115,28 +116,6 @@ def _set_rows(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
-def components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """(id, label): the least id reachable over links (a, b), by alternating large-star and small-star rounds.
-
-    Each round is a minimum per node and a join; no node's neighbours are gathered.
-    """
-    edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after = scratch.write(small.where("u <> v").distinct())
-        scratch.drop(edges)
-        edges = after
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
-        mark = now
-
-
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b), those whose full sets are similar enough."""
     full = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
@@ -205,7 +184,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, scratch: Scratch |
         """``labels`` (id, met, label) after further links, and how many labels these did away with."""
         at = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
         tied = links.join(at("a"), "a").join(at("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct()
-        to = components(scratch, tied).select(F.col("id").alias("label"), F.col("label").alias("_to"))
+        to = components(tied, scratch).select(F.col("id").alias("label"), F.col("label").alias("_to"))
         return scratch.write(labels.join(to, "label", "left").select("id", "met", F.coalesce("_to", "label").alias("label"))), to.count()
 
     def held_apart(named: DataFrame) -> DataFrame:

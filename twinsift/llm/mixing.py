@@ -33,7 +33,8 @@ def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[float, ...], shar
     the others, until none is above its limit: the level at which this ends is found from sums, one round per
     further group of sources that reach their limit.
     """
-    ranked, n = numbered(scratch, sizes, F.col("source").asc_nulls_last())
+    ranked = numbered(scratch, sizes, F.col("source").asc_nulls_last())
+    n = ranked.count()
     weight = F.lit(float(weights[-1]))
     for k, w in enumerate(weights[:-1]):
         weight = F.when(F.col("row") % len(weights) == k, F.lit(float(w))).otherwise(weight)

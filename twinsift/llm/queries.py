@@ -105,9 +105,9 @@ _LINES = f"{_ROWS}, s AS (SELECT rid, doc_id, string_split(t, chr(10)) AS s FROM
 #: SQL for the operators whose rows it can give.
 ORACLE_SQL: dict[str, str] = {
     "op3_top_k": (
-        "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
-        "p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id), "
-        "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20"
+        "WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+        "p AS (SELECT q.rid AS q, v.rid, q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.rid <> v.rid), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, rid) AS rank FROM p) SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20"
     ),
     "op7_near_duplicates": (
         f"WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents), "

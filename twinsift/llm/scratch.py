@@ -1,76 +1,16 @@
-"""Intermediate tables in the folder that the cluster shares, and packed blocks of documents."""
+"""Packed blocks of documents, and places in a global order, over tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NULL_ID = np.iinfo(np.int64).max
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or else the folder set on the context; only where neither is set (tests), a new one."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="twinsift-")
-        context.setCheckpointDir(folder)
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Writes tables that cut lineage; ``drop`` frees the ones that are no longer read.
+from twinsift.operators.graph import numbered as numbered_from
+from twinsift.scratch import Scratch
 
-    Files live in the shared folder, so a lost executor costs a re-read and not a recomputation.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.folder = f"{shared_folder(spark)}/twinsift-{uuid.uuid4().hex}"
-        self._n = 0
-        self._tables: list[str] = []
-
-    def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        self._n += 1
-        path = f"{self.folder}/{self._n}"
-        df.write.option("compression", codec).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def write_bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
-        """A table bucketed by ``key``: later joins on it don't move its rows."""
-        name = f"twinsift_{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").format("parquet").bucketBy(buckets, key).saveAsTable(name)
-        self._tables.append(name)
-        return self.spark.table(name)
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            if path := getattr(df, "_scratch_path", None):
-                self._delete(path)
-
-    def finish(self, result: DataFrame) -> DataFrame:
-        """Writes ``result`` and drops everything that led to it."""
-        before = self._n
-        out = self.write(result)
-        for i in range(1, before + 1):
-            self._delete(f"{self.folder}/{i}")
-        for name in self._tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self._tables = []
-        return out
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+NULL_ID = np.iinfo(np.int64).max
 
 
 BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, ids binary, lens binary, text binary"
@@ -128,21 +68,6 @@ def document_blocks(scratch: Scratch, documents: DataFrame, block_bytes: int, bu
     return scratch.write_bucketed(blocks, "block", buckets)
 
 
-def numbered(scratch: Scratch, df: DataFrame, *order) -> tuple[DataFrame, int]:
-    """``df`` with ``row``, its place from 0 in the given order, and the count of rows.
-
-    Rows are dealt by range; only each partition's count goes to the driver, and comes back as that partition's
-    offset. ``df`` is written once on the way, so that a second reading can't deal it otherwise.
-    """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    held = scratch.write(dealt)
-    counts = {r[0]: r[1] for r in held.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}
-    offsets, total = [], 0
-    for p in sorted(counts):
-        offsets.append((p, total))
-        total += counts[p]
-    table = spark.createDataFrame(offsets, "_p long, _offset long")
-    out = held.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(table), "_p")  # a row per partition
-    return out.withColumn("row", F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_at", "_offset"), total
+def numbered(scratch: Scratch, df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``row``, its place from 0 in the given order."""
+    return numbered_from(df, *order, first=0, scratch=scratch)
