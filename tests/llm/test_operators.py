@@ -204,6 +204,23 @@ def test_suffixes_are_in_order():
             assert n == next((k for k in range(12) if x[k] != y[k]), 12)
 
 
+def test_phrases_in_varying_surroundings(spark):
+    """A hash that many different segments have is split, and no repeat between them is lost."""
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    phrase, shared = "the same phrase of thirty bytes", [noise(40) for _ in range(6)]
+    texts = [(k, noise(30) + r.choice(shared) + phrase + r.choice(shared) + noise(30)) for k in range(150)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for hot in (1, 4, 1 << 15):
+        out = substrings.remove_repeats(df, 50, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+        assert rows(out) == Counter(brute.substrings(texts))
+    block = {"ids": np.arange(150).tobytes(), "lens": np.array([len(t) for _, t in texts]).tobytes(), "text": "".join(t for _, t in texts).encode()}
+    b = substrings.Block(block, 50, 64)
+    windows = b.count.sum()
+    b.split(np.ones(len(b.hash), bool))
+    assert b.count.sum() == windows and (b.bucket == substrings.bucket_of(b.hash, 64)).all()
+
+
 def test_runs_of_one_byte(spark):
     texts = [(1, "-" * 300), (2, "x" + "-" * 120 + "y"), (3, "-" * 50), (4, "-" * 49), (5, "z" * 60 + "-" * 60), (6, "a" * 55 + "-" * 70)]
     df = spark.createDataFrame(texts, "doc_id long, text string")

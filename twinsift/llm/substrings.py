@@ -2,8 +2,9 @@
 
 Equal windows of ``width`` bytes have the same least k-mer hash. Each document is cut into segments, the longest
 runs of windows with the same least hash; a segment's hash decides the bucket in which it is sorted, so equal
-windows always meet. Hashes that only one document has are sorted out first by exchanging the hashes alone. In a
-bucket the distinct segments form one text, whose needed suffixes are sorted in two stages: those smaller than
+windows always meet. Hashes that only one document has are sorted out first by exchanging the hashes alone. A hash
+that very many different segments have, as a short phrase in varying surroundings gives, is split by further hashes of
+the windows. In a bucket the distinct segments form one text, whose needed suffixes are sorted in two stages: those smaller than
 their successors directly, by their first ``width`` bytes, and the others by scans over the buckets of first bytes.
 Adjacent suffixes whose common prefix reaches ``width`` hold the same window.
 
@@ -26,6 +27,11 @@ K = 16
 #: Bytes of text per bucket of the exchanges, and the least number of buckets.
 BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 64
+#: Buckets that one task sorts, one after the other, at most on average.
+TASK_BUCKETS = 16
+#: Different segments of one hash, counted up to a factor of two, from which it is split, and the hashes that split it.
+HOT_SEGMENTS = 1 << 15
+SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
 def words_at(text: np.ndarray, n: int) -> np.ndarray:
@@ -37,7 +43,7 @@ def padded(data: bytes) -> np.ndarray:
     return np.frombuffer(data + bytes(64), np.uint8)
 
 
-def least_hashes(data: bytes, width: int) -> np.ndarray:
+def least_hashes(data: bytes, width: int, salt: int = 0) -> np.ndarray:
     """For each window of ``width`` bytes the least hash of the k-mers in it."""
     n = len(data) - width + 1
     if n <= 0:
@@ -46,6 +52,7 @@ def least_hashes(data: bytes, width: int) -> np.ndarray:
     w = mixed(words_at(padded(data), len(data)))
     count = len(data) - k + 1
     h = mixed(w[:count] * np.uint64(3) + w[k - 8 : k - 8 + count]) if k > 8 else w[:count]
+    h = mixed(h ^ np.uint64(salt)) if salt else h
     span, size = width - k + 1, 1
     while 2 * size <= span:
         h = np.minimum(h[:-size], h[size:])
@@ -93,15 +100,18 @@ def two_stage_sort(text: np.ndarray, n: int, needed: np.ndarray, depth: int) ->
     first = direct_sort(words_at(text, n), first, depth)
     head = text[first]
     larger = needed & ~small
+    # how many places before each are larger suffixes of the same byte, one after the other
+    same = np.append(larger[:-1] & (text[: n - 1] == text[1:n]), False)
+    run = np.arange(n) - 1 - np.append(-1, np.maximum.accumulate(np.where(same, -1, np.arange(n)))[:-1])
     waiting: dict[int, list[np.ndarray]] = {}
     out = []
     for c in np.flatnonzero(np.bincount(text[:n][needed], minlength=256)):
         layer = np.concatenate(waiting.pop(int(c), [np.empty(0, np.int64)]))
-        scan = []
-        while len(layer):  # the larger suffixes of this bucket; a run of one byte adds a layer for each place
-            scan.append(layer)
-            p = layer[layer > 0] - 1
-            layer = p[larger[p] & (text[p] == c)]
+        # the larger suffixes of this bucket: of a run of its byte the shortest come first, each in the order of its end
+        times = run[layer] + 1
+        back = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        o = np.argsort(back, kind="stable")
+        scan = [(np.repeat(layer, times) - back)[o]]
         scan.append(first[np.searchsorted(head, c) : np.searchsorted(head, c, side="right")])
         scan = np.concatenate(scan)
         out.append(scan)
@@ -199,29 +209,59 @@ class Block:
         self.bucket = bucket_of(self.hash, buckets)
         self.width, self.buckets = width, buckets
 
+    def by_bucket(self, h: np.ndarray):
+        """(bucket, places in ``h``), each bucket once."""
+        b = bucket_of(h, self.buckets)
+        order = np.argsort(b, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
+            if len(part):
+                yield int(b[part[0]]), part
+
     def hashes(self):
-        """(bucket, sorted distinct hashes, whether several of the block's ids have each)."""
+        """(bucket, sorted distinct hashes, facts): whether several of the block's ids have each, in the highest bit,
+        and in the others the length in bits of the number of its segments that begin or end otherwise."""
         h, inverse = np.unique(self.hash, return_inverse=True)
         ids = self.ids[self.doc]
         low, high = np.full(len(h), NULL_ID), np.full(len(h), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, ids)
         np.maximum.at(high, inverse, ids)
-        b = bucket_of(h, self.buckets)
-        for k in np.unique(b):
-            m = b == k
-            yield int(k), h[m], (low != high)[m]
+        w = words_at(padded(self.data), len(self.data))
+        ends = mixed(w[self.start] * np.uint64(3) + mixed(w[self.start + self.count + self.width - 9] + self.count.astype(np.uint64)))
+        other = np.unique(mixed(ends ^ self.hash) ^ self.hash, return_index=True)[1]
+        n = np.bincount(inverse[other], minlength=len(h))
+        facts = (np.frexp(np.maximum(n, 1))[1] | (low != high) * 128).astype(np.uint8)
+        for bucket, part in self.by_bucket(h):
+            yield bucket, h[part], facts[part]
+
+    def split(self, hot: np.ndarray) -> None:
+        """Cuts the segments ``hot`` wherever further hashes of their windows change, and hashes them anew."""
+        start, count = self.start[hot], self.count[hot]
+        of = np.repeat(np.arange(len(start)), count)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + start[of]
+        key = self.hash[hot][of]
+        for salt in SALTS:
+            key = mixed(key * np.uint64(3) + least_hashes(self.data, self.width, salt)[at])
+        first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (key[1:] != key[:-1])))
+        joined = lambda old, new: np.concatenate([old[~hot], new])
+        self.doc = joined(self.doc, self.doc[hot][of[first]])
+        self.start, self.count = joined(self.start, at[first]), joined(self.count, np.diff(np.append(first, len(of))))
+        self.hash = joined(self.hash, key[first])
+        self.bucket = bucket_of(self.hash, self.buckets)
 
     def shared(self, bits: list[dict] | None):
         """bucket -> (distinct segments, least id of each, [(distinct number, start, id)])."""
         verdict = {r["bucket"]: r["bits"] for r in bits or []}
         h, inverse = np.unique(self.hash, return_inverse=True)
-        b = bucket_of(h, self.buckets)
-        yes = np.zeros(len(h), bool)
-        for k in np.unique(b):
-            m = np.flatnonzero(b == k)
-            if int(k) in verdict:
-                yes[m] = np.unpackbits(np.frombuffer(verdict[int(k)], np.uint8), count=len(m)).astype(bool)
-        live = np.flatnonzero(yes[inverse])
+        told = np.zeros(len(h), np.uint8)
+        for bucket, part in self.by_bucket(h):
+            if bucket in verdict:
+                told[part] = np.frombuffer(verdict[bucket], np.uint8)
+        told = told[inverse]
+        live = told > 0
+        if (hot := told > 1).any():
+            self.split(hot)
+            live = np.concatenate([live[~hot], np.ones(len(self.hash) - np.count_nonzero(~hot), bool)])
+        live = np.flatnonzero(live)
         live = live[np.argsort(self.bucket[live], kind="stable")]
         out = {}
         data, width = self.data, self.width
@@ -248,37 +288,43 @@ def _rows(batches):
             yield {name: b.column(name)[k].as_py() for name in b.schema.names}
 
 
-def remove_repeats(documents: DataFrame, width: int = 50, scratch: Scratch | None = None) -> DataFrame:
+def remove_repeats(documents: DataFrame, width: int = 50, scratch: Scratch | None = None, hot: int = HOT_SEGMENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: each text without the bytes that ``width``-byte strings of
     documents with smaller ids cover.
 
     Texts are UTF-8 bytes and ``kept`` is binary, as a cut may part a character. Null texts are empty; null ids
-    count as the largest id and stay null; rows that share an id are not held against each other. An empty table
-    gives no rows. ``width`` must be at least 9.
+    count as the largest id and stay null; rows that share an id are not held against each other. Only doc_id
+    and text are read. An empty table gives no rows. ``width`` must be at least 9. From ``hot`` different segments a
+    hash is split.
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark)
     blocks = document_blocks(scratch, documents, BLOCK_BYTES)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
+    tasks = -(-buckets // TASK_BUCKETS)
+    many = tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_bucket = lambda df: (df.repartition(tasks, "bucket") if many else df).groupBy("bucket")
 
     def hashes(batches):
         for row in _rows(batches):
             block = Block(row, width, buckets)
-            out = [(row["block"], k, h.tobytes(), np.packbits(m).tobytes()) for k, h, m in block.hashes()]
+            out = [(row["block"], k, h.tobytes(), m.tobytes()) for k, h, m in block.hashes()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "bucket", "hashes", "several"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "bucket", "hashes", "facts"])
 
     def verdicts(t: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(t.column("several").to_pylist(), parts, strict=True)]
+        facts = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("facts").to_pylist()])
         h, inverse, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        yes = n > 1
-        yes[inverse[np.concatenate(several) == 1]] = True
-        bits = np.split(yes[inverse], np.cumsum([len(p) for p in parts])[:-1])
-        return pa.table([t.column("block"), t.column("bucket"), pa.array([np.packbits(x).tobytes() for x in bits])], names=["block", "bucket", "bits"])
-
-    told = blocks.mapInArrow(hashes, "block long, bucket long, hashes binary, several binary").groupBy("bucket").applyInArrow(verdicts, "block long, bucket long, bits binary")
+        verdict = (n > 1).astype(np.uint8)
+        verdict[inverse[facts > 127]] = 1
+        other = np.bincount(inverse, np.ldexp(0.5, (facts & 127).astype(int)), len(h))
+        verdict[(verdict > 0) & (other >= hot)] = 2
+        bits = np.split(verdict[inverse], np.cumsum([len(p) for p in parts])[:-1])
+        return pa.table([t.column("block"), t.column("bucket"), pa.array([x.tobytes() for x in bits])], names=["block", "bucket", "bits"])
+
+    told = by_bucket(blocks.mapInArrow(hashes, "block long, bucket long, hashes binary, facts binary")).applyInArrow(verdicts, "block long, bucket long, bits binary")
     told = scratch.write(told.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("verdict")))
     known = blocks.join(told.hint("shuffle_hash"), "block", "left")
 
@@ -319,7 +365,7 @@ def remove_repeats(documents: DataFrame, width: int = 50, scratch: Scratch | Non
         return pa.table([t.column("block"), t.column("bucket"), pa.array(full), pa.array(runs)], names=["block", "bucket", "full", "runs"])
 
     sent = known.mapInArrow(shipped, "block long, bucket long, parts binary, lens binary, least binary")
-    back = sent.groupBy("bucket").applyInArrow(sort_bucket, "block long, bucket long, full binary, runs binary")
+    back = by_bucket(sent).applyInArrow(sort_bucket, "block long, bucket long, full binary, runs binary")
     back = scratch.write(back.groupBy("block").agg(F.collect_list(F.struct("bucket", "full", "runs")).alias("runs")))
 
     def removed(batches):
