@@ -85,9 +85,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_common_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    out = lines.line_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+    return out.select("document.doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
