@@ -1,9 +1,11 @@
 """Byte-level BPE as a streaming transducer, with an incremental decoder.
 
-A merge list is read from a tokenizer file. ``sufficient_lookahead`` computes how many bytes past a token
-boundary can still change it; a stream keeps that many bytes and emits every earlier token at once, so memory
-does not grow with the text. Texts are first cut into pieces by the tokenizer's word pattern; a piece that
-outgrows the window is itself streamed.
+A merge list is read from a tokenizer file. ``sufficient_lookahead`` computes how many bytes past a token boundary can
+still change it; a stream keeps that many bytes and emits every earlier token at once. Texts come in blocks and are cut
+into pieces by the tokenizer's word pattern, each piece as soon as it is settled; no piece is held in whole but those
+that are shorter than the window, which a bounded memo answers for, and whatever outgrows it (a run of letters, signs
+or white space) goes through the transducer as it comes. Tokens go on to the decoder and to digests block by block, so
+beyond a text as Spark hands it over and the row that it becomes, nothing grows with its length.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -25,7 +29,7 @@ BLOCK_CHARS = 1 << 16
 #: A piece of more characters is streamed through the transducer and not remembered.
 LONG_PIECE = 256
 #: Entries of the memo of short pieces; it starts anew when full, which changes speed only.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -102,6 +106,7 @@ class Vocabulary:
         self.spaces = "".join(regex.escape(c) for c in regex.findall(r"\s", every))
         self.chunk = re.compile(rf" ?[^{self.spaces}]+|[{self.spaces}]+(?![^{self.spaces}])|[{self.spaces}]+")
         self.runs = [regex.compile(rf"(?V1){c}*") for c in (letter, number, other)]
+        self.white = regex.compile(r"(?V1)\s*")
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.special_reach = max(map(len, self.special), default=0)
 
@@ -268,8 +273,10 @@ class Encoder:
         out: list[int] = []
         if self.long is not None:
             end = self.run.match(self.held).end()
-            out += self.long.feed(self.held[:end].encode())
             more = end == len(self.held) and not last
+            if self.run is self.v.white and (more or end < len(self.held)):
+                end -= 1  # the last white character before a word is not of the run's piece
+            out += self.long.feed(self.held[:end].encode())
             self.held = self.held[end:]
             if more:
                 return out
@@ -290,8 +297,10 @@ class Encoder:
 
     def _start_long(self) -> list[int]:
         """The held piece is long: streams all of it that is certain to be one piece."""
-        if self.held.isspace():
-            return []  # one piece, but its last character may join the next; it stays held as text
+        if self.v.white.match(self.held).end() == len(self.held):
+            self.run, self.long = self.v.white, PieceStream(self.v)
+            data, self.held = self.held[:-1], self.held[-1:]
+            return self.long.feed(data.encode())
         at = 1 if self.held[0] == " " else 0
         for run in self.v.runs:
             if run.match(self.held, at).end() == len(self.held):
@@ -357,15 +366,60 @@ def _unfinished(tail: bytes) -> bool:
     return False
 
 
-def encode(text: str, vocabulary: Vocabulary, memo: Memo | None = None, block: int = BLOCK_CHARS) -> list[int]:
+def encode_blocks(text: str, vocabulary: Vocabulary, memo: Memo | None = None, block: int = BLOCK_CHARS) -> Iterator[list[int]]:
+    """Token ids of a text, block by block as they are settled."""
     encoder = Encoder(vocabulary, memo)
-    if len(text) <= block:
-        encoder.held = text
-        return encoder.finish()
-    out: list[int] = []
-    for at in range(0, len(text), block):
-        out += encoder.feed(text[at : at + block])
-    return out + encoder.finish()
+    for at in range(0, len(text) - block, block):
+        yield encoder.feed(text[at : at + block])
+    encoder.held += text[max(0, -(-len(text) // block) - 1) * block :]
+    yield encoder.finish()
+
+
+def encode(text: str, vocabulary: Vocabulary, memo: Memo | None = None, block: int = BLOCK_CHARS) -> list[int]:
+    return list(chain.from_iterable(encode_blocks(text, vocabulary, memo, block)))
+
+
+class Kept:
+    """What a row with tokens and text becomes: both are gathered, as the row holds them."""
+
+    def __init__(self):
+        self.ids: list[int] = []
+        self.decoded: list[str] = []
+
+    def add(self, ids: list[int], decoded: str) -> None:
+        self.ids += ids
+        self.decoded.append(decoded)
+
+    def row(self, i) -> tuple:
+        return i, self.ids, "".join(self.decoded)
+
+
+class Ids(Kept):
+    """Tokens alone."""
+
+    def add(self, ids: list[int], decoded: str) -> None:
+        self.ids += ids
+
+    def row(self, i) -> tuple:
+        return i, len(self.ids), self.ids
+
+
+class Digests:
+    """A count and two digests, fed block by block."""
+
+    names = Names()
+
+    def __init__(self):
+        self.n, self.of_ids, self.of_text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids: list[int], decoded: str) -> None:
+        if ids:
+            self.of_ids.update(("," if self.n else "").encode() + ",".join(map(self.names.__getitem__, ids)).encode())
+            self.n += len(ids)
+        self.of_text.update(decoded.encode())
+
+    def row(self, i) -> tuple:
+        return i, self.n, self.of_ids.hexdigest(), self.of_text.hexdigest()
 
 
 def encode_documents(documents: DataFrame, spec: str) -> DataFrame:
@@ -374,40 +428,42 @@ def encode_documents(documents: DataFrame, spec: str) -> DataFrame:
     Null texts count as empty and give no token. Repeated rows, null ids and further columns change nothing:
     each row is encoded alone and only doc_id and text are read. An empty table gives an empty result.
     """
-    return _apply(documents, spec, "doc_id long, token_ids array<int>, decoded string", lambda i, ids, decoded: (i, ids, decoded))
+    return _apply(documents, spec, "doc_id long, token_ids array<int>, decoded string", Kept)
 
 
 def token_documents(documents: DataFrame, spec: str) -> DataFrame:
     """As ``encode_documents``, without the decoded text: doc_id, n_tokens, token_ids."""
-    return _apply(documents, spec, "doc_id long, n_tokens long, token_ids array<int>", lambda i, ids, decoded: (i, len(ids), ids))
+    return _apply(documents, spec, "doc_id long, n_tokens long, token_ids array<int>", Ids)
 
 
 def digest_documents(documents: DataFrame, spec: str) -> DataFrame:
     """As ``encode_documents``, with counts and digests in place of tokens and text."""
+    return _apply(documents, spec, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", Digests)
 
-    names = Names()
-
-    def row(i, ids, decoded):
-        return i, len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
-    return _apply(documents, spec, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+@lru_cache(maxsize=1)
+def _tools(spec: str) -> tuple[Vocabulary, Memo, dict]:
+    """A vocabulary, its memo and the decoder's steps, once per worker process and not per task."""
+    vocabulary = Vocabulary(spec)
+    return vocabulary, Memo(vocabulary), {}
 
 
-def _apply(documents: DataFrame, spec: str, schema: str, row) -> DataFrame:
+def _apply(documents: DataFrame, spec: str, schema: str, sink: type) -> DataFrame:
     shipped = documents.sparkSession.sparkContext.broadcast(spec)
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
     def run(batches):
-        vocabulary = Vocabulary(shipped.value)
-        memo, steps = Memo(vocabulary), {}
+        vocabulary, memo, steps = _tools(shipped.value)
         for batch in batches:
             rows, size = [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "", vocabulary, memo)
-                decoder = Decoder(vocabulary.bytes_of, steps)
-                rows.append(row(i, ids, decoder.feed(ids) + decoder.finish()))
-                size += len(ids)
+                out, decoder = sink(), Decoder(vocabulary.bytes_of, steps)
+                for ids in encode_blocks(text.as_py() or "", vocabulary, memo):
+                    out.add(ids, decoder.feed(ids))
+                    size += len(ids)
+                out.add([], decoder.finish())
+                rows.append(out.row(i))
                 if size > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow, strict=True)], schema=arrow)
                     rows, size = [], 0
