@@ -56,7 +56,7 @@ def test_classes_of_all_code_points(vocabulary, library):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "'", "'re", "é", "1", "!!", "<|endoftext|>", "<|end", "\t", "漢", "😀", "ab" * 300, " " * 400, "-" * 700, "\x1c", "\x85"]), max_size=40), st.integers(1, 60))
+@given(st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "'", "'re", "é", "1", "!!", "<|endoftext|>", "<|end", "\t", "漢", "😀", "ab" * 300, " " * 400, "\n" * 900, " \t" * 300, "-" * 700, "\x1c", "\x85", "\u3000" * 500]), max_size=40), st.integers(1, 60))
 def test_streaming_equals_the_library(vocabulary, library, parts, block):
     s = "".join(parts)
     want = library.encode(s, add_special_tokens=False).ids
@@ -65,6 +65,18 @@ def test_streaming_equals_the_library(vocabulary, library, parts, block):
     assert "".join(d.feed([i]) for i in want) + d.finish() == library.decode(want, skip_special_tokens=False) == s
 
 
+@pytest.mark.parametrize("unit", ["x", " ", "\n", "-", "ab ", "漢"])
+def test_nothing_is_held_of_a_long_run(vocabulary, library, unit):
+    encoder, out, most = bpe.Encoder(vocabulary), [], 0
+    for _ in range(40):
+        out += encoder.feed(unit * 500)
+        most = max(most, len(encoder.held) + (len(encoder.long.held) if encoder.long else 0))
+    out += encoder.finish()
+    assert most <= 8 * vocabulary.lookahead + 3 * bpe.LONG_PIECE
+    if unit != "x":  # the library takes long over a long word
+        assert out == library.encode(unit * 20_000, add_special_tokens=False).ids
+
+
 def test_ill_formed_tokens_decode_as_the_library_does(vocabulary, library):
     r = random.Random(4)
     for _ in range(300):
@@ -241,13 +253,60 @@ def test_language_model(spark, odd, empty, odd_rows, documents):
     assert lm.score_documents(empty).count() == 0
     df = spark.createDataFrame(documents, "doc_id long, text string")
     held = [r for r in lm.score_documents(df).collect() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    n = sum(r.n_tokens for r in held)
+    assert sum(r.score for r in held) / n > sum(r.base_score for r in held) / n + 0.1
+
+
+def some_outputs(words=300):
+    rng = np.random.default_rng(0)
+    return lm.Outputs(rng.integers(1, 1 << 63, words, dtype=np.uint64), np.arange(words, 0, -1.0), {e: (e % 7 + 1, e % 3 + 1) for e in range(500)})
 
 
 def test_probabilities_are_normalised():
-    pairs = np.random.default_rng(0).poisson(0.05, (lm.OUTPUTS, lm.OUTPUTS)).astype(float)
-    logs = lm.log_probabilities(*lm.train(pairs))
-    assert np.allclose((10**logs).sum(axis=1), 1)
+    """Over all outputs, and over the words and one unknown word of a shared output."""
+    outputs = some_outputs()
+    model, rng = lm.Model(outputs), np.random.default_rng(1)
+    model.flat += rng.normal(0, 1, len(model.flat)).astype(np.float32)
+    for before in rng.integers(0, outputs.size, (5, lm.CONTEXT)):
+        logs = lm.log_probabilities(model, outputs, np.repeat(before[None], outputs.size, 0), np.arange(outputs.size))
+        h = model.contexts(before[None])[0]
+        plain = np.exp(model.part["class"] @ h + model.part["class_bias"])
+        for w in range(0, outputs.size, 37):
+            c = outputs.class_of[w]
+            inside = np.exp(model.part["word"][outputs.members[c]] @ h + model.part["word_bias"][outputs.members[c]])
+            assert logs[w] == pytest.approx(np.log10(plain[c] / plain.sum() * inside[outputs.place[w]] / inside.sum()), abs=1e-4)
+        assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
+    tails = {e: (e % 7 + 1, e % 3 + 1) for e in range(500)}
+    for k in range(outputs.tail):
+        words = [(n, v) for e, (n, v) in tails.items() if e % outputs.tail == k]
+        assert sum(n + 0.5 * v for n, v in words) + 0.5 == outputs.shares[k]
+
+
+def test_noise_contrastive_estimation_learns_what_follows():
+    """Each output is followed by one of two: the model finds which, and its size follows the corpus."""
+    outputs, rng = some_outputs(60), np.random.default_rng(2)
+    text = [0]
+    for _ in range(60_000):
+        text.append((text[-1] * 2 + int(rng.integers(2))) % 60)
+    text = np.array(text)
+    before = np.stack([np.append(np.zeros(j + 1, int), text[: -j - 1]) for j in range(lm.CONTEXT)], axis=1)
+    model = lm.Model(outputs)
+    learner = lm.Learner(model, outputs)
+    for _ in range(3):
+        for at in range(0, len(text), lm.BATCH):
+            learner.learn(before[at : at + lm.BATCH], text[at : at + lm.BATCH], rng)
+    mean = lm.log_probabilities(model, outputs, before, text).mean()
+    assert np.log10(0.5) - 0.15 < mean < 0 and mean > np.log10(outputs.unigram[text]).mean() + 0.8
+    assert [lm.size_of_vocabulary(n) for n in (0, 10**8, 10**12)] == [lm.LEAST_WORDS, 2500, 250_000]
+
+
+def test_contexts_stay_within_their_text():
+    texts = [b"a b c", b"", b"d e"]
+    row = {"ids": np.arange(3).tobytes(), "lens": np.array([len(t) for t in texts]).tobytes(), "text": b"".join(texts)}
+    t, outputs = lm.Tokens(row), some_outputs()
+    before, now = t.with_contexts(outputs)
+    a, b, c, d, e = (int(now[k]) for k in (0, 1, 2, 5, 6))
+    assert before.tolist() == [[0, 0, 0], [a, 0, 0], [b, a, 0], [c, b, a], [0, 0, 0], [0, 0, 0], [d, 0, 0], [e, d, 0]]
 
 
 # near-duplicates
@@ -338,25 +397,45 @@ def test_shards_are_even(spark):
 # lines
 
 
-def test_lines_on_odd_tables(odd, empty, odd_rows):
-    out = lines.drop_common_lines(odd, min_docs=4)
-    assert out.columns[: len(odd.columns)] == odd.columns
-    got = out.select("doc_id", "_n_lines", "_n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256))
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_lines_on_odd_tables(odd, empty, odd_rows, broadcast):
+    out = lines.line_report(odd, min_docs=4, broadcast=broadcast)
+    got = out.select("document.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256))
     assert rows(got) == Counter(brute.lines(pairs(odd_rows), 4))
-    assert lines.drop_common_lines(empty).count() == 0
+    kept = lines.drop_common_lines(odd.withColumn("n_lines", F.lit(-1)), min_docs=4, broadcast=broadcast)
+    assert kept.columns == [*odd.columns, "n_lines"] and {r.n_lines for r in kept.collect()} == {-1}
+    assert lines.drop_common_lines(empty, broadcast=broadcast).count() == 0
 
 
 def test_levels_are_merged(spark):
-    from twinsift.llm.scratch import Scratch
-
-    runs = lines.LineRuns(Scratch(spark), 3, fan_out=2)
-    for k in range(7):
-        runs.add(spark.createDataFrame([(k, 1), (k + 1, 1), (99, 2)], "hash long, n_docs long"))
-    assert {r[0] for r in runs.finish().collect()} == {99}
-    runs = lines.LineRuns(Scratch(spark), 2, fan_out=3)
-    for k in range(7):
-        runs.add(spark.createDataFrame([(k, 1), (k + 1, 1)], "hash long, n_docs long"))
-    assert {r[0] for r in runs.finish().collect()} == set(range(1, 7))
+    def found(batches, least):
+        runs = lines.LineRuns(Scratch(spark), least)
+        for rows_ in batches:
+            runs.add(spark.createDataFrame([(bytes([h]), n) for h, n in rows_], "hash binary, n_docs long"))
+        assert sum(r is not None for r in runs.levels) == bin(len(batches)).count("1")
+        return {r[0][0] for r in runs.finish().collect()}
+
+    assert found([[(k, 1), (k + 1, 1), (99, 2)] for k in range(7)], 3) == {99}
+    assert found([[(k, 1), (k + 1, 1)] for k in range(6)], 2) == set(range(1, 6))
+    assert found([], 2) == set()
+
+
+def test_batches_meet_runs_without_moving_them(spark):
+    """A run is read as it lies: the only exchange is the batch's own."""
+    runs = lines.LineRuns(Scratch(spark), 2)
+    one = spark.createDataFrame([(bytes([h]), 1) for h in range(50)], "hash binary, n_docs long")
+    runs.add(one)
+    batch = one.groupBy("hash").agg(F.sum("n_docs").alias("n_docs"))
+    plan = batch.join(runs.levels[0].where("n_docs >= 2").select("hash").hint("merge"), "hash", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1
+
+
+def test_found_lines_with_equal_halves():
+    half = lambda k: k.to_bytes(8, "little")
+    found = lines.Found(b"".join(half(a) + half(b) for a, b in [(1, 5), (1, 7), (1, 9), (3, 5)]))
+    asked = [(1, 5), (1, 6), (1, 9), (3, 5), (3, 7), (0, 0), (9, 9)]
+    assert found.has([half(a) + half(b) for a, b in asked]).tolist() == [True, False, True, True, False, False, False]
+    assert not lines.Found(b"").has([half(1) + half(2)]).any()
 
 
 # rules
