@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -128,3 +129,73 @@ def targets(sizes: dict, weights=(5, 2, 1), share=1.5, most=2):
             left -= out[s]
             live.remove(s)
     return out
+
+
+def chats(messages, tools):
+    """(row, conv_id, turn, kind, call_id, status, json) of messages in their order; each a dict."""
+    kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+    rows = [m | {"key": k, "at": -math.inf if m["turn"] is None else m["turn"]} for k, m in enumerate(messages)]
+    first = {"call": {}, "result": {}}
+    for m in sorted(rows, key=lambda m: (m["at"], m["key"])):
+        if m["kind"] in first and m["conv_id"] is not None and m["call_id"] is not None:
+            first[m["kind"]].setdefault((m["conv_id"], m["call_id"]), m)
+    calls, results = first["call"], first["result"]
+    last = {i: max(m["at"], results[i]["at"]) if i in results else m["at"] for i, m in calls.items()}
+    needs = {i: {(i[0], x) for x in m["after"] or []} for i, m in calls.items()}
+    known = {i: {x for x in n if x in calls} for i, n in needs.items()}
+    placed = {}
+    if any(last[x] >= calls[i]["at"] for i, n in known.items() for x in n):
+        level = 0
+        while ready := [i for i in calls if i not in placed and known[i] <= placed.keys()]:
+            placed |= {i: (max([calls[i]["at"], *(max(placed[x][0], last[x]) for x in known[i])]), level) for i in ready}
+            level += 1
+    else:
+        placed = {i: (m["at"], 0) for i, m in calls.items()}
+
+    def parsed(text):
+        try:
+            return json.loads(text)
+        except (TypeError, ValueError):
+            return text
+
+    def fits(name, v):
+        of = tools[name]
+        right = lambda x, kind: isinstance(x, kinds[kind]) and (kind in ("boolean",) or not isinstance(x, bool))
+        return isinstance(v, dict) and v.keys() <= of.keys() and all(right(v[a], kind) if a in v else not required for a, (kind, required) in of.items())
+
+    plain = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    out = []
+    for m in rows:
+        i, kind = (m["conv_id"], m["call_id"]), m["kind"]
+        linked = None not in i
+        status, at, depth = "ok", m["at"], 1 if kind == "result" else 0
+        body = {"role": m["role"], "text": m["text"]}
+        if kind == "call":
+            v = parsed(m["arguments"])
+            body |= {"arguments": v, "call_id": m["call_id"], "name": m["name"]}
+            if not linked:
+                status = "unidentified"
+            elif calls[i] is not m:
+                status = "duplicate"
+            else:
+                at, depth = placed[i][0] if i in placed else at, 2 * placed[i][1] if i in placed else 0
+                if needs[i] - known[i]:
+                    status = "missing_need"
+                elif i not in placed:
+                    status = "circle"
+                elif m["name"] not in tools:
+                    status = "unknown_tool"
+                elif not fits(m["name"], v):
+                    status = "bad_arguments"
+                elif i not in results:
+                    status = "unanswered"
+        elif kind == "result":
+            body |= {"call_id": m["call_id"]}
+            if not linked or i not in calls:
+                status = "orphan"
+            else:
+                at, depth = max(at, placed[i][0]) if i in placed else at, 2 * placed[i][1] + 1 if i in placed else 1
+                if results[i] is not m:
+                    status = "repeated"
+        out.append(((m["conv_id"] is not None, m["conv_id"] or 0, at, depth, m["at"], m["key"]), m, status, plain(body)))
+    return [(k, m["conv_id"], m["turn"], m["kind"], m["call_id"], status, text) for k, (_, m, status, text) in enumerate(sorted(out, key=lambda x: x[0]))]

@@ -1,7 +1,11 @@
 """Linked, ordered and validated chats against a plain version."""
 
 import json
+import random
 
+import pytest
+
+from tests.llm import brute
 from twinsift.llm import chat, queries
 
 SCHEMA = "conv_id long, turn long, role string, text string, kind string, call_id string, name string, arguments string, after array<string>"
@@ -83,3 +87,27 @@ def test_query_takes_every_turn(spark, sf_dir):
     assert [(r.conv_id, r.turn) for r in got] == sorted(want, key=lambda k: want[k][0])
     assert all(r.status == want[r.conv_id, r.turn][1] and json.loads(r.json) == want[r.conv_id, r.turn][2] for r in got)
     assert {"ok", "bad_arguments", "missing_need", "unanswered"} <= {r.status for r in got}
+
+
+def test_query_against_a_plain_version(spark, sf_dir):
+    """Every conversation, linked, ordered and written as one process does it."""
+    messages = queries.chat_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    want = brute.chats([r.asDict() for r in messages.collect()], queries.TOOLS)
+    got = sorted(map(tuple, queries.op2_chat(spark, sf_dir).collect()))
+    assert len({r[5] for r in want}) > 2 and got == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_calls_against_a_plain_version(spark, seed):
+    r = random.Random(seed)
+    tools = {"f": {"x": ("integer", True), "y": ("string", False)}, "g": {"z": ("boolean", False)}}
+    rows = []
+    for _ in range(120):
+        kind = r.choice(["call", "call", "result", "message", None])
+        arguments = r.choice(['{"x": 1}', '{"y":"é", "x" : 2}', '{"x": "1"}', "{}", '{"z": true}', "not json", None, '{"x": 1, "w": 2}', "[1]"])
+        after = r.choice([None, [], [str(r.randrange(8))], [str(r.randrange(8)), str(r.randrange(8))]]) if seed else None
+        rows.append((r.choice([1, 2, 3, None]), r.choice([*range(20), None]), "a", r.choice(["t", "", None]), kind, r.choice([*map(str, range(8)), None]), r.choice(["f", "g", "h", None]), arguments, after))
+    columns = "conv_id long, turn long, role string, text string, kind string, call_id string, name string, arguments string, after array<string>"
+    df = spark.createDataFrame(rows, columns).coalesce(1)
+    want = brute.chats([x.asDict() for x in df.collect()], tools)
+    assert sorted(map(tuple, chat.format_chats(df, tools).collect())) == want
