@@ -199,3 +199,28 @@ def chats(messages, tools):
                     status = "repeated"
         out.append(((m["conv_id"] is not None, m["conv_id"] or 0, at, depth, m["at"], m["key"]), m, status, plain(body)))
     return [(k, m["conv_id"], m["turn"], m["kind"], m["call_id"], status, text) for k, (_, m, status, text) in enumerate(sorted(out, key=lambda x: x[0]))]
+
+
+def shards(rows, n=16):
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard), equal texts side by side in the order of their hashes."""
+    import xxhash
+
+    data = [((t or "").encode(), i) for i, t in rows]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    data.sort(key=lambda x: (zlib.crc32(x[0]), signed(xxhash.xxh64_intdigest(x[0], 42)), x[1] is not None, x[1]))
+    total = sum(len(t) + 1 for t, _ in data)
+    group, at = {}, 0
+    for t, _ in data:
+        g = group.setdefault(t, [at, 0])
+        g[1] += len(t) + 1
+        at += len(t) + 1
+    out, at, slots = [], 0, Counter()
+    for t, i in data:
+        start, size = group[t]
+        whole = size <= 0.02 * total / n
+        middle = 2 * start + size if whole else 2 * at + len(t) + 1
+        shard = min(n - 1, middle * n // (2 * total))
+        out.append((i, len(t) + 1, zlib.crc32(t), "bytes", shard, slots[shard], None))
+        slots[shard] += 1
+        at += len(t) + 1
+    return out

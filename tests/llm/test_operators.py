@@ -388,6 +388,27 @@ def test_sharding(odd, empty, odd_rows):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_shards_against_a_plain_version(spark, sf_dir, odd, odd_rows, documents):
+    assert rows(sharding.shard_by_bytes(odd)) == Counter(brute.shards(pairs(odd_rows)))
+    assert rows(queries.op8_sharding(spark, sf_dir)) == Counter(brute.shards(documents))
+    copies = [(k, f"text {k // 4} " + "x" * 60) for k in range(8000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(copies, "doc_id long, text string"))
+    assert rows(got) == Counter(brute.shards(copies))
+    assert got.groupBy("text_crc32").agg(F.count_distinct("shard").alias("n")).where("n > 1").isEmpty()
+
+
+def test_heavy_documents_come_first(spark):
+    """Of equal documents, those of a larger weight fill the part of an epoch that isn't whole."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("s").alias("source"))
+    weights = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 8.0).otherwise(0.5).alias("weight"))
+    got = mixing.mix(df, weights, weights=(1.0,), share=1.5).collect()
+    assert sum(r.taken for r in got) == 18_000 and all(r.taken in (3, 4, 5, 6) for r in got)
+    extra = Counter(r.doc_id % 2 for r in got if r.taken > 3)
+    assert extra[0] > 0.85 * 2000 and extra[1] < 0.15 * 2000
+    plain = mixing.mix(df, None, weights=(1.0,), share=1.5).collect()
+    assert abs(sum(1 for r in plain if r.taken > 3 and r.doc_id % 2) - 1000) < 150
+
+
 def test_shards_are_even(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
     sizes = [r[1] for r in sharding.shard_by_bytes(df).groupBy("shard").agg(F.sum("size")).collect()]
