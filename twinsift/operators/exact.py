@@ -92,9 +92,9 @@ def duplicate_groups(files: DataFrame, want: Matching | None = None) -> DataFram
     return cut(out.select("group_id", digest.alias("digest"), F.lit(want.byte_verified).cast("boolean").alias("byte_verified"), *kept))
 
 
-def in_order(members: DataFrame) -> DataFrame:
+def member_order() -> tuple[Column, ...]:
     """Members by group and, within a group, by caseless path."""
-    return members.orderBy("group_id", paths.casefold(F.col("path")), "path")
+    return F.col("group_id"), paths.casefold(F.col("path")), F.col("path")
 
 
 def total_size(size: Column, streams: Column | None = None) -> Column:

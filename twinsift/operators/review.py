@@ -98,6 +98,17 @@ def numbered_groups(groups: DataFrame) -> DataFrame:
     return numbered(groups, F.desc("extra_bytes"), F.col("group_id")).withColumnRenamed("row", "group_no")
 
 
+def sorted_groups(groups: DataFrame, by: str, *, descending: bool = False) -> DataFrame:
+    """Numbered ``groups`` with their place from 1 by a column; equal ones keep the order of their numbers."""
+    return numbered(groups, F.desc(by) if descending else F.asc(by), F.col("group_no")).withColumnRenamed("row", "place")
+
+
+def size_range(least: Column, most: Column) -> Column:
+    """One size, or the least and the most."""
+    low, high = paths.format_bytes(least), paths.format_bytes(most)
+    return F.when(least == most, low).otherwise(F.concat(low, F.lit(" – "), high))
+
+
 def summary(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum("extra_bytes"), F.lit(0)).cast("long").alias("extra_bytes"), F.coalesce(F.bool_or(~F.col("contents_verified")), F.lit(False)).alias("any_unverified"))
 
@@ -116,8 +127,14 @@ def selection_summary(members: DataFrame, selection: DataFrame, visible: DataFra
     return shown.agg(F.count("*").alias("n_selected"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"), F.count_distinct("group_id").alias("n_groups"), F.count_if(F.col("_shown").isNull()).alias("n_hidden"))
 
 
-def select_all(members: DataFrame, selection: DataFrame, group_ids: list) -> DataFrame:
-    return selection.select("path").unionByName(members.where(F.col("group_id").isin(group_ids)).select("path")).distinct()
+def select_all(shown: DataFrame, selection: DataFrame) -> DataFrame:
+    """The selection and every member that is shown."""
+    return selection.select("path").unionByName(shown.select("path")).distinct()
+
+
+def cleared(selection: DataFrame, shown: DataFrame) -> DataFrame:
+    """The selection without what is shown; what a filter hides stays selected."""
+    return selection.select("path").distinct().join(shown.select("path").distinct(), "path", "left_anti")
 
 
 def select_in_folder(members: DataFrame, selection: DataFrame, folder: str) -> DataFrame:

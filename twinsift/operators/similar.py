@@ -89,13 +89,14 @@ def slot_evidence(a: Column, b: Column, radius: int) -> Column:
 def video_groups(videos: DataFrame, preset: str) -> DataFrame:
     """(reference, path, matched, valid, total): videos that follow an earlier, larger one.
 
-    Two videos match if duration and shape agree, enough slots have a frame pair within the radius, and every third
+    Videos out of bounds, or without a signature in enough slots, are compared with none. Two videos match if duration and shape agree, enough slots have a frame pair within the radius, and every third
     of the video has two of them. Candidates come from a band join of the frames, slot by slot. A video
     joins the reference before it with most slots, then least distance, then first place.
     """
     radius, required, tolerance = VIDEO_PRESETS[preset]
     place = F.struct((-F.col("width").cast("long") * F.col("height")).alias("area"), F.col("path").alias("path"))
-    rows = videos.select(place.alias("place"), "width", "height", "duration", "signatures")
+    fit = acceptable_video(F.col("width"), F.col("height"), F.col("duration")) & informative(F.col("signatures"))
+    rows = videos.where(fit).select(place.alias("place"), "width", "height", "duration", "signatures")
     # equal videos are one node; only the first of them can be a reference
     what = ["width", "height", "duration", "signatures"]
     nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("node")))

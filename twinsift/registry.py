@@ -118,7 +118,11 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.concat(F.lit("/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), F.lower("p_name").alias("name_key"), F.col("p_size").cast("long").alias("size"), F.col("p_brand").alias("brand"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE o AS (SELECT p_brand AS brand, '/' || p_brand || '/' || p_partkey AS path, lower(p_name) AS name, p_size::BIGINT AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, lower('/' || p_brand || '/' || p_partkey), '/' || p_brand || '/' || p_partkey) AS i FROM part), "
+    "r AS (SELECT DISTINCT brand, 0::BIGINT AS i, []::STRUCT(n VARCHAR, s BIGINT, p VARCHAR)[][] AS g FROM o UNION ALL SELECT brand, i, CASE WHEN k = 0 THEN list_append(g, [x]) ELSE g[1:k - 1] || [list_append(g[k], x)] || g[k + 1:] END FROM (SELECT o.brand, o.i, r.g, {'n': o.name, 's': o.size, 'p': o.path} AS x, coalesce(list_position(list_transform(r.g, lambda m: len(list_filter(m, lambda y: levenshtein(y.n, o.name) > 3 OR abs(y.s - o.size) > 10)) = 0), true), 0) AS k FROM r JOIN o ON o.brand = r.brand AND o.i = r.i + 1)), "
+    "z AS (SELECT brand, unnest(g) AS m FROM r WHERE (brand, i) IN (SELECT brand, max(i) FROM o GROUP BY brand)) SELECT brand, unnest(list_transform(m, lambda y: y.p)) AS path, list_min(list_transform(m, lambda y: y.p)) AS group_id FROM z WHERE len(m) > 1"
+)
 def similar_name_groups(spark, sf_dir):
     return tolerance.similar_name_groups(part_files(spark, sf_dir), ["brand"], 3, 10)
 
@@ -164,7 +168,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as frame sequences: a frame's signature is that of the 24th part of the text it stands for."""
     n = F.floor(F.length("text") / 24).cast("int")
     part = lambda k: F.substring("text", k * n + 1, n)
-    sig = lambda k: F.when(n > 0, F.shiftrightunsigned(F.xxhash64(part(k)), 1))
+    sig = lambda k: F.when(n > 0, F.conv(F.substring(F.md5(part(k).cast("binary")), 1, 15), 16, 10).cast("long"))
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("/v/"), F.col("doc_id").cast("string")).alias("path"), F.lit(320).alias("width"), F.lit(180).alias("height"), (F.length("text") / 10.0).alias("duration"), F.transform(F.sequence(F.lit(0), F.lit(23)), sig).alias("signatures")
     )
@@ -176,7 +180,13 @@ def video_copies(spark, sf_dir):
     return similar.video_groups(videos(spark, sf_dir), "Strict").where("total = 0 AND matched = 12").select("reference", "path", "matched", "valid")
 
 
-@query()
+@query(
+    "WITH RECURSIVE f AS (SELECT '/v/' || doc_id AS path, length(text) / 10.0::DOUBLE AS d, text, length(text) // 24 AS n FROM documents WHERE length(text) >= 24), o AS (SELECT row_number() OVER (ORDER BY path) AS i, path, d, list_transform(range(24), lambda k: ('0x' || substr(md5(substring(text, (k * n + 1)::BIGINT, n)), 1, 15))::BIGINT) AS s FROM f WHERE d <= 604800), "
+    "e AS (SELECT a.i, b.i AS j, list_transform(range(12), lambda k: least(bit_count(xor(a.s[2 * k + 1], b.s[2 * k + 1])), bit_count(xor(a.s[2 * k + 1], b.s[2 * k + 2])), bit_count(xor(a.s[2 * k + 2], b.s[2 * k + 1])), bit_count(xor(a.s[2 * k + 2], b.s[2 * k + 2])))) AS v FROM o a JOIN o b ON b.i < a.i AND abs(a.d - b.d) <= greatest(0.25::DOUBLE, least(5::DOUBLE, least(a.d, b.d) * 0.015::DOUBLE))), "
+    "h AS (SELECT i, j, len(list_filter(v, lambda x: x <= 9))::INTEGER AS matched, list_sum(v)::INTEGER AS total, v FROM e), l AS (SELECT * FROM h WHERE matched >= 10 AND len(list_filter(v[1:4], lambda x: x <= 9)) >= 2 AND len(list_filter(v[5:8], lambda x: x <= 9)) >= 2 AND len(list_filter(v[9:12], lambda x: x <= 9)) >= 2), "
+    "up AS (SELECT o.i, coalesce(list(l.j) FILTER (l.j IS NOT NULL), []) AS js FROM o LEFT JOIN l USING (i) GROUP BY o.i), r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS refs UNION ALL SELECT up.i, CASE WHEN list_has_any(r.refs, up.js) THEN r.refs ELSE list_append(r.refs, up.i) END FROM r JOIN up ON up.i = r.i + 1), refs AS (SELECT unnest(refs) AS i FROM r WHERE i = (SELECT max(i) FROM r)), "
+    "c AS (SELECT l.*, row_number() OVER (PARTITION BY l.i ORDER BY matched DESC, total, j) AS k FROM l WHERE j IN (SELECT i FROM refs) AND l.i NOT IN (SELECT i FROM refs)) SELECT b.path AS reference, a.path AS path, matched, 12 AS valid, total FROM c JOIN o a ON a.i = c.i JOIN o b ON b.i = c.j WHERE k = 1"
+)
 def video_groups(spark, sf_dir):
     return similar.video_groups(videos(spark, sf_dir), "Balanced")
 
@@ -199,16 +209,20 @@ def folder_rollup(spark, sf_dir):
     return folders.rollup(files(spark, sf_dir).select("path", "size"))
 
 
-@query("SELECT '/c/' || c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT '/d/' || doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def empty_folders(spark, sf_dir):
-    dirs = table(spark, sf_dir, "customer").select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"))
-    entries = table(spark, sf_dir, "orders").select(F.concat_ws("/", F.lit("/c"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("path"))
-    return folders.empty_folders(dirs, entries, ["/c"])
+    """Each document is a folder, and each label of it an entry there."""
+    folder = F.concat(F.lit("/d/"), F.col("doc_id").cast("string"))
+    dirs = table(spark, sf_dir, "documents").select(folder.alias("path"))
+    entries = table(spark, sf_dir, "labels").select(F.concat(folder, F.lit("/label")).alias("path"))
+    return folders.empty_folders(dirs, entries.unionByName(dirs), ["/d"])
 
 
-@query(f"WITH {_FILES}, bad AS (SELECT doc_id, path FROM files WHERE doc_id % 97 = 0) SELECT DISTINCT unnest(['/', '/' || split_part(path, '/', 2), '/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3), path]) AS path FROM bad")
+@query(f"WITH {_FILES}, bad AS (SELECT doc_id, path FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT DISTINCT unnest(['/', '/' || split_part(path, '/', 2), '/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3), path]) AS path FROM bad")
 def poisoned_folders(spark, sf_dir):
-    return folders.poisoned(files(spark, sf_dir).where("doc_id % 97 = 0").select("path"))
+    """Documents labelled as toxic stand for entries that can't be read."""
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    return folders.poisoned(files(spark, sf_dir).join(toxic, "doc_id", "left_semi").select("path"))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,9 +323,11 @@ def labels_of_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", paths.format_bytes(n * 37).alias("shown"), paths.clock(n * 137 / 1000.0).alias("clock"))
 
 
-@query()
+@query(
+    f"WITH {_FILES}, h AS (SELECT path, size AS n, hex(encode(text)) AS h, text, greatest(0, (size - 65536) // 2) AS mid, greatest(0, size - 65536) AS last FROM files) SELECT path, sha256(unhex(substr(h, 1, 131072) || CASE WHEN mid > 0 THEN substr(h, 2 * mid + 1, 131072) ELSE '' END || CASE WHEN last > 0 AND last <> mid THEN substr(h, 2 * last + 1, 131072) ELSE '' END)) AS sample, sha256(text) AS digest FROM h"
+)
 def sample_digests(spark, sf_dir):
-    return files(spark, sf_dir).select("path", fingerprints.sample_digest(F.col("content"), 64).alias("sample"), fingerprints.digest(F.col("content")).alias("digest"))
+    return files(spark, sf_dir).select("path", fingerprints.sample_digest(F.col("content")).alias("sample"), fingerprints.digest(F.col("content")).alias("digest"))
 
 
 @query()
@@ -321,6 +337,4 @@ def perceptual_hashes(spark, sf_dir):
     return e.select("vec_id", fingerprints.perceptual_hash(grey).alias("signature"))
 
 
-@query("SELECT vec_id, list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i::INTEGER ELSE 0 END))::BIGINT AS signature FROM embeddings")
-def sign_signatures(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", fingerprints.sign_bits(F.col("embedding")).alias("signature"))
+from twinsift import registry_plans  # noqa: E402, F401  (registers further queries)
