@@ -158,8 +158,8 @@ def nested_folders(spark, sf_dir):
 
 
 @query(
-    "WITH t AS (SELECT doc_id, k, n_chars / 10.0::DOUBLE AS d, greatest(0::DOUBLE, n_chars / 10.0::DOUBLE * (0.05::DOUBLE + 0.9::DOUBLE * (k // 2) / 11) - 0.125::DOUBLE) AS at FROM documents, range(24) t(k) WHERE n_chars > 0) "
-    "SELECT doc_id, k, floor(1000 * CASE WHEN k % 2 = 1 THEN least(d, at + 0.25::DOUBLE) ELSE at END + 0.5::DOUBLE)::BIGINT AS ms FROM t"
+    "WITH t AS (SELECT doc_id, k, n_chars / 10.0::DOUBLE AS d, greatest(0::DOUBLE, n_chars / 10.0::DOUBLE * (0.05::DOUBLE + 0.9::DOUBLE * (k // 2) / 11) - 0.125::DOUBLE) AS first FROM documents, range(24) t(k) WHERE n_chars > 0) "
+    "SELECT doc_id, k, floor(1000 * CASE WHEN k % 2 = 1 THEN least(d, first + 0.25::DOUBLE) ELSE first END + 0.5::DOUBLE)::BIGINT AS ms FROM t"
 )
 def frame_times(spark, sf_dir):
     """Milliseconds of each frame; the later one of a pair is a quarter of a second after the first, if the end allows."""
