@@ -17,7 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import pyarrow as pa
 import regex
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 1 << 16
 #: A piece of more characters is streamed through the transducer and not remembered.
 LONG_PIECE = 256
-#: Entries of the memo of short pieces; it starts anew when full, which changes speed only.
-MEMO_PIECES = 150_000
+#: Entries of the memos of short chunks and pieces, half of them since the memo was last full; speed only.
+MEMO_CHUNKS, MEMO_PIECES = 400_000, 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -126,15 +126,18 @@ def merge_all(tokens: list[int], rank_of: dict, made: list[int]) -> list[int]:
     if len(tokens) > 64:
         return _merge_heap(tokens, rank_of, made)
     none, rank = len(made), rank_of.get
-    ranks = [rank(p, none) for p in zip(tokens, tokens[1:])]
-    while ranks and (best := min(ranks)) < none:
+    ranks = [rank(p, none) for p in pairwise(tokens)]
+    while ranks:
+        best = min(ranks)
+        if best == none:
+            break
         i = ranks.index(best)
-        tokens[i : i + 2] = (made[best],)
-        del ranks[i]
+        new = tokens[i] = made[best]
+        del tokens[i + 1], ranks[i]
         if i < len(ranks):
-            ranks[i] = rank((tokens[i], tokens[i + 1]), none)
+            ranks[i] = rank((new, tokens[i + 1]), none)
         if i:
-            ranks[i - 1] = rank((tokens[i - 1], tokens[i]), none)
+            ranks[i - 1] = rank((tokens[i - 1], new), none)
     return tokens
 
 
@@ -188,38 +191,52 @@ class PieceStream:
         return out
 
 
-class Memo(dict):
-    """Tokens of short pieces."""
+class Bounded(dict):
+    """A memo in two halves: a full one becomes the older half, from which what is asked for again comes back."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = MEMO_PIECES):
+    def __init__(self, most: int):
         super().__init__()
-        self.v, self.most = vocabulary, most
+        self.half, self.old = most // 2, {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        out = self.old.get(key)
+        if out is None:
+            out = self.made(key)
+            if len(key) > LONG_PIECE:
+                return out
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+class Memo(Bounded):
+    """Tokens of short pieces; long ones go through the transducer and are not kept."""
+
+    def __init__(self, vocabulary: Vocabulary, most: int = MEMO_PIECES):
+        super().__init__(most)
+        self.v = vocabulary
         self.chunks = ChunkMemo(self)
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def made(self, piece: str) -> tuple[int, ...]:
         if len(piece) > LONG_PIECE:
             stream = PieceStream(self.v)
             return tuple(stream.feed(piece.encode()) + stream.finish())
-        if len(self) >= self.most:
-            self.clear()
-        out = self[piece] = tuple(merge_all([self.v.byte_ids[b] for b in piece.encode()], self.v.rank_of, self.v.made))
-        return out
+        return tuple(merge_all([self.v.byte_ids[b] for b in piece.encode()], self.v.rank_of, self.v.made))
 
 
-class ChunkMemo(dict):
+class ChunkMemo(Bounded):
     """Tokens of short chunks: a word with the space before it. No piece reaches across the edge of a chunk."""
 
-    def __init__(self, pieces: Memo):
-        super().__init__()
+    def __init__(self, pieces: Memo, most: int = MEMO_CHUNKS):
+        super().__init__(most)
         self.pieces = pieces
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        out = tuple(chain.from_iterable(map(self.pieces.__getitem__, self.pieces.v.pattern.findall(chunk))))
-        if len(chunk) <= LONG_PIECE:
-            if len(self) >= self.pieces.most:
-                self.clear()
-            self[chunk] = out
-        return out
+    def made(self, chunk: str) -> tuple[int, ...]:
+        if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+            return self.pieces.made(chunk)  # A-Z and a-z with a space before them are one piece by any pattern
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.pieces.v.pattern.findall(chunk))))
 
 
 def _pop_tail(parts: list[str]) -> str:
@@ -321,7 +338,8 @@ class Names(dict):
 class Decoder:
     """Token ids in, text out: a state machine whose state is the bytes of an unfinished character.
 
-    The step of a token from a state is worked out once. Bytes that are no UTF-8 become U+FFFD as in a decoder
+    The step of a token from a state is worked out once; tokens of whole characters are joined without steps as long as
+    no character is unfinished. Bytes that are no UTF-8 become U+FFFD as in a decoder
     that replaces every maximal ill-formed part once.
     """
 
@@ -329,14 +347,22 @@ class Decoder:
         self.bytes_of = bytes_of
         self.state = b""
         self.steps = steps if steps is not None else {}
-
-    def feed(self, ids) -> str:
-        steps, state, out = self.steps, self.state, []
+        self.whole = self.steps.setdefault("whole", {})  # states are bytes, so no state has this key
+
+    def feed(self, ids: list[int]) -> str:
+        steps, state, whole, out = self.steps, self.state, self.whole, []
+        if not state:
+            try:
+                return "".join(map(whole.__getitem__, ids))
+            except KeyError:
+                pass  # a token of parts of characters, or one not seen before
         at = steps.setdefault(state, {})
         for i in ids:
             step = at.get(i)
             if step is None:
                 step = at[i] = self._step(state, i)
+                if not state and not step[1]:
+                    whole[i] = step[0]
             text, then = step
             out.append(text)
             if then != state:
