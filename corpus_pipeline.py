@@ -50,7 +50,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("mixing", mix), ("bpe", encode)]
-#: Components and tokens are beyond SQL; tests hold run() against a plain version.
+#: Components and tokens are beyond SQL; tests hold each stage against a plain version on its own input.
 ORACLE_SQL: str | None = None
 
 
