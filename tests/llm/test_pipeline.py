@@ -50,3 +50,11 @@ def test_near_dedup_keeps_rows_that_share_an_id(spark):
     rows = [(None, text(0)), (None, text(1)), (5, text(2)), (5, text(3)), (6, text(3)), (None, text(2)), (7, ""), (7, None), (None, text(1))]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert Counter(tuple(r) for r in got.collect()) == Counter([*rows[:4], rows[6], rows[7]])
+
+
+def test_run_on_an_empty_table(spark, sf_dir, tmp_path):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents.where("false").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert got.count() == 0 and "token_ids" in got.columns
