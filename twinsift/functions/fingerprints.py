@@ -34,12 +34,6 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def sign_bits(vector: Column, bits: int = 63) -> Column:
-    """Bit i is set where component i is positive."""
-    one = lambda i: F.when(F.get(vector, F.lit(i)) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-    return sum((one(i) for i in range(1, bits)), one(0))
-
-
 _BASIS = np.cos(np.pi * np.outer(np.arange(8), 2 * np.arange(32) + 1) / 64) * np.where(np.arange(8) == 0, np.sqrt(0.5), 1.0)[:, None]
 #: Variance of grey values below which an image has no signature.
 LEAST_VARIANCE = 4.0
