@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions import paths
@@ -78,6 +78,11 @@ def duplicate_folders(files: DataFrame, directories: DataFrame | None = None, is
     return out.unionByName(alone)
 
 
+def folder_order() -> tuple[Column, ...]:
+    """The order of folders: groups by their first path, in them by path, both caseless."""
+    return paths.casefold(F.col("group_id")), F.col("group_id"), paths.casefold(F.col("path")), F.col("path")
+
+
 def empty_folders(directories: DataFrame, entries: DataFrame, roots: list[str]) -> DataFrame:
     """Directories without any entry in them, the given roots left out. ``entries``: path of every file and folder."""
     inside = entries.select(paths.parent(F.col("path")).alias("path")).distinct()

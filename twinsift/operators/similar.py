@@ -67,6 +67,11 @@ def image_groups(images: DataFrame, radius: int) -> DataFrame:
     return best.join(is_ref, "place", "left_anti").select(F.col("best.ref.path").alias("reference"), "path", F.col("best.distance").alias("distance"))
 
 
+def match_order(group: str, member: str) -> tuple[Column, ...]:
+    """The order of matches: groups by their reference, in them the nearest first, then by caseless path."""
+    return casefold(F.col(group)), F.col(group), F.col("distance"), casefold(F.col(member)), F.col(member)
+
+
 def slot_evidence(a: Column, b: Column, radius: int) -> Column:
     """Of two videos' 24 frame signatures: the least distance in each of 12 slots (null if none), and what it amounts to."""
 

@@ -8,7 +8,7 @@ from twinsift.functions import fingerprints, paths
 from twinsift.operators import cleanup, exact, folders, review, scope, similar
 from twinsift.operators.graph import cut, numbered
 from twinsift.plans.matching import matching
-from twinsift.registry import _FILES, _GROUPS, _SELECTED, ORACLE_SQL, files, images, members, query, selection, table, videos
+from twinsift.registry import _FILES, _GROUPS, _SELECTED, ORACLE_SQL, QUERIES, files, images, members, query, selection, table, videos
 from twinsift.sources import snapshot
 from twinsift.streaming import incremental
 
@@ -154,9 +154,26 @@ def nested_folders(spark, sf_dir):
     return folders.duplicate_folders(table(spark, sf_dir, "lineitem").select(path.alias("path"), F.col("l_linenumber").cast("long").alias("size"), F.col("l_quantity").cast("long").alias("content_id")))
 
 
+@query(f"SELECT group_id, path, row_number() OVER (ORDER BY lower(group_id), group_id, lower(path), path) AS place FROM ({ORACLE_SQL['duplicate_folders']})")
+def ordered_folders(spark, sf_dir):
+    found = QUERIES["duplicate_folders"](spark, sf_dir).select("group_id", "path")
+    return numbered(found, *folders.folder_order()).withColumnRenamed("row", "place")
+
+
 # media
 
 
+@query(f"SELECT reference, path, distance, row_number() OVER (ORDER BY lower(reference), reference, distance, lower(path), path) AS place FROM ({ORACLE_SQL['image_groups']})")
+def ordered_matches(spark, sf_dir):
+    return numbered(similar.image_groups(images(spark, sf_dir), 4), *similar.match_order("reference", "path")).withColumnRenamed("row", "place")
+
+
+@query(f"SELECT a, b, distance, row_number() OVER (ORDER BY a, distance, b) AS place FROM ({ORACLE_SQL['hamming_pairs']})")
+def ordered_neighbours(spark, sf_dir):
+    found = QUERIES["hamming_pairs"](spark, sf_dir)
+    return numbered(found, "a", "distance", "b").withColumnRenamed("row", "place")
+
+
 @query(
     "WITH t AS (SELECT doc_id, k, n_chars / 10.0::DOUBLE AS d, greatest(0::DOUBLE, n_chars / 10.0::DOUBLE * (0.05::DOUBLE + 0.9::DOUBLE * (k // 2) / 11) - 0.125::DOUBLE) AS first FROM documents, range(24) t(k) WHERE n_chars > 0) "
     "SELECT doc_id, k, floor(1000 * CASE WHEN k % 2 = 1 THEN least(d, first + 0.25::DOUBLE) ELSE first END + 0.5::DOUBLE)::BIGINT AS ms FROM t"
