@@ -3,11 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_operators import files, groups
 from twinsift.operators import exact
 from twinsift.plans.matching import matching
-from twinsift.sources import snapshot
+from twinsift.sources import session, snapshot
 from twinsift.sources.inventory import read_inventory
 from twinsift.streaming import incremental
 
@@ -90,6 +91,34 @@ def test_groups_go_with_their_reference(spark):
     assert kept() == {"/b", "/c", "/d", "/e"} and kept(reference="ref") == {"/d", "/e"}
 
 
+def test_sessions_are_saved_whole(spark, tmp_path):
+    place = f"file://{tmp_path}/review"
+    with pytest.raises(ValueError):
+        session.load(spark, place)
+    members = exact.duplicate_groups(files(spark, **{"/r/a": b"x", "/r/b": b"x"}))
+    trees = spark.createDataFrame([("/r/t", "/r/t", 2, 5), ("/r/t", "/r/u", 2, 5), ("/r/e", "/r/e", 0, 0)], "group_id string, path string, n_files long, total_size long")
+    near = spark.createDataFrame([("/r/1", "/r/2", 3), ("/r/3", "/r/4", 0)], "reference string, path string, distance int")
+    session.save(spark, session.Session(("/r",), ("/r/tmp",), True, 4, 12, {"groups": members}), place)
+    session.save(spark, session.Session(("/r",), ("/r/tmp",), False, 9, 30, {"groups": members, "folders": trees, "matches": near}), place)
+    back = session.load(spark, place)
+    assert (back.roots, back.excluded, back.recursive, back.n_files, back.n_bytes) == (("/r",), ("/r/tmp",), False, 9, 30)
+    assert sorted(back.results) == ["folders", "groups", "matches"]
+    assert len([p for p in (tmp_path / "review").iterdir() if p.is_dir()]) == 1
+    assert {r.path for r in back.results["groups"].selectExpr("explode(files.path) path").collect()} == {"/r/a", "/r/b"}
+    kept = lambda now: {r.path for r in session.restored_folders(back.results["folders"], now).collect()}
+    assert kept(trees) == {"/r/t", "/r/u", "/r/e"} and kept(trees.where("path <> '/r/u'")) == {"/r/e"}
+    assert kept(trees.withColumn("total_size", F.lit(6).cast("long"))) == set()
+    there = spark.createDataFrame([("/r/1",), ("/r/2",), ("/r/4",)], "path string")
+    assert [tuple(r) for r in session.restored_matches(back.results["matches"], there).collect()] == [("/r/1", "/r/2", 3)]
+    for bad in (session.Session(("r",)), session.Session(("/r",), ("/q",)), session.Session(("/r",), n_files=-1), session.Session(("/r",), results={"other": near})):
+        with pytest.raises(ValueError):
+            session.save(spark, bad, place)
+    (tmp_path / "review/.about.json.crc").unlink(missing_ok=True)
+    (tmp_path / "review/about.json").write_text('{"version": 7}')
+    with pytest.raises(ValueError):
+        session.load(spark, place)
+
+
 def test_stream_of_additions(spark, tmp_path):
     source, held = f"file://{tmp_path}/in", f"file://{tmp_path}/held"
     files(spark, **OLD).coalesce(1).write.parquet(source)

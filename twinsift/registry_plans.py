@@ -9,7 +9,7 @@ from twinsift.operators import cleanup, exact, folders, review, scope, similar
 from twinsift.operators.graph import cut, numbered
 from twinsift.plans.matching import matching
 from twinsift.registry import _FILES, _GROUPS, _SELECTED, ORACLE_SQL, QUERIES, files, images, members, query, selection, table, videos
-from twinsift.sources import snapshot
+from twinsift.sources import session, snapshot
 from twinsift.streaming import incremental
 
 _TOXIC = "toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)"
@@ -287,6 +287,20 @@ def restored_with_references(spark, sf_dir):
     return snapshot.restore(groups.withColumn("first", F.col("group_id")), now, reference="first")[0].select("group_id", "path")
 
 
+@query(f"WITH f AS ({ORACLE_SQL['duplicate_folders']}), gone AS (SELECT '/o/' || o_orderkey AS path FROM orders WHERE o_orderstatus = 'F'), l AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS k FROM f WHERE path NOT IN (SELECT path FROM gone)) SELECT group_id, path FROM l WHERE k > 1")
+def restored_folders(spark, sf_dir):
+    found = cut(QUERIES["duplicate_folders"](spark, sf_dir))
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("/o/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return session.restored_folders(found, found.join(gone, "path", "left_anti")).select("group_id", "path")
+
+
+@query(f"WITH m AS ({ORACLE_SQL['image_groups']}), {_LABELLED}, gone AS (SELECT '/i/' || doc_id AS path FROM bad) SELECT reference, path, distance FROM m WHERE path NOT IN (SELECT path FROM gone) AND reference NOT IN (SELECT path FROM gone)")
+def restored_matches(spark, sf_dir):
+    every = images(spark, sf_dir)
+    gone = labelled(spark, sf_dir, "quality", 0).select(F.concat(F.lit("/i/"), F.col("doc_id").cast("string")).alias("path"))
+    return session.restored_matches(similar.image_groups(every, 4), every.join(gone, "path", "left_anti"))
+
+
 # grown results
 
 
