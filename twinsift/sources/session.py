@@ -8,6 +8,7 @@ that loads.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -30,6 +31,10 @@ SECTIONS = {
 }
 
 
+#: How the folders of saves are named; nothing else below a session's folder is read or removed.
+HELD = re.compile(r"session-[0-9a-f]{32}")
+
+
 @dataclass(frozen=True)
 class Session:
     """``results`` holds a DataFrame per section; a kind of scan that was not run has none."""
@@ -60,7 +65,7 @@ def save(spark: SparkSession, session: Session, folder: str) -> None:
     ``groups`` come as members, the other sections by their columns.
     """
     session.check()
-    held = uuid.uuid4().hex
+    held = f"session-{uuid.uuid4().hex}"
     for name, rows in session.results.items():
         if name == "groups":
             snapshot.save(rows, f"{folder}/{held}/groups")
@@ -75,7 +80,8 @@ def save(spark: SparkSession, session: Session, folder: str) -> None:
     finally:
         out.close()
     for entry in store.listStatus(place):
-        if entry.isDirectory() and entry.getPath().getName() != held:
+        name = entry.getPath().getName()
+        if entry.isDirectory() and name != held and HELD.fullmatch(name):
             store.delete(entry.getPath(), True)
 
 
@@ -90,6 +96,8 @@ def load(spark: SparkSession, folder: str) -> Session:
     a = rows[0].asDict()
     if missing := [k for k, v in a.items() if v is None]:
         raise ValueError(f"the session lacks {missing}")
+    if not HELD.fullmatch(a["held"]):
+        raise ValueError(f"{a['held']} is not the name of a save")
     try:
         datetime.fromisoformat(a["saved_at"])
     except ValueError as e:
