@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import bpe, chat, lines, lm, minhash, mixing, rules, search, sharding, substrings
+from twinsift.llm import bpe, chat, lines, lm, minhash, mixing, repair, resampling, rules, search, sharding, substrings, winnow
 from twinsift.llm.scratch import Scratch
 
 
@@ -94,7 +94,19 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_top_k, op4_mixing, op5_substrings, op6_lm, op7_near_duplicates, op8_sharding, op9_lines, op10_rules)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, n_buckets=10_000, longest=1, least_words=20, seed=2024)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_top_k, op4_mixing, op5_substrings, op6_lm, op7_near_duplicates, op8_sharding, op9_lines, op10_rules, op11_fingerprints, op12_resampling, op13_repair)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
