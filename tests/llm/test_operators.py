@@ -473,3 +473,19 @@ def test_rules_on_odd_tables(odd, empty, odd_rows):
 @pytest.mark.parametrize("name, plain, n", [("op5_substrings", brute.substrings, None), ("op7_near_duplicates", brute.near, None), ("op9_lines", brute.lines, None), ("op10_rules", brute.rules, None)])
 def test_queries_against_plain_versions(spark, sf_dir, documents, name, plain, n):
     assert rows(queries.QUERIES[name](spark, sf_dir), n) == Counter(plain(documents))
+
+
+def test_every_training_token_is_learned_from(spark, sf_dir, monkeypatch):
+    """Whatever the size: each round takes as many tokens as the counts say, on both sides of four million."""
+    told = []
+    plain = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: told.append(plain(*a)) or told[-1])
+    gains = []
+    for table, large in ((f"{sf_dir}/documents.parquet", False), ("/root/testdata/sf0.1/documents.parquet", True)):
+        df = spark.read.parquet(table)
+        got = lm.score_documents(df.unionByName(df) if large else df).groupBy("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens"), F.max("train_tokens")).collect()
+        tokens = got[0][3]
+        assert (tokens > 4_000_000) == large and told[-1][1] == [tokens] * lm.ROUNDS
+        gains += [r[1] - r[2] for r in got if r.held_out]
+    print(gains)
+    assert min(gains) > 0.1 and gains[1] > gains[0]

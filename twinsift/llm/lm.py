@@ -35,10 +35,11 @@ SIZE, CONTEXT = 16, 3
 #: is one shared output for so many of them.
 LEAST_WORDS, WORDS_PER_ROOT, WORDS_PER_TAIL = 1024, 5, 4
 #: Tokens of a batch, noise outputs and noise classes drawn for it, and the rate of learning.
-BATCH, NOISE, RATE = 1024, 128, 0.2
-#: Rounds of averaging. A round reads one token in STRIDE; a corpus of fewer than SHORT training tokens is read more
-#: often, so that it gives as many batches.
-ROUNDS, STRIDE, SHORT = 2, 8, 4_000_000
+BATCH, NOISE, RATE = 1024, 48, 0.2
+#: Rounds of averaging; in each, every training token is learned from once, whatever the size of the corpus.
+ROUNDS = 1
+#: Bytes of text that a task learns from before averages are taken, at least where there are as many.
+LEARN_BYTES = 32 << 20
 #: Tokens scored at once, and numbers of the parameters that are averaged in one row.
 CHUNK, PART = 1 << 16, 1 << 16
 BLOCK_BYTES = 8 << 20
@@ -135,42 +136,76 @@ class Learner:
     def __init__(self, model: Model, outputs: Outputs):
         self.m, self.o = model, outputs
         self.seen = {name: np.full(x.shape, 1e-2, np.float32) for name, x in model.part.items()}
-        self.upto, self.class_upto = np.cumsum(outputs.unigram), np.cumsum(outputs.class_unigram)
-
-    def _apply(self, name: str, at: np.ndarray, grad: np.ndarray) -> None:
+        self.kind = np.uint16 if outputs.size < 1 << 16 else np.int64  # short numbers are sorted by their digits
+        self.class_of = outputs.class_of.astype(self.kind)
+        upto = lambda p: np.cumsum(p) / p.sum()
+        self.upto = {"word": upto(outputs.unigram), "class": upto(outputs.class_unigram)}
+        self.log_expected = {"word": np.log(NOISE * outputs.unigram).astype(np.float32), "class": np.log(NOISE * outputs.class_unigram).astype(np.float32)}
+
+    def _step(self, name: str, rows: np.ndarray | slice, grad: np.ndarray) -> None:
+        seen, part = self.seen[name], self.m.part[name]
+        so_far = seen[rows] + grad * grad
+        seen[rows] = so_far
+        part[rows] += RATE * grad / np.sqrt(so_far)
+
+    def _sums(self, at: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct rows among ``at``, and the sum of the gradients of each."""
         order = np.argsort(at, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
-        rows, g = at[order][first], np.add.reduceat(grad[order], first, axis=0)
-        self.seen[name][rows] += g**2
-        self.m.part[name][rows] += RATE * g / np.sqrt(self.seen[name][rows])
-
-    def _head(self, name: str, h: np.ndarray, target: np.ndarray, noise: np.ndarray, log_expected: np.ndarray) -> np.ndarray:
-        """Learns to tell the targets from the batch's noise; the gradient of the contexts."""
-        e, b = self.m.part[name], self.m.part[f"{name}_bias"]
-        true = 1 / (1 + np.exp((h * e[target]).sum(axis=1) + b[target] - log_expected[target]))
-        false = -1 / (1 + np.exp(log_expected[noise] - b[noise] - h @ e[noise].T))
-        back = true[:, None] * e[target] + false @ e[noise]
-        at = np.concatenate([target, noise])
-        self._apply(name, at, np.concatenate([true[:, None] * h, false.T @ h]) / len(h) ** 0.5)
-        self._apply(f"{name}_bias", at, np.concatenate([true, false.sum(axis=0)]) / len(h) ** 0.5)
+        ordered = at.take(order)
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        return ordered.take(first).astype(np.int64), np.add.reduceat(grad.take(order, axis=0), first, axis=0)
+
+    def _head(self, name: str, h: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Learns to tell the targets from noise drawn for the batch; the gradient of the contexts."""
+        upto, log_expected = self.upto[name], self.log_expected[name]
+        noise = np.minimum(np.searchsorted(upto, rng.random(NOISE)), len(upto) - 1).astype(self.kind)
+        e, b, n = self.m.part[name], self.m.part[f"{name}_bias"] - log_expected, len(h)
+        held, drawn = e.take(target, axis=0), e.take(noise, axis=0)
+        true = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, held) + b.take(target)))
+        false = h @ drawn.T
+        false += b.take(noise)
+        np.negative(false, out=false)
+        np.exp(false, out=false)
+        false += 1
+        np.divide(np.float32(-1), false, out=false)
+        back = true[:, None] * held
+        back += false @ drawn
+        grad = np.empty((n + NOISE, SIZE + 1), np.float32)
+        np.multiply(true[:, None], h, out=grad[:n, :SIZE])
+        grad[:n, SIZE] = true
+        grad[n:, :SIZE] = false.T @ h
+        grad[n:, SIZE] = false.sum(axis=0)
+        rows, sums = self._sums(np.concatenate([target, noise]), grad)
+        sums /= np.float32(n**0.5)
+        self._step(name, rows, sums[:, :SIZE])
+        self._step(f"{name}_bias", rows, sums[:, SIZE])
         return back
 
     def learn(self, before: np.ndarray, now: np.ndarray, rng: np.random.Generator) -> None:
+        """One step on a batch: per position the outputs before its tokens, and the tokens' own, as numbers of ``kind``."""
         p = self.m.part
-        h = self.m.contexts(before)
-        draw = lambda upto, n: np.minimum(np.searchsorted(upto, rng.random(n) * upto[-1]), len(upto) - 1)
-        words, classes = draw(self.upto, NOISE), draw(self.class_upto, NOISE)
-        back = self._head("word", h, now, words, np.log(NOISE * self.o.unigram).astype(np.float32))
-        back = back + self._head("class", h, self.o.class_of[now], classes, np.log(NOISE * self.o.class_unigram).astype(np.float32))
-        scaled = back / len(h) ** 0.5
-        by_position = np.stack([(scaled * p["context"][before[:, j]]).sum(axis=0) for j in range(CONTEXT)])
-        self._apply("context", before.T.ravel(), np.concatenate([scaled * p["position"][j] for j in range(CONTEXT)]))
-        self._apply("position", np.arange(CONTEXT), by_position)
+        held = [p["context"].take(u, axis=0) for u in before]
+        h = sum(p["position"][j] * x for j, x in enumerate(held))
+        back = self._head("word", h, now, rng)
+        back += self._head("class", h, self.class_of.take(now), rng)
+        back /= np.float32(len(h) ** 0.5)
+        by_position = np.stack([np.einsum("ij,ij->j", back, x) for x in held])
+        rows, sums = self._sums(np.concatenate(list(before)), np.concatenate([back * p["position"][j] for j in range(CONTEXT)]))
+        self._step("context", rows, sums)
+        self._step("position", slice(None), by_position)
+
+    def learn_all(self, before: np.ndarray, now: np.ndarray, rng: np.random.Generator) -> int:
+        """Every one of the tokens once, in batches in random order; how many."""
+        order = rng.permutation(len(now))
+        now, before = now.astype(self.kind).take(order), np.ascontiguousarray(before.T).astype(self.kind).take(order, axis=1)
+        for at in range(0, len(now), BATCH):
+            self.learn(before[:, at : at + BATCH], now[at : at + BATCH], rng)
+        return len(now)
 
 
 def log_sums(s: np.ndarray) -> np.ndarray:
     """The logarithm of the sum of the exponentials of each row."""
-    if len(s) and np.abs(s).max() > 60:
+    if len(s) and (s.max() > 60 or s.min() < -60):
         top = s.max(axis=1, keepdims=True)
         return (np.log(np.exp(s - top).sum(axis=1, keepdims=True)) + top)[:, 0]
     return np.log(np.exp(s).sum(axis=1))
@@ -181,19 +216,26 @@ def log_probabilities(model: Model, outputs: Outputs, before: np.ndarray, now: n
     p, out = model.part, np.empty(len(now))
     weighed = [p["position"][j] * p["context"] for j in range(CONTEXT)]
     kind = np.uint16 if len(outputs.members) < 1 << 16 else np.int64  # short numbers are sorted by their digits
+    class_of = outputs.class_of.astype(kind)
+    of_class = [(np.ascontiguousarray(p["word"][of].T), p["word_bias"][of]) for of in outputs.members]
+    heads = np.ascontiguousarray(p["class"].T)
     for at in range(0, len(now), CHUNK):
-        u, w = before[at : at + CHUNK], now[at : at + CHUNK]
-        h = sum(weighed[j][u[:, j]] for j in range(CONTEXT))
-        c = outputs.class_of[w]
-        s = h @ p["class"].T + p["class_bias"]
+        c = class_of.take(now[at : at + CHUNK])
+        order = np.argsort(c, kind="stable")
+        c, w, u = c.take(order).astype(np.int64), now[at : at + CHUNK].take(order), before[at : at + CHUNK].take(order, axis=0)
+        h = sum(weighed[j].take(u[:, j], axis=0) for j in range(CONTEXT))  # in the order of classes
+        s = h @ heads
+        s += p["class_bias"]
         part = (s[np.arange(len(w)), c] - log_sums(s)).astype(float)
-        order = np.argsort(c.astype(kind), kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(c[order])) + 1):
-            of = outputs.members[c[rows[0]]]
-            if len(of) > 1:
-                s = h[rows] @ p["word"][of].T + p["word_bias"][of]
-                part[rows] += s[np.arange(len(rows)), outputs.place[w[rows]]] - log_sums(s)
-        out[at : at + CHUNK] = part
+        place = outputs.place.take(w)
+        ends = np.flatnonzero(np.append(c[1:] != c[:-1], True)) + 1
+        for first, last in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+            words, bias = of_class[c[first]]
+            if len(bias) > 1:
+                s = h[first:last] @ words
+                s += bias
+                part[first:last] += s[np.arange(last - first), place[first:last]] - log_sums(s)
+        out[at + order] = part
     return out / _LN10
 
 
@@ -202,13 +244,21 @@ TOKENS = {"ids": np.int64, "sizes": np.int64, "codes": np.int32, "hashes": np.ui
 TOKENS_SCHEMA = "block long, n_bytes long, " + ", ".join(f"{c} binary" for c in TOKENS)
 
 
+class Numbers(dict):
+    """Words and their numbers, in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def tokenise(row: dict) -> dict:
     """A block of texts as numbers of its distinct words; number 0 is the end, which closes every text."""
-    number = {END: 0}
+    number = Numbers({END: 0})
     codes, sizes, at = [], [], 0
     for n in np.frombuffer(row["lens"], np.int64).tolist():
         words = row["text"][at : at + n].lower().split()
-        codes += [number.setdefault(w, len(number)) for w in words]
+        codes += map(number.__getitem__, words)
         codes.append(0)
         sizes.append(len(words) + 1)
         at += n
@@ -301,12 +351,15 @@ def find_outputs(told: DataFrame, tokens: int) -> Outputs:
     return Outputs(np.array(hashes, np.uint64), np.array(counts, float), {e: tuple(x) for e, x in sums.items()})
 
 
-def train(blocks: DataFrame, outputs: Outputs, tokens: int) -> Model:
-    """Rounds of learning in every task, each ended by the average of what the tasks have learned."""
+def train(blocks: DataFrame, outputs: Outputs, n_bytes: int) -> tuple[Model, list[int]]:
+    """Rounds of learning in every task, each ended by the average of what the tasks have learned, weighed by their tokens.
+
+    Also how many tokens each round learned from. Parameters depend on how blocks are dealt to tasks, as each task
+    learns on its own.
+    """
     context = blocks.sparkSession.sparkContext
-    stride = STRIDE if tokens >= SHORT else 1
-    passes = 1 if stride > 1 else max(1, min(16, int(SHORT / STRIDE / max(1, tokens))))
-    model = Model(outputs)
+    model, learned_from = Model(outputs), []
+    dealt = blocks.coalesce(max(1, n_bytes // LEARN_BYTES))
     shared = context.broadcast(outputs)
     for turn in range(ROUNDS):
         start = context.broadcast(model.flat)
@@ -318,15 +371,8 @@ def train(blocks: DataFrame, outputs: Outputs, tokens: int) -> Model:
                     own = Learner(Model(shared.value, start.value.copy()), shared.value)
                 t = Tokens(row)
                 before, now = t.with_contexts(shared.value)
-                use = np.flatnonzero(t.trained())
-                use = use[mixed(use.astype(np.uint64)) % np.uint64(stride) == np.uint64(turn % stride)] if stride > 1 else use
-                rng = np.random.default_rng([turn, row["block"]])
-                for _ in range(passes):
-                    rng.shuffle(use)
-                    for at in range(0, len(use), BATCH):
-                        part = use[at : at + BATCH]
-                        own.learn(before[part], now[part], rng)
-                weight += len(use)
+                use = t.trained()
+                weight += own.learn_all(before[use], now[use], np.random.default_rng([turn, row["block"]]))
             if weight:
                 flat = own.m.flat.astype(np.float64) * weight
                 for k, at in enumerate(range(0, len(flat), PART)):
@@ -335,13 +381,15 @@ def train(blocks: DataFrame, outputs: Outputs, tokens: int) -> Model:
         def averaged(t: pa.Table) -> pa.Table:
             total = np.sum([np.frombuffer(x, np.float64) for x in t.column("numbers").to_pylist()], axis=0)
             mean = (total / sum(t.column("weight").to_pylist())).astype(np.float32)
-            return pa.table([t.column("part").slice(0, 1), pa.array([mean.tobytes()])], names=["part", "numbers"])
+            return pa.table([t.column("part").slice(0, 1), pa.array([sum(t.column("weight").to_pylist())]), pa.array([mean.tobytes()])], names=["part", "weight", "numbers"])
 
-        sent = blocks.mapInArrow(learned, "part long, weight double, numbers binary")
-        for r in sent.groupBy("part").applyInArrow(averaged, "part long, numbers binary").toLocalIterator():
+        sent = dealt.mapInArrow(learned, "part long, weight double, numbers binary")
+        learned_from.append(0)
+        for r in sent.groupBy("part").applyInArrow(averaged, "part long, weight double, numbers binary").toLocalIterator():
             mean = np.frombuffer(r["numbers"], np.float32)
             model.flat[r["part"] * PART : r["part"] * PART + len(mean)] = mean
-    return model
+            learned_from[-1] = int(r["weight"])
+    return model, learned_from
 
 
 def tokenised_blocks(scratch: Scratch, documents: DataFrame) -> DataFrame:
@@ -390,7 +438,7 @@ def score_documents(documents: DataFrame, scratch: Scratch | None = None) -> Dat
     total = told.where("tokens IS NOT NULL").select(F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x).alias("v"))
     train_tokens, vocabulary = (x or 0 for x in total.agg(F.sum("n"), F.sum("v")).first())
     outputs = find_outputs(told, train_tokens)
-    model = train(blocks, outputs, train_tokens)
+    model, _ = train(blocks, outputs, size)
     scale = np.log10(train_tokens + 0.5 * (vocabulary + 1))
     shared, learned = spark.sparkContext.broadcast(outputs), spark.sparkContext.broadcast(model.flat)
     replies = scratch.write(told.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("replies")))
