@@ -41,8 +41,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are told apart by a key of their own here too, so that rows which share an id, or have none, are mixed one by one."""
+    keyed = Scratch(spark).write(docs.select(F.struct("*").alias("_d"), F.monotonically_increasing_id().alias("_own")))
     weights = quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.take(docs, mixing.mix(docs, weights, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0))
+    rows = keyed.select("_own", "_d.doc_id", "_d.source", "_d.text")
+    return mixing.take_rows(keyed, mixing.mix(rows, weights, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0, row="_own").withColumnRenamed("_own", "row"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

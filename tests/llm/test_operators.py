@@ -489,3 +489,19 @@ def test_every_training_token_is_learned_from(spark, sf_dir, monkeypatch):
         gains += [r[1] - r[2] for r in got if r.held_out]
     print(gains)
     assert min(gains) > 0.1 and gains[1] > gains[0]
+
+
+@pytest.mark.parametrize("size", [3e6, 2.5e7])
+def test_scores_beyond_exact_doubles(spark, size):
+    r = random.Random(int(size))
+    vectors = [(i, [r.uniform(-size, size) for _ in range(6)]) for i in range(60)] + [(200 + i, [size] * 6) for i in range(3)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    want = Counter(brute.top_k(vectors))
+    assert rows(search.top_k(df)) == want == rows(search.top_k(df, seeds=0)) and max(s for *_, s in want) > 1 << 53
+
+
+def test_scores_beyond_longs_are_refused(spark):
+    for x in (3e8, 1e300):
+        df = spark.createDataFrame([(20, [x] * 8), (1, [1.0] * 8)], "vec_id long, embedding array<double>")
+        with pytest.raises(ValueError, match="2\\^63"):
+            search.top_k(df)

@@ -58,3 +58,29 @@ def test_run_on_an_empty_table(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"file://{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert got.count() == 0 and "token_ids" in got.columns
+
+
+def test_mix_takes_rows_that_share_an_id_one_by_one(spark, sf_dir):
+    """Sources meet their targets though most rows have no id and others share one."""
+    text = lambda k, n: " ".join(f"w{k}-{j}" for j in range(n))
+    rows = [(None, text(k, 50 + 40 * k), "a" if k % 2 else "b") for k in range(8)] + [(5, text(k, 90), "c") for k in range(20, 26)] + [(k, text(k, 70), "c") for k in range(30, 34)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    taken, sizes = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    copies = Counter()
+    for r in corpus_pipeline.mix(spark, docs, sf_dir).collect():
+        taken[r.source] += len(r.text.split())
+        copies[r.text.split()[0]] += 1
+    for s, t in brute.targets(dict(sizes)).items():
+        assert abs(taken[s] - t) <= 1
+    assert max(copies.values()) <= 2
+
+
+def test_run_gives_the_rows_of_its_stages(spark, sf_dir):
+    """run() against the stages one after another, by the mix's tokens of each document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir).cache()
+    rows = lambda df: Counter((r.doc_id, tuple(r.token_ids)) for r in df.collect())
+    assert rows(corpus_pipeline.run(spark, sf_dir)) == rows(docs)

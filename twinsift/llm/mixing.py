@@ -51,8 +51,8 @@ def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[float, ...], shar
     return ranked.withColumn("target", F.least("limit", F.lit(level) * F.col("weight"))).drop("weight", "limit"), n
 
 
-def mix(documents: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, key.
+def mix(documents: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17, scratch: Scratch | None = None, row: str | None = None) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken, key, and ``row``, a column that tells rows apart, if it is given.
 
     ``taken`` counts the words that the mix takes of it, repeats included. ``quality`` (doc_id, weight; each id once)
     gives positive weights; ids that it lacks, and all without it, weigh 1. Key bins are even where weights stay within
@@ -62,13 +62,15 @@ def mix(documents: DataFrame, quality: DataFrame | None = None, weights: tuple[f
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark)
-    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    rows = narrow.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), exponential(seed).alias("drawn"))
+    own = [F.col(row).alias("_row")] if row else []
+    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), *own)
+    own = ["_row"] if row else []
+    rows = narrow.select(*own, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), exponential(seed).alias("drawn"))
     weight = F.lit(1.0)
     if quality is not None:
         rows = rows.join(quality.select(F.col("doc_id").alias("_id"), F.col("weight").cast("double").alias("_weight")), F.col("doc_id") == F.col("_id"), "left")
         weight = F.coalesce("_weight", F.lit(1.0))
-    rows = scratch.write(rows.select("doc_id", "source", "size", (F.col("drawn") / weight).alias("key")))
+    rows = scratch.write(rows.select(*own, "doc_id", "source", "size", (F.col("drawn") / weight).alias("key")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     aims, n_sources = targets(scratch, sizes, weights, share, most)
     budget = F.round("target").cast("long")
@@ -99,10 +101,10 @@ def mix(documents: DataFrame, quality: DataFrame | None = None, weights: tuple[f
     coarse_sums = coarse_sums.select("source_no", "coarse", F.coalesce(F.sum("words").over(upto("source_no", "coarse")), F.lit(0)).alias("coarse_before"))
     fine_sums = sums.select("source_no", "coarse", "fine", F.coalesce(F.sum("words").over(upto("source_no", "coarse", "fine")), F.lit(0)).alias("fine_before"))
     before = fine_sums.join(coarse_sums, ["source_no", "coarse"])
-    inside = Window.partitionBy("source_no", "coarse", "fine").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_no", "coarse", "fine").orderBy("key", "doc_id", *own).rowsBetween(Window.unboundedPreceding, -1)
     spent = F.col("coarse_before") + F.col("fine_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - spent))
-    return keyed.join(before, ["source_no", "coarse", "fine"]).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "key")
+    return keyed.join(before, ["source_no", "coarse", "fine"]).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "key", *[F.col(c).alias(row) for c in own])
 
 
 def take(documents: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -110,13 +112,18 @@ def take(documents: DataFrame, mixed: DataFrame) -> DataFrame:
 
     Documents are matched by id; rows that share an id share the number of copies of the first of them.
     """
-    taken = mixed.groupBy("doc_id").agg(F.max(F.struct("taken", "size")).alias("t")).select(F.col("doc_id").alias("_id"), F.col("t.taken").alias("_taken"), F.col("t.size").alias("_size"))
+    taken = mixed.groupBy("doc_id").agg(F.max(F.struct("taken", "size")).alias("t")).select(F.col("doc_id").alias("row"), "t.taken", "t.size")
     # the documents' columns travel in a struct, where their names can't meet these
-    held = documents.select(F.struct("*").alias("_d"), F.col("doc_id").cast("long").alias("_own"))
+    return take_rows(documents.select(F.struct("*").alias("_d"), F.col("doc_id").cast("long").alias("_own")), taken)
+
+
+def take_rows(held: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The same for rows ``_d`` (a struct of all columns) with their own key ``_own``, of which ``mixed`` has row, taken and size."""
+    taken = mixed.select(F.col("row").alias("_id"), F.col("taken").alias("_taken"), F.col("size").alias("_size"))
     joined = held.join(taken, F.col("_own").eqNullSafe(F.col("_id"))).where("_taken > 0")
     whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     cut = (F.col("_taken") % F.col("_size")).cast("int")
     copies = joined.select("_d", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))).alias("_cut"))
     parts = F.split("_d.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a word with the white space before it
     text = F.when(F.col("_cut") == 0, F.col("_d.text")).otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.col("_cut"), F.lit(1))), ""))
-    return copies.select(*[text.alias("text") if c == "text" else F.col(f"_d.`{c}`") for c in documents.columns])
+    return copies.select(*[text.alias("text") if c == "text" else F.col(f"_d.`{c}`") for c in held.schema["_d"].dataType.names])

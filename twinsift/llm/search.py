@@ -24,9 +24,11 @@ from twinsift.llm.scratch import Scratch
 LEVELS = (4, 16, 32)
 #: Vectors that give every query its first threshold: a sample drawn by hash, whose bound this is.
 SEEDS = 512
-#: Rows of a group of candidates, and queries that meet it at once, at most on average.
-GROUP_ROWS = 200_000
-QUERY_ROWS = 50_000
+#: Bytes of the vectors of a group of candidates, and of the queries that meet it at once, at most on average.
+GROUP_BYTES = 100 << 20
+QUERY_BYTES = 25 << 20
+#: Squared lengths up to which products of doubles are exact, and beyond which a score may be no long.
+DOUBLES, LONGS = float(1 << 53), float(1 << 63) * (1 - 1e-9)
 LEAST_GROUPS = 16
 #: Rows and queries that are bounded at once, and the share of survivors up to which products are taken pair by pair
 #: and not in one matrix product.
@@ -54,7 +56,7 @@ class Best:
 
     def __init__(self, least: np.ndarray, k: int):
         self.k = k
-        self.q, self.s, self.i, self.row = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.q, self.s, self.i, self.row = np.empty(0, np.int64), np.empty(0, least.dtype), np.empty(0, np.int64), np.empty(0, np.int64)
         self.least = least.copy()
 
     def add(self, q: np.ndarray, s: np.ndarray, i: np.ndarray, row: np.ndarray) -> None:
@@ -67,12 +69,16 @@ class Best:
         self.least[self.q[last]] = np.maximum(self.least[self.q[last]], self.s[last])
 
 
+def lowest(x: np.ndarray):
+    return -np.inf if x.dtype.kind == "f" else np.iinfo(x.dtype).min
+
+
 def first_thresholds(rows: np.ndarray, q: np.ndarray, seed_rows: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
-    """Of each query the k-th best score among the seeds, itself excepted; -inf if there are fewer."""
+    """Of each query the k-th best score among the seeds, itself excepted; the lowest of numbers if there are fewer."""
     if len(seeds) < k + 1:
-        return np.full(len(q), -np.inf)
+        return np.full(len(q), lowest(q))
     s = q @ seeds.T
-    s[rows[:, None] == seed_rows[None, :]] = -np.inf
+    s[rows[:, None] == seed_rows[None, :]] = lowest(q)
     return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
 
 
@@ -90,17 +96,20 @@ def search_block(
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(query rows, ids, rows, scores): the k best of ``x`` for each row of ``q``, itself excepted.
 
+    Vectors of long integers are bounded in doubles, rounding included, and their products taken in integers.
     ``counts`` gets the pairs that were met and those of which a product was taken.
     """
-    o = np.argsort(-np.linalg.norm(x, axis=1), kind="stable")  # long vectors first: thresholds rise early
-    x_rows, x_ids, x = x_rows[o], x_ids[o], x[o]
+    o = np.argsort(-np.linalg.norm(x.astype(float), axis=1), kind="stable")  # long vectors first: thresholds rise early
+    x_rows, x_ids, whole = x_rows[o], x_ids[o], x[o]
+    x = whole.astype(float)
     turned = lambda m: m if basis is None else m @ basis
     levels = tuple(n for n in levels if n < x.shape[1])
     features = [segment_features(turned(x), n) for n in levels]
     long_x = np.linalg.norm(x, axis=1).max(initial=0)
     for at in range(0, len(q), _QUERIES):
-        own, qs = q_rows[at : at + _QUERIES], q[at : at + _QUERIES]
-        best = Best(np.full(len(qs), -np.inf) if seeds is None else first_thresholds(own, qs, *seeds, k), k)
+        own, exact = q_rows[at : at + _QUERIES], q[at : at + _QUERIES]
+        qs = exact.astype(float)
+        best = Best(np.full(len(qs), lowest(q)) if seeds is None else first_thresholds(own, exact, *seeds, k), k)
         asked = [segment_features(turned(qs), n) for n in levels]
         slack = 1e-9 * (1 + np.linalg.norm(qs, axis=1).max(initial=0) * long_x)
         for to in range(0, len(x), _TILE):
@@ -116,7 +125,11 @@ def search_block(
                 counts["met"], counts["computed"] = counts.get("met", 0) + alive.size, counts.get("computed", 0) + len(a)
             if not len(a):
                 continue
-            if len(a) <= _SPARSE * alive.size:
+            if whole.dtype.kind != "f":
+                near = (qs @ x[tile].T)[a, b] + slack >= best.least[a]
+                a, b = a[near], b[near]
+                s = np.einsum("ij,ij->i", exact[a], whole[tile][b])
+            elif len(a) <= _SPARSE * alive.size:
                 s = np.einsum("ij,ij->i", qs[a], x[tile][b])
             else:
                 s = (qs @ x[tile].T)[a, b]
@@ -130,14 +143,14 @@ def integer_vectors(embeddings: DataFrame, scale: int) -> DataFrame:
     """vec_id, v: floor(scale * x) of each component; invalid vectors left out."""
     e = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    v = F.transform(e, lambda x: F.floor(x * scale).cast("long"))
+    v = F.transform(e, lambda x: F.floor(x * scale).cast("long"))  # floor saturates at the ends of long, which top_k refuses
     return embeddings.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int, kind=np.float64) -> np.ndarray:
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lens = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(lists), width))
+    out = np.zeros((len(lists), width), kind)
     out[np.arange(width)[None, :] < lens[:, None]] = lists.flatten().to_numpy()
     return out
 
@@ -166,21 +179,26 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
 
     Vectors that are null or hold null or non-finite components, and null ids, take no part. Rows that share an id
     are vectors of their own, as queries too; ties go to the smaller id, then to the earlier row. Shorter vectors count
-    as ended by zeros. Sums of products must stay below 2^53. With fewer than k other rows all are returned; an empty
-    table gives no rows. Only vec_id and embedding are read.
+    as ended by zeros. Scores are exact: where squared lengths pass 2^53, products are taken in long integers, and where
+    they pass 2^63 a ValueError says so, as a score might be no long. With fewer than k other rows all are returned; an
+    empty table gives no rows. Only vec_id and embedding are read.
 
     Candidates are dealt to groups of a bounded size by their row, queries to blocks; each block meets each group
     once and returns its k best there, so a query's best are chosen from k rows per group.
     """
     scratch = scratch or Scratch(embeddings.sparkSession)
     vectors = scratch.write(integer_vectors(embeddings, scale).withColumn("row", F.monotonically_increasing_id()))
-    n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    n, width, longest = vectors.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
     width = max(1, width or 0)
+    if (longest or 0) >= LONGS:
+        raise ValueError(f"vectors of squared length {longest:.3g} may have scores beyond 2^63; use a smaller scale")
+    kind = np.float64 if (longest or 0) < DOUBLES else np.int64
     basis = energy_basis(vectors, width)
     drawn = vectors.select("row", "v").orderBy(F.xxhash64("row", F.lit(3)), "row").limit(seeds).toArrow()
-    first = drawn.column("row").to_numpy(), _matrix(drawn.column("v"), width)
-    groups = max(LEAST_GROUPS, -(-n // GROUP_ROWS))
-    blocks = max(1, -(-n // (every * QUERY_ROWS)))
+    first = drawn.column("row").to_numpy(), _matrix(drawn.column("v"), width, kind)
+    groups = max(LEAST_GROUPS, -(-n * width * 8 // GROUP_BYTES))
+    blocks = max(1, -(-n * width * 8 // (every * QUERY_BYTES)))
     place = lambda seed, of: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(of))
     cell = (F.col("block") * groups + F.col("group")).alias("cell")
     rows = vectors.withColumn("group", place(1, groups)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -190,7 +208,7 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
         schema = pa.schema([("query_row", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.int64())])
         if not len(q) or not len(x):
             return schema.empty_table()
-        found = search_block(q.column("row").to_numpy(), _matrix(q.column("v"), width), x.column("row").to_numpy(), x.column("vec_id").to_numpy(), _matrix(x.column("v"), width), k, basis, first)
+        found = search_block(q.column("row").to_numpy(), _matrix(q.column("v"), width, kind), x.column("row").to_numpy(), x.column("vec_id").to_numpy(), _matrix(x.column("v"), width, kind), k, basis, first)
         return pa.concat_tables([schema.empty_table(), *(pa.table([a, b, r, s.astype(np.int64)], schema=schema) for a, b, r, s in found)])
 
     left = queries.select(cell, "row", "v").groupBy("cell")
