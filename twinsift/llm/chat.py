@@ -12,6 +12,7 @@ place then meets the texts where they lie. No conversation is gathered in one ro
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,8 +29,17 @@ TYPES = {"string": "^STRING$", "integer": _NUMBER, "number": _NUMBER, "boolean":
 _BACKSLASH, _QUOTE = "\x01", "\x02"
 
 
-def plain_number(t: Column) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def plain_number(number: Column) -> Column:
     """A JSON number written out: no exponent, no zeros that say nothing, no minus before zero. Equal numbers read alike."""
+    return let(number, lambda t: F.when(t.rlike("^(0|-?[1-9][0-9]*)$"), t).otherwise(_written_out(t)))
+
+
+def _written_out(t: Column) -> Column:
     lower = F.lower(t)
     exponent = F.coalesce(F.split_part(lower, F.lit("e"), F.lit(2)).try_cast("int"), F.lit(0))
     mantissa = F.ltrim(F.split_part(lower, F.lit("e"), F.lit(1)), F.lit("-"))
@@ -64,7 +74,10 @@ def conforms(v: Column, schema: str | dict) -> Column:
     A number without a fraction is an integer however it is written. Objects hold no other keys than their
     properties unless ``additional`` is true; a schema without properties says nothing about keys.
     """
-    of = {"type": schema} if isinstance(schema, str) else schema
+    return let(v, lambda x: _conforms(x, {"type": schema} if isinstance(schema, str) else schema))
+
+
+def _conforms(v: Column, of: dict) -> Column:
     kinds = [of["type"]] if isinstance(of["type"], str) else list(of["type"])
     kind = F.schema_of_variant(v)
     text = F.to_json(v)
@@ -85,12 +98,7 @@ def conforms(v: Column, schema: str | dict) -> Column:
             if "items" in of:
                 ok = ok & F.forall(held, lambda x: F.coalesce(conforms(x, of["items"]), F.lit(False)))
         if name == "object" and "properties" in of:
-            held = F.when(kind.startswith("OBJECT<"), v.try_cast("map<string,variant>"))
-            if not of.get("additional", False):
-                ok = ok & (F.size(F.array_except(F.map_keys(held), F.array(*map(F.lit, of["properties"])).cast("array<string>"))) == 0)
-            for key, inner in of["properties"].items():
-                needed = key in of.get("required", ())
-                ok = ok & F.when(F.map_contains_key(held, key), F.coalesce(conforms(held[key], inner), F.lit(False))).otherwise(F.lit(not needed))
+            ok = ok & let(F.when(kind.startswith("OBJECT<"), v.try_cast("map<string,variant>")), lambda held: properties_fit(held, of))
         return F.coalesce(ok, F.lit(False))
 
     out = reduce(lambda a, b: a | b, map(fits, kinds))
@@ -102,10 +110,21 @@ def conforms(v: Column, schema: str | dict) -> Column:
     return out
 
 
+def properties_fit(held: Column, of: dict) -> Column:
+    """Whether the values by key of an object fit its schema's properties."""
+    ok = held.isNotNull()
+    if not of.get("additional", False):
+        ok = ok & (F.size(F.array_except(F.map_keys(held), F.array(*map(F.lit, of["properties"])).cast("array<string>"))) == 0)
+    for key, inner in of["properties"].items():
+        needed = key in of.get("required", ())
+        ok = ok & F.when(F.map_contains_key(held, key), F.coalesce(conforms(held[key], inner), F.lit(False))).otherwise(F.lit(not needed))
+    return ok
+
+
 def arguments_fit(name: Column, v: Column, tools: dict[str, dict]) -> Column:
     """Whether ``v`` is an object with every required argument of the tool, each of its schema, and no other argument."""
     fits = F.lit(False)
-    for tool, args in tools.items():
+    for tool, args in tools.items():  # only the branch of a call's own tool is worked out
         schema = {"type": "object", "properties": {a: of for a, (of, _) in args.items()}, "required": [a for a, (_, needed) in args.items() if needed]}
         fits = F.when(name == tool, conforms(v, schema)).otherwise(fits)
     return F.coalesce(fits, F.lit(False))
