@@ -155,24 +155,16 @@ def summarize(members: DataFrame) -> DataFrame:
     return out.withColumn("status", status(F.col("contents_verified"), F.col("digest"), F.col("metadata_checked"), F.size("differing_streams") > 0))
 
 
-def details(groups: DataFrame, members: DataFrame) -> DataFrame:
-    """(group_id, report): the group's status, what was compared, and a line per file and stream.
+def stream_states(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(group_id, path, stream, size, state): how each member stands to every named stream that any member of its group has.
 
-    ``groups`` as from ``summarize``; ``members`` holds group_id, path, streams and stream_hashes. Names of streams
-    are those that any member has, so each file tells what it lacks.
+    ``groups`` as from ``summarize``; ``members`` holds group_id, path, streams and stream_hashes. States: absent (the member
+    lacks it), unread (it has no digest), unequal and equal (among all members of the group).
     """
-    names = members.select("group_id", F.explode("streams").alias("s")).groupBy("group_id").agg(F.array_sort(F.collect_set("s.name")).alias("names"))
-    about = groups.select("group_id", "status", "digest", "contents_verified", "differing_streams").join(names, "group_id", "left")
+    names = members.select("group_id", F.explode("streams.name").alias("stream")).distinct()
+    differ = groups.select("group_id", F.explode("differing_streams").alias("stream"), F.lit(True).alias("differs"))
     sizes, hashes = F.map_from_entries("streams"), F.map_from_entries("stream_hashes")
-
-    def line(n: Column) -> Column:
-        size = F.format_number(F.element_at(sizes, n), 0)
-        same = F.when(F.array_contains("differing_streams", n), "differs or is missing in other copies").otherwise("the same in every copy")
-        told = F.when(~F.map_contains_key(sizes, n), "missing").when(~F.map_contains_key(hashes, n), F.concat(size, F.lit(" bytes, not compared"))).otherwise(F.concat(size, F.lit(" bytes, "), same))
-        return F.concat(F.lit("  "), n, F.lit(": "), told)
-
-    each = members.join(about, "group_id").select("group_id", "path", F.array_join(F.concat(F.array("path"), F.transform(F.coalesce("names", F.array().cast("array<string>")), line)), "\n").alias("part"))
-    parts = each.groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "part"))), lambda x: x["part"]), "\n").alias("parts"))
-    compared = F.when(F.col("contents_verified"), "contents compared byte by byte").when(F.col("digest").isNotNull(), "digests are equal, contents not compared").otherwise("only the criteria were compared")
-    body = F.when(F.col("names").isNull(), F.lit("no extra streams")).otherwise(F.col("parts"))
-    return about.join(parts, "group_id").select("group_id", F.concat_ws("\n", "status", compared, body).alias("report"))
+    each = members.join(names, "group_id").join(differ, ["group_id", "stream"], "left")
+    size = F.element_at(sizes, F.col("stream"))
+    state = F.when(size.isNull(), "absent").when(F.element_at(hashes, F.col("stream")).isNull(), "unread").when(F.col("differs"), "unequal").otherwise("equal")
+    return each.select("group_id", "path", "stream", size.alias("size"), state.alias("state"))

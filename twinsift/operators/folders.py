@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions import paths
 from twinsift.operators.graph import cut
+from twinsift.scratch import Scratch
 
 
 def content_ids(files: DataFrame, content_key: str) -> DataFrame:
@@ -15,16 +18,44 @@ def content_ids(files: DataFrame, content_key: str) -> DataFrame:
     return files.join(ids, files[content_key].eqNullSafe(F.col("_key"))).drop("_key")
 
 
+#: Sums that make up a folder's facts. Two 64-bit hashes of a content are added up in halves, so that sums never overflow
+#: and equal multisets of contents, and by all likelihood no others, have equal sums.
+_SUMS = ("n_files", "total_size", "n_dirs", "h1", "h2", "h3", "h4")
+
+
+def content_hashes(content: str) -> list[Column]:
+    halves = lambda h: (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))
+    return [x.alias(f"h{i}") for i, x in enumerate([*halves(F.xxhash64(content, F.lit(1))), *halves(F.xxhash64(content, F.lit(2)))], 1)]
+
+
+def folder_sums(files: DataFrame, directories: DataFrame | None = None) -> DataFrame:
+    """path and _SUMS of every folder that files (path, size, content_id) or directories name or imply, the whole tree below it counted.
+
+    Files are added up in their own folders. Then, from the deepest level up, each folder's sums are added to those of the one
+    above it, so a file moves once and a folder once per level; a level's rows are its folders, however many lie below.
+    """
+    scratch = Scratch(files.sparkSession)
+    zero = F.lit(0).cast("long")
+    own = files.select(paths.parent(F.col("path")).alias("path"), F.lit(1).cast("long").alias("n_files"), F.col("size").cast("long").alias("total_size"), zero.alias("n_dirs"), *content_hashes("content_id"))
+    if directories is not None:
+        own = own.unionByName(directories.select("path", *[zero.alias(c) for c in _SUMS]))
+    added = lambda df: df.groupBy("path").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    level = F.when(F.col("path") == "/", 0).otherwise(paths.depth(F.col("path")))
+    named = scratch.write(added(own).withColumn("_level", level))
+    deepest = named.agg(F.max("_level")).first()[0]
+    out, below = [], None
+    for k in range(deepest if deepest is not None else -1, -1, -1):
+        rows = named.where(F.col("_level") == k).select("path", *_SUMS)
+        if below is not None:
+            rows = added(rows.unionByName(below.select(paths.parent(F.col("path")).alias("path"), *_SUMS)))
+        below = scratch.write(rows.withColumn("n_dirs", F.col("n_dirs") + 1))  # itself
+        out.append(below)
+    return reduce(DataFrame.unionByName, out) if out else named.select("path", *_SUMS)
+
+
 def rollup(files: DataFrame, directories: DataFrame | None = None) -> DataFrame:
     """path, n_files, total_size and n_dirs (itself included) of every folder that files or directories name or imply."""
-    of_files = files.select(F.explode(paths.ancestors(F.col("path"))).alias("path"), "size")
-    sums = of_files.groupBy("path").agg(F.count("*").alias("n_files"), F.sum("size").alias("total_size"))
-    named = files.select(paths.parent(F.col("path")).alias("path"))
-    if directories is not None:
-        named = named.unionByName(directories.select("path"))
-    every = named.distinct().select(F.explode(paths.ancestors(F.col("path"), itself=True)).alias("path")).distinct()
-    dirs = every.select(F.explode(paths.ancestors(F.col("path"), itself=True)).alias("path")).groupBy("path").agg(F.count("*").alias("n_dirs"))
-    return dirs.join(sums, "path", "left").select("path", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("total_size", F.lit(0)).cast("long").alias("total_size"), "n_dirs")
+    return folder_sums(files.select("path", "size", F.lit(0).alias("content_id")), directories).select("path", "n_files", "total_size", "n_dirs")
 
 
 def poisoned(issues: DataFrame) -> DataFrame:
@@ -57,9 +88,7 @@ def duplicate_folders(files: DataFrame, directories: DataFrame | None = None, is
     not lie within each other: equal ones that do are dealt to further groups, from the top down, so that a folder's
     group is told by how many of those above it are equal to it.
     """
-    facts = rollup(files, directories)
-    signed = multiset_signature(files.select(F.explode(paths.ancestors(F.col("path"))).alias("path"), "content_id"), "path", "content_id")
-    rows = facts.join(signed, "path", "left").where(F.col("path") != "/").withColumn("signature", F.coalesce("signature", F.lit("")))
+    rows = folder_sums(files, directories).where(F.col("path") != "/").withColumn("signature", F.concat_ws(":", "h1", "h2", "h3", "h4"))
     if issues is not None:
         rows = rows.join(poisoned(issues), "path", "left_anti")
     if roots is not None:
@@ -68,7 +97,12 @@ def duplicate_folders(files: DataFrame, directories: DataFrame | None = None, is
     same = ["signature", "n_files"]
     shared = rows.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     several = cut(rows.join(shared, same, "left_semi"))
-    up = several.select(*same, "path", F.explode(paths.ancestors(F.col("path"))).alias("_up"))
+    # of equal folders that lie within each other all between them are equal too, so the one right above tells whether there are any
+    inner = several
+    if roots is None:
+        above = several.select(*same, F.col("path").alias("_above"))
+        inner = several.withColumn("_above", paths.parent(F.col("path"))).join(above, [*same, "_above"], "left_semi")
+    up = inner.select(*same, "path", F.explode(paths.ancestors(F.col("path"))).alias("_up"))
     nested = up.join(several.select(*same, F.col("path").alias("_up")), [*same, "_up"]).groupBy("path").agg(F.count("*").alias("part"))
     dealt = several.join(nested, "path", "left").withColumn("part", F.coalesce("part", F.lit(0)))
     groups = dealt.groupBy(*same, "part").agg(F.min("path").alias("group_id"), F.count("*").alias("_n"), F.min("n_dirs").alias("_dirs"))

@@ -8,34 +8,19 @@ from pyspark.sql import functions as F
 from twinsift.functions.fingerprints import hamming
 from twinsift.functions.paths import casefold, suffix
 from twinsift.operators.graph import cut, references
+from twinsift.operators.neighbours import hamming_pairs
 
 # Radii of images; radius, slots required and duration tolerance of videos; the aspect limit.
 IMAGE_RADII = {"Strict": 4, "Balanced": 8, "Broad": 12}
 VIDEO_PRESETS = {"Strict": (5, 11, 0.005), "Balanced": (9, 10, 0.015), "Broad": (12, 9, 0.03)}
 ASPECT = 0.08
-SLOTS, BITS = 12, 63
+SLOTS = 12
+#: Seconds by which durations of a pair differ at most, whatever the preset.
+LONGEST = 5.0
 IMAGE_SUFFIXES = ".jpg .jpeg .png .bmp .webp .tif .tiff".split()
 VIDEO_SUFFIXES = ".mp4 .m4v .mov .mkv .avi .webm".split()
 
 
-def hamming_pairs(a: DataFrame, b: DataFrame, radius: int, *, bits: int = BITS, within: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, distance): distinct values of ``signature`` within ``radius``; only those that agree on ``within`` meet.
-
-    A signature is cut into radius + 1 bands; two within the radius agree on one band whole, so bands are an
-    equi-join. Each side's values are distinct first: repeated signatures cost nothing.
-    """
-    n = radius + 1
-    edges = [bits * i // n for i in range(n + 1)]
-
-    def banded(df: DataFrame, name: str) -> DataFrame:
-        s = F.col("signature")
-        bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(s, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
-        return df.where(s.isNotNull()).select("signature", *within).distinct().select(s.alias(name), *within, F.explode(bands).alias("_band"))
-
-    distance = hamming(F.col("a"), F.col("b"))
-    return banded(a, "a").join(banded(b, "b"), ["_band", *within]).select("a", "b", *within).where(distance <= radius).distinct().withColumn("distance", distance)
-
-
 def same_aspect(w1: Column, h1: Column, w2: Column, h2: Column) -> Column:
     return F.abs(F.log(w1 * h2 / (h1 * w2))) <= ASPECT
 
@@ -95,7 +80,8 @@ def video_groups(videos: DataFrame, preset: str) -> DataFrame:
     """(reference, path, matched, valid, total): videos that follow an earlier, larger one.
 
     Videos out of bounds, or without a signature in enough slots, are compared with none. Two videos match if duration and shape agree, enough slots have a frame pair within the radius, and every third
-    of the video has two of them. Candidates come from a band join of the frames, slot by slot. A video
+    of the video has two of them. Candidates come from a join of near frames, slot by slot
+    and among durations that lie near. A video
     joins the reference before it with most slots, then least distance, then first place.
     """
     radius, required, tolerance = VIDEO_PRESETS[preset]
@@ -105,16 +91,20 @@ def video_groups(videos: DataFrame, preset: str) -> DataFrame:
     # equal videos are one node; only the first of them can be a reference
     what = ["width", "height", "duration", "signatures"]
     nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("node")))
-    frames = nodes.select("node", F.posexplode("signatures").alias("k", "signature")).where("signature is not null")
-    frames = frames.select("node", "signature", F.shiftright("k", 1).alias("slot")).distinct()
-    near = hamming_pairs(frames, frames, radius, within=("slot",)).select("a", "b", "slot")
-    holds = lambda s, n: frames.select("slot", F.col("signature").alias(s), F.col("node").alias(n))
-    pairs = near.join(holds("a", "later"), ["slot", "a"]).join(holds("b", "earlier"), ["slot", "b"]).where("earlier <= later")
+    frames = nodes.select("node", "duration", F.posexplode("signatures").alias("k", "signature")).where("signature is not null")
+    # durations of a pair differ by LONGEST at most, so they lie in the same span of that length or in two that touch
+    span = F.floor(F.col("duration") / LONGEST)
+    frames = cut(frames.select("node", "signature", F.shiftright("k", 1).alias("slot"), span.alias("span")).distinct())
+    spread = frames.withColumn("span", F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)))
+    where = ["slot", "span"]
+    near = hamming_pairs(frames, spread, radius, within=tuple(where)).select("a", "b", *where)
+    holds = lambda f, s, n: f.select(*where, F.col("signature").alias(s), F.col("node").alias(n))
+    pairs = near.join(holds(frames, "a", "later"), [*where, "a"]).join(holds(spread, "b", "earlier"), [*where, "b"]).where("earlier <= later")
     # a match has the required number of slots, so fewer near slots than that rule a pair out
     pairs = pairs.groupBy("later", "earlier").agg(F.count_distinct("slot").alias("slots")).where(F.col("slots") >= required).drop("slots")
     side = lambda n, k: nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}{k}") for c in what])
     both = pairs.join(side("later", 1), "later").join(side("earlier", 2), "earlier")
-    limit = F.greatest(F.lit(0.25), F.least(F.lit(5.0), F.least("duration1", "duration2") * tolerance))
+    limit = F.greatest(F.lit(0.25), F.least(F.lit(LONGEST), F.least("duration1", "duration2") * tolerance))
     both = both.where((F.abs(F.col("duration1") - F.col("duration2")) <= limit) & same_aspect(F.col("width2"), F.col("height2"), F.col("width1"), F.col("height1")))
     both = both.withColumn("e", slot_evidence(F.col("signatures2"), F.col("signatures1"), radius)).where((F.col("e.matched") >= required) & (F.col("e.thirds") >= 2))
     links = cut(both.select("later", "earlier", "e"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinsift.functions import fingerprints, paths
-from twinsift.operators import cleanup, exact, folders, review, scope, similar
+from twinsift.operators import cleanup, exact, folders, review, scope, similar, tolerance
 from twinsift.operators.graph import cut, numbered
 from twinsift.plans.matching import matching
 from twinsift.registry import _FILES, _GROUPS, _SELECTED, ORACLE_SQL, QUERIES, files, images, members, query, selection, table, videos
@@ -347,3 +347,25 @@ def stale_files(spark, sf_dir):
 def files_read_so_far(spark, sf_dir):
     f = files(spark, sf_dir)
     return incremental.tally(f.where("path >= '/src5'"), incremental.tally(f.where("path < '/src5'")))
+
+
+# wide radii, and sizes that no key parts
+
+
+@query(ORACLE_SQL["image_groups"].replace("<= 4 ", "<= 12 "))
+def image_groups_broad(spark, sf_dir):
+    return similar.image_groups(images(spark, sf_dir), similar.IMAGE_RADII["Broad"])
+
+
+@query(ORACLE_SQL["video_groups"].replace("x <= 9)", "x <= 12)").replace("matched >= 10", "matched >= 9").replace("0.015::DOUBLE", "0.03::DOUBLE"))
+def video_groups_broad(spark, sf_dir):
+    return similar.video_groups(videos(spark, sf_dir), "Broad")
+
+
+@query(
+    "WITH RECURSIVE d AS (SELECT DISTINCT n_chars AS s FROM documents), nxt AS (SELECT a.s, min(b.s) AS t FROM d a JOIN d b ON b.s > a.s + 5 GROUP BY a.s), anchors AS (SELECT min(s) AS anchor FROM d UNION ALL SELECT n.t FROM anchors a JOIN nxt n ON n.s = a.anchor), "
+    "m AS (SELECT t.doc_id, max(a.anchor) AS anchor FROM documents t JOIN anchors a ON a.anchor <= t.n_chars GROUP BY t.doc_id) SELECT anchor, count(*) AS n_files, min(doc_id) AS first_id FROM m GROUP BY anchor"
+)
+def size_sweep(spark, sf_dir):
+    swept = tolerance.size_anchors(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), [], "n_chars", 5)
+    return swept.groupBy("anchor").agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_id"))
