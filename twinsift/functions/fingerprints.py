@@ -9,12 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE = 64 * 1024
+#: Bytes of a file that are digested at once.
+RANGE = 64 << 20
 
 
 def digest(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def file_digest(content: Column, length: int = RANGE) -> Column:
+    """SHA-256 of binary content; of more than one range, that of the texts of its ranges' digests (as ``contents.digests``)."""
+    last = F.floor((F.octet_length(content) - 1) / length).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last)), lambda k: digest(F.substring(content, k * length + 1, F.lit(length))))
+    return F.when(F.octet_length(content) <= length, digest(content)).otherwise(F.sha2(F.array_join(parts, ""), 256))
+
+
 def sample_digest(content: Column, window: int = SAMPLE) -> Column:
     """Digest of the first, the middle and the last window of binary content; windows that coincide count once."""
     n = F.octet_length(content)

@@ -1,8 +1,9 @@
 """Groups of equal files: keys first, then digests, then contents, then what may differ a little.
 
 Keys are counted before rows meet: a group's members are found by joining its key back, so no group is gathered in one
-task. Contents are read for candidates only, once for their digests and once to hold the members of a group against
-its first; they are never a key. What is left between the stages is narrow and written once.
+task. Where contents come as a column, each is digested where it is scanned and left there; only those whose digests are equal
+are held against each other, folded to a least and a most per group before they move. Where files have no such column, tasks open them by byte
+ranges (``sources.contents``) and no content moves at all. What is left between the stages is narrow and written once.
 """
 
 from __future__ import annotations
@@ -14,6 +15,12 @@ from twinsift.functions import fingerprints, paths
 from twinsift.operators import tolerance
 from twinsift.operators.graph import cut
 from twinsift.plans.matching import Matching, matching
+from twinsift.sources import contents
+
+#: Rows that are sent to every task at most, each a path and its group.
+FEW = 200_000
+#: Bytes of a content that are compared at once.
+CHUNK = 4 << 20
 
 
 def on_keys(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -27,53 +34,100 @@ def sharing(rows: DataFrame, keys: list[str]) -> DataFrame:
     return on_keys(rows, rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), keys, "left_semi") if keys else rows
 
 
-def candidates(files: DataFrame, want: Matching) -> tuple[DataFrame, list[str]]:
-    """Files whose exact keys at least one other file shares, with these keys as columns."""
+def keyed(files: DataFrame, want: Matching) -> tuple[DataFrame, list[str]]:
+    """``files`` with their exact keys as columns; a file that lacks a time that is asked for takes no part."""
     keys = want.exact()
     lacking = [s.column().isNotNull() for s in want.same if s.what == "born"]
-    keyed = (files.where(lacking[0]) if lacking else files).withColumns(keys)
-    return sharing(keyed, list(keys)), list(keys)
+    return (files.where(lacking[0]) if lacking else files).withColumns(keys), list(keys)
+
+
+def candidates(files: DataFrame, want: Matching) -> tuple[DataFrame, list[str]]:
+    """Files whose exact keys at least one other file shares, with these keys as columns."""
+    rows, keys = keyed(files, want)
+    return sharing(rows, keys), keys
+
+
+def digested(files: DataFrame, want: Matching, issues: list[DataFrame]) -> tuple[DataFrame, list[str]]:
+    """Files that share their keys and their digest, without contents, and the columns that they share.
+
+    A content in its row is digested there. Files on disk are read where keys are shared, first at the ends and in the middle, and
+    then as a whole where that is equal too; what can't be read is added to ``issues`` (path, reason).
+    """
+    rows, keys = keyed(files, want)
+    if "content" in files.columns:
+        told = cut(rows.withColumn("digest", fingerprints.file_digest(F.col("content"))).drop("content"))
+        return sharing(told, [*keys, "digest"]), [*keys, "digest"]
+    found = cut(sharing(rows, keys))
+    for column, read in (("key_sample", contents.samples), ("digest", contents.digests)):
+        told = cut(read(found))
+        issues.append(told.where("reason IS NOT NULL").select("path", "reason"))
+        keys = [*keys, column]
+        found = cut(sharing(found.join(told.where("reason IS NULL").drop("reason"), "path"), keys))
+    return found, keys
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, to be sent to every task if they are at most ``FEW``."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
 
 
-def digested(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates without their contents, that share the digests of the ends and the middle and of the whole."""
-    parts = found.withColumn("key_sample", fingerprints.sample_digest(F.col("content"))).withColumn("digest", fingerprints.digest(F.col("content")))
-    return sharing(cut(parts.drop("content")), [*keys, "key_sample", "digest"])
+def _apart(members: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, group_id): ``members`` grouped anew by the contents themselves."""
+    held = members.select("path").join(files.select("path", "content"), "path")
+    return held.join(held.groupBy("content").agg(F.min("path").alias("group_id")), "content").select("path", "group_id")
 
 
-def verified(members: DataFrame, files: DataFrame) -> DataFrame:
-    """``members`` (path, group_id) with the group in which all bytes are equal; the rest of a group parts from it.
+def verified(members: DataFrame, files: DataFrame, issues: list[DataFrame] | None = None) -> DataFrame:
+    """``members`` (path, group_id: the least path) with the group in which all bytes are equal; the rest of a group parts from it.
 
-    Contents are held against the first member's. Members that differ from it though their digests are equal are
-    grouped anew by the contents themselves.
+    Contents in rows: per group and chunk the least and the most content are found, in part where rows lie, so a popular file moves
+    once per task and not once per copy; they are equal iff all are. Files on disk are opened by pairs, each with its group's first.
     """
-    bytes_of = members.select("path", "group_id").join(files.select("path", "content"), "path")
-    first = bytes_of.where("path = group_id").select("group_id", F.col("content").alias("_first"))
-    told = cut(bytes_of.join(first, "group_id").select("path", "group_id", (F.col("content") == F.col("_first")).alias("_equal")))
-    equal, other = told.where("_equal").select("path", "group_id"), told.where("NOT _equal").select("path")
-    if not other.isEmpty():
-        apart = other.join(files.select("path", "content"), "path")
-        named = apart.groupBy("content").agg(F.min("path").alias("group_id"))
-        equal = equal.unionByName(apart.join(named, "content").select("path", "group_id"))
-    return members.drop("group_id").join(equal, "path")
-
-
-def duplicate_groups(files: DataFrame, want: Matching | None = None) -> DataFrame:
+    if "content" not in files.columns:
+        return _verified_on_disk(members, files, [] if issues is None else issues)
+    n = F.octet_length("content")
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / CHUNK).cast("int")), lambda k: F.substring(F.col("content"), k * CHUNK + 1, F.lit(CHUNK)))
+    held = files.select("path", "content").join(few(members.select("path", "group_id")), "path")
+    each = held.select("group_id", n.alias("_n"), F.posexplode(parts).alias("_part", "_bytes"))
+    told = each.groupBy("group_id", "_part").agg((F.min("_bytes") == F.max("_bytes")).alias("_same"), (F.min("_n") == F.max("_n")).alias("_long"))
+    mixed = cut(told.where("NOT (_same AND _long)").select("group_id").distinct())
+    if mixed.isEmpty():
+        return members
+    apart = _apart(members.join(mixed, "group_id", "left_semi"), files)
+    named = members.join(mixed, "group_id", "left_anti").select("path", "group_id").unionByName(apart)
+    return members.drop("group_id").join(named, "path")
+
+
+def _verified_on_disk(members: DataFrame, files: DataFrame, issues: list[DataFrame]) -> DataFrame:
+    """As ``verified``. Of those that differ from their group's first, the least is the first of a further round."""
+    left, named = members.select("path", "group_id"), None
+    while True:
+        told = cut(contents.equal_to(files, left.where("path <> group_id").withColumnRenamed("group_id", "other")))
+        issues.append(told.where("reason IS NOT NULL").select("path", "reason"))
+        equal = left.where("path = group_id").unionByName(left.join(told.where("equal AND reason IS NULL"), "path", "left_semi"))
+        named = equal if named is None else named.unionByName(equal)
+        other = cut(left.join(told.where("NOT equal AND reason IS NULL"), "path", "left_semi"))
+        if other.isEmpty():
+            return members.drop("group_id").join(named, "path")
+        left = other.join(other.groupBy("group_id").agg(F.min("path").alias("_first")), "group_id").select("path", F.col("_first").alias("group_id"))
+
+
+def duplicate_groups(files: DataFrame, want: Matching | None = None, issues: list[DataFrame] | None = None) -> DataFrame:
     """Members of groups: group_id (their least path), digest, byte_verified and the file's columns but content.
 
-    Needs path (once per file), size and what ``want`` names; content where evidence is asked for. Files whose size or
-    name may differ a little are grouped by the rules of ``operators.tolerance`` within what they share exactly.
+    Needs path (once per file), size and what ``want`` names. Evidence is taken from content or, without such a column, from the
+    files themselves, which needs modified_ns and inode; what can't be read, or has changed, is added to ``issues`` as frames of (path,
+    reason). Files whose size or name may differ a little are grouped by the rules of ``operators.tolerance`` within what they share exactly.
     """
-    want = want or matching()
-    found, keys = candidates(files, want)
-    by = keys
+    want, issues = want or matching(), [] if issues is None else issues
     if want.evidence:
-        found, by = digested(found, keys), [*keys, "digest"]
+        found, by = digested(files, want, issues)
     else:
-        found = found.withColumn("digest", F.lit(None).cast("string")).drop("content")
+        found, by = candidates(files.drop("content"), want)
+        found = found.withColumn("digest", F.lit(None).cast("string"))
     if "bytes" in want.evidence:
         first = found.groupBy(*by).agg(F.min("path").alias("group_id"))
-        found = verified(on_keys(found, first, by), files).withColumnRenamed("group_id", "key_bytes")
+        found = verified(cut(on_keys(found, first, by)), files, issues).withColumnRenamed("group_id", "key_bytes")
         by = [*by, "key_bytes"]
     names, sizes = want.tolerance("name"), want.tolerance("size")
     if names:
@@ -133,6 +187,8 @@ def summarize(members: DataFrame) -> DataFrame:
     stream_hashes if there are any.
     """
     with_streams = "streams" in members.columns
+    if with_streams and "stream_hashes" not in members.columns:  # none has been read
+        members = members.withColumn("stream_hashes", F.array().cast("array<struct<name:string,sha256:string>>"))
     whole = total_size(F.col("size"), F.col("streams") if with_streams else None)
     names = lambda c: F.array_sort(F.transform(F.coalesce(c, F.array()), lambda s: s["name"]))
     checked = (names(F.col("streams")) == names(F.col("stream_hashes"))) if with_streams else F.lit(True)

@@ -12,9 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsift.functions.fingerprints import file_digest
 from twinsift.operators import exact, folders, scope, similar
+from twinsift.operators.graph import cut
 from twinsift.plans.matching import Matching
 from twinsift.scratch import file_system
+from twinsift.sources import contents
 
 
 @dataclass
@@ -45,8 +48,14 @@ def _files(inventory: Inventory, ask: Request) -> DataFrame:
 
 def _folders(inventory: Inventory, ask: Request) -> DataFrame:
     """Trees are compared whole: neither file types nor criteria thin them out."""
-    digests = inventory.files.withColumn("_digest", F.sha2("content", 256)).drop("content")
-    return folders.duplicate_folders(folders.content_ids(digests, "_digest"), inventory.directories, inventory.issues)
+    if "content" in inventory.files.columns:
+        digests, issues = inventory.files.withColumn("_digest", file_digest(F.col("content"))).drop("content"), inventory.issues
+    else:
+        told = cut(contents.digests(inventory.files))
+        digests = inventory.files.join(told.where("reason IS NULL").select("path", F.col("digest").alias("_digest")), "path")
+        issues = told.where("reason IS NOT NULL").select("path", "reason")
+        issues = issues if inventory.issues is None else issues.unionByName(inventory.issues.select("path", "reason"))
+    return folders.duplicate_folders(folders.content_ids(digests, "_digest"), inventory.directories, issues)
 
 
 def _images(inventory: Inventory, ask: Request) -> DataFrame:

@@ -114,10 +114,10 @@ class InventoryReader(DataSourceReader):
 
 
 def read_inventory(spark: SparkSession, roots: list[str], *, recursive: bool = True, excluded: tuple[str, ...] = (), content: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files, directories, issues)"""
+    """(files, directories, issues). Without ``content`` files have no such column, and what asks for evidence opens them by ranges."""
     spark.dataSource.register(InventorySource)
     rows = spark.read.format("inventory").options(roots="\n".join(roots), excluded="\n".join(excluded), recursive=str(recursive).lower(), content=str(content).lower()).load()
-    files = rows.where("kind in ('file', 'link')").drop("kind", "reason")
+    files = rows.where("kind in ('file', 'link')").drop("kind", "reason", *([] if content else ["content"]))
     return files, rows.where("kind = 'directory'").select("path", "modified_ns", "changed_ns", "device", "inode"), rows.where("kind = 'issue'").select("path", "reason")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsift.functions.fingerprints import file_digest
 from twinsift.operators import folders, similar
-from twinsift.operators.exact import duplicate_groups, on_keys, sharing
+from twinsift.operators.exact import duplicate_groups, few, on_keys, sharing
 from twinsift.operators.graph import cut
 from twinsift.plans.matching import Matching, matching
 from twinsift.scratch import file_system
@@ -25,8 +26,8 @@ def keyed(files: DataFrame, want: Matching) -> DataFrame:
 
 def with_digests(rows: DataFrame, contents: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with the digests that are missing where another row has the same keys; no other content is read."""
-    needed = sharing(rows, keys).where("digest IS NULL").select("path")
-    told = contents.select("path", "content").join(needed, "path", "left_semi").select("path", F.sha2("content", 256).alias("_new"))
+    needed = few(sharing(rows, keys).where("digest IS NULL").select("path"))
+    told = contents.select("path", "content").join(needed, "path", "left_semi").select("path", file_digest(F.col("content")).alias("_new"))
     return rows.join(told, "path", "left").withColumn("digest", F.coalesce("digest", "_new")).select(*rows.columns)
 
 
@@ -91,7 +92,7 @@ def extend_videos(signatures: DataFrame, new: DataFrame, strictness: str) -> Dat
 
 def extend_folders(state: DataFrame, new: DataFrame, issues: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(state, groups): folders over an earlier state (path, size, digest) and new files, of which alone contents are read."""
-    both = cut(state.select("path", "size", "digest").unionByName(new.select("path", "size", F.sha2("content", 256).alias("digest"))))
+    both = cut(state.select("path", "size", "digest").unionByName(new.select("path", "size", file_digest(F.col("content")).alias("digest"))))
     return both, folders.duplicate_folders(folders.content_ids(both, "digest"), None, issues)
 
 
@@ -158,7 +159,7 @@ class GroupStream:
         held = self._marker()
         if held and held["batch"] >= batch:
             return
-        digest = F.sha2("content", 256) if self.want.evidence else F.lit(None).cast("string")
+        digest = file_digest(F.col("content")) if self.want.evidence else F.lit(None).cast("string")
         rows = files.withColumns(self.want.exact()).withColumn("digest", digest).drop("content")
         rows.write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch}")
         marker = self.spark.createDataFrame([(batch, str(self.want))], "batch long, settings string")
