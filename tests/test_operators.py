@@ -412,8 +412,8 @@ def test_streams_in_plans(spark):
     assert list(got) == [["x"], ["only", "x"]]
 
 
-def member(group, path, digest="d", current=True, streams=None, inode=0):
-    return (group, path, 1, digest, current, True, streams or {}, 1, inode)
+def member(group, path, digest="d", current=True, streams=None, inode=None):
+    return (group, path, 1, digest, current, True, streams or {}, 1, ord(path[-1]) if inode is None else inode)
 
 
 def plan(spark, members, selected, **k):
@@ -434,6 +434,16 @@ def test_duplicate_plan(spark):
     assert plan(spark, [member("g", "/a", streams=zone), member("g", "/b")], ["/b"]) == {"/b": ("copy", "remove")}
 
 
+def test_plans_refuse_foreign_and_repeated_files(spark):
+    for members, selected in (
+        ([member("g", "/a"), member("g", "/b")], ["/b", "/elsewhere"]),
+        ([member("g", "/a", inode=5), member("g", "/b", inode=5)], ["/b"]),
+        ([member("g", "/a"), member("g", "/b"), member("h", "/b", inode=7)], ["/b"]),
+    ):
+        with pytest.raises(ValueError):
+            plan(spark, members, selected)
+
+
 def test_folder_plan(spark):
     fold = spark.createDataFrame([("g", "/a", 2, True), ("g", "/b", 2, True)], "group_id string, path string, n_files long, is_current boolean")
     now = lambda last: spark.createDataFrame([("/a/1", 1, "x"), ("/a/2", 1, "y"), ("/b/1", 1, "y"), ("/b/2", 1, last)], "path string, size long, digest string")

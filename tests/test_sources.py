@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_operators import files, groups
-from twinsift.operators import exact
+from twinsift.operators import exact, similar
 from twinsift.plans.matching import matching
 from twinsift.sources import session, snapshot
 from twinsift.sources.inventory import read_inventory
@@ -120,6 +120,50 @@ def test_sessions_are_saved_whole(spark, tmp_path):
         session.load(spark, place)
 
 
+def test_sessions_keep_criteria_selection_and_evidence(spark, tmp_path):
+    place, want = f"file://{tmp_path}/s", matching("name~2 unmarked", "size", evidence="digest", several_folders=True)
+    frames = [("/v/a", 320, 180, 100.0, [k * 999 for k in range(24)]), ("/v/b", 320, 180, 100.0, [k * 999 ^ 1 for k in range(24)]), ("/v/c", 320, 180, 101.0, [k * 999 ^ (0xFFFFFFFFFFFF if 8 <= k < 14 else 0) for k in range(24)])]
+    videos = spark.createDataFrame(frames, session.SECTIONS["frames"])
+    matches = similar.video_groups(videos, "Broad")
+    assert {r.path for r in matches.collect()} == {"/v/b"}
+    true = tuple(matches.first())
+    claims = [true, ("/v/a", "/v/b", 12, 12, true[4] + 1), ("/v/a", "/v/c", 9, 12, 48), ("/v/a", "/v/a", 12, 12, 0), ("/v/a", "/v/gone", 12, 12, 0)]
+    # nine slots of twelve are equal, but not two of the middle third: the preset refuses what the record rightly counts
+    e = spark.createDataFrame([(frames[0][4], frames[2][4])], "a array<long>, b array<long>").select(similar.slot_evidence(F.col("a"), F.col("b"), 12).alias("e")).first().e
+    claims[2] = ("/v/a", "/v/c", e.matched, e.valid, e.total)
+    assert e.matched == 9 and e.thirds == 1
+    chosen = spark.createDataFrame([("/v/b",)], "path string")
+    pictures = spark.createDataFrame([("/i/a", 3, 2, 7)], session.SECTIONS["fingerprints"])
+    held = session.Session(("/v",), results={"videos": spark.createDataFrame(claims, session.SECTIONS["videos"]), "frames": videos, "selection": chosen, "fingerprints": pictures}, want=want, images="Strict", videos="Broad")
+    session.save(spark, held, place)
+    back = session.load(spark, place)
+    assert str(back.want) == str(want) and back.want == want and (back.images, back.videos) == ("Strict", "Broad")
+    assert [tuple(r) for r in back.results["videos"].collect()] == [true]
+    assert [r.path for r in back.results["selection"].collect()] == ["/v/b"] and tuple(back.results["fingerprints"].first()) == ("/i/a", 3, 2, 7)
+    with pytest.raises(ValueError):
+        session.save(spark, session.Session(("/v",), videos="Loose"), place)
+    about = (tmp_path / "s/about.json").read_text()
+    (tmp_path / "s/.about.json.crc").unlink(missing_ok=True)
+    (tmp_path / "s/about.json").write_text(about.replace("name~2", "smell"))
+    with pytest.raises(ValueError):
+        session.load(spark, place)
+
+
+def test_every_rule_of_a_record_is_told(spark):
+    good = ("/a", 1, 2, 3, [(":s:$DATA", 4)], [(":s:$DATA", "0" * 64)])
+    change = lambda **k: tuple(k.get(n, v) for n, v in zip(("path", "size", "modified", "inode", "streams", "hashes"), good, strict=True))
+    broken = {
+        "path": change(path="a"), "size": change(size=-1), "modified_ns": change(modified=None), "inode": change(inode=None), "stream name": change(streams=[("s", 4)]),
+        "stream size": change(streams=[(":s:$DATA", -4)]), "stream twice": change(streams=[(":s:$DATA", 4)] * 2), "stream digest": change(hashes=[(":s:$DATA", "zz")]),
+    }
+    record = "path:string,size:bigint,modified_ns:bigint,inode:bigint,streams:array<struct<name:string,size:bigint>>,stream_hashes:array<struct<name:string,sha256:string>>"
+    rows = [(rule, None, [bad, (f"/{k}", *good[1:])]) for k, (rule, bad) in enumerate(broken.items())]
+    rows = [(g, d, [(f"{x[0]}{k}" if j == 0 and g != "path" else x[0], *x[1:]) for j, x in enumerate(f)]) for k, (g, d, f) in enumerate(rows)]
+    rows += [("digest", "zz", [("/p", *good[1:]), ("/q", *good[1:])]), ("members", None, [("/r", *good[1:])]), ("path twice", None, [("/t", *good[1:]), ("/t", *good[1:])])]
+    got = {(r.group_id, r.rule) for r in snapshot.violations(spark.createDataFrame(rows, f"group_id string, digest string, files array<struct<{record}>>")).collect()}
+    assert got == {(g, g) for g, _, _ in rows}
+
+
 def test_stream_of_additions(spark, tmp_path):
     source, held = f"file://{tmp_path}/in", f"file://{tmp_path}/held"
     files(spark, **OLD).coalesce(1).write.parquet(source)

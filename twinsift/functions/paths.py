@@ -83,10 +83,6 @@ def is_within(path: Column, folder: Column) -> Column:
     return (path == folder) | (folder == "/") | F.startswith(path, F.concat(folder, F.lit("/")))
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return is_within(a, b) | is_within(b, a)
-
-
 def folder_key(path: Column, root: Column, *, full: bool = False, from_root: bool = False, depth_limit: int | None = None, case_sensitive: bool = False) -> Column:
     """What two files' folders are compared by: the name, the full path, the path below the root, or its first names.
 

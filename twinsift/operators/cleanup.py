@@ -12,10 +12,10 @@ ZONE, DROPBOX = ":zone.identifier:$data", ":com.dropbox.attrs:$data"
 
 
 def check_selection(members: DataFrame, selection: DataFrame) -> None:
-    """Errors for identities that occur twice in the results and for selected paths outside them."""
-    n, n_paths, n_ids = members.agg(F.count("*"), F.count_distinct("path"), F.count_distinct("device", "inode")).first()
-    if n_paths != n or n_ids != n:
-        raise ValueError("an identity occurs twice in the results; scan anew")
+    """Errors for paths or, where members have them, identities that occur twice in the results, and for selected paths outside them."""
+    for key in (["path"], ["device", "inode"]):
+        if set(key) <= set(members.columns) and not members.groupBy(*key).count().where("count > 1").isEmpty():
+            raise ValueError("an identity occurs twice in the results; scan anew")
     if not selection.join(members, "path", "left_anti").isEmpty():
         raise ValueError("the selection holds paths outside the results")
 
@@ -52,7 +52,9 @@ def duplicate_plan(members: DataFrame, selection: DataFrame, *, allow_zone: bool
 
     ``members``: group_id, path, size, digest, is_current, contents_verified, stream_map. Files are held against
     their group's reference; if all are selected the reference goes last, and only if a copy of it was verified.
+    A selection that names other files, or results that name one twice, are refused (``check_selection``).
     """
+    check_selection(members, selection)
     chosen = F.col("_on").isNotNull()
     rows = members.join(selection.select("path", F.lit(1).alias("_on")).distinct(), "path", "left")
     refs = _references(rows, "group_id", chosen)

@@ -25,6 +25,11 @@ def same_aspect(w1: Column, h1: Column, w2: Column, h2: Column) -> Column:
     return F.abs(F.log(w1 * h2 / (h1 * w2))) <= ASPECT
 
 
+def near_durations(a: Column, b: Column, tolerance: float) -> Column:
+    """Whether durations differ by a share of the shorter at most, by a quarter of a second in any case and never by over ``LONGEST``."""
+    return F.abs(a - b) <= F.greatest(F.lit(0.25), F.least(F.lit(LONGEST), F.least(a, b) * tolerance))
+
+
 def image_groups(images: DataFrame, radius: int) -> DataFrame:
     """(reference, path, distance): images that join an earlier, larger one within the radius and of its shape.
 
@@ -104,8 +109,7 @@ def video_groups(videos: DataFrame, preset: str) -> DataFrame:
     pairs = pairs.groupBy("later", "earlier").agg(F.count_distinct("slot").alias("slots")).where(F.col("slots") >= required).drop("slots")
     side = lambda n, k: nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}{k}") for c in what])
     both = pairs.join(side("later", 1), "later").join(side("earlier", 2), "earlier")
-    limit = F.greatest(F.lit(0.25), F.least(F.lit(LONGEST), F.least("duration1", "duration2") * tolerance))
-    both = both.where((F.abs(F.col("duration1") - F.col("duration2")) <= limit) & same_aspect(F.col("width2"), F.col("height2"), F.col("width1"), F.col("height1")))
+    both = both.where(near_durations(F.col("duration1"), F.col("duration2"), tolerance) & same_aspect(F.col("width2"), F.col("height2"), F.col("width1"), F.col("height1")))
     both = both.withColumn("e", slot_evidence(F.col("signatures2"), F.col("signatures1"), radius)).where((F.col("e.matched") >= required) & (F.col("e.thirds") >= 2))
     links = cut(both.select("later", "earlier", "e"))
     edges = links.where("earlier < later")

@@ -301,7 +301,7 @@ def removed_folder(spark, sf_dir):
 )
 def cleanup_plan(spark, sf_dir):
     m = members(spark, sf_dir).withColumn("is_current", F.col("doc_id") % 7 != 0).withColumn("contents_verified", F.lit(True)).withColumn("stream_map", F.create_map().cast("map<string,string>"))
-    return cleanup.duplicate_plan(m, selection(spark, sf_dir))
+    return cleanup.duplicate_plan(m, review.surviving_selection(selection(spark, sf_dir), m))
 
 
 @query(f"WITH {_FILES} SELECT path, CASE WHEN path LIKE '/src1/en/%' THEN '/src1/en' WHEN path LIKE '/src1/%' THEN '/src1' ELSE '/src2' END AS root FROM files WHERE (path LIKE '/src1/%' OR path LIKE '/src2/%') AND path NOT LIKE '/src2/fr/%'")

@@ -369,3 +369,79 @@ def video_groups_broad(spark, sf_dir):
 def size_sweep(spark, sf_dir):
     swept = tolerance.size_anchors(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), [], "n_chars", 5)
     return swept.groupBy("anchor").agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_id"))
+
+
+# streams, kinds and evidence
+
+
+_STREAMED = "streamed AS (SELECT m.*, l.doc_id IS NOT NULL AS has, l.quality, l.toxic FROM members m LEFT JOIN labels l USING (doc_id))"
+
+
+def streamed(spark, sf_dir):
+    """Documents as files whose label is a named stream; that of a toxic one has not been read."""
+    name = F.lit(":quality:$DATA")
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id",
+        F.array(F.struct(name.alias("name"), F.lit(1).cast("long").alias("size"))).alias("streams"),
+        F.when(F.col("toxic") == 0, F.array(F.struct(name.alias("name"), F.sha2(F.col("quality").cast("string"), 256).alias("sha256")))).otherwise(F.array()).alias("stream_hashes"),
+    )
+    none = [F.coalesce(c, F.array()).alias(c) for c in ("streams", "stream_hashes")]
+    return files(spark, sf_dir).join(labels, "doc_id", "left").select("doc_id", "path", "size", "content", *none)
+
+
+@query(
+    f"WITH {_GROUPS}, {_STREAMED}, g AS (SELECT group_id, count(*) AS n, count(*) FILTER (has) AS p, bool_and(NOT has OR toxic = 0) AS checked, count(DISTINCT CASE WHEN toxic = 0 THEN quality ELSE 9 END) FILTER (has) AS kinds, sum(size + has::INTEGER)::BIGINT AS total_bytes FROM streamed GROUP BY group_id) "
+    "SELECT group_id, checked AS metadata_checked, CASE WHEN p > 0 AND (kinds > 1 OR p < n) THEN ':quality:$DATA' ELSE '' END AS differing, CASE WHEN NOT checked THEN 'Metadata not checked — rescan' WHEN p > 0 AND (kinds > 1 OR p < n) THEN 'Metadata differs' ELSE 'Exact match' END AS status, total_bytes FROM g"
+)
+def metadata_groups(spark, sf_dir):
+    groups = exact.summarize(exact.duplicate_groups(streamed(spark, sf_dir)))
+    return groups.select("group_id", "metadata_checked", F.array_join("differing_streams", ",").alias("differing"), "status", "total_bytes")
+
+
+@query(f"WITH {_FILES}, s AS (SELECT f.path, f.size, f.text, CASE WHEN l.doc_id IS NULL THEN 'none' WHEN l.toxic = 1 THEN 'unread' ELSE l.quality::VARCHAR END AS held FROM files f LEFT JOIN labels l USING (doc_id)), g AS (SELECT *, min(path) OVER (PARTITION BY text, held) AS group_id, count(*) OVER (PARTITION BY text, held) AS n FROM s) SELECT group_id, path, size FROM g WHERE n > 1")
+def stream_groups(spark, sf_dir):
+    """Files equal in contents and in all named streams."""
+    return exact.duplicate_groups(streamed(spark, sf_dir), matching("streams")).select("group_id", "path", "size")
+
+
+_CONSENT = (
+    f"WITH {_GROUPS}, {_STREAMED}, m AS (SELECT *, coalesce(toxic, 0) = 1 AS zone, coalesce(quality, 0) = 1 AS sync FROM streamed), j AS (SELECT a.path, a.group_id, a.zone AND NOT b.zone AS z, a.sync AND NOT b.sync AS s FROM m a JOIN m b ON b.path = a.group_id WHERE a.path <> a.group_id) "
+    "SELECT path, group_id, 'copy' AS role, CASE WHEN z THEN 'keep' ELSE 'remove' END AS verdict, CASE WHEN z THEN 'download mark differs; consent needed' END AS reason FROM j"
+)
+
+
+@query(_CONSENT)
+def consented_plan(spark, sf_dir):
+    """All but the first of each group go; toxic documents carry a download mark, good ones a sync mark, which alone is consented to."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
+    mark = lambda on, name: F.when(on, F.map_from_arrays(F.array(F.lit(name)), F.array(F.lit("1")))).otherwise(F.create_map().cast("map<string,string>"))
+    maps = F.map_concat(mark(F.coalesce(F.col("toxic"), F.lit(0)) == 1, ":Zone.Identifier:$DATA"), mark(F.coalesce(F.col("quality"), F.lit(0)) == 1, ":com.dropbox.attrs:$DATA"))
+    m = members(spark, sf_dir).join(labels, "doc_id", "left").withColumns({"stream_map": maps, "is_current": F.lit(True), "contents_verified": F.lit(True)})
+    m = cut(m.drop("toxic", "quality"))
+    return cleanup.duplicate_plan(m, m.where("path <> group_id").select("path"), allow_dropbox=True)
+
+
+@query(f"WITH {_TYPED}, g AS (SELECT kind, path, min(path) OVER (PARTITION BY p_brand, p_size) AS group_id, count(*) OVER (PARTITION BY p_brand, p_size) AS n FROM (SELECT typed.*, p_brand, p_size FROM typed JOIN part ON regexp_extract(path, '^/p/([0-9]+)', 1)::BIGINT = p_partkey)) SELECT group_id, path FROM g WHERE n > 1 AND kind = 'Images'")
+def groups_of_type(spark, sf_dir):
+    """Parts of one brand and size are a group; the rows of one category are shown, after groups are made."""
+    brand = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("device"), F.col("p_size").cast("long").alias("size"))
+    rows = typed(spark, sf_dir).withColumn("p_partkey", F.regexp_extract("path", r"^/p/(\d+)", 1).cast("long")).join(brand, "p_partkey")
+    found = exact.duplicate_groups(rows, matching("size", "device", evidence=""))
+    return review.of_category(found, "Images").select("group_id", "path")
+
+
+@query(f"WITH f AS ({ORACLE_SQL['duplicate_folders']}), gone AS (SELECT '/o/' || o_orderkey AS path FROM orders WHERE o_orderstatus = 'P'), l AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS k FROM f WHERE path NOT IN (SELECT path FROM gone)) SELECT group_id, path FROM l WHERE k > 1")
+def folders_after_removal(spark, sf_dir):
+    """Something in the folders of open orders is removed, which voids them and what lies above."""
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("/o/"), F.col("o_orderkey").cast("string"), F.lit("/1")).alias("path"))
+    return cleanup.prune_folders(cut(QUERIES["duplicate_folders"](spark, sf_dir)), gone).select("group_id", "path")
+
+
+@query(f"SELECT reference, path, matched, valid, total FROM ({ORACLE_SQL['video_groups']}) WHERE replace(path, '/v/', '')::BIGINT NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND (replace(path, '/v/', '')::BIGINT IN (SELECT doc_id FROM labels WHERE quality = 0)) = (replace(reference, '/v/', '')::BIGINT IN (SELECT doc_id FROM labels WHERE quality = 0))")
+def held_videos(spark, sf_dir):
+    """Saved matches whose evidence is checked: records of toxic documents claim another distance, frames of bad ones are inverted, which two that are both so still share."""
+    every = videos(spark, sf_dir).withColumn("doc_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long"))
+    found = cut(similar.video_groups(every, "Balanced")).withColumn("doc_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long"))
+    claimed = flagged(found, labelled(spark, sf_dir, "toxic", 1), "toxic").withColumn("total", F.col("total") + F.col("toxic").cast("int"))
+    changed = flagged(every, labelled(spark, sf_dir, "quality", 0), "bad").withColumn("signatures", F.when(F.col("bad"), F.transform("signatures", lambda s: F.bitwise_not(s))).otherwise(F.col("signatures")))
+    return session.held_videos(claimed.select("reference", "path", "matched", "valid", "total"), changed, "Balanced")

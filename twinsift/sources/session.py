@@ -16,17 +16,27 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsift.operators import similar
 from twinsift.operators.scope import check_scope
+from twinsift.plans.matching import Matching, matching
 from twinsift.scratch import file_system
 from twinsift.sources import snapshot
 
-VERSION = 1
-ABOUT = "version int, saved_at string, held string, roots array<string>, excluded array<string>, recursive boolean, n_files bigint, n_bytes bigint, sections array<string>"
-#: Each section's columns; ``groups`` are those of exact duplicates, ``matches`` of images or videos.
+VERSION = 2
+#: Versions that load; the first kept no criteria and no presets.
+READABLE = (1, 2)
+_FIRST = "version int, saved_at string, held string, roots array<string>, excluded array<string>, recursive boolean, n_files bigint, n_bytes bigint, sections array<string>"
+ABOUT = _FIRST + ", same array<string>, evidence string, several_folders boolean, images string, videos string"
+#: Each section's columns; ``groups`` are those of exact duplicates, ``matches`` of images, ``videos`` of videos with their
+#: evidence, ``fingerprints`` and ``frames`` the signatures of images and videos.
 SECTIONS = {
     "groups": snapshot.SCHEMA,
     "folders": "group_id string, path string, n_files bigint, total_size bigint",
     "matches": "reference string, path string, distance int",
+    "videos": "reference string, path string, matched int, valid int, total int",
+    "fingerprints": "path string, width int, height int, signature bigint",
+    "frames": "path string, width int, height int, duration double, signatures array<bigint>",
+    "selection": "path string",
     "issues": "path string, reason string",
 }
 
@@ -46,6 +56,9 @@ class Session:
     n_bytes: int = 0
     results: dict[str, DataFrame] = field(default_factory=dict)
     saved_at: str | None = None
+    want: Matching | None = None
+    images: str = "Balanced"
+    videos: str = "Balanced"
 
     def check(self) -> None:
         for p in (*self.roots, *self.excluded):
@@ -55,6 +68,8 @@ class Session:
         for name in ("n_files", "n_bytes"):
             if type(getattr(self, name)) is not int or getattr(self, name) < 0:
                 raise ValueError(f"{name} must be a whole number from 0")
+        if self.images not in similar.IMAGE_RADII or self.videos not in similar.VIDEO_PRESETS:
+            raise ValueError("unknown strictness")
         if unknown := set(self.results) - set(SECTIONS):
             raise ValueError(f"no section is named {sorted(unknown)}")
 
@@ -71,7 +86,9 @@ def save(spark: SparkSession, session: Session, folder: str) -> None:
             snapshot.save(rows, f"{folder}/{held}/groups")
         else:
             rows.select(*[c.split()[0] for c in SECTIONS[name].split(", ")]).write.json(f"{folder}/{held}/{name}")
-    about = {"version": VERSION, "saved_at": datetime.now(UTC).isoformat(), "held": held, "roots": list(session.roots), "excluded": list(session.excluded), "recursive": session.recursive, "n_files": session.n_files, "n_bytes": session.n_bytes, "sections": sorted(session.results)}
+    about = {"version": VERSION, "saved_at": datetime.now(UTC).isoformat(), "held": held, "roots": list(session.roots), "excluded": list(session.excluded), "recursive": session.recursive, "n_files": session.n_files, "n_bytes": session.n_bytes, "sections": sorted(session.results), "images": session.images, "videos": session.videos}
+    if session.want:
+        about |= {"same": [str(s) for s in session.want.same], "evidence": " ".join(session.want.evidence), "several_folders": session.want.several_folders}
     store, place = file_system(spark, folder)
     store.mkdirs(place)
     out = store.create(file_system(spark, f"{folder}/about.json")[1], True)
@@ -85,16 +102,26 @@ def save(spark: SparkSession, session: Session, folder: str) -> None:
             store.delete(entry.getPath(), True)
 
 
+def _wanted(about: dict) -> Matching | None:
+    """The criteria of a description, parsed anew, so that unknown ones are errors."""
+    if about["evidence"] is None:
+        return None
+    return matching(*(about["same"] or []), evidence=about["evidence"], several_folders=bool(about["several_folders"]))
+
+
 def load(spark: SparkSession, folder: str) -> Session:
-    """The session last saved; ValueError if the folder holds none or its description breaks a rule."""
+    """The session last saved; ValueError if the folder holds none or its description breaks a rule.
+
+    Where frames are saved with matches of videos, a match whose evidence doesn't follow from them is left out.
+    """
     store, about = file_system(spark, f"{folder}/about.json")
     if not store.exists(about):
         raise ValueError(f"{folder} holds no session")
     rows = spark.read.schema(ABOUT).option("mode", "FAILFAST").json(f"{folder}/about.json").collect()  # one line
-    if len(rows) != 1 or rows[0].version != VERSION:
-        raise ValueError(f"not a session of version {VERSION}")
+    if len(rows) != 1 or rows[0].version not in READABLE:
+        raise ValueError(f"not a session of versions {READABLE}")
     a = rows[0].asDict()
-    if missing := [k for k, v in a.items() if v is None]:
+    if missing := [c for c in (x.split()[0] for x in _FIRST.split(", ")) if a[c] is None]:
         raise ValueError(f"the session lacks {missing}")
     if not HELD.fullmatch(a["held"]):
         raise ValueError(f"{a['held']} is not the name of a save")
@@ -103,8 +130,10 @@ def load(spark: SparkSession, folder: str) -> Session:
     except ValueError as e:
         raise ValueError("saved_at is no timestamp") from e
     results = {name: spark.read.schema(SECTIONS.get(name, "path string")).option("mode", "FAILFAST").json(f"{folder}/{a['held']}/{name}") for name in a["sections"]}
-    out = Session(tuple(a["roots"]), tuple(a["excluded"]), a["recursive"], a["n_files"], a["n_bytes"], results, a["saved_at"])
+    out = Session(tuple(a["roots"]), tuple(a["excluded"]), a["recursive"], a["n_files"], a["n_bytes"], results, a["saved_at"], _wanted(a), a["images"] or "Balanced", a["videos"] or "Balanced")
     out.check()
+    if {"videos", "frames"} <= set(results):
+        out.results["videos"] = held_videos(results["videos"], results["frames"], out.videos)
     return out
 
 
@@ -121,3 +150,18 @@ def restored_matches(matches: DataFrame, now: DataFrame) -> DataFrame:
     """``matches`` whose item and whose reference are both among ``now`` (path): without its reference a group goes."""
     here = now.select("path").distinct()
     return matches.join(here, "path", "left_semi").join(here.withColumnRenamed("path", "reference"), "reference", "left_semi").select(*matches.columns)
+
+
+def held_videos(matches: DataFrame, videos: DataFrame, preset: str) -> DataFrame:
+    """``matches`` (reference, path, matched, valid, total) whose evidence follows from the signatures of ``videos``.
+
+    Slots, distances and thirds are worked out again; they must be what the record says and meet the preset, and so must
+    durations and shapes. A record of a video that isn't there, or of one that follows itself, doesn't hold.
+    """
+    radius, required, tolerance = similar.VIDEO_PRESETS[preset]
+    side = lambda key, k: videos.select(F.col("path").alias(key), *[F.col(c).alias(f"_{c}{k}") for c in ("width", "height", "duration", "signatures")])
+    both = matches.where("path <> reference").join(side("path", 1), "path").join(side("reference", 2), "reference")
+    e = similar.slot_evidence(F.col("_signatures2"), F.col("_signatures1"), radius)
+    same = both.withColumn("_e", e).where(F.col("matched").eqNullSafe(F.col("_e.matched")) & F.col("valid").eqNullSafe(F.col("_e.valid")) & F.col("total").eqNullSafe(F.col("_e.total")))
+    fits = same.where((F.col("_e.matched") >= required) & (F.col("_e.thirds") >= 2) & similar.near_durations(F.col("_duration1"), F.col("_duration2"), tolerance))
+    return fits.where(similar.same_aspect(F.col("_width2"), F.col("_height2"), F.col("_width1"), F.col("_height1"))).select(*matches.columns)

@@ -69,10 +69,3 @@ def restore(groups: DataFrame, now: DataFrame, *, reference: str | None = None)
         alive = alive.join(groups.select("group_id", F.col(reference).alias("_reference")).join(there, ["group_id", "_reference"], "left_semi"), "group_id")
     members = told.where("_same").join(alive.select("group_id"), "group_id", "left_semi").drop("_same")
     return members, told.where("NOT _same").select("path", F.lit("changed or gone since it was saved").alias("reason"))
-
-
-def evidence_holds(a: Column, b: Column, pairs: Column, matched: Column, valid: Column, radius: Column) -> Column:
-    """Whether saved evidence of two videos follows from their signatures."""
-    d = F.transform(pairs, lambda p: F.bit_count(F.get(a, p["a"]).bitwiseXOR(F.get(b, p["b"]))))
-    equal = F.zip_with(pairs, d, lambda p, x: p["distance"].eqNullSafe(x.cast("int")))
-    return F.forall(equal, lambda x: x) & (F.size(F.filter(d, lambda x: x <= radius)) == matched) & (F.size(F.filter(d, lambda x: x.isNotNull())) == valid)
