@@ -92,7 +92,8 @@ def video_groups(videos: DataFrame, preset: str) -> DataFrame:
     radius, required, tolerance = VIDEO_PRESETS[preset]
     place = F.struct((-F.col("width").cast("long") * F.col("height")).alias("area"), F.col("path").alias("path"))
     fit = acceptable_video(F.col("width"), F.col("height"), F.col("duration")) & informative(F.col("signatures"))
-    rows = videos.where(fit).select(place.alias("place"), "width", "height", "duration", "signatures")
+    # written once: the plan of a join that works signatures out on the way has failed with a missing attribute
+    rows = cut(videos.where(fit).select(place.alias("place"), "width", "height", "duration", "signatures"))
     # equal videos are one node; only the first of them can be a reference
     what = ["width", "height", "duration", "signatures"]
     nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("node")))

@@ -440,7 +440,7 @@ def folders_after_removal(spark, sf_dir):
 @query(f"SELECT reference, path, matched, valid, total FROM ({ORACLE_SQL['video_groups']}) WHERE replace(path, '/v/', '')::BIGINT NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND (replace(path, '/v/', '')::BIGINT IN (SELECT doc_id FROM labels WHERE quality = 0)) = (replace(reference, '/v/', '')::BIGINT IN (SELECT doc_id FROM labels WHERE quality = 0))")
 def held_videos(spark, sf_dir):
     """Saved matches whose evidence is checked: records of toxic documents claim another distance, frames of bad ones are inverted, which two that are both so still share."""
-    every = videos(spark, sf_dir).withColumn("doc_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long"))
+    every = cut(videos(spark, sf_dir).withColumn("doc_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long")))
     found = cut(similar.video_groups(every, "Balanced")).withColumn("doc_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long"))
     claimed = flagged(found, labelled(spark, sf_dir, "toxic", 1), "toxic").withColumn("total", F.col("total") + F.col("toxic").cast("int"))
     changed = flagged(every, labelled(spark, sf_dir, "quality", 0), "bad").withColumn("signatures", F.when(F.col("bad"), F.transform("signatures", lambda s: F.bitwise_not(s))).otherwise(F.col("signatures")))
