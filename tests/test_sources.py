@@ -1,6 +1,7 @@
 """Inventories of real folders, snapshots, and groups that grow."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from twinsift.plans.matching import matching
 from twinsift.sources import session, snapshot
 from twinsift.sources.inventory import read_inventory
 from twinsift.streaming import incremental
+from twinsift.streaming.keyed import KeyedGroups
 
 
 def test_inventory_lists_empty_hidden_and_linked_entries(spark, tmp_path):
@@ -179,3 +181,43 @@ def test_stream_of_additions(spark, tmp_path):
     assert grown.state().count() == before
     with pytest.raises(ValueError):
         incremental.GroupStream(spark, held, matching("name"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_keyed_stream_of_additions_and_removals(spark, tmp_path, seed):
+    """After every batch the groups are those of a scan of what is there; only what a batch touches is told."""
+    r = random.Random(seed)
+    source, held = f"file://{tmp_path}/in", f"file://{tmp_path}/held"
+    schema = "path string, size long, content binary, removed boolean, seq long"
+    keyed, now, seq = KeyedGroups(spark, held), {}, 0
+    for _ in range(4):
+        rows = []
+        for _ in range(25):
+            path, seq = f"/p{r.randrange(30)}", seq + 1
+            if path in now and r.random() < 0.4:
+                now.pop(path)
+                rows.append((path, None, None, True, seq))
+            else:
+                now[path] = bytes([65 + r.randrange(6)]) * (1 + r.randrange(2))
+                rows.append((path, len(now[path]), bytearray(now[path]), None, seq))
+        late = (rows[0][0], 1, bytearray(b"late"), None, -1)  # older than what is known of its path
+        r.shuffle(rows)
+        spark.createDataFrame([*rows, late], schema).coalesce(1).write.mode("append").parquet(source)
+        keyed.start(spark.readStream.schema(schema).parquet(source), f"file://{tmp_path}/ck").awaitTermination()
+        assert groups(keyed.groups()) == groups(incremental.full_groups(files(spark, **now), matching()))
+    before = spark.read.parquet(held).count()
+    spark.createDataFrame([("/lone", 9, bytearray(b"alone now"), None, seq + 1), ("/never", None, None, True, seq + 1)], schema).coalesce(1).write.mode("append").parquet(source)
+    keyed.start(spark.readStream.schema(schema).parquet(source), f"file://{tmp_path}/ck").awaitTermination()
+    assert spark.read.parquet(held).count() == before
+    with pytest.raises(ValueError):
+        KeyedGroups(spark, held, matching("size~2", evidence=""))
+
+
+def test_keyed_stream_keeps_sizes(spark, tmp_path):
+    source, held = f"file://{tmp_path}/in", f"file://{tmp_path}/held"
+    schema = "path string, size long, removed boolean, seq long"
+    keyed = KeyedGroups(spark, held, matching("name", evidence=""))
+    for rows in ([("/a/x", 1, False, 1), ("/b/X", 2, False, 2)], [("/a/x", 5, False, 3)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        keyed.start(spark.readStream.schema(schema).parquet(source), f"file://{tmp_path}/ck").awaitTermination()
+    assert {(r.path, r.size) for r in keyed.groups().collect()} == {("/a/x", 5), ("/b/X", 2)}
