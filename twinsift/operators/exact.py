@@ -47,13 +47,16 @@ def candidates(files: DataFrame, want: Matching) -> tuple[DataFrame, list[str]]:
     return sharing(rows, keys), keys
 
 
-def digested(files: DataFrame, want: Matching, issues: list[DataFrame]) -> tuple[DataFrame, list[str]]:
+def digested(files: DataFrame, want: Matching, issues: list[DataFrame], apart: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """Files that share their keys and their digest, without contents, and the columns that they share.
 
-    A content in its row is digested there. Files on disk are read where keys are shared, first at the ends and in the middle, and
+    A content in its row is digested there, as are those of a table of their own, ``apart`` (path, content). Files on disk are read where keys are shared, first at the ends and in the middle, and
     then as a whole where that is equal too; what can't be read is added to ``issues`` (path, reason).
     """
     rows, keys = keyed(files, want)
+    if apart is not None:
+        told = sharing(rows, keys).join(apart.select("path", fingerprints.file_digest(F.col("content")).alias("digest")), "path")
+        return sharing(cut(told), [*keys, "digest"]), [*keys, "digest"]
     if "content" in files.columns:
         told = cut(rows.withColumn("digest", fingerprints.file_digest(F.col("content"))).drop("content"))
         return sharing(told, [*keys, "digest"]), [*keys, "digest"]
@@ -112,22 +115,22 @@ def _verified_on_disk(members: DataFrame, files: DataFrame, issues: list[DataFra
         left = other.join(other.groupBy("group_id").agg(F.min("path").alias("_first")), "group_id").select("path", F.col("_first").alias("group_id"))
 
 
-def duplicate_groups(files: DataFrame, want: Matching | None = None, issues: list[DataFrame] | None = None) -> DataFrame:
+def duplicate_groups(files: DataFrame, want: Matching | None = None, issues: list[DataFrame] | None = None, apart: DataFrame | None = None) -> DataFrame:
     """Members of groups: group_id (their least path), digest, byte_verified and the file's columns but content.
 
-    Needs path (once per file), size and what ``want`` names. Evidence is taken from content or, without such a column, from the
-    files themselves, which needs modified_ns and inode; what can't be read, or has changed, is added to ``issues`` as frames of (path,
+    Needs path (once per file), size and what ``want`` names. Evidence is taken from content, or from ``apart`` (path, content), which lets
+    files be joined with other tables while contents stay where they lie, or, without either, from the files themselves, which needs modified_ns and inode; what can't be read, or has changed, is added to ``issues`` as frames of (path,
     reason). Files whose size or name may differ a little are grouped by the rules of ``operators.tolerance`` within what they share exactly.
     """
     want, issues = want or matching(), [] if issues is None else issues
     if want.evidence:
-        found, by = digested(files, want, issues)
+        found, by = digested(files, want, issues, apart)
     else:
         found, by = candidates(files.drop("content"), want)
         found = found.withColumn("digest", F.lit(None).cast("string"))
     if "bytes" in want.evidence:
         first = found.groupBy(*by).agg(F.min("path").alias("group_id"))
-        found = verified(cut(on_keys(found, first, by)), files, issues).withColumnRenamed("group_id", "key_bytes")
+        found = verified(cut(on_keys(found, first, by)), files if apart is None else apart, issues).withColumnRenamed("group_id", "key_bytes")
         by = [*by, "key_bytes"]
     names, sizes = want.tolerance("name"), want.tolerance("size")
     if names:

@@ -378,7 +378,7 @@ _STREAMED = "streamed AS (SELECT m.*, l.doc_id IS NOT NULL AS has, l.quality, l.
 
 
 def streamed(spark, sf_dir):
-    """Documents as files whose label is a named stream; that of a toxic one has not been read."""
+    """Documents as files whose label is a named stream, that of a toxic one not read; and their contents, which are joined with nothing."""
     name = F.lit(":quality:$DATA")
     labels = table(spark, sf_dir, "labels").select(
         "doc_id",
@@ -386,7 +386,8 @@ def streamed(spark, sf_dir):
         F.when(F.col("toxic") == 0, F.array(F.struct(name.alias("name"), F.sha2(F.col("quality").cast("string"), 256).alias("sha256")))).otherwise(F.array()).alias("stream_hashes"),
     )
     none = [F.coalesce(c, F.array()).alias(c) for c in ("streams", "stream_hashes")]
-    return files(spark, sf_dir).join(labels, "doc_id", "left").select("doc_id", "path", "size", "content", *none)
+    every = files(spark, sf_dir)
+    return every.join(labels, "doc_id", "left").select("doc_id", "path", "size", *none), every.select("path", "content")
 
 
 @query(
@@ -394,14 +395,16 @@ def streamed(spark, sf_dir):
     "SELECT group_id, checked AS metadata_checked, CASE WHEN p > 0 AND (kinds > 1 OR p < n) THEN ':quality:$DATA' ELSE '' END AS differing, CASE WHEN NOT checked THEN 'Metadata not checked — rescan' WHEN p > 0 AND (kinds > 1 OR p < n) THEN 'Metadata differs' ELSE 'Exact match' END AS status, total_bytes FROM g"
 )
 def metadata_groups(spark, sf_dir):
-    groups = exact.summarize(exact.duplicate_groups(streamed(spark, sf_dir)))
+    rows, contents = streamed(spark, sf_dir)
+    groups = exact.summarize(exact.duplicate_groups(rows, apart=contents))
     return groups.select("group_id", "metadata_checked", F.array_join("differing_streams", ",").alias("differing"), "status", "total_bytes")
 
 
 @query(f"WITH {_FILES}, s AS (SELECT f.path, f.size, f.text, CASE WHEN l.doc_id IS NULL THEN 'none' WHEN l.toxic = 1 THEN 'unread' ELSE l.quality::VARCHAR END AS held FROM files f LEFT JOIN labels l USING (doc_id)), g AS (SELECT *, min(path) OVER (PARTITION BY text, held) AS group_id, count(*) OVER (PARTITION BY text, held) AS n FROM s) SELECT group_id, path, size FROM g WHERE n > 1")
 def stream_groups(spark, sf_dir):
     """Files equal in contents and in all named streams."""
-    return exact.duplicate_groups(streamed(spark, sf_dir), matching("streams")).select("group_id", "path", "size")
+    rows, contents = streamed(spark, sf_dir)
+    return exact.duplicate_groups(rows, matching("streams"), apart=contents).select("group_id", "path", "size")
 
 
 _CONSENT = (
