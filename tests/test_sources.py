@@ -11,7 +11,7 @@ from twinsift.operators import exact, similar
 from twinsift.plans.matching import matching
 from twinsift.sources import session, snapshot
 from twinsift.sources.inventory import read_inventory
-from twinsift.streaming import incremental
+from twinsift.streaming import grown, incremental
 from twinsift.streaming.keyed import KeyedGroups
 
 
@@ -76,7 +76,7 @@ def test_growing_equals_scanning_anew(spark):
 def test_media_and_folders_grow(spark):
     images = lambda *rows: spark.createDataFrame(list(rows), "path string, width int, height int, signature long")
     old, new = images(("m", 30, 20, 3), ("z", 30, 20, 0)), images(("a", 30, 20, 1))
-    got = {tuple(r) for r in incremental.extend_images(old, new, "Strict").collect()}
+    got = {tuple(r) for r in grown.extend_media(grown.scan_media("images", old, "Strict"), new).groups.collect()}
     assert got == {("a", "m", 1), ("a", "z", 1)}  # the new image is the reference now
     first = {"/a/x": b"1", "/a/y": b"22"}
     state, alone = incremental.extend_folders(files(spark).selectExpr("path", "size", "cast(null as string) digest"), files(spark, **first))
@@ -84,6 +84,67 @@ def test_media_and_folders_grow(spark):
     assert alone.count() == 0 and groups(both) == [["/a", "/b"]] and state.count() == 4
 
 
+def test_media_state_equals_grouping_anew(spark):
+    """Batches of images around few signatures, with copies, moved nodes, repeated paths, and nothing at all."""
+    r = random.Random(5)
+    schema = "path string, width int, height int, signature long"
+    centres = [r.getrandbits(63) for _ in range(4)]
+
+    def batch(k, n):
+        flips = lambda: sum(1 << b for b in r.sample(range(63), r.randrange(5)))
+        return [(f"/{r.choice('zyxwvuAB')}{k}-{i}", *r.choice([(30, 20), (60, 40), (20, 30)]), r.choice([r.choice(centres) ^ flips(), centres[0], None])) for i in range(n)]
+
+    batches = [batch(0, 30), batch(1, 12), [], batch(3, 3), batch(4, 25)]
+    batches[4].append(batches[0][0])  # a path that is held already
+    state, every = grown.scan_media("images", spark.createDataFrame(batches[0], schema), "Strict"), list(batches[0])
+    for rows in batches[1:]:
+        state = grown.extend_media(state, spark.createDataFrame(rows, schema))
+        every = list({row[0]: row for row in [*rows, *every]}.values())
+        want = similar.image_groups(spark.createDataFrame(every, schema), similar.IMAGE_RADII["Strict"])
+        assert sorted(map(tuple, state.groups.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError):
+        grown.scan_media("images", spark.createDataFrame(batches[0], schema), "Lax")
+
+
+def test_video_state_equals_grouping_anew(spark):
+    r = random.Random(9)
+    schema = "path string, width int, height int, duration double, signatures array<long>"
+    base = [[r.getrandbits(63) for _ in range(24)] for _ in range(2)]
+
+    def batch(k, n):
+        near = lambda frames: [None if r.random() < 0.05 else f ^ (1 << r.randrange(63)) if r.random() < 0.5 else f ^ r.getrandbits(20) if r.random() < 0.1 else f for f in frames]
+        return [(f"/{r.choice('zyxab')}{k}-{i}", *r.choice([(32, 18), (64, 36)]), r.choice([99.9, 100.0, 101.2]), near(r.choice(base)) if r.random() < 0.8 else base[0]) for i in range(n)]
+
+    batches = [batch(0, 14), batch(1, 8), batch(2, 2)]
+    state, every = grown.scan_media("videos", spark.createDataFrame(batches[0], schema), "Balanced"), list(batches[0])
+    for rows in batches[1:]:
+        state, every = grown.extend_media(state, spark.createDataFrame(rows, schema)), every + rows
+        want = similar.video_groups(spark.createDataFrame(every, schema), "Balanced")
+        assert sorted(map(tuple, state.groups.collect())) == sorted(map(tuple, want.collect())) and state.groups.count()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repaired_references_are_first_come(spark, seed):
+    """Only nodes that a change can reach are chosen anew, and the outcome is that of going through all in order."""
+    r = random.Random(seed)
+    places = r.sample(range(100), 40)
+    pairs = {(min(a, b), max(a, b)) for a, b in (r.sample(places, 2) for _ in range(70))}
+    new = set(r.sample(places, 4))
+
+    def greedy(nodes):
+        chosen = []
+        for v in sorted(nodes):
+            if not any((u, v) in pairs for u in chosen):
+                chosen.append(v)
+        return set(chosen)
+
+    column = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} int")
+    refs, redone = grown.repair(spark.createDataFrame(sorted(pairs), "earlier int, later int"), column("node", greedy(set(places) - new)), column("node", new))
+    assert sorted(x.node for x in refs.collect()) == sorted(greedy(places))
+    redone = {x.node for x in redone.collect()}
+    assert new | (greedy(places) ^ greedy(set(places) - new)) <= redone < set(places)
+
+
 def test_groups_go_with_their_reference(spark):
     rec = lambda p: (p, 1, 1, 1)
     schema = "group_id string, digest string, byte_verified boolean, ref string, files array<struct<path:string,size:bigint,modified_ns:bigint,inode:bigint>>"

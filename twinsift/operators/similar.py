@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,43 @@ def near_durations(a: Column, b: Column, tolerance: float) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(0.25), F.least(F.lit(LONGEST), F.least(a, b) * tolerance))
 
 
+def image_rows(images: DataFrame) -> DataFrame:
+    """(place, width, height, signature) of images that can be compared; places are ordered by larger area, then the caseless path."""
+    rows = images.where(F.col("signature").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0))
+    place = F.struct((-F.col("width").cast("long") * F.col("height")).alias("area"), casefold(F.col("path")).alias("key"), F.col("path").alias("path"))
+    return rows.select(place.alias("place"), F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "signature")
+
+
+def image_links(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
+    """(a, b, e): nodes of ``left`` and ``right`` within the radius and of one shape, a node with itself where both hold it."""
+    side = lambda df, n, k: df.select(F.col("signature").alias(n), F.col("node").alias(f"_{n}"), F.col("width").alias(f"w{k}"), F.col("height").alias(f"h{k}"))
+    near = hamming_pairs(left, right, radius).join(side(left, "a", 1), "a").join(side(right, "b", 2), "b")
+    return near.where(same_aspect(F.col("w1"), F.col("h1"), F.col("w2"), F.col("h2"))).select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.struct("distance").alias("e"))
+
+
+def image_best(rows: DataFrame, links: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(reference, path, distance): the nearest reference before each row (place, node), ties to the earlier one; none for references."""
+    best = _candidates(rows, links, refs, nodes).groupBy("place").agg(F.min(F.struct("e.distance", "ref")).alias("best"))
+    return _members(best, refs, nodes).select(F.col("best.ref.path").alias("reference"), F.col("place.path").alias("path"), F.col("best.distance").alias("distance"))
+
+
+def _candidates(rows: DataFrame, links: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(place, ref, e): for each row the references that its node is linked with and that come before it."""
+    at = nodes.join(refs, "node", "left_semi").select(F.col("node").alias("b"), F.col("place").alias("ref"))
+    return rows.join(links.withColumnRenamed("a", "node"), "node").join(at, "b").where("ref < place").select("place", "ref", "e")
+
+
+def _members(best: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return best.join(nodes.join(refs, "node", "left_semi").select("place"), "place", "left_anti")
+
+
+def _first_come(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node of every reference, where nodes are named by their places."""
+    edges = links.where("b < a").select(F.col("a").alias("later"), F.col("b").alias("earlier"))
+    alone = nodes.select(F.col("node").alias("id")).join(edges.select(F.explode(F.array("later", "earlier")).alias("id")), "id", "left_anti")
+    return references(edges).unionByName(alone).withColumnRenamed("id", "node")
+
+
 def image_groups(images: DataFrame, radius: int) -> DataFrame:
     """(reference, path, distance): images that join an earlier, larger one within the radius and of its shape.
 
@@ -37,24 +77,12 @@ def image_groups(images: DataFrame, radius: int) -> DataFrame:
     (ties: the earlier one), else it becomes a reference itself; members never link further images. Images that
     share signature and size are one node while references are sought: only the first of them can be one.
     """
-    rows = images.where(F.col("signature").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0))
-    place = F.struct((-F.col("width").cast("long") * F.col("height")).alias("area"), casefold(F.col("path")).alias("key"), F.col("path").alias("path"))
-    rows = rows.select("path", "signature", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), place.alias("place"))
-    nodes = cut(rows.groupBy("signature", "width", "height").agg(F.min("place").alias("first")))
-    near = hamming_pairs(nodes, nodes, radius)
-    left = nodes.select(F.col("signature").alias("a"), F.col("first").alias("later"), F.col("width").alias("w1"), F.col("height").alias("h1"))
-    right = nodes.select(F.col("signature").alias("b"), F.col("first").alias("earlier"), F.col("width").alias("w2"), F.col("height").alias("h2"))
-    links = cut(near.join(left, "a").join(right, "b").where(same_aspect(F.col("w1"), F.col("h1"), F.col("w2"), F.col("h2"))))
-    edges = links.where("earlier < later").select("later", "earlier")
-    chosen = references(edges)
-    alone = nodes.select(F.col("first").alias("id")).join(edges.select(F.explode(F.array("later", "earlier")).alias("id")), "id", "left_anti")
-    refs = chosen.unionByName(alone).withColumnRenamed("id", "ref")
-    # which references each node can join: its links, and itself for its copies
-    to = links.join(refs, F.col("earlier") == F.col("ref"), "left_semi").select(F.col("a").alias("signature"), F.col("w1").alias("width"), F.col("h1").alias("height"), F.col("earlier").alias("ref"), "distance")
-    found = rows.join(to, ["signature", "width", "height"]).where("ref < place")
-    best = found.groupBy("path", "place").agg(F.min(F.struct("distance", "ref")).alias("best"))
-    is_ref = refs.withColumnRenamed("ref", "place")
-    return best.join(is_ref, "place", "left_anti").select(F.col("best.ref.path").alias("reference"), "path", F.col("best.distance").alias("distance"))
+    rows = image_rows(images)
+    what = ["signature", "width", "height"]
+    nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("node")).withColumn("place", F.col("node")))
+    links = cut(image_links(nodes, nodes, radius))
+    refs = _first_come(links, nodes)
+    return image_best(rows.join(nodes.drop("place"), what).select("place", "node"), links, refs, nodes)
 
 
 def match_order(group: str, member: str) -> tuple[Column, ...]:
@@ -81,47 +109,81 @@ def slot_evidence(a: Column, b: Column, radius: int) -> Column:
     return F.transform(F.array(slots), made)[0]
 
 
-def video_groups(videos: DataFrame, preset: str) -> DataFrame:
-    """(reference, path, matched, valid, total): videos that follow an earlier, larger one.
+def video_rows(videos: DataFrame) -> DataFrame:
+    """(place, width, height, duration, signatures) of videos within bounds and with a signature in enough slots."""
+    place = F.struct((-F.col("width").cast("long") * F.col("height")).alias("area"), F.col("path").alias("path"))
+    fit = acceptable_video(F.col("width"), F.col("height"), F.col("duration")) & informative(F.col("signatures"))
+    return videos.where(fit).select(place.alias("place"), "width", "height", "duration", "signatures")
 
-    Videos out of bounds, or without a signature in enough slots, are compared with none. Two videos match if duration and shape agree, enough slots have a frame pair within the radius, and every third
-    of the video has two of them. Candidates come from a join of near frames, slot by slot
-    and among durations that lie near. A video
-    joins the reference before it with most slots, then least distance, then first place.
+
+VIDEO_COMPARED = ("width", "height", "duration", "signatures")
+
+
+def video_links(left: DataFrame, right: DataFrame, preset: str, *, halved: bool = False) -> DataFrame:
+    """(a, b, e): nodes of ``left`` and ``right`` that match, a node with itself where both hold it; with ``halved`` those with b <= a.
+
+    Candidates come from a join of near frames, slot by slot and among durations that lie near.
     """
     radius, required, tolerance = VIDEO_PRESETS[preset]
-    place = F.struct((-F.col("width").cast("long") * F.col("height")).alias("area"), F.col("path").alias("path"))
-    fit = acceptable_video(F.col("width"), F.col("height"), F.col("duration")) & informative(F.col("signatures"))
-    # written once: the plan of a join that works signatures out on the way has failed with a missing attribute
-    rows = cut(videos.where(fit).select(place.alias("place"), "width", "height", "duration", "signatures"))
-    # equal videos are one node; only the first of them can be a reference
-    what = ["width", "height", "duration", "signatures"]
-    nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("node")))
-    frames = nodes.select("node", "duration", F.posexplode("signatures").alias("k", "signature")).where("signature is not null")
     # durations of a pair differ by LONGEST at most, so they lie in the same span of that length or in two that touch
     span = F.floor(F.col("duration") / LONGEST)
-    frames = cut(frames.select("node", "signature", F.shiftright("k", 1).alias("slot"), span.alias("span")).distinct())
-    spread = frames.withColumn("span", F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)))
+
+    def framed(nodes: DataFrame) -> DataFrame:
+        frames = nodes.select("node", "duration", F.posexplode("signatures").alias("k", "signature")).where("signature is not null")
+        return cut(frames.select("node", "signature", F.shiftright("k", 1).alias("slot"), span.alias("span")).distinct())
+
+    frames = framed(left)
+    spread = (frames if left is right else framed(right)).withColumn("span", F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)))
     where = ["slot", "span"]
     near = hamming_pairs(frames, spread, radius, within=tuple(where)).select("a", "b", *where)
     holds = lambda f, s, n: f.select(*where, F.col("signature").alias(s), F.col("node").alias(n))
-    pairs = near.join(holds(frames, "a", "later"), [*where, "a"]).join(holds(spread, "b", "earlier"), [*where, "b"]).where("earlier <= later")
+    pairs = near.join(holds(frames, "a", "_a"), [*where, "a"]).join(holds(spread, "b", "_b"), [*where, "b"])
+    pairs = pairs.where("_b <= _a") if halved else pairs
     # a match has the required number of slots, so fewer near slots than that rule a pair out
-    pairs = pairs.groupBy("later", "earlier").agg(F.count_distinct("slot").alias("slots")).where(F.col("slots") >= required).drop("slots")
-    side = lambda n, k: nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}{k}") for c in what])
-    both = pairs.join(side("later", 1), "later").join(side("earlier", 2), "earlier")
+    pairs = pairs.groupBy("_a", "_b").agg(F.count_distinct("slot").alias("slots")).where(F.col("slots") >= required).drop("slots")
+    side = lambda df, n, k: df.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}{k}") for c in VIDEO_COMPARED])
+    both = pairs.join(side(left, "_a", 1), "_a").join(side(right, "_b", 2), "_b")
     both = both.where(near_durations(F.col("duration1"), F.col("duration2"), tolerance) & same_aspect(F.col("width2"), F.col("height2"), F.col("width1"), F.col("height1")))
     both = both.withColumn("e", slot_evidence(F.col("signatures2"), F.col("signatures1"), radius)).where((F.col("e.matched") >= required) & (F.col("e.thirds") >= 2))
-    links = cut(both.select("later", "earlier", "e"))
-    edges = links.where("earlier < later")
-    chosen = references(edges.select("later", "earlier"))
-    alone = nodes.select(F.col("node").alias("id")).join(edges.select(F.explode(F.array("later", "earlier")).alias("id")), "id", "left_anti")
-    refs = chosen.unionByName(alone)
-    to = links.join(refs.withColumnRenamed("id", "earlier"), "earlier", "left_semi").withColumnRenamed("later", "node")
-    found = rows.join(nodes, what).join(to, "node").where("earlier < place")
-    best = found.groupBy("place").agg(F.min(F.struct((-F.col("e.matched")).alias("m"), F.col("e.total"), F.col("earlier"), F.col("e"))).alias("m"))
-    best = best.join(refs.withColumnRenamed("id", "place"), "place", "left_anti")
-    return best.select(F.col("m.earlier.path").alias("reference"), F.col("place.path").alias("path"), F.col("m.e.matched").alias("matched"), F.col("m.e.valid").alias("valid"), F.col("m.e.total").alias("total"))
+    return both.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "e")
+
+
+def video_best(rows: DataFrame, links: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(reference, path, matched, valid, total): for each row (place, node) the reference before it with most slots, then the least
+    distance, then the first place; none for references."""
+    best = _candidates(rows, links, refs, nodes).groupBy("place").agg(F.min(F.struct((-F.col("e.matched")).alias("m"), F.col("e.total"), "ref", "e")).alias("m"))
+    return _members(best, refs, nodes).select(F.col("m.ref.path").alias("reference"), F.col("place.path").alias("path"), F.col("m.e.matched").alias("matched"), F.col("m.e.valid").alias("valid"), F.col("m.e.total").alias("total"))
+
+
+def video_groups(videos: DataFrame, preset: str) -> DataFrame:
+    """(reference, path, matched, valid, total): videos that follow an earlier, larger one.
+
+    Videos out of bounds, or without a signature in enough slots, are compared with none. Two videos match if duration and shape agree, enough slots have a frame pair within the radius, and every third
+    of the video has two of them. A video joins the reference before it with most slots, then least distance, then first place.
+    """
+    # written once: the plan of a join that works signatures out on the way has failed with a missing attribute
+    rows, what = cut(video_rows(videos)), list(VIDEO_COMPARED)
+    # equal videos are one node; only the first of them can be a reference
+    nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("node")).withColumn("place", F.col("node")))
+    links = cut(video_links(nodes, nodes, preset, halved=True))
+    return video_best(rows.join(nodes.drop("place"), what).select("place", "node"), links, _first_come(links, nodes), nodes)
+
+
+@dataclass(frozen=True)
+class Media:
+    """What a kind of media is grouped by: rows with a place, the columns that make a node, links among nodes, and who joins whom."""
+
+    presets: tuple[str, ...]
+    comparable: Callable[[DataFrame], DataFrame]
+    compared: tuple[str, ...]
+    links: Callable[[DataFrame, DataFrame, str], DataFrame]
+    best: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]
+
+
+MEDIA = {
+    "images": Media(tuple(IMAGE_RADII), image_rows, ("signature", "width", "height"), lambda a, b, preset: image_links(a, b, IMAGE_RADII[preset]), image_best),
+    "videos": Media(tuple(VIDEO_PRESETS), video_rows, VIDEO_COMPARED, video_links, video_best),
+}
 
 
 def acceptable_video(width: Column, height: Column, duration: Column) -> Column:

@@ -10,7 +10,7 @@ from twinsift.operators.graph import cut, numbered
 from twinsift.plans.matching import matching
 from twinsift.registry import _FILES, _GROUPS, _SELECTED, ORACLE_SQL, QUERIES, files, images, members, query, selection, table, videos
 from twinsift.sources import session, snapshot
-from twinsift.streaming import incremental
+from twinsift.streaming import grown, incremental
 
 _TOXIC = "toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)"
 _LABELLED = "bad AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0)"
@@ -309,13 +309,15 @@ def grown_images(spark, sf_dir):
     """Old signatures are those of labelled documents; the rest are added."""
     every = images(spark, sf_dir).withColumn("doc_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long"))
     old = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return incremental.extend_images(every.join(old, "doc_id", "left_semi").drop("doc_id"), every.join(old, "doc_id", "left_anti").drop("doc_id"), "Strict")
+    state = grown.scan_media("images", every.join(old, "doc_id", "left_semi").drop("doc_id"), "Strict")
+    return grown.extend_media(state, every.join(old, "doc_id", "left_anti").drop("doc_id")).groups
 
 
 @query(ORACLE_SQL["video_groups"])
 def grown_videos(spark, sf_dir):
     every = videos(spark, sf_dir)
-    return incremental.extend_videos(every.where("path < '/v/5'"), every.where("path >= '/v/5'"), "Balanced")
+    state = grown.scan_media("videos", every.where("path < '/v/5'"), "Balanced")
+    return grown.extend_media(state, every.where("path >= '/v/5'")).groups
 
 
 @query(ORACLE_SQL["duplicate_folders"])

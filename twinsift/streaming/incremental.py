@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions.fingerprints import file_digest
-from twinsift.operators import folders, similar
+from twinsift.operators import folders
 from twinsift.operators.exact import duplicate_groups, few, on_keys, sharing
 from twinsift.operators.graph import cut
 from twinsift.plans.matching import Matching, matching
@@ -81,15 +81,6 @@ def full_groups(files: DataFrame, want: Matching) -> DataFrame:
     return duplicate_groups(files, want).select("group_id", "path", "size", "digest")
 
 
-def extend_images(signatures: DataFrame, new: DataFrame, strictness: str) -> DataFrame:
-    """Image groups over earlier and new signatures; nothing is decoded again, and references may change."""
-    return similar.image_groups(signatures.unionByName(new), similar.IMAGE_RADII[strictness])
-
-
-def extend_videos(signatures: DataFrame, new: DataFrame, strictness: str) -> DataFrame:
-    return similar.video_groups(signatures.unionByName(new), strictness)
-
-
 def extend_folders(state: DataFrame, new: DataFrame, issues: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(state, groups): folders over an earlier state (path, size, digest) and new files, of which alone contents are read."""
     both = cut(state.select("path", "size", "digest").unionByName(new.select("path", "size", file_digest(F.col("content")).alias("digest"))))
