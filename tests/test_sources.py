@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_operators import files, groups
-from twinsift.operators import exact, similar
+from twinsift.operators import exact, folders, similar
 from twinsift.plans.matching import matching
 from twinsift.sources import session, snapshot
 from twinsift.sources.inventory import read_inventory
@@ -79,9 +79,34 @@ def test_media_and_folders_grow(spark):
     got = {tuple(r) for r in grown.extend_media(grown.scan_media("images", old, "Strict"), new).groups.collect()}
     assert got == {("a", "m", 1), ("a", "z", 1)}  # the new image is the reference now
     first = {"/a/x": b"1", "/a/y": b"22"}
-    state, alone = incremental.extend_folders(files(spark).selectExpr("path", "size", "cast(null as string) digest"), files(spark, **first))
-    state, both = incremental.extend_folders(state, files(spark, **{"/b/p": b"22", "/b/q": b"1"}))
-    assert alone.count() == 0 and groups(both) == [["/a", "/b"]] and state.count() == 4
+    state = incremental.extend_folders(incremental.scan_folders(files(spark).selectExpr("path", "size", "cast(null as string) digest")), files(spark, **first))
+    assert state.groups.count() == 0
+    state = incremental.extend_folders(state, files(spark, **{"/b/p": b"22", "/b/q": b"1"}))
+    assert groups(state.groups) == [["/a", "/b"]] and state.files.count() == 4
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_folder_state_equals_a_scan_anew(spark, seed):
+    """Batches of files, replaced ones among them, directories of their own and unreadable entries; sums and groups are those of all at once."""
+    r = random.Random(seed)
+    some = lambda n: {"/" + "/".join(r.choice("ab") for _ in range(r.randrange(1, 4))) + f"/{r.choice('xyz')}": r.choice([b"1", b"22"]) for _ in range(n)}
+    dirs = lambda *names: spark.createDataFrame([(n,) for n in names], "path string")
+    told = lambda *names: spark.createDataFrame([(n, "unreadable") for n in names], "path string, reason string")
+    digested = lambda f: f.withColumn("digest", F.sha2("content", 256)).drop("content")
+    steps = [(some(6), ("/e", "/a/e"), ()), (some(5), ("/e", "/f/g"), ()), ({}, ("/b/h",), ("/a/b/locked",)), (some(4), (), ())]
+    state, every, names, issues = None, {}, [], []
+    for added, folders_, bad in steps:
+        every, names, issues = every | added, [*names, *folders_], [*issues, *bad]
+        now = files(spark, **added)
+        if state is None:
+            state = incremental.scan_folders(digested(now), dirs(*folders_), told(*bad))
+        else:
+            state = incremental.extend_folders(state, now, dirs(*folders_), told(*bad))
+        whole = digested(files(spark, **every)).withColumnRenamed("digest", "content_id")
+        want = folders.folder_sums(whole, dirs(*names).distinct())
+        assert sorted(map(tuple, state.sums.collect())) == sorted(map(tuple, want.select(*state.sums.columns).collect()))
+        want = folders.duplicate_folders(whole, dirs(*names).distinct(), told(*issues))
+        assert sorted(map(tuple, state.groups.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_media_state_equals_grouping_anew(spark):

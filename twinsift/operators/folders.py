@@ -28,15 +28,22 @@ def content_hashes(content: str) -> list[Column]:
     return [x.alias(f"h{i}") for i, x in enumerate([*halves(F.xxhash64(content, F.lit(1))), *halves(F.xxhash64(content, F.lit(2)))], 1)]
 
 
-def folder_sums(files: DataFrame, directories: DataFrame | None = None) -> DataFrame:
+def folder_sums(files: DataFrame, directories: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
     """path and _SUMS of every folder that files (path, size, content_id) or directories name or imply, the whole tree below it counted.
 
+    What is added to earlier sums comes about likewise: files may have a ``sign``, -1 for those that earlier sums hold and that
+    are no more, and ``counted`` names folders that earlier sums count already.
+
     Files are added up in their own folders. Then, from the deepest level up, each folder's sums are added to those of the one
     above it, so a file moves once and a folder once per level; a level's rows are its folders, however many lie below.
     """
     scratch = Scratch(files.sparkSession)
     zero = F.lit(0).cast("long")
-    own = files.select(paths.parent(F.col("path")).alias("path"), F.lit(1).cast("long").alias("n_files"), F.col("size").cast("long").alias("total_size"), zero.alias("n_dirs"), *content_hashes("content_id"))
+    sign = F.col("sign").cast("long") if "sign" in files.columns else F.lit(1).cast("long")
+    facts = [F.lit(1).cast("long").alias("n_files"), F.col("size").cast("long").alias("total_size"), zero.alias("n_dirs"), *content_hashes("content_id")]
+    own = files.select(paths.parent(F.col("path")).alias("path"), sign.alias("_sign"), *facts).select("path", *[(F.col(c) * F.col("_sign")).alias(c) for c in _SUMS])
+    if counted is not None:
+        own = own.unionByName(counted.select("path", *[(zero - 1 if c == "n_dirs" else zero).alias(c) for c in _SUMS]))
     if directories is not None:
         own = own.unionByName(directories.select("path", *[zero.alias(c) for c in _SUMS]))
     added = lambda df: df.groupBy("path").agg(*[F.sum(c).alias(c) for c in _SUMS])
@@ -88,18 +95,29 @@ def duplicate_folders(files: DataFrame, directories: DataFrame | None = None, is
     not lie within each other: equal ones that do are dealt to further groups, from the top down, so that a folder's
     group is told by how many of those above it are equal to it.
     """
-    rows = folder_sums(files, directories).where(F.col("path") != "/").withColumn("signature", F.concat_ws(":", "h1", "h2", "h3", "h4"))
+    rows = signed(folder_sums(files, directories))
     if issues is not None:
         rows = rows.join(poisoned(issues), "path", "left_anti")
     if roots is not None:
         rows = rows.where(F.col("path").isin(roots))
-    rows = cut(rows.select("path", "n_files", "total_size", "n_dirs", "signature"))
+    return equal_folders(cut(rows), apart=roots is None)
+
+
+def signed(sums: DataFrame) -> DataFrame:
+    """path, n_files, total_size, n_dirs, signature of folders other than the root of the file system."""
+    rows = sums.where(F.col("path") != "/").withColumn("signature", F.concat_ws(":", "h1", "h2", "h3", "h4"))
+    return rows.select("path", "n_files", "total_size", "n_dirs", "signature")
+
+
+def equal_folders(rows: DataFrame, *, apart: bool = True) -> DataFrame:
+    """Groups among ``rows`` as ``signed`` gives them. All folders of a signature must be there; other signatures have no say.
+    With ``apart``, folders between two that are equal are there too."""
     same = ["signature", "n_files"]
     shared = rows.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     several = cut(rows.join(shared, same, "left_semi"))
     # of equal folders that lie within each other all between them are equal too, so the one right above tells whether there are any
     inner = several
-    if roots is None:
+    if apart:
         above = several.select(*same, F.col("path").alias("_above"))
         inner = several.withColumn("_above", paths.parent(F.col("path"))).join(above, [*same, "_above"], "left_semi")
     up = inner.select(*same, "path", F.explode(paths.ancestors(F.col("path"))).alias("_up"))

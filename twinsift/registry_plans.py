@@ -322,12 +322,12 @@ def grown_videos(spark, sf_dir):
 
 @query(ORACLE_SQL["duplicate_folders"])
 def grown_folders(spark, sf_dir):
-    """Files of finished orders are the earlier state, whose digests are used again; the rest are added."""
+    """Files of finished lines are the earlier state, whose sums are used again; the rest are added, those of a held path too, as lines can share one."""
     name = F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("long").cast("string"))
     path = F.concat_ws("/", F.lit("/o"), F.col("l_orderkey").cast("string"), name)
     rows = table(spark, sf_dir, "lineitem").select("l_linestatus", path.alias("path"), F.col("l_linenumber").cast("long").alias("size"), F.col("l_quantity").cast("long").cast("string").cast("binary").alias("content"))
     old = rows.where("l_linestatus = 'F'").select("path", "size", F.sha2("content", 256).alias("digest"))
-    return incremental.extend_folders(old, rows.where("l_linestatus <> 'F'"))[1]
+    return incremental.extend_folders(incremental.scan_folders(old), rows.where("l_linestatus <> 'F'"), replace=False).groups
 
 
 @query(f"WITH {_GROUPS}, {_TOXIC}, l AS (SELECT *, count(*) OVER (PARTITION BY text) AS k, min(path) OVER (PARTITION BY text) AS first FROM files WHERE doc_id NOT IN (SELECT doc_id FROM toxic)) SELECT first AS group_id, path, size FROM l WHERE k > 1")

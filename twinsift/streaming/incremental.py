@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsift.functions import paths
 from twinsift.functions.fingerprints import file_digest
 from twinsift.operators import folders
 from twinsift.operators.exact import duplicate_groups, few, on_keys, sharing
@@ -81,10 +84,62 @@ def full_groups(files: DataFrame, want: Matching) -> DataFrame:
     return duplicate_groups(files, want).select("group_id", "path", "size", "digest")
 
 
-def extend_folders(state: DataFrame, new: DataFrame, issues: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(state, groups): folders over an earlier state (path, size, digest) and new files, of which alone contents are read."""
-    both = cut(state.select("path", "size", "digest").unionByName(new.select("path", "size", file_digest(F.col("content")).alias("digest"))))
-    return both, folders.duplicate_folders(folders.content_ids(both, "digest"), None, issues)
+@dataclass(frozen=True)
+class FolderState:
+    """What a scan of folders keeps: path, size, digest of files; sums of folders; folders that hold something unreadable; groups."""
+
+    files: DataFrame
+    sums: DataFrame
+    poisoned: DataFrame
+    groups: DataFrame
+
+
+def scan_folders(files: DataFrame, directories: DataFrame | None = None, issues: DataFrame | None = None) -> FolderState:
+    """The state over files whose digests are known (path, size, digest)."""
+    held = cut(files.select("path", "size", "digest"))
+    sums = cut(folders.folder_sums(held.withColumnRenamed("digest", "content_id"), directories))
+    bad = cut(_unreadable(files.sparkSession, issues))
+    groups = cut(folders.equal_folders(cut(folders.signed(sums.join(bad, "path", "left_anti")))))
+    return FolderState(held, sums, bad, groups)
+
+
+def _unreadable(spark: SparkSession, issues: DataFrame | None) -> DataFrame:
+    return spark.createDataFrame([], "path string") if issues is None else folders.poisoned(issues)
+
+
+def extend_folders(state: FolderState, new: DataFrame, directories: DataFrame | None = None, issues: DataFrame | None = None, *, replace: bool = True) -> FolderState:
+    """The state after ``new`` files (path, size, and content or digest), directories and issues join it.
+
+    A file that comes under a path that is held takes its place; without ``replace`` it is counted beside it. What is added to sums is worked out from the new files, level by
+    level; of the earlier state the folders above them are changed, and only folders whose signature one of these had or has now are
+    grouped again. No other file or content is read.
+    """
+    digest = F.col("digest") if "digest" in new.columns else file_digest(F.col("content"))
+    added = cut(new.select("path", "size", digest.alias("digest")))
+    replaced = cut(state.files.join(added.select("path"), "path", "left_semi") if replace else state.files.limit(0))
+    change = added.withColumn("sign", F.lit(1)).unionByName(replaced.withColumn("sign", F.lit(-1))).withColumnRenamed("digest", "content_id")
+    named = added.select(paths.parent(F.col("path")).alias("path"))
+    if directories is not None:
+        named = named.unionByName(directories.select("path"))
+    above = named.distinct().select(F.explode(paths.ancestors(F.col("path"), itself=True)).alias("path")).distinct()
+    counted = cut(state.sums.join(above, "path", "left_semi").select("path"))
+    delta = cut(folders.folder_sums(change, directories, counted))
+    columns = state.sums.columns
+    met = state.sums.join(delta.select("path"), "path", "left_semi").unionByName(delta)
+    now = cut(met.groupBy("path").agg(*[F.sum(c).alias(c) for c in columns if c != "path"]).select(*columns))
+    sums = cut(state.sums.join(now.select("path"), "path", "left_anti").unionByName(now))
+    spoilt = cut(_unreadable(new.sparkSession, issues).join(state.poisoned, "path", "left_anti"))
+    bad = cut(state.poisoned.unionByName(spoilt))
+    # signatures that a changed folder had or has: what is equal under any other stays grouped as it is
+    moved = now.select("path").unionByName(spoilt).distinct()
+    before, after = folders.signed(state.sums), cut(folders.signed(sums.join(bad, "path", "left_anti")))
+    same = ["signature", "n_files"]
+    touched = cut(before.join(moved, "path", "left_semi").unionByName(after.join(moved, "path", "left_semi")).select(*same).distinct())
+    again = folders.equal_folders(cut(after.join(touched, same, "left_semi")))
+    left = state.groups.join(before.join(touched, same, "left_semi").select("path"), "path", "left_anti").select(*state.groups.columns)
+    kept = state.files.join(added.select("path"), "path", "left_anti") if replace else state.files
+    files = cut(kept.unionByName(added))
+    return FolderState(files, sums, bad, cut(left.unionByName(again)))
 
 
 def tally(files: DataFrame, before: DataFrame | None = None) -> DataFrame:
