@@ -2,15 +2,20 @@
 
 import os
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, StringEndsWith, StringStartsWith
 
 from tests.test_operators import files, groups
 from twinsift.operators import exact, folders, similar
+from twinsift.plans import scan
 from twinsift.plans.matching import matching
+from twinsift.scratch import shared_folder
 from twinsift.sources import session, snapshot
-from twinsift.sources.inventory import read_inventory
+from twinsift.sources.inventory import InventoryReader, InventorySource, read_inventory, walk_inventory
 from twinsift.streaming import grown, incremental
 from twinsift.streaming.keyed import KeyedGroups
 
@@ -32,6 +37,81 @@ def test_inventory_lists_empty_hidden_and_linked_entries(spark, tmp_path):
     assert gone.count() == 1
 
 
+def tree(at, r, n):
+    """Files and folders by chance below ``at``: paths of files with their bytes."""
+    made = {}
+    for _ in range(n):
+        folder = at.joinpath(*(r.choice(["a", "b", "c"]) for _ in range(r.randrange(5))))
+        folder.mkdir(parents=True, exist_ok=True)
+        name = folder / f"f{r.randrange(9)}{r.choice(['.jpg', '.JPG', '.txt', ''])}"
+        name.write_bytes(bytes(r.randrange(4)))
+        made[str(name)] = name.read_bytes()
+    return made
+
+
+def test_walk_in_rounds_lists_what_the_source_lists(spark, tmp_path):
+    made = tree(tmp_path, random.Random(2), 40)
+    (tmp_path / "a/empty").mkdir(parents=True)
+    os.symlink(tmp_path, tmp_path / "loop")
+    roots = [str(tmp_path), str(tmp_path / "a"), str(tmp_path / "gone")]
+    for asked in ({}, {"excluded": (str(tmp_path / "b"),), "content": True}, {"recursive": False}, {"suffixes": (".jpg",)}):
+        one, other = read_inventory(spark, roots, **asked), walk_inventory(spark, roots, **asked)
+        for a, b in zip(one, other, strict=True):
+            rows = lambda df: sorted(map(repr, df.drop("streams").collect()))
+            assert rows(a) == rows(b) and len(set(rows(b))) == len(rows(b))
+    found = walk_inventory(spark, roots, suffixes=(".jpg",))[0]
+    assert {r.path for r in found.collect()} == {p for p in made if p.lower().endswith(".jpg")}
+
+
+def test_one_deep_root_is_many_tasks(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"only/one/{k}").mkdir(parents=True)
+        (tmp_path / f"only/one/{k}/f").write_bytes(b"x")
+    files_, dirs, _ = walk_inventory(spark, [str(tmp_path)])
+    assert files_.count() == 40 and dirs.count() == 43
+    held = walk_inventory(spark, [str(tmp_path)], content=True)[0].where("path LIKE '%/f'")
+    assert len({r.at.rsplit("/", 1)[-1] for r in held.select(F.input_file_name().alias("at")).collect()}) >= 2
+
+
+def test_filters_reach_the_source(spark, tmp_path):
+    made = tree(tmp_path, random.Random(7), 40)
+    reader = InventoryReader({"roots": str(tmp_path), "content": "true"})
+    begins = str(tmp_path / "a")
+    rest = list(reader.pushFilters([EqualTo(("kind",), "file"), StringStartsWith(("path",), begins), StringEndsWith(("path",), ".jpg"), EqualTo(("size",), 1)]))
+    assert rest == [EqualTo(("size",), 1)] and (reader.kinds, reader.begins, reader.ends) == ({"file"}, (begins,), (".jpg",))
+    assert [p.path for p in reader.partitions()] == [str(tmp_path), begins]
+    rows = [row for p in reader.partitions() for row in reader.read(p)]
+    assert {row[0]: row[13] for row in rows} == {p: data for p, data in made.items() if p.startswith(begins) and p.endswith(".jpg")}
+    for path in made:  # what isn't asked for isn't opened: a folder's rows come though no file can be read
+        os.chmod(path, 0)
+    spark.dataSource.register(InventorySource)
+    found, dirs, _ = read_inventory(spark, [str(tmp_path)])
+    some = found.where(F.col("path").startswith(begins) & F.col("path").endswith(".jpg") & (F.col("size") > 0))
+    assert {r.path for r in some.collect()} == {p for p, data in made.items() if p.startswith(begins) and p.endswith(".jpg") and data}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "EndsWith" not in plan.split("BatchScan")[0] and dirs.count() == sum(len(d) for _, d, _ in os.walk(tmp_path)) + 1
+
+
+def test_scans_tell_progress_and_can_be_cancelled(spark, tmp_path):
+    f = files(spark, **{"/a/x": b"1", "/b/x": b"1"})
+    slow = F.udf(lambda p: time.sleep(4) or p)
+    held, told = scan.Inventory(f.withColumn("path", slow("path"))), []
+    ledger = scan.run(spark, scan.Inventory(f), scan.Request(("files", "folders")), f"file://{tmp_path}/whole", progress=told.append)
+    assert {(r.kind, r.state) for r in ledger.collect()} == {("files", "done"), ("folders", "done")}
+    assert {(p.kind, p.kinds_done, p.n_kinds) for p in told} == {("files", 0, 2), ("folders", 1, 2)} and all(0 <= p.tasks_done <= p.n_tasks for p in told)
+    tables = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file:")).iterdir()}
+    before, begun = tables(), time.monotonic()
+    ledger = scan.run(spark, held, scan.Request(("files", "folders")), f"file://{tmp_path}/cut", go_on=lambda: time.monotonic() - begun < 1.5)
+    assert [(r.kind, r.state, r.reason) for r in ledger.collect()] == [("files", "cancelled", None), ("folders", "skipped", None)]
+    assert not (tmp_path / "cut/files").exists() and tables() == before
+
+    def broken(p):
+        raise RuntimeError("no one listens")
+
+    ledger = scan.run(spark, held, scan.Request(("files",)), f"file://{tmp_path}/deaf", progress=broken)
+    assert [(r.state, r.reason) for r in ledger.collect()] == [("failed", "no one listens")]
+
+
 def test_snapshots_round_trip_and_are_checked(spark, tmp_path):
     f = files(spark, **{"/a": b"x", "/b": b"x", "/c": b"yy", "/d": b"yy"})
     members = exact.duplicate_groups(f)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,22 @@ def file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+_held: ContextVar[list | None] = ContextVar("twinsift scratch", default=None)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Whatever intermediate tables are opened within are dropped at the end; results must have been written elsewhere by then."""
+    opened: list[Scratch] = []
+    token = _held.set(opened)
+    try:
+        yield
+    finally:
+        _held.reset(token)
+        for scratch in opened:
+            scratch.release()
+
+
 class Scratch:
     """Writes tables that cut lineage; ``drop`` frees the ones that are no longer read.
 
@@ -42,6 +61,8 @@ class Scratch:
         store, path = file_system(spark, self.folder)
         store.mkdirs(path)
         store.deleteOnExit(path)
+        if (held := _held.get()) is not None:
+            held.append(self)
 
     def _next(self) -> str:
         self._n += 1
@@ -75,10 +96,18 @@ class Scratch:
         out = self.write(result)
         for i in range(1, before + 1):
             self._delete(f"{self.folder}/{i}")
+        self._forget()
+        return out
+
+    def release(self) -> None:
+        """Drops everything."""
+        self._forget()
+        self._delete(self.folder)
+
+    def _forget(self) -> None:
         for name in self._tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self._tables = []
-        return out
 
     def _delete(self, path: str) -> None:
         store, target = file_system(self.spark, path)
