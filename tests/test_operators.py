@@ -344,6 +344,19 @@ def test_hamming_neighbours_of_every_plan(spark):
                 assert {p[:2] for p in want} <= met.keys() and max(met.values()) <= n
 
 
+def test_hamming_neighbours_move_no_pairs(spark):
+    """Signatures of which all share most bits, over several blocks: each moves once per block, and only pairs within the radius leave a task."""
+    r = random.Random(7)
+    left, right = (sorted({r.getrandbits(12) << 40 | 5 for _ in range(300)}) for _ in range(2))
+    a, b = (spark.createDataFrame([(v,) for v in x], "signature long") for x in (left, right))
+    for one, other, x, y in ((a, b, left, right), (a, a, left, left)):
+        want = sorted((p, q, (p ^ q).bit_count()) for p in x for q in y if (p ^ q).bit_count() <= 2)
+        found = neighbours.hamming_pairs(one, other, 2)
+        assert sorted(tuple(p) for p in found.collect()) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Distinct" not in plan
+
+
 def test_few_pairs_meet_at_wide_radii():
     """Of many signatures less than a fiftieth of all pairs meet, at every radius in use."""
     for radius in sorted({*similar.IMAGE_RADII.values(), *(p[0] for p in similar.VIDEO_PRESETS.values())}):

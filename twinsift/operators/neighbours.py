@@ -1,10 +1,12 @@
-"""Hamming neighbours of bit signatures by an equi-join: few wide bands, each probed within a small ball.
+"""Hamming neighbours of bit signatures: blocks of them meet in tasks, and in a task by few bands, each looked up within a small ball.
 
-A signature is cut into bands, and band i is given a tolerance t_i so that the sum of (t_i + 1) passes the radius: two
-signatures within the radius then differ in at most t_i bits of some band. Bits in which a pair differs in a band are
-flipped from both sides, the lower half of them on the left and the upper half on the right, and both sides name the
-bit that parts them. So a pair meets once in each band that holds it within its tolerance, and in no other row. How many bands there are
-is weighed by the rows that probing and meeting cost: few for many signatures, more for few.
+Signatures are dealt to blocks by a hash, and each pair of blocks is a cell, which one task compares. So rows move once per block of the other
+side, no pair moves before it is known to lie within the radius, and no value of a band, however frequent, makes a task larger than its cell.
+
+In a cell a signature is cut into bands, and band i is given a tolerance t_i so that the sum of (t_i + 1) passes the radius: two
+signatures within the radius then differ in at most t_i bits of some band. The right side is sorted by the band's value, and the left looks up
+every value within the tolerance of its own. A pair counts in the first band that holds it within its tolerance, so none is told twice. How
+many bands there are is weighed by what looking up and comparing cost: few for many signatures, more for few.
 """
 
 from __future__ import annotations
@@ -12,18 +14,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.functions.fingerprints import hamming
 from twinsift.operators.graph import cut
 
-#: A key holds the band's bits, and above them its number, the bits that differ, and the bit that parts them.
-_BAND, _CLASS, _PART = 58, 54, 48
-WIDEST = 24
-#: What a pair that meets costs, in rows of probes: it is held against the radius and made distinct.
+#: A band's values index a table, which so many bits keep small.
+WIDEST = 21
+#: Signatures of a block: at most so many, and fewer where that leaves a side with less than ``BLOCKS``.
+BLOCK, BLOCKS = 1 << 18, 8
+#: Values looked up, and pairs compared, at a time in a task.
+AT_ONCE = 1 << 20
+#: What a pair that meets costs, in values looked up.
 MEETING = 2
 
 
@@ -34,29 +40,20 @@ class Band:
     within: int
 
     def probes(self, left: bool) -> Iterator[int]:
-        """What the band's value is xored with, from one side: a mask of flipped bits, and the tag that both sides share."""
-        for differ in range(self.within + 1):
-            mine = differ - differ // 2 if left else differ // 2
-            for bits in combinations(range(self.width), mine):
-                mask = sum(1 << b for b in bits)
-                # the part is the highest bit of the left; the right's bits all lie above it
-                parts = [bits[-1] if bits else 0] if left else range(bits[0] if bits else self.width) if differ else [0]
-                for part in parts:
-                    yield differ << _CLASS | part << _PART | mask
+        """What the band's value is xored with to be looked up: all flips within the tolerance on the left, none on the right."""
+        for differ in range(self.within + 1 if left else 1):
+            for bits in combinations(range(self.width), differ):
+                yield sum(1 << b for b in bits)
 
     def count(self, left: bool) -> int:
-        total = 0
-        for differ in range(self.within + 1):
-            mine = differ - differ // 2 if left else differ // 2
-            if left or not differ:
-                total += comb(self.width, mine) if differ else 1
-            else:
-                total += comb(self.width, mine + 1) if mine else self.width
-        return total
+        return sum(comb(self.width, d) for d in range(self.within + 1)) if left else 1
 
     def met(self) -> float:
         """The share of all pairs of random signatures that meet in this band."""
-        return sum(comb(self.width, d) for d in range(self.within + 1)) / (1 << self.width)
+        return self.count(True) / (1 << self.width)
+
+    def of(self, signatures: np.ndarray) -> np.ndarray:
+        return ((signatures >> np.uint64(self.low)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
 
 def bands_of(radius: int, bits: int, n: int) -> list[Band]:
@@ -68,46 +65,90 @@ def bands_of(radius: int, bits: int, n: int) -> list[Band]:
     return [Band(edges[i], edges[i + 1] - edges[i], spare + (i in extra)) for i in range(n)]
 
 
-def plan_bands(radius: int, bits: int, left: int, right: int, pairs: int | None = None) -> list[Band]:
-    """The bands that cost the fewest rows for so many signatures on either side, of which so many pairs may meet."""
-    pairs = left * right if pairs is None else pairs
+def plan_bands(radius: int, bits: int, left: int, right: int) -> list[Band]:
+    """The bands that cost least for so many signatures on either side of a cell."""
 
     def cost(bands: list[Band]) -> float:
-        probes = sum(left * b.count(True) + right * b.count(False) for b in bands)
-        return probes + MEETING * pairs * sum(b.met() for b in bands)
+        probes = sum(left * b.count(True) + right + (1 << b.width) for b in bands)
+        return probes + MEETING * left * right * sum(b.met() for b in bands)
 
     fitting = [bands_of(radius, bits, n) for n in range(-(-bits // WIDEST), radius + 2)]
-    return min(fitting or [bands_of(radius, bits, radius + 1)], key=cost)
-
-
-def probed(df: DataFrame, bands: list[Band], left: bool) -> DataFrame:
-    """``df`` with ``_probe``, a row for every probe of its ``signature`` in every band."""
-    each = []
-    for i, b in enumerate(bands):
-        value = F.shiftrightunsigned("signature", b.low).bitwiseAND(F.lit((1 << b.width) - 1))
-        masks = F.expr("array(" + ",".join(f"{i << _BAND | m}L" for m in b.probes(left)) + ")")
-        each.append(F.transform(masks, lambda m, value=value: m.bitwiseXOR(value)))
-    return df.withColumn("_probe", F.explode(F.concat(*each)))
-
-
-def meetings(a: DataFrame, b: DataFrame, bands: list[Band], within: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, within): distinct signatures that meet in a band, once per band. Both sides hold signature and ``within``."""
-    left = probed(a, bands, True).withColumnRenamed("signature", "a")
-    right = probed(b, bands, False).withColumnRenamed("signature", "b")
-    if any(x.within for x in bands):  # an exploded side is larger than it is taken for, so it isn't broadcast
-        right = right.hint("merge")
-    return left.join(right, ["_probe", *within]).select("a", "b", *within)
-
-
-def hamming_pairs(a: DataFrame, b: DataFrame, radius: int, *, bits: int = 63, within: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, distance): distinct values of ``signature`` within ``radius``; only those that agree on ``within`` meet.
+    return min(fitting or [bands_of(radius, bits, -(-bits // WIDEST))], key=cost)
+
+
+def cell_pairs(a: np.ndarray, b: np.ndarray, bands: list[Band], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``a`` and ``b`` of pairs within the radius that meet in a band, each once."""
+    for k, band in enumerate(bands):
+        values = band.of(b)
+        order = np.argsort(values, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(values, minlength=1 << band.width))])
+        sorted_b, own = b[order], band.of(a)
+        masks = np.fromiter(band.probes(True), np.int64, band.count(True))
+        rows = max(1, AT_ONCE // len(masks))
+        for at in range(0, len(a), rows):
+            keys = (own[at : at + rows, None] ^ masks).ravel()
+            first, n = starts[keys], starts[keys + 1] - starts[keys]
+            hit = np.flatnonzero(n)
+            first, n, row = first[hit], n[hit], at + hit // len(masks)
+            ends = np.cumsum(n)
+            done = 0
+            while done < len(n):  # a value that many share is passed over in parts
+                before = ends[done - 1] if done else 0
+                upto = max(done + 1, int(np.searchsorted(ends, before + AT_ONCE, "right")))
+                part = n[done:upto]
+                x = np.repeat(row[done:upto], part)
+                y = np.arange(part.sum()) + np.repeat(first[done:upto] - (ends[done:upto] - part - before), part)
+                near = np.flatnonzero(np.bitwise_count(a[x] ^ sorted_b[y]) <= radius)
+                x, y = x[near], y[near]
+                differ = a[x] ^ sorted_b[y]
+                new = np.ones(len(x), bool)
+                for earlier in bands[:k]:
+                    new &= np.bitwise_count(earlier.of(differ)) > earlier.within
+                yield x[new], order[y[new]]
+                done = upto
+
+
+def dealt(df: DataFrame, blocks: int) -> DataFrame:
+    return df.withColumn("_block", F.pmod(F.xxhash64("signature"), F.lit(blocks)).cast("int"))
+
+
+def meetings(a: DataFrame, b: DataFrame, bands: list[Band], radius: int | None = None, blocks: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(a, b): distinct signatures that meet in a band, once, and within the radius where one is given. Both sides hold a distinct signature.
+
+    Where both sides are one, a cell stands for both orders of its blocks.
+    """
+    same, (m, n) = a is b, blocks
+    if same:  # cells (i, j) with i <= j; side 0 has the rows of i, side 1 those of j
+        cells = lambda block, side: F.transform(F.sequence(block, F.lit(n - 1)) if side == 0 else F.sequence(F.lit(0), block), lambda o: block * n + o if side == 0 else o * n + block)
+    else:
+        cells = lambda block, side: F.transform(F.sequence(F.lit(0), F.lit((n if side == 0 else m) - 1)), lambda o: block * n + o if side == 0 else o * n + block)
+    spread = lambda df, side: dealt(df, (m, n)[side]).select(F.explode(cells(F.col("_block"), side)).alias("_cell"), F.lit(side).cast("byte").alias("_side"), "signature")
+    limit = 64 if radius is None else radius
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        cell = key[0].as_py()
+        side, signature = table["_side"].to_numpy(), table["signature"].to_numpy().view(np.uint64)
+        left, right = signature[side == 0], signature[side == 1]
+        found = [(left[x], right[y]) for x, y in cell_pairs(left, right, bands, limit)]
+        found = [np.concatenate(z) if z else left[:0] for z in (list(zip(*found)) or [[], []])]
+        if same and cell // n != cell % n:
+            found = [np.concatenate(found), np.concatenate(found[::-1])]
+        return pa.table([pa.array(z.view(np.int64)) for z in found], names=["a", "b"])
+
+    count = n * (n + 1) // 2 if same else m * n
+    rows = spread(a, 0).unionByName(spread(b, 1)).repartition(count, "_cell")
+    return rows.groupBy("_cell").applyInArrow(compare, "a long, b long")
+
+
+def hamming_pairs(a: DataFrame, b: DataFrame, radius: int, *, bits: int = 63) -> DataFrame:
+    """(a, b, distance): distinct values of ``signature`` within ``radius``.
 
     Each side's values are distinct first, and counted: repeated signatures cost nothing.
     """
-    sides = [cut(x.where(F.col("signature").isNotNull()).select("signature", *within).distinct()) for x in ((a,) if a is b else (a, b))]
-    counts = [x.groupBy(*within).agg(F.count("*").alias(n)) for x, n in zip((sides[0], sides[-1]), "lr")]
-    pairs = counts[0].join(counts[1], list(within), "full") if within else counts[0].crossJoin(counts[1])  # one row by one row
-    n = [x or 0 for x in pairs.agg(F.sum("l"), F.sum("r"), F.sum(F.col("l") * F.col("r"))).first()]
-    bands = plan_bands(radius, bits, *n)
-    distance: Column = hamming(F.col("a"), F.col("b"))
-    return meetings(sides[0], sides[-1], bands, within).where(distance <= radius).distinct().withColumn("distance", distance)
+    sides = [cut(x.where(F.col("signature").isNotNull()).select("signature").distinct()) for x in ((a,) if a is b else (a, b))]
+    counts = [x.count() for x in sides]
+    blocks = [max(BLOCKS, ceil(n / BLOCK)) for n in counts]
+    per = [ceil(n / m) for n, m in zip(counts, blocks)]
+    bands = plan_bands(radius, bits, per[0], per[-1])
+    found = meetings(sides[0], sides[-1], bands, radius, (blocks[0], blocks[-1]))
+    return found.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))

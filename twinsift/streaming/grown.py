@@ -43,7 +43,7 @@ def _kind(kind: str, preset: str) -> similar.Media:
 def scan_media(kind: str, items: DataFrame, preset: str) -> MediaState:
     """The state over ``items``: images or videos, as their groups take them."""
     spark, media = items.sparkSession, _kind(kind, preset)
-    none = media.comparable(items).limit(0)
+    none = media.comparable(items.limit(0))
     nodes = none.select(F.col("place").alias("node"), "place", *media.compared)
     links = media.links(nodes, nodes, preset).limit(0)
     empty = lambda df: spark.createDataFrame([], df.schema)
