@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.fingerprints import hamming
 from twinsift.functions.paths import casefold, suffix
 from twinsift.operators.graph import cut, references
-from twinsift.operators.neighbours import hamming_pairs
+from twinsift.operators.neighbours import cell_pairs, hamming_pairs, plan_bands
 
 # Radii of images; radius, slots required and duration tolerance of videos; the aspect limit.
 IMAGE_RADII = {"Strict": 4, "Balanced": 8, "Broad": 12}
@@ -113,39 +115,114 @@ def video_rows(videos: DataFrame) -> DataFrame:
     """(place, width, height, duration, signatures) of videos within bounds and with a signature in enough slots."""
     place = F.struct((-F.col("width").cast("long") * F.col("height")).alias("area"), F.col("path").alias("path"))
     fit = acceptable_video(F.col("width"), F.col("height"), F.col("duration")) & informative(F.col("signatures"))
-    return videos.where(fit).select(place.alias("place"), "width", "height", "duration", "signatures")
+    # written first: what works signatures out would be done again for every slot that is asked for
+    held = cut(videos.select("path", "width", "height", "duration", "signatures"))
+    return held.where(fit).select(place.alias("place"), "width", "height", "duration", "signatures")
 
 
 VIDEO_COMPARED = ("width", "height", "duration", "signatures")
 
 
+def video_copies(videos: DataFrame) -> DataFrame:
+    """(reference, path, matched, valid): videos that are like another in all that is compared and in the ``digest`` of their contents.
+
+    The first path of each such class is the reference; a video that is merely near, or differs beyond its frames, is no copy.
+    """
+    rows, what = cut(videos.where("signatures IS NOT NULL")), [*VIDEO_COMPARED, "digest"]
+    rows = rows.where(informative(F.col("signatures")))
+    first = rows.groupBy(*what).agg(F.min("path").alias("reference"), F.count("*").alias("_n")).where("_n > 1")
+    e = slot_evidence(F.col("signatures"), F.col("signatures"), 0)
+    return rows.join(first, what).where("path <> reference").withColumn("e", e).select("reference", "path", "e.matched", "e.valid")
+
+
+#: Videos of a cell, on either side, that one task compares.
+CELL = 1 << 14
+
+
+def duration_cell(duration: Column, tolerance: float) -> Column:
+    """A number that differs by one at most between durations that lie near: they are measured in tolerances on the way."""
+    low, high = 0.25 / tolerance, LONGEST / tolerance
+    short, middle = F.least(duration, F.lit(low)) / 0.25, F.log(F.least(F.greatest(duration, F.lit(low)), F.lit(high)) / low) / tolerance
+    return F.floor((short + middle + F.greatest(duration - high, F.lit(0.0)) / LONGEST) * (1 - 1e-9)).cast("long")
+
+
+def _frames(signatures: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """24 signatures of each video, and which of them there are."""
+    lists = signatures.combine_chunks()
+    flat, lengths = lists.flatten(), lists.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    first = at < 2 * SLOTS
+    frames, there = np.zeros((len(lengths), 2 * SLOTS), np.int64), np.zeros((len(lengths), 2 * SLOTS), bool)
+    frames[row[first], at[first]] = flat.fill_null(0).to_numpy()[first]
+    there[row[first], at[first]] = flat.is_valid().to_numpy(zero_copy_only=False)[first]
+    return frames.view(np.uint64), there
+
+
+def _slots(frames: np.ndarray, there: np.ndarray, other: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray, ...]:
+    """What ``slot_evidence`` tells of rows of frames, row by row: matched, valid, total, thirds."""
+    least = np.full((len(frames), SLOTS), 255, np.uint8)
+    for i in (0, 1):
+        for j in (0, 1):
+            distance = np.bitwise_count(frames[:, i::2] ^ other[:, j::2])
+            least = np.minimum(least, np.where(there[:, i::2] & others[:, j::2], distance, 255))
+    hit, valid = least <= radius, least < 255
+    thirds = hit.reshape(-1, 3, SLOTS // 3).sum(2).min(1)
+    return hit.sum(1), valid.sum(1), np.where(valid, least, 0).sum(1, dtype=np.int64), thirds
+
+
 def video_links(left: DataFrame, right: DataFrame, preset: str, *, halved: bool = False) -> DataFrame:
     """(a, b, e): nodes of ``left`` and ``right`` that match, a node with itself where both hold it; with ``halved`` those with b <= a.
 
-    Candidates come from a join of near frames, slot by slot and among durations that lie near.
+    Videos are dealt to cells by duration, so that those which lie near share a cell or lie in two that touch, and a cell
+    of many is dealt out as blocks of its left and right side. A task looks for near frames in as many slots as a match can't miss all
+    of, and works the evidence out where it finds some; only matches leave it.
     """
     radius, required, tolerance = VIDEO_PRESETS[preset]
-    # durations of a pair differ by LONGEST at most, so they lie in the same span of that length or in two that touch
-    span = F.floor(F.col("duration") / LONGEST)
-
-    def framed(nodes: DataFrame) -> DataFrame:
-        frames = nodes.select("node", "duration", F.posexplode("signatures").alias("k", "signature")).where("signature is not null")
-        return cut(frames.select("node", "signature", F.shiftright("k", 1).alias("slot"), span.alias("span")).distinct())
-
-    frames = framed(left)
-    spread = (frames if left is right else framed(right)).withColumn("span", F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)))
-    where = ["slot", "span"]
-    near = hamming_pairs(frames, spread, radius, within=tuple(where)).select("a", "b", *where)
-    holds = lambda f, s, n: f.select(*where, F.col("signature").alias(s), F.col("node").alias(n))
-    pairs = near.join(holds(frames, "a", "_a"), [*where, "a"]).join(holds(spread, "b", "_b"), [*where, "b"])
-    pairs = pairs.where("_b <= _a") if halved else pairs
-    # a match has the required number of slots, so fewer near slots than that rule a pair out
-    pairs = pairs.groupBy("_a", "_b").agg(F.count_distinct("slot").alias("slots")).where(F.col("slots") >= required).drop("slots")
-    side = lambda df, n, k: df.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}{k}") for c in VIDEO_COMPARED])
-    both = pairs.join(side(left, "_a", 1), "_a").join(side(right, "_b", 2), "_b")
+    looked = range(1, SLOTS, 3)[: SLOTS - required + 1]
+    cell = duration_cell(F.col("duration"), tolerance)
+    own = left.select("node", *VIDEO_COMPARED, cell.alias("_cell"))
+    near = right.select("node", *VIDEO_COMPARED, F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
+    counts = [x.groupBy("_cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias(f"_{n}")) for x, n in ((own, "m"), (near, "n"))]
+    parts = cut(counts[0].join(counts[1], "_cell"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda df, k, i, j: df.join(parts, "_cell").select(F.lit(k).cast("byte").alias("_side"), "_cell", i.alias("_i"), j.alias("_j"), "node", *VIDEO_COMPARED)
+    rows = side(own, 0, block("_m"), every("_n")).unionByName(side(near, 1, every("_m"), block("_n")))
+    kept = ["node", "width", "height", "duration"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        mask = table["_side"].to_numpy() == 0
+        sides = [table.filter(pa.array(x)).combine_chunks() for x in (mask, ~mask)]
+        (x_frames, x_there), (y_frames, y_there) = (_frames(t["signatures"]) for t in sides)
+        duration, shape = ([f(t) for t in sides] for f in (lambda t: t["duration"].to_numpy(), lambda t: np.log(t["width"].to_numpy() / t["height"].to_numpy())))
+        found = [np.zeros((0, 5), np.int64)]
+        for slot in looked:
+            xs, ys = ([np.flatnonzero(t[:, 2 * slot + i]) for i in (0, 1)] for t in (x_there, y_there))
+            x_at, y_at = np.concatenate(xs), np.concatenate(ys)
+            x_values, y_values = (np.concatenate([f[at, 2 * slot + i] for i, at in enumerate(z)]) for f, z in ((x_frames, xs), (y_frames, ys)))
+            for i, j in cell_pairs(x_values, y_values, plan_bands(radius, 63, len(x_at), len(y_at)), radius):
+                x, y = x_at[i], y_at[j]
+                d, e = duration[0][x], duration[1][y]
+                # a little more than is asked for, which is asked below
+                fits = (np.abs(d - e) <= np.maximum(0.25, np.minimum(LONGEST, np.minimum(d, e) * tolerance)) + 1e-6) & (np.abs(shape[0][x] - shape[1][y]) <= ASPECT + 1e-6)
+                pairs = np.unique(x[fits] * len(y_there) + y[fits])
+                x, y = np.divmod(pairs, max(1, len(y_there)))
+                matched, valid, total, thirds = _slots(x_frames[x], x_there[x], y_frames[y], y_there[y], radius)
+                good = (matched >= required) & (thirds >= 2)
+                found.append(np.stack([pairs, matched, valid, total, thirds], 1)[good])
+        found = np.unique(np.concatenate(found), axis=0)
+        x, y = np.divmod(found[:, 0], max(1, len(y_there)))
+        out = {f"{c}{k}": t[c].take(pa.array(at)) for k, t, at in ((1, sides[0], x), (2, sides[1], y)) for c in kept}
+        return pa.table(out | {c: pa.array(found[:, k].astype(np.int32)) for k, c in enumerate(("matched", "valid", "total", "thirds"), 1)})
+
+    told = parts.agg(F.sum(F.col("_m") * F.col("_n"))).first()[0] or 1
+    types = [f"{c}{k} {df.schema[c].dataType.simpleString()}" for k, df in ((1, left), (2, right)) for c in kept]
+    dealt = rows.repartition(min(told, 1024), "_cell", "_i", "_j").groupBy("_cell", "_i", "_j")
+    both = dealt.applyInArrow(compare, ", ".join([*types, "matched int", "valid int", "total int", "thirds int"]))
+    both = both.where("node2 <= node1") if halved else both
     both = both.where(near_durations(F.col("duration1"), F.col("duration2"), tolerance) & same_aspect(F.col("width2"), F.col("height2"), F.col("width1"), F.col("height1")))
-    both = both.withColumn("e", slot_evidence(F.col("signatures2"), F.col("signatures1"), radius)).where((F.col("e.matched") >= required) & (F.col("e.thirds") >= 2))
-    return both.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "e")
+    return both.select(F.col("node1").alias("a"), F.col("node2").alias("b"), F.struct("matched", "valid", "total", "thirds").alias("e"))
 
 
 def video_best(rows: DataFrame, links: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -161,8 +238,7 @@ def video_groups(videos: DataFrame, preset: str) -> DataFrame:
     Videos out of bounds, or without a signature in enough slots, are compared with none. Two videos match if duration and shape agree, enough slots have a frame pair within the radius, and every third
     of the video has two of them. A video joins the reference before it with most slots, then least distance, then first place.
     """
-    # written once: the plan of a join that works signatures out on the way has failed with a missing attribute
-    rows, what = cut(video_rows(videos)), list(VIDEO_COMPARED)
+    rows, what = video_rows(videos), list(VIDEO_COMPARED)
     # equal videos are one node; only the first of them can be a reference
     nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("node")).withColumn("place", F.col("node")))
     links = cut(video_links(nodes, nodes, preset, halved=True))

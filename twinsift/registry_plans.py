@@ -315,7 +315,7 @@ def grown_images(spark, sf_dir):
 
 @query(ORACLE_SQL["video_groups"])
 def grown_videos(spark, sf_dir):
-    every = videos(spark, sf_dir)
+    every = cut(videos(spark, sf_dir))
     state = grown.scan_media("videos", every.where("path < '/v/5'"), "Balanced")
     return grown.extend_media(state, every.where("path >= '/v/5'")).groups
 
