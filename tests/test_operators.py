@@ -550,3 +550,21 @@ def test_details_and_media(spark):
     f = spark.createDataFrame([("/a.JPG",), ("/b.mp4",), ("/c.txt",)], "path string")
     assert similar.of_media(f).count() == 2 and similar.of_media(f, "Images").count() == 1
     assert tuple(similar.media_counts(f, f.limit(1)).first()) == (1, 1, 1, 1)
+
+
+def test_folder_plans_take_files_up_level_by_level(spark):
+    """Only selected folders are spread over what lies above them: files and offered folders would all meet at the top."""
+    fold = cut(spark.createDataFrame([("/t/a", f"/t/{c}", 2, True) for c in "abc"], "group_id string, path string, n_files long, is_current boolean"))
+    now = cut(spark.createDataFrame([(f"/t/{c}/{k}/x", 1, f"d{k}{c if c == 'c' else ''}") for c in "abc" for k in (1, 2)], "path string, size long, digest string"))
+    plan = cleanup.folder_plan(fold, now, cut(spark.createDataFrame([("/t/b",), ("/t/c",)], "path string")))
+    assert sorted((r.path, r.verdict, r.reason) for r in plan.collect()) == [("/t/b", "remove", None), ("/t/c", "keep", "contents differ")]
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
+def test_folders_are_told_apart_by_two_numbers(spark):
+    """What moves for a folder's or an owner's contents is as wide for large ones as for small ones."""
+    rows = spark.createDataFrame([(f"/t/{k}/{n}", 1, n) for k in range(2) for n in range(9)], "path string, size long, content_id long")
+    kept = "struct<x:bigint,y:bigint>"
+    assert folders.signed(folders.folder_sums(rows)).schema["signature"].dataType.simpleString() == kept
+    owned = folders.multiset_signature(rows.select(F.substring("path", 1, 4).alias("o"), "content_id"), "o", "content_id")
+    assert owned.schema["signature"].dataType.simpleString() == kept and owned.select("signature", "n_items").distinct().count() == 1

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsift.functions import paths
+from twinsift.operators.folders import folder_sums
+from twinsift.operators.graph import cut
 
 # Streams whose difference needs a consent of its own.
 ZONE, DROPBOX = ":zone.identifier:$data", ":com.dropbox.attrs:$data"
@@ -105,14 +107,19 @@ def folder_plan(folders: DataFrame, files: DataFrame, selection: DataFrame) -> D
     chosen = F.col("_on").isNotNull()
     rows = folders.join(selection.select("path", F.lit(1).alias("_on")).distinct(), "path", "left")
     over = selection.select(F.explode(paths.ancestors(F.col("path"), itself=True)).alias("path")).distinct().withColumn("_over", F.lit(1))
-    below = folders.select("path", F.explode(paths.ancestors(F.col("path"))).alias("_up")).join(selection.select(F.col("path").alias("_up")), "_up", "left_semi").select("path").distinct().withColumn("_below", F.lit(1))
+    # selected folders that any folder lies below, named first: all folders share what lies near the top, which would meet in one task
+    ups = folders.select(F.explode(paths.ancestors(F.col("path"))).alias("_up")).distinct()
+    hits = cut(ups.join(selection.select(F.col("path").alias("_up")), "_up", "left_semi"))
+    below = folders.select("path").limit(0)
+    if not hits.isEmpty():
+        below = folders.select("path", F.explode(paths.ancestors(F.col("path"))).alias("_up")).join(hits, "_up", "left_semi").select("path").distinct()
+    below = below.withColumn("_below", F.lit(1))
     rows = rows.join(over, "path", "left").join(below, "path", "left")
     touched = F.col("_over").isNotNull() | F.col("_below").isNotNull()
     refs = _references(rows.withColumn("_touched", touched), "group_id", F.col("_touched"))
-    inside = files.select(F.explode(paths.ancestors(F.col("path"))).alias("folder"), "size", "digest").join(folders.select(F.col("path").alias("folder")), "folder", "left_semi")
-    counts = inside.groupBy("folder", "size", "digest").agg(F.count("*").alias("n"))
-    part = lambda seed: F.sum(F.xxhash64("size", "digest", "n", F.lit(seed)).cast("decimal(38,0)")).cast("string")
-    now = counts.groupBy("folder").agg(F.sum("n").alias("n"), F.concat_ws(":", F.count("*"), part(1), part(2)).alias("multiset"))
+    # a file moves once, and a folder once per level
+    sums = folder_sums(files.select("path", "size", F.struct("size", "digest").alias("content_id")))
+    now = sums.where("n_files > 0").select(F.col("path").alias("folder"), F.col("n_files").alias("n"), F.struct("h1", "h2", "h3", "h4").alias("multiset"))
     held = rows.where(chosen).join(refs, F.col("group_id") == F.col("_group"))
     told = lambda p: now.select(F.col("folder").alias(p), F.col("n").alias(f"n_{p}"), F.col("multiset").alias(f"multiset_{p}"))
     about = folders.select(F.col("path").alias("_reference"), F.col("is_current").alias("_ref_current"))
