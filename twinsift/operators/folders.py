@@ -23,9 +23,18 @@ def content_ids(files: DataFrame, content_key: str) -> DataFrame:
 _SUMS = ("n_files", "total_size", "n_dirs", "h1", "h2", "h3", "h4")
 
 
-def content_hashes(content: str) -> list[Column]:
+def _halved(*what: str) -> list[Column]:
     halves = lambda h: (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))
-    return [x.alias(f"h{i}") for i, x in enumerate([*halves(F.xxhash64(content, F.lit(1))), *halves(F.xxhash64(content, F.lit(2)))], 1)]
+    return [x.alias(f"h{i}") for i, x in enumerate([*halves(F.xxhash64(*what, F.lit(1))), *halves(F.xxhash64(*what, F.lit(2)))], 1)]
+
+
+def content_hashes(content: str) -> list[Column]:
+    return _halved(content)
+
+
+def _folded(*what: str | Column) -> Column:
+    """Two 64-bit hashes of some columns, to be told apart by: they move instead of what they stand for."""
+    return F.struct(F.xxhash64(*what, F.lit(3)).alias("x"), F.xxhash64(*what, F.lit(4)).alias("y"))
 
 
 def folder_sums(files: DataFrame, directories: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
@@ -76,14 +85,15 @@ def multiset_signature(members: DataFrame, owner: str, item: str) -> DataFrame:
     It sums a hash of each (item, count), so a large owner is aggregated in parts and never gathered.
     """
     counts = members.groupBy(owner, item).agg(F.count("*").alias("_n"))
-    part = lambda seed: F.sum(F.xxhash64(item, "_n", F.lit(seed)).cast("decimal(38,0)")).cast("string")
-    return counts.groupBy(owner).agg(F.sum("_n").alias("n_items"), F.concat_ws(":", F.count("*"), part(1), part(2)).alias("signature"))
+    halves = counts.select(owner, "_n", *_halved(item, "_n"))
+    sums = halves.groupBy(owner).agg(F.sum("_n").alias("n_items"), F.count("*").alias("_items"), *[F.sum(f"h{i}").alias(f"h{i}") for i in range(1, 5)])
+    return sums.select(owner, "n_items", _folded("_items", "h1", "h2", "h3", "h4").alias("signature"))
 
 
 def equal_multisets(members: DataFrame, owner: str, item: str) -> DataFrame:
     """owner, n_items, group_id (the least owner): owners whose multisets of items another owner shares."""
     signed = multiset_signature(members, owner, item)
-    groups = signed.groupBy("n_items", "signature").agg(F.min(owner).alias("group_id"), F.count("*").alias("_n")).where("_n > 1")
+    groups = signed.groupBy("n_items", "signature").agg(F.min(owner).alias("group_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     return signed.join(groups, ["n_items", "signature"]).select(owner, "n_items", "group_id")
 
 
@@ -105,7 +115,7 @@ def duplicate_folders(files: DataFrame, directories: DataFrame | None = None, is
 
 def signed(sums: DataFrame) -> DataFrame:
     """path, n_files, total_size, n_dirs, signature of folders other than the root of the file system."""
-    rows = sums.where(F.col("path") != "/").withColumn("signature", F.concat_ws(":", "h1", "h2", "h3", "h4"))
+    rows = sums.where(F.col("path") != "/").withColumn("signature", _folded("h1", "h2", "h3", "h4"))
     return rows.select("path", "n_files", "total_size", "n_dirs", "signature")
 
 
@@ -115,14 +125,14 @@ def equal_folders(rows: DataFrame, *, apart: bool = True) -> DataFrame:
     same = ["signature", "n_files"]
     shared = rows.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     several = cut(rows.join(shared, same, "left_semi"))
+    several = several.withColumn("_own", _folded(*same, "path"))
     # of equal folders that lie within each other all between them are equal too, so the one right above tells whether there are any
-    inner = several
+    inner, at = several.select(*same, "path", "_own"), several.select(F.col("_own").alias("_up"))
     if apart:
-        above = several.select(*same, F.col("path").alias("_above"))
-        inner = several.withColumn("_above", paths.parent(F.col("path"))).join(above, [*same, "_above"], "left_semi")
-    up = inner.select(*same, "path", F.explode(paths.ancestors(F.col("path"))).alias("_up"))
-    nested = up.join(several.select(*same, F.col("path").alias("_up")), [*same, "_up"]).groupBy("path").agg(F.count("*").alias("part"))
-    dealt = several.join(nested, "path", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+        inner = several.select(*same, "path", "_own", _folded(*same, paths.parent(F.col("path"))).alias("_up")).join(at, "_up", "left_semi")
+    up = inner.select(*same, "_own", F.explode(paths.ancestors(F.col("path"))).alias("_above")).select("_own", _folded(*same, "_above").alias("_up"))
+    nested = up.join(at, "_up").groupBy("_own").agg(F.count("*").alias("part"))
+    dealt = several.join(nested, "_own", "left").drop("_own").withColumn("part", F.coalesce("part", F.lit(0)))
     groups = dealt.groupBy(*same, "part").agg(F.min("path").alias("group_id"), F.count("*").alias("_n"), F.min("n_dirs").alias("_dirs"))
     groups = groups.where((F.col("_n") > 1) | ((F.col("n_files") == 0) & (F.col("_dirs") == 1))).select(*same, "part", "group_id")
     out = dealt.join(groups, [*same, "part"]).select("group_id", "path", "n_files", "total_size")
