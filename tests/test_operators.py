@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from twinsift.functions import paths
+from twinsift import registry
+from twinsift.functions import fingerprints, paths
 from twinsift.operators.graph import cut
 from twinsift.operators import cleanup, exact, folders, neighbours, review, scope, similar, tolerance
 from twinsift.plans import scan
@@ -569,3 +570,36 @@ def test_folders_are_told_apart_by_two_numbers(spark):
     assert folders.signed(folders.folder_sums(rows)).schema["signature"].dataType.simpleString() == kept
     owned = folders.multiset_signature(rows.select(F.substring("path", 1, 4).alias("o"), "content_id"), "o", "content_id")
     assert owned.schema["signature"].dataType.simpleString() == kept and owned.select("signature", "n_items").distinct().count() == 1
+
+
+def test_images_are_read_once(spark):
+    """What works signatures out runs once for each image: rows aren't read again to meet their nodes."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def slow(x):
+        seen.add(1)
+        return x
+
+    images = spark.range(40).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.lit(3).alias("width"), F.lit(2).alias("height"), F.udf(slow, "long")("id").alias("signature"))
+    assert similar.image_groups(images, 1).count() > 0
+    assert seen.value == 40
+
+
+def test_word_votes_are_those_of_distinct_words():
+    """Each distinct word votes once, whatever splits the texts: nulls, empty words and more words than a narrow lane counts."""
+    import hashlib
+
+    import pyarrow as pa
+
+    texts = ["a b a", None, "", "  ", "ä  ö\nx a", " ".join(map(str, range(70_000))), "a b a"]
+    got = fingerprints.votes(pa.array(texts)).tolist()
+    for text, row in zip(texts, got, strict=True):
+        hashes = [int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in set((text or "").split(" ")) if w]
+        assert row == [len(hashes)] + [sum(h >> i & 1 for h in hashes) for i in range(60)]
+    assert sum(len(x) for x in fingerprints._parts(pa.array(texts))) == len(texts)
+
+
+def test_signatures_move_a_row_per_document(spark, sf_dir):
+    """Words are hashed and counted where their text is read: none becomes a row."""
+    plan = registry.signatures(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("word_votes") == 1

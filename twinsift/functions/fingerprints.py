@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,3 +70,53 @@ def perceptual_hash(pixels: pa.Array) -> pa.Array:
     for k, bits in zip(fine, perceptual_bits(np.array([rows[k] for k in fine])) if fine else [], strict=True):
         out[k] = bits
     return pa.array(out, pa.int64())
+
+
+#: Bits of a word's hash that vote, and bytes of text whose words a task holds at once.
+WORD_BITS, TEXT_AT_ONCE = 60, 16 << 20
+
+
+def votes(texts: pa.Array) -> np.ndarray:
+    """Of each text how many distinct words it has, and then for each bit how many of their hashes, the first 60 bits of MD5, have it set."""
+    out = np.zeros((len(texts), 1 + WORD_BITS), np.int64)
+    parts = pc.split_pattern(texts, " ")
+    words = parts.flatten().dictionary_encode()
+    if not len(words):
+        return out
+    known = words.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.frombuffer(b"".join(md5(w).digest()[:8] for w in known), ">u8").astype(np.uint64) >> np.uint64(64 - WORD_BITS)
+    row = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).fill_null(0).to_numpy())
+    key = np.sort(row * len(known) + words.indices.to_numpy())
+    row, word = np.divmod(key[np.diff(key, prepend=-1) > 0], len(known))
+    if b"" in known:
+        there = word != known.index(b"")
+        row, word = row[there], word[there]
+    if not len(row):
+        return out
+    own = hashes[word]
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    at, n = row[starts], np.diff(starts, append=len(row))
+    out[at, 0] = n
+    lane = 16 if n.max() < 1 << 16 else 32  # one sum counts a bit in each lane
+    mask = np.uint64(sum(1 << k for k in range(0, 64, lane)))
+    for i in range(lane):
+        sums = np.add.reduceat((own >> np.uint64(i)) & mask, starts)
+        for k in range(i, WORD_BITS, lane):
+            out[at, 1 + k] = (sums >> np.uint64(k - i)) & np.uint64((1 << lane) - 1)
+    return out
+
+
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in runs of about ``TEXT_AT_ONCE`` bytes."""
+    run = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // TEXT_AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    return (texts.slice(a, b - a) for a, b in zip(edges, edges[1:]))
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def word_votes(texts: pa.Array) -> pa.Array:
+    """``votes`` of each text, two bits to a number: the count of words, then bit i in the lower 31 bits and bit i + 30 above; zeros where there is no word."""
+    half = WORD_BITS // 2
+    held = np.concatenate([votes(x) for x in _parts(texts)])
+    packed = np.concatenate([held[:, :1], held[:, 1 : half + 1] | (held[:, half + 1 :] << 31)], axis=1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(packed) + 1, dtype=np.int32) * (half + 1)), pa.array(packed.ravel()))

@@ -79,8 +79,8 @@ def image_groups(images: DataFrame, radius: int) -> DataFrame:
     (ties: the earlier one), else it becomes a reference itself; members never link further images. Images that
     share signature and size are one node while references are sought: only the first of them can be one.
     """
-    rows = image_rows(images)
-    what = ["signature", "width", "height"]
+    # written first: what works signatures out would be done again where rows are chosen, and where they meet their nodes
+    rows, what = image_rows(cut(images.select("path", "width", "height", "signature"))), ["signature", "width", "height"]
     nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("node")).withColumn("place", F.col("node")))
     links = cut(image_links(nodes, nodes, radius))
     refs = _first_come(links, nodes)
