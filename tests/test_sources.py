@@ -387,3 +387,17 @@ def test_keyed_stream_keeps_sizes(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         keyed.start(spark.readStream.schema(schema).parquet(source), f"file://{tmp_path}/ck").awaitTermination()
     assert {(r.path, r.size) for r in keyed.groups().collect()} == {("/a/x", 5), ("/b/X", 2)}
+
+
+def test_a_delta_of_media_is_joined_once(spark, monkeypatch):
+    """A scan joins its nodes with themselves, a delta its new nodes with all; the links of old nodes with new ones are those turned round."""
+    joins = []
+    links = similar.hamming_pairs
+    monkeypatch.setattr(similar, "hamming_pairs", lambda a, b, radius: joins.append((a is b, a.count(), b.count())) or links(a, b, radius))
+    images = lambda *rows: spark.createDataFrame(list(rows), "path string, width int, height int, signature long")
+    old, new = [("b", 30, 20, 0), ("c", 30, 20, 7), ("d", 30, 20, 1 << 40)], [("a", 60, 40, 1), ("e", 30, 20, 3)]
+    state = grown.extend_media(grown.scan_media("images", images(*old), "Strict"), images(*new))
+    assert joins == [(True, 3, 3), (False, 2, 5)]
+    near = {(x[0], y[0]) for x in old + new for y in old + new if (x[3] ^ y[3]).bit_count() <= 4}
+    assert sorted((r.a, r.b) for r in state.links.select("a.path", "b.path").toDF("a", "b").collect()) == sorted(near)
+    assert {tuple(r) for r in state.groups.collect()} == {tuple(r) for r in similar.image_groups(images(*old, *new), 4).collect()}

@@ -65,7 +65,7 @@ def _members(best: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return best.join(nodes.join(refs, "node", "left_semi").select("place"), "place", "left_anti")
 
 
-def _first_come(links: DataFrame, nodes: DataFrame) -> DataFrame:
+def first_come(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """node of every reference, where nodes are named by their places."""
     edges = links.where("b < a").select(F.col("a").alias("later"), F.col("b").alias("earlier"))
     alone = nodes.select(F.col("node").alias("id")).join(edges.select(F.explode(F.array("later", "earlier")).alias("id")), "id", "left_anti")
@@ -83,7 +83,7 @@ def image_groups(images: DataFrame, radius: int) -> DataFrame:
     rows, what = image_rows(cut(images.select("path", "width", "height", "signature"))), ["signature", "width", "height"]
     nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("node")).withColumn("place", F.col("node")))
     links = cut(image_links(nodes, nodes, radius))
-    refs = _first_come(links, nodes)
+    refs = first_come(links, nodes)
     return image_best(rows.join(nodes.drop("place"), what).select("place", "node"), links, refs, nodes)
 
 
@@ -242,7 +242,7 @@ def video_groups(videos: DataFrame, preset: str) -> DataFrame:
     # equal videos are one node; only the first of them can be a reference
     nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("node")).withColumn("place", F.col("node")))
     links = cut(video_links(nodes, nodes, preset, halved=True))
-    return video_best(rows.join(nodes.drop("place"), what).select("place", "node"), links, _first_come(links, nodes), nodes)
+    return video_best(rows.join(nodes.drop("place"), what).select("place", "node"), links, first_come(links, nodes), nodes)
 
 
 @dataclass(frozen=True)

@@ -42,14 +42,13 @@ def _kind(kind: str, preset: str) -> similar.Media:
 
 def scan_media(kind: str, items: DataFrame, preset: str) -> MediaState:
     """The state over ``items``: images or videos, as their groups take them."""
-    spark, media = items.sparkSession, _kind(kind, preset)
-    none = media.comparable(items.limit(0))
-    nodes = none.select(F.col("place").alias("node"), "place", *media.compared)
-    links = media.links(nodes, nodes, preset).limit(0)
-    empty = lambda df: spark.createDataFrame([], df.schema)
-    rows, refs = none.select("place", F.col("place").alias("node")), nodes.select("node")
-    groups = media.best(rows, links, refs, nodes)
-    return extend_media(MediaState(kind, preset, empty(rows), empty(nodes), empty(links), empty(refs), empty(groups)), items)
+    media = _kind(kind, preset)
+    items = cut(media.comparable(items).withColumn("path", F.col("place.path")).dropDuplicates(["path"]).drop("path"))
+    nodes = cut(items.groupBy(*media.compared).agg(F.min("place").alias("node")).select("node", F.col("node").alias("place"), *media.compared))
+    rows = cut(items.join(nodes, [items[c].eqNullSafe(nodes[c]) for c in media.compared]).select(items["place"], "node"))
+    links = cut(media.links(nodes, nodes, preset))
+    refs = cut(similar.first_come(links, nodes))
+    return MediaState(kind, preset, rows, nodes, links, refs, cut(media.best(rows, links, refs, nodes)))
 
 
 def extend_media(state: MediaState, new: DataFrame) -> MediaState:
@@ -66,9 +65,9 @@ def extend_media(state: MediaState, new: DataFrame) -> MediaState:
     changed = cut(fresh.select("node").unionByName(moved.select("node")))
     nodes = cut(state.nodes.join(moved.select("node"), "node", "left_anti").unionByName(moved).unionByName(fresh))
     added = cut(fresh)
-    ahead = media.links(added, nodes, state.preset)
-    # the other way round only with nodes held before: new ones have met each other both ways already
-    back = media.links(nodes.join(added.select("node"), "node", "left_anti"), added, state.preset)
+    ahead = cut(media.links(added, nodes, state.preset))
+    # links are the same both ways; new nodes have met each other both ways already
+    back = ahead.join(added.select(F.col("node").alias("b")), "b", "left_anti").select(F.col("b").alias("a"), F.col("a").alias("b"), "e")
     links = cut(state.links.unionByName(ahead).unionByName(back))
     names = met.select(F.coalesce("node", "_least").alias("node"), *media.compared)
     placed = items.join(names, [items[c].eqNullSafe(names[c]) for c in media.compared]).select(items["place"], "node")
