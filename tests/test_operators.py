@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,6 +370,34 @@ def test_few_pairs_meet_at_wide_radii():
                 assert (len(list(b.probes(True))), len(list(b.probes(False)))) == (b.count(True), b.count(False))
 
 
+def test_cells_compare_values_in_columns(monkeypatch):
+    """Repeated signatures, a value that many share and few rows at a time: each pair within the radius comes once, and a value is looked up once for all rows that have it."""
+    monkeypatch.setattr(neighbours, "AT_ONCE", 64)
+    rng = np.random.default_rng(8)
+    a, b = (np.concatenate([rng.integers(0, 1 << 18, 150), np.full(40, 5), rng.integers(0, 8, 40) << 15 | 77]).astype(np.uint64) for _ in range(2))
+    for n in (1, 2, 4):
+        bands = neighbours.bands_of(3, 18, n)
+        found = [p for x, y in neighbours.cell_pairs(a, b, bands, 3) for p in zip(x.tolist(), y.tolist())]
+        near = np.argwhere(np.bitwise_count(a[:, None] ^ b[None]) <= 3)
+        assert sorted(found) == sorted(map(tuple, near.tolist()))
+    starts, own, places = neighbours._groups(np.repeat(np.arange(4), 1000), 2)
+    assert places.shape == (16, 252) and (np.diff(starts) == 63).all() and (np.bincount(own) == 63).all()
+
+
+def test_bands_hold_only_bits_that_vary(spark, monkeypatch):
+    """Bits above those in which signatures differ would make bands that tell less: on either side they may be set or not, if they are alike."""
+    planned, plan = [], neighbours.plan_bands
+    monkeypatch.setattr(neighbours, "plan_bands", lambda radius, bits, *n: planned.append(bits) or plan(radius, bits, *n))
+    table = lambda *values: spark.createDataFrame([(v,) for v in values], "signature long")
+    high = 1 << 61
+    some = [high | x for x in (0, 1, 3, 1 << 39)]
+    both = table(*some)
+    assert {tuple(x) for x in neighbours.hamming_pairs(both, both, 1).collect()} == {(x, y, (x ^ y).bit_count()) for x in some for y in some if (x ^ y).bit_count() <= 1}
+    assert {tuple(x) for x in neighbours.hamming_pairs(table(0, 1), table(high, high | 3), 2).collect()} == {(0, high, 1), (1, high, 2), (1, high | 3, 2)}
+    assert neighbours.hamming_pairs(table(7), table(), 2).isEmpty() and neighbours.hamming_pairs(table(7), table(7), 2).count() == 1
+    assert planned == [40, 62, 1, 1]
+
+
 @pytest.mark.parametrize("preset", similar.VIDEO_PRESETS)
 def test_videos(spark, preset):
     """Frames that differ by as many bits as the preset allows, or by one more, in as many slots as it asks for, or one fewer."""

@@ -83,8 +83,9 @@ def votes(texts: pa.Array) -> np.ndarray:
     words = parts.flatten().dictionary_encode()
     if not len(words):
         return out
-    known = words.dictionary.cast(pa.large_binary()).to_pylist()
-    hashes = np.frombuffer(b"".join(md5(w).digest()[:8] for w in known), ">u8").astype(np.uint64) >> np.uint64(64 - WORD_BITS)
+    known = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    digests = np.frombuffer(b"".join([md5(w, usedforsecurity=False).digest() for w in known]), ">u8")
+    hashes = digests[::2].astype(np.uint64) >> np.uint64(64 - WORD_BITS)
     row = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).fill_null(0).to_numpy())
     key = np.sort(row * len(known) + words.indices.to_numpy())
     row, word = np.divmod(key[np.diff(key, prepend=-1) > 0], len(known))

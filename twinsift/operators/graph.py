@@ -49,17 +49,17 @@ def references(edges: DataFrame) -> DataFrame:
     left = scratch.write(edges)
     ends = left.select(F.col("later").alias("id")).distinct()
     new = scratch.write(left.select(F.col("earlier").alias("id")).distinct().join(ends, "id", "left_anti"))
-    found = [new]
+    found, read = [new], left
     while not new.isEmpty():
         members = left.join(new.withColumnRenamed("id", "earlier"), "earlier", "left_semi").select("later").distinct()
         gone = members.select(F.col("later").alias("earlier"), F.lit(True).alias("lost"))
         held = left.join(members, "later", "left_anti").join(gone, "earlier", "left").select("later", "earlier", F.coalesce("lost", F.lit(False)).alias("lost"))
         held = scratch.write(held)
+        scratch.drop(read)
+        read = held
         new = scratch.write(held.groupBy("later").agg(F.min("lost").alias("free")).where("free").select(F.col("later").alias("id")))
         found.append(new)
-        scratch.drop(left)
-        left = scratch.write(held.where("NOT lost").select("later", "earlier"))
-        scratch.drop(held)
+        left = held.where("NOT lost").select("later", "earlier")
     return reduce(DataFrame.unionByName, found)
 
 

@@ -4,17 +4,20 @@ Signatures are dealt to blocks by a hash, and each pair of blocks is a cell, whi
 side, no pair moves before it is known to lie within the radius, and no value of a band, however frequent, makes a task larger than its cell.
 
 In a cell a signature is cut into bands, and band i is given a tolerance t_i so that the sum of (t_i + 1) passes the radius: two
-signatures within the radius then differ in at most t_i bits of some band. The right side is sorted by the band's value, and the left looks up
-every value within the tolerance of its own. A pair counts in the first band that holds it within its tolerance, so none is told twice. How
-many bands there are is weighed by what looking up and comparing cost: few for many signatures, more for few.
+signatures within the radius then differ in at most t_i bits of some band. Both sides are sorted by the band's value, and the rows of a value on
+the left, a few at a time, meet all rows on the right of every value within the tolerance. A pair counts in the first band that holds it within its
+tolerance, so none is told twice. How many bands there are is weighed by what looking up and comparing cost: few for many signatures, more for few.
+Bits above the highest that any two signatures differ in belong to no band.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,14 @@ from twinsift.operators.graph import cut
 WIDEST = 21
 #: Signatures of a block: at most so many, and fewer where that leaves a side with less than ``BLOCKS``.
 BLOCK, BLOCKS = 1 << 18, 8
-#: Values looked up, and pairs compared, at a time in a task.
-AT_ONCE = 1 << 20
+#: Tasks for each cell: cells go to them by a hash, and most tasks are left empty.
+SPARSE = 8
+#: Values looked up, and pairs compared, at a time in a task: so many stay in a core's cache.
+AT_ONCE = 1 << 16
+#: Rows of one value that are compared at once with those of another.
+DEEPEST = 16
 #: What a pair that meets costs, in values looked up.
-MEETING = 2
+MEETING = 1
 
 
 @dataclass(frozen=True)
@@ -76,16 +83,31 @@ def plan_bands(radius: int, bits: int, left: int, right: int) -> list[Band]:
     return min(fitting or [bands_of(radius, bits, -(-bits // WIDEST))], key=cost)
 
 
+def _groups(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of rows as columns of up to ``DEEPEST`` that share a band's value, -1 below the last: where each value's columns begin, each column's value, and the places."""
+    counts = np.bincount(values, minlength=1 << width)
+    deep = 1
+    while deep < DEEPEST and deep << width < len(values):
+        deep *= 2
+    columns = -(-counts // deep)
+    starts = np.concatenate([[0], np.cumsum(columns)])
+    order = np.argsort(values, kind="stable")
+    held = values[order]
+    rank = np.arange(len(values)) - (np.cumsum(counts) - counts)[held]
+    places = np.full((deep, starts[-1]), -1)
+    places[rank % deep, starts[held] + rank // deep] = order
+    return starts, np.repeat(np.arange(1 << width), columns), places
+
+
 def cell_pairs(a: np.ndarray, b: np.ndarray, bands: list[Band], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places in ``a`` and ``b`` of pairs within the radius that meet in a band, each once."""
     for k, band in enumerate(bands):
-        values = band.of(b)
-        order = np.argsort(values, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(np.bincount(values, minlength=1 << band.width))])
-        sorted_b, own = b[order], band.of(a)
+        _, own, left = _groups(band.of(a), band.width)
+        starts, _, right = _groups(band.of(b), band.width)
+        of_a, of_b = a[left], b[right]  # what stands for -1 is left out below
         masks = np.fromiter(band.probes(True), np.int64, band.count(True))
-        rows = max(1, AT_ONCE // len(masks))
-        for at in range(0, len(a), rows):
+        rows, most = max(1, AT_ONCE // len(masks)), max(1, AT_ONCE // (len(left) * len(right)))
+        for at in range(0, len(own), rows):
             keys = (own[at : at + rows, None] ^ masks).ravel()
             first, n = starts[keys], starts[keys + 1] - starts[keys]
             hit = np.flatnonzero(n)
@@ -94,18 +116,20 @@ def cell_pairs(a: np.ndarray, b: np.ndarray, bands: list[Band], radius: int) ->
             done = 0
             while done < len(n):  # a value that many share is passed over in parts
                 before = ends[done - 1] if done else 0
-                upto = max(done + 1, int(np.searchsorted(ends, before + AT_ONCE, "right")))
+                upto = max(done + 1, int(np.searchsorted(ends, before + most, "right")))
                 part = n[done:upto]
                 x = np.repeat(row[done:upto], part)
                 y = np.arange(part.sum()) + np.repeat(first[done:upto] - (ends[done:upto] - part - before), part)
-                near = np.flatnonzero(np.bitwise_count(a[x] ^ sorted_b[y]) <= radius)
-                x, y = x[near], y[near]
-                differ = a[x] ^ sorted_b[y]
-                new = np.ones(len(x), bool)
+                done = upto
+                # each row of a column with each of the other's; the pairs of columns lie side by side
+                differ = (np.take(of_a, x, axis=1)[:, None] ^ np.take(of_b, y, axis=1)).ravel()
+                near = np.flatnonzero(np.bitwise_count(differ) <= radius)
+                differ, (ranks, pair) = differ[near], np.divmod(near, len(x))
+                p, q = left[ranks // len(right), x[pair]], right[ranks % len(right), y[pair]]
+                new = (p >= 0) & (q >= 0)
                 for earlier in bands[:k]:
                     new &= np.bitwise_count(earlier.of(differ)) > earlier.within
-                yield x[new], order[y[new]]
-                done = upto
+                yield p[new], q[new]
 
 
 def dealt(df: DataFrame, blocks: int) -> DataFrame:
@@ -136,17 +160,24 @@ def meetings(a: DataFrame, b: DataFrame, bands: list[Band], radius: int | None =
         return pa.table([pa.array(z.view(np.int64)) for z in found], names=["a", "b"])
 
     count = n * (n + 1) // 2 if same else m * n
-    rows = spread(a, 0).unionByName(spread(b, 1)).repartition(count, "_cell")
+    # cells cost alike, so what counts is that few of them share a task
+    rows = spread(a, 0).unionByName(spread(b, 1)).repartition(SPARSE * count, "_cell")
     return rows.groupBy("_cell").applyInArrow(compare, "a long, b long")
 
 
 def hamming_pairs(a: DataFrame, b: DataFrame, radius: int, *, bits: int = 63) -> DataFrame:
     """(a, b, distance): distinct values of ``signature`` within ``radius``.
 
-    Each side's values are distinct first, and counted: repeated signatures cost nothing.
+    Each side's values are distinct first, and counted: repeated signatures cost nothing. Of ``bits`` only those up to the highest that varies are cut into bands.
     """
     sides = [cut(x.where(F.col("signature").isNotNull()).select("signature").distinct()) for x in ((a,) if a is b else (a, b))]
-    counts = [x.count() for x in sides]
+    seen = [x.agg(F.count("*"), F.bit_or("signature"), F.bit_and("signature")).first() for x in sides]
+    counts = [n for n, _, _ in seen]
+    if not min(counts):
+        bits = 1
+    else:
+        ones, always = reduce(or_, (x for _, x, _ in seen)), reduce(and_, (x for _, _, x in seen))
+        bits = max(1, min(bits, ((ones & ~always) & ((1 << 64) - 1)).bit_length()))
     blocks = [max(BLOCKS, ceil(n / BLOCK)) for n in counts]
     per = [ceil(n / m) for n, m in zip(counts, blocks)]
     bands = plan_bands(radius, bits, per[0], per[-1])
