@@ -632,3 +632,64 @@ def test_signatures_move_a_row_per_document(spark, sf_dir):
     """Words are hashed and counted where their text is read: none becomes a row."""
     plan = registry.signatures(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("word_votes") == 1
+
+
+def test_words_are_hashed_by_md5():
+    """The hashes of words of every length around one block, of a slice, and of none."""
+    import hashlib
+
+    import pyarrow as pa
+
+    words = ["", "é" * 27, "é" * 28, *("x" * k for k in range(130))]
+    want = [int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") for w in words]
+    assert fingerprints.word_hashes(pa.array(words)).tolist() == want
+    assert fingerprints.word_hashes(pa.array(words).slice(5, 70)).tolist() == want[5:75]
+    assert fingerprints.word_hashes(pa.array([], pa.string())).tolist() == []
+
+
+def test_signatures_are_worked_out_in_one_pass(spark, sf_dir):
+    """Neither do votes move, nor are texts hashed again for a filter on what comes of them."""
+    plan = registry.signatures(spark, sf_dir).where("signature IS NOT NULL AND signature > 5")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_a_document_in_several_rows_has_one_signature(spark, tmp_path):
+    """Its words count once over all of its rows; rows without an id are one document."""
+    import hashlib
+
+    rows = [(1, "a b c"), (1, "a b d  e"), (1, None), (2, "a b"), (None, "x y"), (None, "x z w"), (3, None), (4, " "), (5, " "), (5, "q")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for d in {d for d, _ in rows}:
+        words = {w for e, t in rows if e == d for w in (t or "").split(" ") if w}
+        hashes = [int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in words]
+        if words:
+            want[d] = sum(1 << i for i in range(60) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+    got = registry.signatures(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == set(want.items()) and len(got) == len(want)
+
+
+def test_images_that_meet_none_are_no_nodes(spark, monkeypatch):
+    """Only what is near another signature, or shares its own, is ordered and looked at for references."""
+    seen, first_come = [], similar.first_come
+    monkeypatch.setattr(similar, "first_come", lambda links, nodes, *more: seen.append(nodes.count()) or first_come(links, nodes, *more))
+    far = [(f"far{k}", 3, 2, v) for k, v in enumerate((0xF << 40, 0xFF << 20, 0xFFF << 8))]
+    near = [("b", 3, 2, 0), ("a", 3, 2, 1), ("c", 6, 4, 0xFFFF << 44), ("d", 3, 2, 0xFFFF << 44), ("e", 2, 3, 0xFFFF << 44), ("E", 2, 3, 0xFFFF << 44)]
+    got = similar.image_groups(spark.createDataFrame(far + near, "path string, width int, height int, signature long"), 1).collect()
+    assert sorted(tuple(r) for r in got) == [("E", "e", 0), ("a", "b", 1), ("c", "d", 0)]
+    assert seen == [5]
+
+
+def test_each_cell_of_blocks_is_a_task(spark):
+    df = spark.createDataFrame([(v << 30,) for v in range(200)], "signature long")
+    met = neighbours.meetings(df, df, neighbours.bands_of(1, 63, 3), 1, (3, 3))
+    assert met.rdd.getNumPartitions() == 6
+    assert sorted(tuple(r) for r in met.collect()) == sorted((a << 30, b << 30) for a in range(200) for b in range(200) if (a ^ b).bit_count() <= 1)
+
+
+def test_rows_are_numbered_by_as_many_tasks_as_asked_for(spark):
+    from twinsift.operators.graph import numbered
+
+    rows = numbered(spark.createDataFrame([(k * 7 % 50,) for k in range(50)], "x long"), "x", first=3, tasks=2)
+    assert sorted((r.x, r.row) for r in rows.collect()) == [(k, k + 3) for k in range(50)]
+    assert numbered(spark.createDataFrame([], "x long"), "x", tasks=1).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import md5
+from math import floor, sin
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,66 @@ def perceptual_hash(pixels: pa.Array) -> pa.Array:
 
 
 #: Bits of a word's hash that vote, and bytes of text whose words a task holds at once.
-WORD_BITS, TEXT_AT_ONCE = 60, 16 << 20
+WORD_BITS, TEXT_AT_ONCE = 60, 4 << 20
+#: Words that are hashed side by side.
+HASHED_AT_ONCE = 1 << 15
+
+_SINES = [floor(abs(sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_BEGIN = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def _md5_of_blocks(block: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """The first 64 bits of the MD5 of ``n`` texts of one block each, whose 32-bit numbers come by place; those not given are 0."""
+    a, b, c, d = (np.full(n, x, np.uint32) for x in _BEGIN)
+    f, g = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for i in range(64):
+        if i < 16:
+            at = i
+            np.bitwise_xor(np.bitwise_and(np.bitwise_xor(c, d, out=f), b, out=f), d, out=f)
+        elif i < 32:
+            at = (5 * i + 1) % 16
+            np.bitwise_xor(np.bitwise_and(np.bitwise_xor(b, c, out=f), d, out=f), c, out=f)
+        elif i < 48:
+            at = (3 * i + 5) % 16
+            np.bitwise_xor(np.bitwise_xor(b, c, out=f), d, out=f)
+        else:
+            at = 7 * i % 16
+            np.bitwise_xor(np.bitwise_or(np.invert(d, out=f), b, out=f), c, out=f)
+        np.add(np.add(f, a, out=f), np.uint32(_SINES[i]), out=f)
+        if at in block:
+            np.add(f, block[at], out=f)
+        turn = _TURNS[i // 16][i % 4]
+        np.right_shift(f, np.uint32(32 - turn), out=g)
+        np.bitwise_or(np.left_shift(f, np.uint32(turn), out=f), g, out=f)
+        a, b, c, d = d, np.add(f, b, out=a), b, c
+    first, second = a + np.uint32(_BEGIN[0]), b + np.uint32(_BEGIN[1])
+    return first.byteswap().astype(np.uint64) << np.uint64(32) | second.byteswap()
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """The first 64 bits of each word's MD5. Words of up to 55 bytes, which fill one block, are hashed side by side."""
+    words = words.cast(pa.binary())
+    _, edges, content = words.buffers()
+    edges = np.frombuffer(edges, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    held = np.concatenate([np.frombuffer(content or b"", np.uint8), np.zeros(64, np.uint8)])
+    eight = np.ndarray(len(held) - 7, "<u8", held, strides=1)  # the number that begins at each byte
+    lengths, out = np.diff(edges), np.empty(len(words), np.uint64)
+    full = np.minimum(lengths >> 3, 7).astype(np.uint8)
+    for i in np.flatnonzero(full == 7).tolist():
+        word = held[edges[i] : edges[i + 1]].tobytes()
+        out[i] = int.from_bytes(md5(word, usedforsecurity=False).digest()[:8], "big")
+    for k in range(7):
+        alike = np.flatnonzero(full == k)
+        for at in range(0, len(alike), HASHED_AT_ONCE):
+            some = alike[at : at + HASHED_AT_ONCE]
+            parts = [eight[edges[some] + 8 * j] for j in range(k + 1)]
+            rest = (lengths[some] & 7).astype(np.uint64) << np.uint64(3)
+            parts[k] = parts[k] & ((np.uint64(1) << rest) - np.uint64(1)) | np.uint64(0x80) << rest  # the word's end is marked
+            block = {2 * j + i: (x >> np.uint64(32 * i)).astype(np.uint32) for j, x in enumerate(parts) for i in (0, 1)}
+            block[14] = lengths[some].astype(np.uint32) << np.uint32(3)
+            out[some] = _md5_of_blocks(block, len(some))
+    return out
 
 
 def votes(texts: pa.Array) -> np.ndarray:
@@ -83,14 +143,13 @@ def votes(texts: pa.Array) -> np.ndarray:
     words = parts.flatten().dictionary_encode()
     if not len(words):
         return out
-    known = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
-    digests = np.frombuffer(b"".join([md5(w, usedforsecurity=False).digest() for w in known]), ">u8")
-    hashes = digests[::2].astype(np.uint64) >> np.uint64(64 - WORD_BITS)
+    known = words.dictionary
+    hashes = word_hashes(known) >> np.uint64(64 - WORD_BITS)
     row = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).fill_null(0).to_numpy())
     key = np.sort(row * len(known) + words.indices.to_numpy())
     row, word = np.divmod(key[np.diff(key, prepend=-1) > 0], len(known))
-    if b"" in known:
-        there = word != known.index(b"")
+    if (empty := pc.index(known, "").as_py()) >= 0:
+        there = word != empty
         row, word = row[there], word[there]
     if not len(row):
         return out
@@ -121,3 +180,14 @@ def word_votes(texts: pa.Array) -> pa.Array:
     held = np.concatenate([votes(x) for x in _parts(texts)])
     packed = np.concatenate([held[:, :1], held[:, 1 : half + 1] | (held[:, half + 1 :] << 31)], axis=1)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(packed) + 1, dtype=np.int32) * (half + 1)), pa.array(packed.ravel()))
+
+
+def _word_votes_signature(texts: pa.Array) -> pa.Array:
+    """Of each text the bits that more than half of its distinct words' hashes have set; null where there is no word."""
+    held = np.concatenate([votes(x) for x in _parts(texts)])
+    signatures = (2 * held[:, 1:] > held[:, :1]) @ (np.int64(1) << np.arange(WORD_BITS))
+    return pa.array(signatures, mask=held[:, 0] == 0)
+
+
+#: Said to be non-deterministic so that a filter on it doesn't have it worked out a second time.
+word_votes_signature = F.arrow_udf(_word_votes_signature, T.LongType()).asNondeterministic()

@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.scratch import Scratch
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    return Scratch(df.sparkSession).write(df)
+def cut(df: DataFrame, split: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again; for work that is heavy for its bytes, a task reads no more than ``split`` of its files."""
+    conf, key = df.sparkSession.conf, "spark.sql.files.maxPartitionBytes"
+    before = conf.get(key)
+    try:
+        if split:
+            conf.set(key, split)
+        return Scratch(df.sparkSession).write(df)
+    finally:
+        if split:
+            conf.set(key, before)
+
+
+def written(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns of ``df``, which is cut unless it is what ``cut`` gave."""
+    return df.select(*columns) if hasattr(df, "_scratch_path") else cut(df.select(*columns))
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -63,21 +78,19 @@ def references(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def numbered(df: DataFrame, *order, first: int = 1, scratch: Scratch | None = None) -> DataFrame:
+def numbered(df: DataFrame, *order, first: int = 1, scratch: Scratch | None = None, tasks: int | None = None) -> DataFrame:
     """``df`` with ``row``, its place from ``first`` in the given order.
 
-    Rows are dealt by range; only each partition's count goes to the driver, and comes back as that partition's
+    Rows are dealt by range, to as many ``tasks`` as joins have unless it is given; only each partition's count goes to the driver, and comes back as that partition's
     offset. ``df`` is written once on the way, so that a second reading can't deal it otherwise.
     """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     held = (scratch or Scratch(spark)).write(dealt)
     counts = {r[0]: r[1] for r in held.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}
-    offsets, total = [], first
-    for p in sorted(counts):
-        offsets.append((p, total))
-        total += counts[p]
-    table = spark.createDataFrame(offsets, "_p long, _offset long")
+    parts = sorted(counts)
+    offsets = [first + x for x in accumulate((counts[p] for p in parts), initial=0)][:-1]
+    table = spark.createDataFrame(pa.table({"_p": pa.array(parts, pa.int64()), "_offset": pa.array(offsets, pa.int64())}))
     out = held.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(table), "_p")  # a row per partition
     return out.withColumn("row", F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_at", "_offset")

@@ -30,8 +30,6 @@ from twinsift.operators.graph import cut
 WIDEST = 21
 #: Signatures of a block: at most so many, and fewer where that leaves a side with less than ``BLOCKS``.
 BLOCK, BLOCKS = 1 << 18, 8
-#: Tasks for each cell: cells go to them by a hash, and most tasks are left empty.
-SPARSE = 8
 #: Values looked up, and pairs compared, at a time in a task: so many stay in a core's cache.
 AT_ONCE = 1 << 16
 #: Rows of one value that are compared at once with those of another.
@@ -142,12 +140,14 @@ def meetings(a: DataFrame, b: DataFrame, bands: list[Band], radius: int | None =
     Where both sides are one, a cell stands for both orders of its blocks.
     """
     same, (m, n) = a is b, blocks
-    if same:  # cells (i, j) with i <= j; side 0 has the rows of i, side 1 those of j
-        cells = lambda block, side: F.transform(F.sequence(block, F.lit(n - 1)) if side == 0 else F.sequence(F.lit(0), block), lambda o: block * n + o if side == 0 else o * n + block)
+    if same:  # cells (i, j) with i <= j, numbered j by j; side 0 has the rows of i, side 1 those of j
+        at = lambda i, j: (j * (j + 1) / 2).cast("int") + i
+        cells = lambda block, side: F.transform(F.sequence(block, F.lit(n - 1)) if side == 0 else F.sequence(F.lit(0), block), lambda o: at(block, o) if side == 0 else at(o, block))
     else:
         cells = lambda block, side: F.transform(F.sequence(F.lit(0), F.lit((n if side == 0 else m) - 1)), lambda o: block * n + o if side == 0 else o * n + block)
     spread = lambda df, side: dealt(df, (m, n)[side]).select(F.explode(cells(F.col("_block"), side)).alias("_cell"), F.lit(side).cast("byte").alias("_side"), "signature")
     limit = 64 if radius is None else radius
+    own = {j * (j + 3) // 2 for j in range(n)}  # cells (j, j)
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         cell = key[0].as_py()
@@ -155,13 +155,13 @@ def meetings(a: DataFrame, b: DataFrame, bands: list[Band], radius: int | None =
         left, right = signature[side == 0], signature[side == 1]
         found = [(left[x], right[y]) for x, y in cell_pairs(left, right, bands, limit)]
         found = [np.concatenate(z) if z else left[:0] for z in (list(zip(*found)) or [[], []])]
-        if same and cell // n != cell % n:
+        if same and cell not in own:
             found = [np.concatenate(found), np.concatenate(found[::-1])]
         return pa.table([pa.array(z.view(np.int64)) for z in found], names=["a", "b"])
 
     count = n * (n + 1) // 2 if same else m * n
-    # cells cost alike, so what counts is that few of them share a task
-    rows = spread(a, 0).unionByName(spread(b, 1)).repartition(SPARSE * count, "_cell")
+    # cells cost alike: each is a task of its own
+    rows = spread(a, 0).unionByName(spread(b, 1)).repartitionById(count, "_cell")
     return rows.groupBy("_cell").applyInArrow(compare, "a long, b long")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from twinsift.functions.fingerprints import hamming
 from twinsift.functions.paths import casefold, suffix
-from twinsift.operators.graph import cut, references
+from twinsift.operators.graph import cut, references, written
 from twinsift.operators.neighbours import cell_pairs, hamming_pairs, plan_bands
 
 # Radii of images; radius, slots required and duration tolerance of videos; the aspect limit.
@@ -35,18 +35,28 @@ def near_durations(a: Column, b: Column, tolerance: float) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(0.25), F.least(F.lit(LONGEST), F.least(a, b) * tolerance))
 
 
+def comparable_images(images: DataFrame) -> DataFrame:
+    return images.where(F.col("signature").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0))
+
+
 def image_rows(images: DataFrame) -> DataFrame:
     """(place, width, height, signature) of images that can be compared; places are ordered by larger area, then the caseless path."""
-    rows = images.where(F.col("signature").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0))
+    rows = comparable_images(images)
     place = F.struct((-F.col("width").cast("long") * F.col("height")).alias("area"), casefold(F.col("path")).alias("key"), F.col("path").alias("path"))
     return rows.select(place.alias("place"), F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "signature")
 
 
 def image_links(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     """(a, b, e): nodes of ``left`` and ``right`` within the radius and of one shape, a node with itself where both hold it."""
-    side = lambda df, n, k: df.select(F.col("signature").alias(n), F.col("node").alias(f"_{n}"), F.col("width").alias(f"w{k}"), F.col("height").alias(f"h{k}"))
-    near = hamming_pairs(left, right, radius).join(side(left, "a", 1), "a").join(side(right, "b", 2), "b")
-    return near.where(same_aspect(F.col("w1"), F.col("h1"), F.col("w2"), F.col("h2"))).select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.struct("distance").alias("e"))
+    return _links(hamming_pairs(left, right, radius), left, right).drop("later")
+
+
+def _links(near: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, e, later): nodes of one shape whose signatures are a pair (a, b, distance) of ``near``, and whether a's place is the later one."""
+    side = lambda df, n, k: df.select(F.col("signature").alias(n), F.col("node").alias(f"_{n}"), F.col("place").alias(f"p{k}"), F.col("width").alias(f"w{k}"), F.col("height").alias(f"h{k}"))
+    near = near.join(side(left, "a", 1), "a").join(side(right, "b", 2), "b")
+    fit = near.where(same_aspect(F.col("w1"), F.col("h1"), F.col("w2"), F.col("h2")))
+    return fit.select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.struct("distance").alias("e"), (F.col("p2") < F.col("p1")).alias("later"))
 
 
 def image_best(rows: DataFrame, links: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -65,9 +75,9 @@ def _members(best: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return best.join(nodes.join(refs, "node", "left_semi").select("place"), "place", "left_anti")
 
 
-def first_come(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node of every reference, where nodes are named by their places."""
-    edges = links.where("b < a").select(F.col("a").alias("later"), F.col("b").alias("earlier"))
+def first_come(links: DataFrame, nodes: DataFrame, later: str = "b < a") -> DataFrame:
+    """node of every reference, where nodes are named by their places, or where ``later`` says which links are from a later node to an earlier one."""
+    edges = links.where(later).select(F.col("a").alias("later"), F.col("b").alias("earlier"))
     alone = nodes.select(F.col("node").alias("id")).join(edges.select(F.explode(F.array("later", "earlier")).alias("id")), "id", "left_anti")
     return references(edges).unionByName(alone).withColumnRenamed("id", "node")
 
@@ -80,10 +90,16 @@ def image_groups(images: DataFrame, radius: int) -> DataFrame:
     share signature and size are one node while references are sought: only the first of them can be one.
     """
     # written first: what works signatures out would be done again where rows are chosen, and where they meet their nodes
-    rows, what = image_rows(cut(images.select("path", "width", "height", "signature"))), ["signature", "width", "height"]
-    nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("node")).withColumn("place", F.col("node")))
-    links = cut(image_links(nodes, nodes, radius))
-    refs = first_come(links, nodes)
+    given, what = comparable_images(written(images, "path", "width", "height", "signature")), ["signature", "width", "height"]
+    near = cut(hamming_pairs(given, given, radius).where("a <> b"))
+    # an image whose signature is near no other, and its own only, neither joins nor is joined
+    shared = given.groupBy("signature").agg(F.count("*").alias("_n")).where("_n > 1").select("signature")
+    met = cut(near.select(F.col("a").alias("signature")).unionByName(shared).distinct())
+    rows = image_rows(given.join(met, "signature", "left_semi"))
+    nodes = cut(rows.groupBy(*what).agg(F.min("place").alias("place")).withColumn("node", F.monotonically_increasing_id()))
+    itself = met.select(F.col("signature").alias("a"), F.col("signature").alias("b"), F.lit(0).alias("distance"))
+    links = cut(_links(near.unionByName(itself), nodes, nodes))
+    refs = first_come(links, nodes, "later")
     return image_best(rows.join(nodes.drop("place"), what).select("place", "node"), links, refs, nodes)
 
 

@@ -162,10 +162,15 @@ def ordered_folders(spark, sf_dir):
 
 # media
 
+#: Matches that one task puts in order.
+ORDERED = 1 << 14
+
 
 @query(f"SELECT reference, path, distance, row_number() OVER (ORDER BY lower(reference), reference, distance, lower(path), path) AS place FROM ({ORACLE_SQL['image_groups']})")
 def ordered_matches(spark, sf_dir):
-    return numbered(similar.image_groups(images(spark, sf_dir), 4), *similar.match_order("reference", "path")).withColumnRenamed("row", "place")
+    found = cut(similar.image_groups(images(spark, sf_dir), 4))
+    tasks = -(-found.count() // ORDERED) or 1
+    return numbered(found, *similar.match_order("reference", "path"), tasks=tasks).withColumnRenamed("row", "place")
 
 
 @query(f"SELECT a, b, distance, row_number() OVER (ORDER BY a, distance, b) AS place FROM ({ORACLE_SQL['hamming_pairs']})")
@@ -296,7 +301,7 @@ def restored_folders(spark, sf_dir):
 
 @query(f"WITH m AS ({ORACLE_SQL['image_groups']}), {_LABELLED}, gone AS (SELECT '/i/' || doc_id AS path FROM bad) SELECT reference, path, distance FROM m WHERE path NOT IN (SELECT path FROM gone) AND reference NOT IN (SELECT path FROM gone)")
 def restored_matches(spark, sf_dir):
-    every = cut(images(spark, sf_dir))
+    every = images(spark, sf_dir)
     gone = labelled(spark, sf_dir, "quality", 0).select(F.concat(F.lit("/i/"), F.col("doc_id").cast("string")).alias("path"))
     return session.restored_matches(similar.image_groups(every, 4), every.join(gone, "path", "left_anti"))
 
@@ -307,7 +312,7 @@ def restored_matches(spark, sf_dir):
 @query(ORACLE_SQL["image_groups"])
 def grown_images(spark, sf_dir):
     """Old signatures are those of labelled documents; the rest are added."""
-    every = cut(images(spark, sf_dir).withColumn("doc_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long")))
+    every = images(spark, sf_dir).withColumn("doc_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long"))
     old = table(spark, sf_dir, "labels").select("doc_id").distinct()
     state = grown.scan_media("images", every.join(old, "doc_id", "left_semi").drop("doc_id"), "Strict")
     return grown.extend_media(state, every.join(old, "doc_id", "left_anti").drop("doc_id")).groups

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.operators import similar
+from twinsift.operators.graph import written
 from twinsift.operators.scope import check_scope
 from twinsift.plans.matching import Matching, matching
 from twinsift.scratch import file_system
@@ -148,7 +149,9 @@ def restored_folders(folders: DataFrame, now: DataFrame) -> DataFrame:
 
 def restored_matches(matches: DataFrame, now: DataFrame) -> DataFrame:
     """``matches`` whose item and whose reference are both among ``now`` (path): without its reference a group goes."""
-    here = now.select("path").distinct()
+    matches = written(matches, *matches.columns)
+    named = matches.select(F.explode(F.array("path", "reference")).alias("path")).distinct()
+    here = now.select("path").join(named, "path", "left_semi")  # of all that is there, what matches ask for
     return matches.join(here, "path", "left_semi").join(here.withColumnRenamed("path", "reference"), "reference", "left_semi").select(*matches.columns)
 
 
