@@ -401,3 +401,19 @@ def test_a_delta_of_media_is_joined_once(spark, monkeypatch):
     near = {(x[0], y[0]) for x in old + new for y in old + new if (x[3] ^ y[3]).bit_count() <= 4}
     assert sorted((r.a, r.b) for r in state.links.select("a.path", "b.path").toDF("a", "b").collect()) == sorted(near)
     assert {tuple(r) for r in state.groups.collect()} == {tuple(r) for r in similar.image_groups(images(*old, *new), 4).collect()}
+
+
+def test_restored_matches_are_worked_out_once(spark):
+    """What is there is neither moved to be made distinct, nor are matches asked for again by each check."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def slow(x):
+        seen.add(1)
+        return x
+
+    matches = spark.range(20).select(F.lit("r").alias("reference"), F.format_string("p%d", "id").alias("path"), F.udf(slow, "long")("id").cast("int").alias("distance"))
+    there = spark.createDataFrame([(p,) for p in ("r", "r", "p3", "p3", "p7", "other")], "path string")
+    got = session.restored_matches(matches, there)
+    assert sorted(tuple(r) for r in got.collect()) == [("r", "p3", 3), ("r", "p7", 7)] and seen.value == 20
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == plan.count("Generate") > 0  # only names in matches are made distinct
