@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ from twinsift.operators.graph import cut
 from twinsift.operators import cleanup, exact, folders, neighbours, review, scope, similar, tolerance
 from twinsift.plans import scan
 from twinsift.plans.matching import matching
+from twinsift.scratch import shared_folder
 
 RECORD = "path string, content binary, size long, modified_ns long, created_ns long, device long, inode long, root string"
 
@@ -582,6 +585,25 @@ def test_details_and_media(spark):
     assert tuple(similar.media_counts(f, f.limit(1)).first()) == (1, 1, 1, 1)
 
 
+def test_nested_folders_hold_little_disk(spark):
+    """Steps leave neither shuffles nor tables that aren't read any more, and folders aren't spread over all that lies above them."""
+    contents = {f"/t/{k}" + "/in" * (k % 4) + f"/{n}": "pq"[n] for k in range(9) for n in range(2)}
+    lone = [f"/e/{k}" + "/none" * k for k in range(3)]
+    rows = cut(with_ids(spark, contents))
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {p for d in disk.localDirsString() for p in Path(d).rglob("shuffle_*.data")}
+    tables = lambda: {p for p in Path(shared_folder(spark).removeprefix("file:")).glob("twinsift-*/*")}
+    before = held(), tables()
+    got = folders.duplicate_folders(rows, spark.createDataFrame([(d,) for d in lone], "path string"))
+    until = time.monotonic() + 20  # executors are told to free them, and do so in their time
+    while (left := held() - before[0]) and time.monotonic() < until:
+        time.sleep(0.1)
+    read = {Path(p.removeprefix("file:")).parent for p in got.inputFiles()}
+    assert not left and tables() - before[1] <= read
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert groups(got) == plain_folders(contents, lone)
+
+
 def test_folder_plans_take_files_up_level_by_level(spark):
     """Only selected folders are spread over what lies above them: files and offered folders would all meet at the top."""
     fold = cut(spark.createDataFrame([("/t/a", f"/t/{c}", 2, True) for c in "abc"], "group_id string, path string, n_files long, is_current boolean"))

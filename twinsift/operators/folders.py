@@ -57,16 +57,21 @@ def folder_sums(files: DataFrame, directories: DataFrame | None = None, counted:
         own = own.unionByName(directories.select("path", *[zero.alias(c) for c in _SUMS]))
     added = lambda df: df.groupBy("path").agg(*[F.sum(c).alias(c) for c in _SUMS])
     level = F.when(F.col("path") == "/", 0).otherwise(paths.depth(F.col("path")))
-    named = scratch.write(added(own).withColumn("_level", level))
+    named = scratch.write_freed(added(own).withColumn("_level", level))
     deepest = named.agg(F.max("_level")).first()[0]
+    if deepest is None:
+        return named.select("path", *_SUMS)
     out, below = [], None
-    for k in range(deepest if deepest is not None else -1, -1, -1):
+    for k in range(deepest, -1, -1):
         rows = named.where(F.col("_level") == k).select("path", *_SUMS)
         if below is not None:
             rows = added(rows.unionByName(below.select(paths.parent(F.col("path")).alias("path"), *_SUMS)))
-        below = scratch.write(rows.withColumn("n_dirs", F.col("n_dirs") + 1))  # itself
+        below = scratch.write_freed(rows.withColumn("n_dirs", F.col("n_dirs") + 1))  # itself
         out.append(below)
-    return reduce(DataFrame.unionByName, out) if out else named.select("path", *_SUMS)
+    scratch.drop(named)
+    every = reduce(DataFrame.unionByName, out)
+    every._scratch_path = scratch.folder  # of all levels
+    return every
 
 
 def rollup(files: DataFrame, directories: DataFrame | None = None) -> DataFrame:
@@ -105,12 +110,17 @@ def duplicate_folders(files: DataFrame, directories: DataFrame | None = None, is
     not lie within each other: equal ones that do are dealt to further groups, from the top down, so that a folder's
     group is told by how many of those above it are equal to it.
     """
-    rows = signed(folder_sums(files, directories))
+    scratch, sums = Scratch(files.sparkSession), folder_sums(files, directories)
+    rows = signed(sums)
     if issues is not None:
         rows = rows.join(poisoned(issues), "path", "left_anti")
     if roots is not None:
         rows = rows.where(F.col("path").isin(roots))
-    return equal_folders(cut(rows), apart=roots is None)
+    rows = scratch.write_freed(rows)
+    scratch.drop(sums)
+    several = _several(rows, scratch)
+    scratch.drop(rows)
+    return _grouped(several, scratch, apart=roots is None)
 
 
 def signed(sums: DataFrame) -> DataFrame:
@@ -119,25 +129,59 @@ def signed(sums: DataFrame) -> DataFrame:
     return rows.select("path", "n_files", "total_size", "n_dirs", "signature")
 
 
-def equal_folders(rows: DataFrame, *, apart: bool = True) -> DataFrame:
-    """Groups among ``rows`` as ``signed`` gives them. All folders of a signature must be there; other signatures have no say.
-    With ``apart``, folders between two that are equal are there too."""
-    same = ["signature", "n_files"]
-    shared = rows.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    several = cut(rows.join(shared, same, "left_semi"))
-    several = several.withColumn("_own", _folded(*same, "path"))
-    # of equal folders that lie within each other all between them are equal too, so the one right above tells whether there are any
-    inner, at = several.select(*same, "path", "_own"), several.select(F.col("_own").alias("_up"))
-    if apart:
-        inner = several.select(*same, "path", "_own", _folded(*same, paths.parent(F.col("path"))).alias("_up")).join(at, "_up", "left_semi")
-    up = inner.select(*same, "_own", F.explode(paths.ancestors(F.col("path"))).alias("_above")).select("_own", _folded(*same, "_above").alias("_up"))
-    nested = up.join(at, "_up").groupBy("_own").agg(F.count("*").alias("part"))
-    dealt = several.join(nested, "_own", "left").drop("_own").withColumn("part", F.coalesce("part", F.lit(0)))
-    groups = dealt.groupBy(*same, "part").agg(F.min("path").alias("group_id"), F.count("*").alias("_n"), F.min("n_dirs").alias("_dirs"))
-    groups = groups.where((F.col("_n") > 1) | ((F.col("n_files") == 0) & (F.col("_dirs") == 1))).select(*same, "part", "group_id")
-    out = dealt.join(groups, [*same, "part"]).select("group_id", "path", "n_files", "total_size")
-    alone = rows.join(shared, same, "left_anti").where("n_files = 0 AND n_dirs = 1").select(F.col("path").alias("group_id"), "path", "n_files", "total_size")
-    return out.unionByName(alone)
+def equal_folders(rows: DataFrame) -> DataFrame:
+    """Groups among ``rows`` as ``signed`` gives them, none with folders that lie within each other. All folders of a signature must be there; other signatures have no say."""
+    scratch = Scratch(rows.sparkSession)
+    return _grouped(_several(rows, scratch), scratch)
+
+
+#: What equal folders share.
+_SAME = ("signature", "n_files")
+
+
+def _several(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows whose signature another shares, and empty folders, which can be groups by themselves; with their level."""
+    shared = rows.groupBy(*_SAME).agg(F.count("*").alias("_n")).where("_n > 1 OR n_files = 0").drop("_n")
+    return scratch.write_freed(rows.join(shared, [*_SAME], "left_semi").withColumn("_level", paths.depth(F.col("path"))))
+
+
+def _dealt(several: DataFrame, scratch: Scratch) -> DataFrame:
+    """``several``, of which nothing is left, with ``part``: how many folders above a folder are equal to it.
+
+    All folders between two that are equal are equal too, so it is one more than that of the folder right above, if that is
+    equal. Levels follow each other from the top down, and each is written before the next: a folder moves once, the one above
+    it as a hash of 16 bytes.
+    """
+    columns = [c for c in several.columns if c != "_level"]
+    first, last = several.agg(F.min("_level"), F.max("_level")).first()
+    if first is None:
+        return several.select(*columns, F.lit(0).alias("part"))
+    out, above = [], None
+    for k in range(first, last + 1):
+        rows, part = several.where(F.col("_level") == k), F.lit(0)
+        if above is not None:
+            at = above.select(_folded(*_SAME, "path").alias("_up"), (F.col("part") + 1).alias("_part"))
+            rows = rows.withColumn("_up", _folded(*_SAME, paths.parent(F.col("path")))).join(at, "_up", "left")
+            part = F.coalesce("_part", part)
+        above = scratch.write_freed(rows.select(*columns, part.alias("part")))
+        out.append(above)
+    scratch.drop(several)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _dealt_roots(several: DataFrame) -> DataFrame:
+    """As ``_dealt`` where folders between two that are equal needn't be there."""
+    several = several.drop("_level").withColumn("_own", _folded(*_SAME, "path"))
+    up = several.select(*_SAME, "_own", F.explode(paths.ancestors(F.col("path"))).alias("_above")).select("_own", _folded(*_SAME, "_above").alias("_up"))
+    nested = up.join(several.select(F.col("_own").alias("_up")), "_up").groupBy("_own").agg(F.count("*").alias("part"))
+    return several.join(nested, "_own", "left").drop("_own").withColumn("part", F.coalesce("part", F.lit(0)))
+
+
+def _grouped(several: DataFrame, scratch: Scratch, *, apart: bool = True) -> DataFrame:
+    dealt = _dealt(several, scratch) if apart else _dealt_roots(several)
+    groups = dealt.groupBy(*_SAME, "part").agg(F.min("path").alias("group_id"), F.count("*").alias("_n"), F.min("n_dirs").alias("_dirs"))
+    groups = groups.where((F.col("_n") > 1) | ((F.col("n_files") == 0) & (F.col("_dirs") == 1))).select(*_SAME, "part", "group_id")
+    return dealt.join(groups, [*_SAME, "part"]).select("group_id", "path", "n_files", "total_size")
 
 
 def folder_order() -> tuple[Column, ...]:

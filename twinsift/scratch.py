@@ -46,6 +46,10 @@ def released() -> Iterator[None]:
             scratch.release()
 
 
+#: Spark's setting by which a written query's shuffles go with it, instead of whenever the driver collects garbage.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Writes tables that cut lineage; ``drop`` frees the ones that are no longer read.
 
@@ -75,6 +79,18 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def write_freed(self, df: DataFrame) -> DataFrame:
+        """As ``write``; the shuffles that led to the table are gone once it is written. For steps whose shuffles are many times what they give."""
+        before = self.spark.conf.get(_FREED, None)
+        self.spark.conf.set(_FREED, "true")
+        try:
+            return self.write(df)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_FREED)
+            else:
+                self.spark.conf.set(_FREED, before)
+
     def write_bucketed(self, df: DataFrame, key: str, buckets: int, order: str | None = None, codec: str = "zstd") -> DataFrame:
         """A table bucketed by ``key``, and sorted by ``order`` within buckets: later joins on it don't move its rows."""
         name, path = f"twinsift_{uuid.uuid4().hex}", self._next()
