@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions import paths
-from twinsift.operators.graph import cut
 from twinsift.scratch import Scratch
 
 
@@ -63,12 +62,13 @@ def folder_sums(files: DataFrame, directories: DataFrame | None = None, counted:
         return named.select("path", *_SUMS)
     out, below = [], None
     for k in range(deepest, -1, -1):
-        rows = named.where(F.col("_level") == k).select("path", *_SUMS)
-        if below is not None:
+        rows, itself = named.where(F.col("_level") == k).select("path", *_SUMS), F.col("n_dirs") + 1
+        if below is None:  # nothing is added to the deepest level, which is read where it is
+            below = rows.withColumn("n_dirs", itself)
+        else:
             rows = added(rows.unionByName(below.select(paths.parent(F.col("path")).alias("path"), *_SUMS)))
-        below = scratch.write_freed(rows.withColumn("n_dirs", F.col("n_dirs") + 1))  # itself
+            below = scratch.write_freed(rows.withColumn("n_dirs", itself))
         out.append(below)
-    scratch.drop(named)
     every = reduce(DataFrame.unionByName, out)
     every._scratch_path = scratch.folder  # of all levels
     return every
@@ -116,11 +116,10 @@ def duplicate_folders(files: DataFrame, directories: DataFrame | None = None, is
         rows = rows.join(poisoned(issues), "path", "left_anti")
     if roots is not None:
         rows = rows.where(F.col("path").isin(roots))
-    rows = scratch.write_freed(rows)
+    rounds = _rounds(sums)
+    rows = scratch.write_freed(_dealt_to(rounds, rows), by="_round")
     scratch.drop(sums)
-    several = _several(rows, scratch)
-    scratch.drop(rows)
-    return _grouped(several, scratch, apart=roots is None)
+    return _grouped(rows, rounds, scratch, apart=roots is None)
 
 
 def signed(sums: DataFrame) -> DataFrame:
@@ -131,12 +130,23 @@ def signed(sums: DataFrame) -> DataFrame:
 
 def equal_folders(rows: DataFrame) -> DataFrame:
     """Groups among ``rows`` as ``signed`` gives them, none with folders that lie within each other. All folders of a signature must be there; other signatures have no say."""
-    scratch = Scratch(rows.sparkSession)
-    return _grouped(_several(rows, scratch), scratch)
+    scratch, rounds = Scratch(rows.sparkSession), _rounds(rows)
+    return _grouped(scratch.write_freed(_dealt_to(rounds, rows), by="_round"), rounds, scratch)
 
 
 #: What equal folders share.
 _SAME = ("signature", "n_files")
+#: Folders meet by signature in rounds, each with a share of the signatures: as many folders as one may hold, and rounds at most.
+#: What is shuffled at once stays small, however many folders there are; few make one round.
+_ROUND, _ROUNDS = 8_000_000, 16
+
+
+def _rounds(rows: DataFrame) -> int:
+    return min(_ROUNDS, max(1, -(-rows.count() // _ROUND)))
+
+
+def _dealt_to(rounds: int, rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_round", F.pmod(F.col("signature.x"), F.lit(rounds)).cast("int"))
 
 
 def _several(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -145,8 +155,8 @@ def _several(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write_freed(rows.join(shared, [*_SAME], "left_semi").withColumn("_level", paths.depth(F.col("path"))))
 
 
-def _dealt(several: DataFrame, scratch: Scratch) -> DataFrame:
-    """``several``, of which nothing is left, with ``part``: how many folders above a folder are equal to it.
+def _dealt(several: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Levels of ``several``, of which nothing is left, with ``part``: how many folders above a folder are equal to it.
 
     All folders between two that are equal are equal too, so it is one more than that of the folder right above, if that is
     equal. Levels follow each other from the top down, and each is written before the next: a folder moves once, the one above
@@ -155,7 +165,7 @@ def _dealt(several: DataFrame, scratch: Scratch) -> DataFrame:
     columns = [c for c in several.columns if c != "_level"]
     first, last = several.agg(F.min("_level"), F.max("_level")).first()
     if first is None:
-        return several.select(*columns, F.lit(0).alias("part"))
+        return [several.select(*columns, F.lit(0).alias("part"))]
     out, above = [], None
     for k in range(first, last + 1):
         rows, part = several.where(F.col("_level") == k), F.lit(0)
@@ -166,7 +176,7 @@ def _dealt(several: DataFrame, scratch: Scratch) -> DataFrame:
         above = scratch.write_freed(rows.select(*columns, part.alias("part")))
         out.append(above)
     scratch.drop(several)
-    return reduce(DataFrame.unionByName, out)
+    return out
 
 
 def _dealt_roots(several: DataFrame) -> DataFrame:
@@ -177,11 +187,20 @@ def _dealt_roots(several: DataFrame) -> DataFrame:
     return several.join(nested, "_own", "left").drop("_own").withColumn("part", F.coalesce("part", F.lit(0)))
 
 
-def _grouped(several: DataFrame, scratch: Scratch, *, apart: bool = True) -> DataFrame:
-    dealt = _dealt(several, scratch) if apart else _dealt_roots(several)
-    groups = dealt.groupBy(*_SAME, "part").agg(F.min("path").alias("group_id"), F.count("*").alias("_n"), F.min("n_dirs").alias("_dirs"))
-    groups = groups.where((F.col("_n") > 1) | ((F.col("n_files") == 0) & (F.col("_dirs") == 1))).select(*_SAME, "part", "group_id")
-    return dealt.join(groups, [*_SAME, "part"]).select("group_id", "path", "n_files", "total_size")
+def _grouped(rows: DataFrame, rounds: int, scratch: Scratch, *, apart: bool = True) -> DataFrame:
+    """Groups of ``rows``, of which nothing is left; folders that are equal, or may lie within each other's groups, are in one round."""
+    out = []
+    for k in range(rounds):
+        several = _several(rows.where(F.col("_round") == k).drop("_round"), scratch)
+        if k == rounds - 1:
+            scratch.drop(rows)
+        dealt = _dealt(several, scratch) if apart else [_dealt_roots(several)]
+        every = reduce(DataFrame.unionByName, dealt)
+        groups = every.groupBy(*_SAME, "part").agg(F.min("path").alias("group_id"), F.count("*").alias("_n"), F.min("n_dirs").alias("_dirs"))
+        groups = groups.where((F.col("_n") > 1) | ((F.col("n_files") == 0) & (F.col("_dirs") == 1))).select(*_SAME, "part", "group_id")
+        out.append(scratch.write_freed(every.join(groups, [*_SAME, "part"]).select("group_id", "path", "n_files", "total_size")))
+        scratch.drop(*dealt, several)
+    return reduce(DataFrame.unionByName, out)
 
 
 def folder_order() -> tuple[Column, ...]:

@@ -72,19 +72,21 @@ class Scratch:
         self._n += 1
         return f"{self.folder}/{self._n}"
 
-    def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, codec: str = "zstd", by: str | None = None) -> DataFrame:
+        """With ``by``, rows of each value in files of their own."""
         path = self._next()
-        df.write.option("compression", codec).parquet(path)
+        writer = df.write.option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def write_freed(self, df: DataFrame) -> DataFrame:
+    def write_freed(self, df: DataFrame, by: str | None = None) -> DataFrame:
         """As ``write``; the shuffles that led to the table are gone once it is written. For steps whose shuffles are many times what they give."""
         before = self.spark.conf.get(_FREED, None)
         self.spark.conf.set(_FREED, "true")
         try:
-            return self.write(df)
+            return self.write(df, by=by)
         finally:
             if before is None:
                 self.spark.conf.unset(_FREED)
